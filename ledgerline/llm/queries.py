@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.bpe import bpe_columns
 from ledgerline.llm.exact_dedup import exact_dedup
+from ledgerline.llm.langid import fold, identify, train_profiles
 from ledgerline.llm.mixing import mix_sources
+from ledgerline.llm.simhash import near_duplicates
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +26,31 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
+def op3_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_columns(_table(spark, sf_dir, "documents"), tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op5_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
+    profiles = train_profiles(docs.filter(~F.col("held_out")))
+    return identify(docs.select("doc_id", "text", "held_out"), profiles).drop("text")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
+def op10_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).drop("fp")
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_trie_bpe": op3_trie_bpe,
+    "op5_rank_order_language": op5_rank_order_language,
     "op6_source_mixing": op6_source_mixing,
+    "op10_simhash_bk_tree": op10_simhash_bk_tree,
 }
 
 ORACLE = {
