@@ -36,7 +36,41 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class BpeCodec:
+class UnitCache:
+    """Encodes texts by their units: a text is cut at blanks between words, where no piece goes on, and each distinct
+    unit is encoded once; subclasses say how. The cache is bounded."""
+
+    remember = REMEMBER
+
+    def __init__(self):
+        self.uneven = re.compile(f"[{SPACE}] | [{SPACE}]")
+        self.even_space = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
+        self.heads: dict[str, tuple[int, ...]] = {}
+        self.tails: dict[str, tuple[int, ...]] = {}
+
+    def tokens(self, units: list[str]) -> list[tuple[int, ...]]:
+        raise NotImplementedError
+
+    def join(self, head, tails):
+        return [*head, *chain.from_iterable(tails)]
+
+    def encode(self, texts: list[str]) -> Iterator:
+        """The ids of each text. A tail is kept without the blank before it."""
+        for start, end in _slices(texts):
+            split = [self.even_space.split(x) if self.uneven.search(x) else x.split(" ") for x in texts[start:end]]
+            if len(self.tails) > self.remember:
+                self.heads, self.tails = {}, {}
+            heads = list({x[0] for x in split}.difference(self.heads))
+            tails = list(set(chain.from_iterable(x[1:] for x in split)).difference(self.tails))
+            made = self.tokens([*heads, *(" " + x for x in tails)])
+            self.heads.update(zip(heads, made, strict=False))
+            self.tails.update(zip(tails, made[len(heads) :], strict=True))
+            get = self.tails.__getitem__
+            for units in split:
+                yield self.join(self.heads[units[0]], map(get, units[1:]))
+
+
+class BpeCodec(UnitCache):
     """Encodes and decodes with the vocabulary and merges of a tokenizer file; holds nothing of the texts but a bounded cache."""
 
     def __init__(self, path: str):
@@ -57,10 +91,7 @@ class BpeCodec:
         self.follows: dict[int, bool] = {}
         self.pieces = regex.compile(PIECES)
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.uneven = re.compile(f"[{SPACE}] | [{SPACE}]")
-        self.even_space = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.heads: dict[str, tuple[int, ...]] = {}
+        super().__init__()
 
     def merged(self, text: bytes) -> list[int]:
         """The encoding of a few bytes by the merges themselves: the lowest rank first, from the left."""
@@ -129,33 +160,20 @@ class BpeCodec:
                 yield words[done], tuple(out[::-1])
                 done += 1
 
-    def _learn(self, heads: set[str], tails: set[str]) -> None:
-        """Cache the tokens of units; a tail stands for a blank and itself."""
+    def tokens(self, units: list[str]) -> list[tuple[int, ...]]:
         find, special = self.pieces.findall, self.special
-        cut: dict[str, list] = {}
-        for unit in chain(heads, (" " + x for x in tails)):
-            if self.cut_special and "<" in unit and self.cut_special.search(unit):
-                cut[unit] = [x if x in special else find(x) for x in self.cut_special.split(unit) if x]
+        cut = []
+        for unit in units:
+            if self.cut_special and self.cut_special.search(unit):
+                cut.append([w for x in self.cut_special.split(unit) if x for w in ([special[x]] if x in special else find(x))])
             else:
-                cut[unit] = [find(unit)]
-        distinct = {w.encode("utf-8", "replace") for parts in cut.values() for p in parts if isinstance(p, list) for w in p}
-        of = dict(self.encode_words([w for w in distinct if w]))
-        tokens = {unit: tuple(chain.from_iterable((special[p],) if isinstance(p, str) else chain.from_iterable(of[w.encode("utf-8", "replace")] for w in p) for p in parts)) for unit, parts in cut.items()}
-        self.heads.update((x, tokens[x]) for x in heads)
-        self.words.update((x, tokens[" " + x]) for x in tails)
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text. Units begin at blanks between words, where no piece goes on; they are looked up in a cache."""
-        for start, end in _slices(texts):
-            split = [self.even_space.split(x) if self.uneven.search(x) else x.split(" ") for x in texts[start:end]]
-            if len(self.words) > REMEMBER:
-                self.words, self.heads = {}, {}
-            tails = set(chain.from_iterable(x[1:] for x in split)).difference(self.words)
-            heads = {x[0] for x in split}.difference(self.heads)
-            self._learn(heads, tails)
-            get = self.words.__getitem__
-            for units in split:
-                yield [*self.heads[units[0]], *chain.from_iterable(map(get, units[1:]))]
+                cut.append(find(unit))
+        distinct = {w for words in cut for w in words if isinstance(w, str)}
+        of: dict = {i: (i,) for i in special.values()}
+        encoded = {w: w.encode("utf-8", "replace") for w in distinct}
+        made = dict(self.encode_words(list(set(encoded.values()))))
+        of |= {w: made[b] for w, b in encoded.items()}
+        return [tuple(chain.from_iterable(map(of.__getitem__, words))) for words in cut]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, special ones included; bytes that are no UTF-8 become U+FFFD."""

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.bpe import bpe_columns
+from ledgerline.llm.common import shared_dir
 from ledgerline.llm.exact_dedup import exact_dedup
 from ledgerline.llm.langid import fold, identify, train_profiles
 from ledgerline.llm.mixing import mix_sources
 from ledgerline.llm.simhash import near_duplicates
+from ledgerline.llm.token_shards import read_token_shards, write_token_shards
+from ledgerline.llm.warc import plan_records, read_warc, write_warc
 
 
 def tokenizer_path() -> str:
@@ -41,6 +44,25 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
+#: Fixed value: the id that ends a document in the shards.
+END_ID = 2
+
+
+def op7_wavelet_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_shards(_table(spark, sf_dir, "documents"), tokenizer_path(), shared_dir(spark), END_ID)
+    return read_token_shards(files, with_ids=False)
+
+
+def op8_warc_boundary_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    write_warc(plan_records(_table(spark, sf_dir, "pages")), folder)
+    page = lambda column: F.regexp_extract(column, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    read = read_warc(spark, folder, with_payload=False)
+    return read.select(
+        page("record_id").alias("page_id"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to")
+    )
+
+
 def op10_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).drop("fp")
 
@@ -50,10 +72,19 @@ QUERIES = {
     "op3_trie_bpe": op3_trie_bpe,
     "op5_rank_order_language": op5_rank_order_language,
     "op6_source_mixing": op6_source_mixing,
+    "op7_wavelet_token_shards": op7_wavelet_token_shards,
+    "op8_warc_boundary_chains": op8_warc_boundary_chains,
     "op10_simhash_bk_tree": op10_simhash_bk_tree,
 }
 
 ORACLE = {
+    "op8_warc_boundary_chains": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+             w AS (SELECT h, max(page_id) AS winner FROM p WHERE n >= 1000 GROUP BY h)
+        SELECT p.page_id, p.n AS payload_bytes, sha1(p.h) AS payload_digest,
+               CASE WHEN w.winner IS NULL OR w.winner = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN w.winner <> p.page_id THEN w.winner END AS refers_to
+        FROM p LEFT JOIN w ON p.h = w.h""",
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
