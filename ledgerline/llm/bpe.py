@@ -26,7 +26,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Fixed value: white space.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Distinct words that a task remembers, and characters of text that it works on at once.
-REMEMBER, SLICE = 400_000, 4_000_000
+REMEMBER, SLICE = 800_000, 4_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -82,7 +82,9 @@ class BpeCodec(UnitCache):
         special_ids = set(self.special.values())
         self.ids = {b: i for i, b in self.bytes_of.items() if i not in special_ids}
         self.lengths = {i: len(b) for i, b in self.bytes_of.items()}
-        self.token_lengths = sorted({len(b) for b in self.ids}, reverse=True)
+        have = {len(b) for b in self.ids}
+        self.spans = [[n for n in range(span, 0, -1) if n in have] for span in range(max(have) + 1)]
+        self.names = {i: str(i) for i in self.bytes_of}
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = (bytes(letters[c] for c in x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
@@ -112,53 +114,47 @@ class BpeCodec(UnitCache):
         return known
 
     def encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, tuple[int, ...]]]:
-        """Distinct words into a trie, then the last-token states of its nodes depth-first, and each word's tokens."""
-        words = sorted(words)
-        # The trie in depth-first order: each node's depth and byte; a word adds the nodes below what it shares.
-        depths, labels, ends, before = [], bytearray(), [], b""
-        for word in words:
+        """Distinct words into a trie, then the last-token states of its nodes depth-first, and each word's tokens.
+
+        The trie is its own depth-first listing: the words in order, each with the depth that it shares with the word
+        before it. Below that depth its nodes are new; above it the states on the way down still hold.
+        """
+        listing, before = [], b""
+        for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            depths.extend(range(shared + 1, len(word) + 1))
-            labels += word[shared:]
-            ends.append(len(depths) - 1)
+            listing.append((word, shared))
             before = word
-        ids, lengths, whole, follows, token_lengths = self.ids, self.lengths, self.whole, self.follows, self.token_lengths
-        path, state = bytearray(), [0]
-        done, last = 0, len(words)
-        for node, depth in enumerate(depths):
-            del path[depth - 1 :], state[depth:]
-            path.append(labels[node])
-            here = bytes(path[-token_lengths[0] :])
-            span = len(here)
-            for length in token_lengths:
-                if length > span:
-                    continue
-                token = ids.get(here[span - length :])
-                if token is None:
-                    continue
-                if length == depth:
-                    known = whole.get(token)
-                    if known is None:
-                        known = self._whole(token)
+        ids, lengths, whole, follows, spans = self.ids.get, self.lengths, self.whole, self.follows, self.spans
+        longest = len(spans) - 1
+        state = [0]
+        for word, shared in listing:
+            del state[shared + 1 :]
+            for depth in range(shared + 1, len(word) + 1):
+                for length in spans[depth if depth < longest else longest]:
+                    token = ids(word[depth - length : depth])
+                    if token is None:
+                        continue
+                    if length == depth:
+                        known = whole.get(token)
+                        if known is None:
+                            known = self._whole(token)
+                    else:
+                        earlier = state[depth - length]
+                        known = follows.get(earlier << 32 | token)
+                        if known is None:
+                            known = self._follows(earlier, token)
+                    if known:
+                        state.append(token)
+                        break
                 else:
-                    earlier = state[depth - length]
-                    known = follows.get(earlier << 32 | token)
-                    if known is None:
-                        known = self._follows(earlier, token)
-                if known:
-                    state.append(token)
-                    break
-            else:
-                raise ValueError(f"no token ends {here!r}")
-            while done < last and ends[done] == node:
-                at, out = depth, []
-                while at:
-                    out.append(state[at])
-                    at -= lengths[state[at]]
-                yield words[done], tuple(out[::-1])
-                done += 1
+                    raise ValueError(f"no token ends {word[:depth]!r}")
+            at, out = len(word), []
+            while at:
+                out.append(state[at])
+                at -= lengths[state[at]]
+            yield word, tuple(out[::-1])
 
     def tokens(self, units: list[str]) -> list[tuple[int, ...]]:
         find, special = self.pieces.findall, self.special
@@ -202,7 +198,7 @@ OUTPUTS = {
     "ids": ("array<int>", lambda c, ids: ids),
     "decoded": ("string", lambda c, ids: c.decode(ids)),
     "n_tokens": ("bigint", lambda c, ids: len(ids)),
-    "ids_sha256": ("string", lambda c, ids: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()),
+    "ids_sha256": ("string", lambda c, ids: hashlib.sha256(",".join(map(c.names.__getitem__, ids)).encode()).hexdigest()),
     "decoded_sha256": ("string", lambda c, ids: hashlib.sha256(c.decode(ids).encode()).hexdigest()),
 }
 _ARROW = {"array<int>": pa.list_(pa.int32()), "string": pa.string(), "bigint": pa.int64()}
