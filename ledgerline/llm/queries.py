@@ -10,6 +10,7 @@ from ledgerline.llm.common import shared_dir
 from ledgerline.llm.exact_dedup import exact_dedup
 from ledgerline.llm.langid import fold, identify, train_profiles
 from ledgerline.llm.mixing import mix_sources
+from ledgerline.llm.ppm import ppm_scores
 from ledgerline.llm.simhash import near_duplicates
 from ledgerline.llm.token_shards import read_token_shards, write_token_shards
 from ledgerline.llm.warc import plan_records, read_warc, write_warc
@@ -63,6 +64,10 @@ def op8_warc_boundary_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_scores(_table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
+
+
 def op10_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).drop("fp")
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op6_source_mixing": op6_source_mixing,
     "op7_wavelet_token_shards": op7_wavelet_token_shards,
     "op8_warc_boundary_chains": op8_warc_boundary_chains,
+    "op9_ppm_scoring": op9_ppm_scoring,
     "op10_simhash_bk_tree": op10_simhash_bk_tree,
 }
 
