@@ -26,7 +26,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Fixed value: white space.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Distinct words that a task remembers, and characters of text that it works on at once.
-REMEMBER, SLICE = 800_000, 4_000_000
+REMEMBER, SLICE = 300_000, 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -193,6 +193,13 @@ def codec(path: str) -> BpeCodec:
     return BpeCodec(path)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python objects at once."""
+    for batch in batches:
+        for i in range(0, max(1, batch.num_rows), 512):
+            yield batch.slice(i, 512)
+
+
 #: What bpe_columns can return, by name: type and how it is made from a text's ids.
 OUTPUTS = {
     "ids": ("array<int>", lambda c, ids: ids),
@@ -215,7 +222,7 @@ def bpe_columns(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         makers = [OUTPUTS[x][1] for x in outputs]
-        for batch in batches:
+        for batch in _small(batches):
             made = [[f(coder, ids) for f in makers] for ids in coder.encode(texts_of(batch[text_col]))]
             columns = [pa.array(x, _ARROW[OUTPUTS[k][0]]) for x, k in zip(zip(*made, strict=True), outputs, strict=True)] if made else [pa.array([], _ARROW[OUTPUTS[k][0]]) for k in outputs]
             yield pa.record_batch([batch[id_col], *columns], names=[id_col, *outputs])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.ann import nearest_neighbours
 from ledgerline.llm.bpe import bpe_columns
 from ledgerline.llm.common import shared_dir
 from ledgerline.llm.exact_dedup import exact_dedup
@@ -12,6 +13,7 @@ from ledgerline.llm.langid import fold, identify, train_profiles
 from ledgerline.llm.mixing import mix_sources
 from ledgerline.llm.ppm import ppm_scores
 from ledgerline.llm.simhash import near_duplicates
+from ledgerline.llm.substring_dedup import repeated_passages
 from ledgerline.llm.token_shards import read_token_shards, write_token_shards
 from ledgerline.llm.warc import plan_records, read_warc, write_warc
 
@@ -26,6 +28,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_gear_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(_table(spark, sf_dir, "documents"))
+    return found.withColumn("n_removed", F.size("removed")).drop("removed")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
@@ -34,6 +41,10 @@ def op3_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_columns(_table(spark, sf_dir, "documents"), tokenizer_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op4_projected_kd_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
     profiles = train_profiles(docs.filter(~F.col("held_out")))
@@ -73,8 +84,10 @@ def op10_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_gear_substring_dedup": op1_gear_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_trie_bpe": op3_trie_bpe,
+    "op4_projected_kd_neighbours": op4_projected_kd_neighbours,
     "op5_rank_order_language": op5_rank_order_language,
     "op6_source_mixing": op6_source_mixing,
     "op7_wavelet_token_shards": op7_wavelet_token_shards,
