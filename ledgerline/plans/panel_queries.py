@@ -1,4 +1,148 @@
 """Panel queries and their SQL counterparts, by name."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.operators import cross_section as cs
+from ledgerline.operators import enrich, features
+from ledgerline.plans import oracle_views as ov
+from ledgerline.plans import panels
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(columns: list[str]) -> list:
+    return [(F.floor(F.col(c) * 10.0 ** ov.digits_of(c) + ov.OFFSET) / 10.0 ** ov.digits_of(c)).alias(c) for c in columns]
+
+
+BAR = ["open", "high", "low", "close", "volume", "dollar_volume"]
+Z = ["return_1d", "rolling_return_20d", "rolling_vol_20d", "log1p_dollar_volume"]
+
+
+@query(f"WITH {ov.BARS} SELECT ticker, date, {ov.rounded(BAR)} FROM bars")
+def panel_bars(spark, sf_dir):
+    return panels.bars(spark, sf_dir).select("ticker", "date", *rounded(BAR))
+
+
+@query(f"WITH {ov.BARS}, {ov.features('bars', 'f')} SELECT ticker, date, {ov.rounded(ov.FEATURE_COLUMNS)}, {', '.join(ov.FLAG_COLUMNS)} FROM f")
+def panel_daily_features(spark, sf_dir):
+    return features.daily_features(panels.bars(spark, sf_dir)).select("ticker", "date", *rounded(ov.FEATURE_COLUMNS), *ov.FLAG_COLUMNS)
+
+
+@query(f"WITH {ov.HOLED}, {ov.features('bars', 'f')} SELECT ticker, date, {ov.rounded(ov.FEATURE_COLUMNS)}, {', '.join(ov.FLAG_COLUMNS)} FROM f")
+def panel_daily_features_with_holes(spark, sf_dir):
+    return features.daily_features(panels.holed(panels.bars(spark, sf_dir))).select("ticker", "date", *rounded(ov.FEATURE_COLUMNS), *ov.FLAG_COLUMNS)
+
+
+def _normalized(spark, sf_dir):
+    rows = features.daily_features(panels.bars(spark, sf_dir)).join(panels.tickers(spark, sf_dir), "ticker")
+    return cs.normalize(rows)
+
+
+NORMALIZED = (
+    f"{ov.BARS}, {ov.TICKERS}, {ov.features('bars', 'f')}, ft AS (SELECT f.*, gics_sector, exchange, type FROM f JOIN tickers USING (ticker)), {ov.logged('ft', 'lg', cs.LOGGED)}, "
+    f"{ov.cross_section('lg', 'n1', cs.PANEL, ['date'], 'cs', cs.PANEL_LEAST, 'cs_universe_count')}, {ov.cross_section('n1', 'n2', cs.SECTOR, ['date', 'gics_sector'], 'sector_cs', cs.SECTOR_LEAST, 'sector_universe_count')}"
+)
+CS_COLUMNS = [f"{c}__{s}" for c in cs.PANEL for s in ("cs_z", "cs_pct")]
+SECTOR_COLUMNS = [f"{c}__{s}" for c in cs.SECTOR for s in ("sector_cs_z", "sector_cs_pct")]
+
+
+@query(f"WITH {NORMALIZED} SELECT ticker, date, {ov.rounded(CS_COLUMNS)}, cs_universe_count FROM n2")
+def panel_cross_section(spark, sf_dir):
+    return _normalized(spark, sf_dir).select("ticker", "date", *rounded(CS_COLUMNS), "cs_universe_count")
+
+
+@query(f"WITH {NORMALIZED} SELECT ticker, date, gics_sector, {ov.rounded(SECTOR_COLUMNS)}, sector_universe_count FROM n2")
+def panel_sector_cross_section(spark, sf_dir):
+    return _normalized(spark, sf_dir).select("ticker", "date", "gics_sector", *rounded(SECTOR_COLUMNS), "sector_universe_count")
+
+
+@query(
+    f"WITH {NORMALIZED}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM n2) "
+    f"SELECT ticker, date, gics_sector, {ov.rounded(['close', *Z, *(f'{c}__cs_z' for c in Z), *(f'{c}__cs_pct' for c in Z)])}, cs_universe_count FROM r WHERE rn = 1 AND date >= (SELECT max(date) FROM n2) - INTERVAL 60 DAY"
+)
+def panel_latest_cross_section(spark, sf_dir):
+    from ledgerline.operators.selection import latest_rows
+
+    rows = latest_rows(_normalized(spark, sf_dir), stale_days=60)
+    return rows.select("ticker", "date", "gics_sector", *rounded(["close", *Z, *(f"{c}__cs_z" for c in Z), *(f"{c}__cs_pct" for c in Z)]), "cs_universe_count")
+
+
+FUNDAMENTALS = """
+fu0 AS (SELECT 'S' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS ticker, CAST(l_shipdate AS DATE) AS d, CAST(l_extendedprice AS DECIMAL(18,2)) AS v, CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)) AS c FROM lineitem),
+fu1 AS (SELECT ticker, CAST(date_trunc('quarter', d) + INTERVAL 3 MONTH AS DATE) - 1 AS source_period_end, 'quarterly' AS source_frequency, v, c FROM fu0
+  UNION ALL SELECT ticker, CAST(date_trunc('year', d) + INTERVAL 12 MONTH AS DATE) - 1, 'yearly', v, c FROM fu0),
+filings AS (SELECT ticker, source_period_end, source_frequency, CAST(sum(v) AS DOUBLE) AS fundamental_revenue, CAST(sum(c) AS DOUBLE) AS fundamental_net_income, source_period_end + 45 AS availability_date
+  FROM fu1 GROUP BY ALL)"""
+
+
+@query(
+    f"WITH {ov.BARS}, {FUNDAMENTALS}, best AS (SELECT * FROM filings QUALIFY row_number() OVER (PARTITION BY ticker, availability_date ORDER BY source_period_end DESC, source_frequency DESC) = 1) "
+    f"SELECT b.ticker, b.date, {ov.rounded(['close', 'fundamental_revenue', 'fundamental_net_income'])}, "
+    "CASE WHEN f.ticker IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS fundamental_missing, (b.date - f.availability_date)::INT AS fundamental_staleness_days "
+    "FROM bars b ASOF LEFT JOIN best f ON b.ticker = f.ticker AND b.date >= f.availability_date"
+)
+def panel_fundamentals_as_of(spark, sf_dir):
+    met = enrich.add_fundamentals(panels.bars(spark, sf_dir), panels.fundamentals(spark, sf_dir))
+    return met.select("ticker", "date", *rounded(["close", "fundamental_revenue", "fundamental_net_income"]), "fundamental_missing", "fundamental_staleness_days")
+
+
+SENTIMENT = """
+se AS (SELECT 'U' || CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS date, CAST(count(*) AS DOUBLE) AS sentiment_count_raw,
+              CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS sentiment_normalized_raw FROM events GROUP BY ALL),
+days AS (SELECT u.ticker, CAST(d AS DATE) AS date FROM (SELECT DISTINCT ticker FROM se) u, (SELECT unnest(generate_series((SELECT min(date) FROM se), (SELECT max(date) FROM se), INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6)"""
+SENTIMENT_COLUMNS = [*(f"sentiment_count_{n}d" for n in (5, 20, 60)), *(f"sentiment_normalized_mean_{n}d" for n in (5, 20, 60)), *(f"sentiment_weighted_{n}d" for n in (5, 20, 60))]
+
+
+@query(
+    f"WITH {SENTIMENT}, l AS (SELECT d.ticker, d.date, coalesce(lag(sentiment_count_raw) OVER w, 0) AS sentiment_count, coalesce(lag(sentiment_normalized_raw) OVER w, 0) AS sentiment_normalized, "
+    "CASE WHEN lag(sentiment_normalized_raw) OVER w IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS sentiment_missing FROM days d LEFT JOIN se USING (ticker, date) WINDOW w AS (PARTITION BY ticker ORDER BY date)), "
+    "s AS (SELECT *, "
+    + ", ".join(f"sum(sentiment_count) OVER w{n} AS sentiment_count_{n}d, avg(sentiment_normalized) OVER w{n} AS sentiment_normalized_mean_{n}d, sum(sentiment_count * sentiment_normalized) OVER w{n} AS sentiment_weighted_{n}d" for n in (5, 20, 60))
+    + " FROM l WINDOW "
+    + ", ".join(f"w{n} AS (PARTITION BY ticker ORDER BY date ROWS {n - 1} PRECEDING)" for n in (5, 20, 60))
+    + f") SELECT ticker, date, sentiment_count, {ov.rounded(["sentiment_normalized"])}, sentiment_missing, {ov.rounded(SENTIMENT_COLUMNS)} FROM s"
+)
+def panel_sentiment_lagged(spark, sf_dir):
+    raw = panels.sentiment(spark, sf_dir)
+    ends = raw.agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    from ledgerline.functions.scalars import weekday_calendar
+
+    days = ends.select(F.explode(weekday_calendar(F.col("a"), F.col("b"))).alias("date"))
+    panel = raw.select("ticker").distinct().crossJoin(days)  # a calendar of one row a day beside the tickers: the panel itself
+    return enrich.add_sentiment(panel, raw).select("ticker", "date", "sentiment_count", *rounded(["sentiment_normalized"]), "sentiment_missing", *rounded(SENTIMENT_COLUMNS))
+
+
+REL = ", ".join(
+    f"floor((f.{own} - {t}.{own}) * 1e6 + {ov.OFFSET}) / 1e6 AS stock_vs_{name}_{n}"
+    for t, name in (("m", "market"), ("s", "sector"))
+    for n, own in (("return_1d", "return_1d"), ("return_5d", "rolling_return_5d"))
+)
+RELATIVE = ["stock_vs_market_return_1d", "stock_vs_market_return_5d", "stock_vs_sector_return_1d", "stock_vs_sector_return_5d"]
+
+
+@query(
+    f"WITH {ov.BARS}, {ov.TICKERS}, {ov.CONTEXT}, {ov.features('bars', 'f')}, {ov.features('context', 'c')} SELECT f.ticker, f.date, {REL} "
+    "FROM f JOIN tickers t USING (ticker) LEFT JOIN c m ON m.ticker = 'MKT' AND m.date = f.date LEFT JOIN c s ON s.ticker = t.gics_sector AND s.date = f.date"
+)
+def panel_relative_returns(spark, sf_dir):
+    rows = features.daily_features(panels.bars(spark, sf_dir)).join(panels.tickers(spark, sf_dir), "ticker").withColumn("sector_etf", F.col("gics_sector"))
+    out = enrich.add_relative_returns(rows, features.daily_features(panels.context(spark, sf_dir)), "MKT")
+    return out.select("ticker", "date", *rounded(RELATIVE))
