@@ -15,18 +15,18 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from ledgerline.llm.common import texts_of
-
 #: Fixed value: what the byte-level pre-tokenizer cuts a text into.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: white space.
 SPACE = "\t-\r \x85\xa0  -     　"
-#: Distinct words that a task remembers, and characters of text that it works on at once.
-REMEMBER, SLICE = 300_000, 1_000_000
+#: Distinct units that a generation remembers, and characters of text that it works on at once.
+REMEMBER, SLICE = 1_500_000, 6_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -38,36 +38,101 @@ def byte_letters() -> dict[str, int]:
 
 class UnitCache:
     """Encodes texts by their units: a text is cut at blanks between words, where no piece goes on, and each distinct
-    unit is encoded once; subclasses say how. The cache is bounded."""
+    unit is encoded once; subclasses say how. Arrow splits, numbers and looks up the units, so Python sees new ones
+    only. What is remembered is bounded: when it is full, the units not met again since they came go."""
 
     remember = REMEMBER
 
     def __init__(self):
-        self.uneven = re.compile(f"[{SPACE}] | [{SPACE}]")
+        self.uneven = f"[{SPACE}] | [{SPACE}]"
         self.even_space = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
-        self.heads: dict[str, tuple[int, ...]] = {}
-        self.tails: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.flat, self.begins, self.lengths, self.hits = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
 
     def tokens(self, units: list[str]) -> list[tuple[int, ...]]:
         raise NotImplementedError
 
-    def join(self, head, tails):
-        return [*head, *chain.from_iterable(tails)]
-
-    def encode(self, texts: list[str]) -> Iterator:
-        """The ids of each text. A tail is kept without the blank before it."""
-        for start, end in _slices(texts):
-            split = [self.even_space.split(x) if self.uneven.search(x) else x.split(" ") for x in texts[start:end]]
-            if len(self.tails) > self.remember:
-                self.heads, self.tails = {}, {}
-            heads = list({x[0] for x in split}.difference(self.heads))
-            tails = list(set(chain.from_iterable(x[1:] for x in split)).difference(self.tails))
-            made = self.tokens([*heads, *(" " + x for x in tails)])
-            self.heads.update(zip(heads, made, strict=False))
-            self.tails.update(zip(tails, made[len(heads) :], strict=True))
-            get = self.tails.__getitem__
-            for units in split:
-                yield self.join(self.heads[units[0]], map(get, units[1:]))
+    def packed(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units one after another, and each unit's number of them."""
+        found = self.tokens(units)
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _drop(self) -> None:
+        keep = np.flatnonzero(self.hits)
+        lengths, begins = self.lengths[keep], self.begins[keep]
+        ends = np.cumsum(lengths)
+        self.flat = self.flat[np.repeat(begins - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        self.known = self.known.take(pa.array(keep))
+        self.begins, self.lengths, self.hits = ends - lengths, lengths, np.zeros(len(keep), bool)
+
+    def _tails(self, words: pa.Array) -> np.ndarray:
+        """Where in the cache the ids of words with a blank before them are."""
+        if len(self.known) > self.remember:
+            self._drop()
+            if len(self.known) > self.remember // 2:
+                self._forget()
+        at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.hits[at[at >= 0]] = True
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            strings = words.take(pa.array(new))
+            flat, lengths = self.packed([" " + x for x in strings.to_pylist()])
+            at[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.begins = np.concatenate((self.begins, np.cumsum(lengths) - lengths + len(self.flat)))
+            self.lengths, self.hits = np.concatenate((self.lengths, lengths)), np.concatenate((self.hits, np.zeros(len(new), bool)))
+            self.known, self.flat = pa.concat_arrays([self.known, strings]), np.concatenate((self.flat, flat))
+        return at
+
+    def _units(self, texts: pa.Array) -> pa.ListArray:
+        odd = np.asarray(pc.match_substring_regex(texts, self.uneven).to_numpy(zero_copy_only=False), bool)
+        if not odd.any():
+            return pc.split_pattern(texts, " ")
+        by_hand = pa.array([self.even_space.split(x) for x in texts.filter(pa.array(odd)).to_pylist()], pa.list_(pa.string()))
+        order = np.empty(len(texts), np.int64)
+        order[np.concatenate((np.flatnonzero(~odd), np.flatnonzero(odd)))] = np.arange(len(texts))
+        return pa.concat_arrays([pc.split_pattern(texts.filter(pa.array(~odd)), " "), by_hand]).take(pa.array(order))
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and each text's number of them. Null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        units = self._units(texts)
+        ends = np.cumsum(units.value_lengths().to_numpy())
+        heads = np.concatenate(([0], ends[:-1]))
+        numbered = units.flatten().dictionary_encode()
+        words, number = numbered.dictionary, numbered.indices.to_numpy().astype(np.int64)
+        own, back = np.unique(number[heads], return_inverse=True)
+        number[heads] = len(words) + back
+        used = np.zeros(len(words) + len(own), bool)
+        used[number] = True
+        tails = np.flatnonzero(used[: len(words)])
+        at = self._tails(words.take(pa.array(tails)))
+        head_flat, head_lengths = self.packed(words.take(pa.array(own)).to_pylist())
+        begins, lengths = np.zeros(len(used), np.int64), np.zeros(len(used), np.int64)
+        begins[tails], lengths[tails] = self.begins[at], self.lengths[at]
+        begins[len(words) :], lengths[len(words) :] = len(self.flat) + np.cumsum(head_lengths) - head_lengths, head_lengths
+        each = lengths[number]
+        place = begins[number] - (np.cumsum(each) - each)
+        flat = np.concatenate((self.flat, head_flat))
+        return flat[np.repeat(place, each) + np.arange(int(each.sum()))], np.add.reduceat(each, heads)
+
+    def encode_array(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, working on SLICE characters at a time."""
+        sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(texts):
+            end = max(start + 1, int(np.searchsorted(sizes, SLICE + (sizes[start - 1] if start else 0), side="right")))
+            flat, counts = self.encode_flat(texts.slice(start, end - start))
+            ends = np.cumsum(counts)
+            yield from (flat[a:b] for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True))
+            start = end
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        return (x.tolist() for x in self.encode_array(pa.array(texts, pa.string())))
 
 
 class BpeCodec(UnitCache):
@@ -81,7 +146,7 @@ class BpeCodec(UnitCache):
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         special_ids = set(self.special.values())
         self.ids = {b: i for i, b in self.bytes_of.items() if i not in special_ids}
-        self.lengths = {i: len(b) for i, b in self.bytes_of.items()}
+        self.sizes = {i: len(b) for i, b in self.bytes_of.items()}
         have = {len(b) for b in self.ids}
         self.spans = [[n for n in range(span, 0, -1) if n in have] for span in range(max(have) + 1)]
         self.names = {i: str(i) for i in self.bytes_of}
@@ -126,7 +191,7 @@ class BpeCodec(UnitCache):
                 shared += 1
             listing.append((word, shared))
             before = word
-        ids, lengths, whole, follows, spans = self.ids.get, self.lengths, self.whole, self.follows, self.spans
+        ids, lengths, whole, follows, spans = self.ids.get, self.sizes, self.whole, self.follows, self.spans
         longest = len(spans) - 1
         state = [0]
         for word, shared in listing:
@@ -156,6 +221,13 @@ class BpeCodec(UnitCache):
                 at -= lengths[state[at]]
             yield word, tuple(out[::-1])
 
+    def _recalled(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
+        """Of pieces that begin with a blank, those that the cache has as units; a look-up pays for many only."""
+        if len(pieces) * 50 < len(self.known):
+            return {}
+        at = pc.fill_null(pc.index_in(pa.array([x[1:] for x in pieces], pa.string()), value_set=self.known), -1).to_numpy(zero_copy_only=False)
+        return {pieces[i]: tuple(self.flat[(b := self.begins[at[i]]) : b + self.lengths[at[i]]].tolist()) for i in np.flatnonzero(at >= 0).tolist()}
+
     def tokens(self, units: list[str]) -> list[tuple[int, ...]]:
         find, special = self.pieces.findall, self.special
         cut = []
@@ -165,7 +237,8 @@ class BpeCodec(UnitCache):
             else:
                 cut.append(find(unit))
         distinct = {w for words in cut for w in words if isinstance(w, str)}
-        of: dict = {i: (i,) for i in special.values()}
+        of: dict = {i: (i,) for i in special.values()} | self._recalled([w for w in distinct if w[0] == " " and len(w) > 1])
+        distinct.difference_update(of)
         encoded = {w: w.encode("utf-8", "replace") for w in distinct}
         made = dict(self.encode_words(list(set(encoded.values()))))
         of |= {w: made[b] for w, b in encoded.items()}
@@ -176,30 +249,12 @@ class BpeCodec(UnitCache):
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size > SLICE:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> BpeCodec:
     """One codec a Python worker."""
     return BpeCodec(path)
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that few texts are Python objects at once."""
-    for batch in batches:
-        for i in range(0, max(1, batch.num_rows), 512):
-            yield batch.slice(i, 512)
-
-
 #: What bpe_columns can return, by name: type and how it is made from a text's ids.
 OUTPUTS = {
     "ids": ("array<int>", lambda c, ids: ids),
@@ -222,8 +277,8 @@ def bpe_columns(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
         makers = [OUTPUTS[x][1] for x in outputs]
-        for batch in _small(batches):
-            made = [[f(coder, ids) for f in makers] for ids in coder.encode(texts_of(batch[text_col]))]
+        for batch in batches:
+            made = [[f(coder, ids.tolist()) for f in makers] for ids in coder.encode_array(batch[text_col])]
             columns = [pa.array(x, _ARROW[OUTPUTS[k][0]]) for x, k in zip(zip(*made, strict=True), outputs, strict=True)] if made else [pa.array([], _ARROW[OUTPUTS[k][0]]) for k in outputs]
             yield pa.record_batch([batch[id_col], *columns], names=[id_col, *outputs])
 

@@ -24,13 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.bpe import UnitCache
-from ledgerline.llm.common import file_system, materialize, texts_of, write_file
+from ledgerline.llm.common import file_system, materialize, write_file
 
 MAGIC = b"WAVETOK1"
 HEAD = "<8sQIIQ"
 BLOCK = 512
-#: Marks that are cut from the word before them.
-MARKS = ".,;:!?"
 #: A file is closed once it holds so many tokens.
 SHARD_TOKENS = 8_000_000
 
@@ -51,12 +49,12 @@ class WaveletMatrix:
         row = place[tokens] if len(tokens) else np.zeros(0, np.uint16)
         zeros, planes = [], []
         for bit in reversed(range(max(1, (len(symbols) - 1).bit_length()) if len(symbols) else 0)):
-            ones = (row >> bit) & 1 != 0
+            ones = (row & (1 << bit)).astype(bool)
             packed = np.packbits(ones, bitorder="little")
             planes.append(np.concatenate((packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8))))
-            low = row[~ones]
+            low = np.compress(~ones, row)
             zeros.append(len(low))
-            row = np.concatenate((low, row[ones]))
+            row = np.concatenate((low, np.compress(ones, row)))
         return cls(symbols, zeros, planes, len(tokens))
 
     def tokens(self) -> np.ndarray:
@@ -65,8 +63,8 @@ class WaveletMatrix:
         for bit, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             back = np.empty_like(row)
-            back[~ones] = row[:zeros]
-            back[ones] = row[zeros:] | (1 << bit)
+            back[np.flatnonzero(~ones)] = row[:zeros]
+            back[np.flatnonzero(ones)] = row[zeros:] | (1 << bit)
             row = back
         return self.symbols[row] if self.n else self.symbols[:0]
 
@@ -157,13 +155,7 @@ def load(data: bytes) -> tuple[WaveletMatrix, np.ndarray]:
 
 
 class LibraryCache(UnitCache):
-    """Encodes units with the tokenizers library; a text's units are encoded as they are in the whole text.
-
-    Ids are kept as bytes. A mark after a plain letter is a piece of its own, so a word with a mark is put together
-    from the word and the mark, and only the word is encoded.
-    """
-
-    remember = 1_000_000
+    """Encodes units with the tokenizers library; a text's units are encoded as they are in the whole text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -172,28 +164,15 @@ class LibraryCache(UnitCache):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         super().__init__()
-        self.marks = dict(zip(MARKS, self.library(list(MARKS)), strict=True))
-
-    def library(self, units: list[str]) -> list[bytes]:
-        """Each unit's ids as little-endian bytes."""
-        if not units:
-            return []
-        encoded = self.tokenizer.encode(units, is_pretokenized=True, add_special_tokens=False)
-        words = np.array(encoded.word_ids, np.int64)
-        ends = np.cumsum(np.bincount(words, minlength=len(units))) * 4
-        data = np.array(encoded.ids, "<u4").tobytes()
-        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-    def tokens(self, units: list[str]) -> list[bytes]:
-        stem = {u: u[:-1] for u in units if len(u) > 1 and u[-1] in MARKS and u[-2].isascii() and u[-2].isalpha()}
-        plain = list({stem.get(u, u) for u in units})
-        of = {}
-        for i in range(0, len(plain), 50_000):
-            of.update(zip(plain[i : i + 50_000], self.library(plain[i : i + 50_000]), strict=True))
-        return [of[stem[u]] + self.marks[u[-1]] if u in stem else of[u] for u in units]
-
-    def join(self, head: bytes, tails: Iterator[bytes]) -> np.ndarray:
-        return np.frombuffer(head + b"".join(tails), "<u4")
+
+    def packed(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for i in range(0, len(units), 50_000):
+            part = units[i : i + 50_000]
+            encoded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            flat.append(np.array(encoded.ids, np.uint32))
+            lengths.append(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(part)))
+        return np.concatenate(flat), np.concatenate(lengths)
 
 
 @functools.lru_cache(maxsize=2)
@@ -224,7 +203,7 @@ def write_token_shards(docs: DataFrame, path: str, folder: str, end_id: int, id_
             return pa.record_batch({"file": [name], "part": pa.array([part], pa.int64()), "number": pa.array([number], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64()))})
 
         for batch in batches:
-            for doc, made in zip(batch["id"].to_pylist(), coder.encode(texts_of(batch["text"])), strict=True):
+            for doc, made in zip(batch["id"].to_pylist(), coder.encode_array(batch["text"]), strict=True):
                 held.append(np.append(made, np.uint32(end_id)))
                 ids.append(doc)
                 size += len(held[-1])
@@ -261,4 +240,5 @@ def read_token_shards(files: DataFrame, with_ids: bool = True) -> DataFrame:
                     columns["tokens"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(tokens.astype(np.int64)))
                 yield pa.record_batch(columns)
 
-    return files.repartition("file").mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", tokens array<long>" * with_ids)
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(tasks, "file").mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", tokens array<long>" * with_ids)
