@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import cross_section as cs
-from ledgerline.operators import enrich, features
+from ledgerline.operators import enrich, features, featuresets, labels, selection, splits, universe
 from ledgerline.plans import oracle_views as ov
 from ledgerline.plans import panels
 
@@ -79,9 +79,7 @@ def panel_sector_cross_section(spark, sf_dir):
     f"SELECT ticker, date, gics_sector, {ov.rounded(['close', *Z, *(f'{c}__cs_z' for c in Z), *(f'{c}__cs_pct' for c in Z)])}, cs_universe_count FROM r WHERE rn = 1 AND date >= (SELECT max(date) FROM n2) - INTERVAL 60 DAY"
 )
 def panel_latest_cross_section(spark, sf_dir):
-    from ledgerline.operators.selection import latest_rows
-
-    rows = latest_rows(_normalized(spark, sf_dir), stale_days=60)
+    rows = selection.latest_rows(_normalized(spark, sf_dir), stale_days=60)
     return rows.select("ticker", "date", "gics_sector", *rounded(["close", *Z, *(f"{c}__cs_z" for c in Z), *(f"{c}__cs_pct" for c in Z)]), "cs_universe_count")
 
 
@@ -146,3 +144,297 @@ def panel_relative_returns(spark, sf_dir):
     rows = features.daily_features(panels.bars(spark, sf_dir)).join(panels.tickers(spark, sf_dir), "ticker").withColumn("sector_etf", F.col("gics_sector"))
     out = enrich.add_relative_returns(rows, features.daily_features(panels.context(spark, sf_dir)), "MKT")
     return out.select("ticker", "date", *rounded(RELATIVE))
+
+
+# Universe
+
+ELIGIBLE = universe.Eligibility(min_avg_dollar_volume=55_000.0, min_price=200.0, exchanges=("NYSE", "AMEX"))
+RESEARCH = universe.Research(
+    exchanges=("NYSE", "NASDAQ", "AMEX"), min_price=300.0, min_median_short=30_000.0, min_median_long=32_000.0, min_half_year_return=-0.5, max_drawdown=0.99, max_abs_return=40.0, max_true_range=60.0
+)
+BENCH = "S000004"
+PANEL = f"{ov.BARS}, {ov.TICKERS}, p AS (SELECT bars.*, gics_sector, exchange, type FROM bars JOIN tickers USING (ticker))"
+EXCHANGE_SQL = "CASE WHEN upper(trim(exchange)) IN ('NYSE MKT', 'NYSE AMERICAN', 'NYSEMKT') THEN 'AMEX' ELSE upper(trim(exchange)) END"
+TYPE_SQL = "(type = '' OR upper(type) = 'COMMON STOCK')"
+
+
+def rows_sql(aggregate: str, value: str, n: int) -> str:
+    w = f"OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({value}) {w} = {n} THEN {aggregate.format(value)} {w} END"
+
+
+ELIGIBILITY_SQL = f"""
+e1 AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS window_row_count,
+  {rows_sql("sum({})", "CAST(coalesce(open > 0 AND high > 0 AND low > 0 AND close > 0 AND high >= low AND volume >= 0 AND dollar_volume >= 0, false) AS INT)::DOUBLE", 60)} AS eligibility_valid_ohlcv_rows,
+  {rows_sql("avg({})", "dollar_volume", 60)} AS eligibility_avg_dollar_volume FROM p),
+e2 AS (SELECT *, {TYPE_SQL} AS eligibility_common_equity_ok, window_row_count >= 60 AS eligibility_history_ok, coalesce(eligibility_valid_ohlcv_rows, 0) >= 55 AS eligibility_valid_ohlcv_ok,
+  coalesce(eligibility_avg_dollar_volume >= 55000, false) AS eligibility_liquidity_ok, coalesce(close >= 200, false) AS eligibility_price_ok, {EXCHANGE_SQL} IN ('NYSE', 'AMEX') AS eligibility_exchange_ok FROM e1),
+el AS (SELECT *, eligibility_common_equity_ok AND eligibility_history_ok AND eligibility_valid_ohlcv_ok AND eligibility_liquidity_ok AND eligibility_price_ok AND eligibility_exchange_ok AND ticker <> '{BENCH}' AS episode_eligible FROM e2)"""
+ELIGIBILITY_COLUMNS = [*(f"eligibility_{n}_ok" for n in ("common_equity", "history", "valid_ohlcv", "liquidity", "price", "exchange")), "episode_eligible", "window_row_count", "eligibility_valid_ohlcv_rows"]
+
+
+def _eligible(spark, sf_dir):
+    return universe.add_eligibility(panels.panel(spark, sf_dir), ELIGIBLE, BENCH)
+
+
+@query(f"WITH {PANEL}, {ELIGIBILITY_SQL} SELECT ticker, date, {', '.join(ELIGIBILITY_COLUMNS)}, {ov.rounded(['eligibility_avg_dollar_volume'])} FROM el")
+def panel_eligibility(spark, sf_dir):
+    return _eligible(spark, sf_dir).select("ticker", "date", *ELIGIBILITY_COLUMNS, *rounded(["eligibility_avg_dollar_volume"]))
+
+
+@query(
+    f"WITH {PANEL}, {ELIGIBILITY_SQL}, s AS (SELECT *, max(date) OVER () AS latest_date FROM el WHERE ticker <> '{BENCH}') "
+    "SELECT count(DISTINCT ticker) AS total_ticker_count, count(DISTINCT CASE WHEN episode_eligible THEN ticker END) AS eligible_ticker_count, count(*) FILTER (episode_eligible) AS eligible_episode_rows, "
+    "max(latest_date) AS latest_date, count(DISTINCT CASE WHEN episode_eligible AND date = latest_date THEN ticker END) AS latest_eligible_ticker_count FROM s"
+)
+def panel_eligibility_summary(spark, sf_dir):
+    return universe.eligibility_summary(_eligible(spark, sf_dir), BENCH)
+
+
+RESEARCH_SQL = f"""
+u1 AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS r, abs(high - low) / nullif(close, 0) AS spread, coalesce(high, close) AS peak,
+  CASE WHEN volume > 0 AND dollar_volume > 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS empty FROM p),
+u2 AS (SELECT ticker, date, exchange, type, close AS research_close, dollar_volume AS research_current_dollar_volume, row_number() OVER (PARTITION BY ticker ORDER BY date) AS research_history_days,
+  {rows_sql("quantile_cont({}, 0.5)", "dollar_volume", 20)} AS research_median_dollar_volume_20d, {rows_sql("quantile_cont({}, 0.5)", "dollar_volume", 60)} AS research_median_dollar_volume_60d,
+  {rows_sql("avg({})", "empty", 60)} AS research_zero_volume_day_ratio_60d, close / nullif(lag(close, 126) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS research_return_6m,
+  1 - close / {rows_sql("max({})", "peak", 252)} AS research_drawdown_from_252d_high, {rows_sql("avg({})", "close", 50)} AS s50, {rows_sql("avg({})", "close", 200)} AS s200,
+  {rows_sql("max({})", "abs(r)", 60)} AS research_max_abs_return_60d, {rows_sql("max({})", "spread", 60)} AS research_max_true_range_pct_60d FROM u1),
+u3 AS (SELECT *, research_current_dollar_volume / nullif(research_median_dollar_volume_20d, 0) AS research_current_dollar_volume_vs_median20, research_close / nullif(s200, 0) AS research_close_to_sma200, s50 / nullif(s200, 0) AS research_sma50_to_sma200 FROM u2),
+u4 AS (SELECT *, list_filter([
+  CASE WHEN NOT {TYPE_SQL} THEN 'INVALID_SECURITY_TYPE' END, CASE WHEN {EXCHANGE_SQL} NOT IN ('NYSE', 'NASDAQ', 'AMEX') THEN 'UNSUPPORTED_EXCHANGE' END,
+  CASE WHEN research_history_days < 252 THEN 'INSUFFICIENT_HISTORY' END, CASE WHEN NOT coalesce(research_close >= 300, false) THEN 'LOW_PRICE' END,
+  CASE WHEN NOT coalesce(research_median_dollar_volume_20d >= 30000, false) THEN 'LOW_MEDIAN_DOLLAR_VOLUME_20D' END, CASE WHEN NOT coalesce(research_median_dollar_volume_60d >= 32000, false) THEN 'LOW_MEDIAN_DOLLAR_VOLUME_60D' END,
+  CASE WHEN NOT coalesce(research_zero_volume_day_ratio_60d <= 0.02, false) THEN 'ZERO_VOLUME_DAYS' END, CASE WHEN NOT coalesce(research_current_dollar_volume_vs_median20 >= 0.2, false) THEN 'CURRENT_DOLLAR_VOLUME_TOO_LOW' END,
+  CASE WHEN NOT coalesce(research_return_6m >= -0.5, false) THEN 'POOR_6M_TREND' END, CASE WHEN NOT coalesce(research_drawdown_from_252d_high <= 0.99, false) THEN 'EXCESSIVE_52W_DRAWDOWN' END,
+  CASE WHEN NOT coalesce(research_close_to_sma200 >= 1, false) THEN 'BELOW_200DMA' END, CASE WHEN NOT coalesce(research_sma50_to_sma200 >= 1, false) THEN '50DMA_BELOW_200DMA' END,
+  CASE WHEN NOT coalesce(research_max_abs_return_60d <= 40, false) THEN 'SPIKE_ABS_RETURN' END, CASE WHEN NOT coalesce(research_max_true_range_pct_60d <= 60, false) THEN 'SPIKE_TRUE_RANGE' END], lambda x: x IS NOT NULL) AS why FROM u3),
+u AS (SELECT *, len(why) = 0 AND ticker <> '{BENCH}' AS research_universe_ok,
+  CASE WHEN ticker = '{BENCH}' THEN '' ELSE array_to_string(list_transform(why, lambda x: 'REJECTED_' || x), '|') END AS research_rejection_reasons,
+  CASE WHEN ticker = '{BENCH}' OR len(why) = 0 THEN '' ELSE 'REJECTED_' || why[1] END AS research_primary_rejection_reason FROM u4)"""
+RESEARCH_NUMBERS = [
+    "research_close", "research_current_dollar_volume", "research_median_dollar_volume_20d", "research_median_dollar_volume_60d", "research_zero_volume_day_ratio_60d", "research_current_dollar_volume_vs_median20",
+    "research_return_6m", "research_drawdown_from_252d_high", "research_close_to_sma200", "research_sma50_to_sma200", "research_max_abs_return_60d", "research_max_true_range_pct_60d",
+]
+RESEARCH_REST = ["research_history_days", "research_universe_ok", "research_rejection_reasons", "research_primary_rejection_reason"]
+
+
+def _researched(spark, sf_dir):
+    return universe.add_research_universe(panels.panel(spark, sf_dir), RESEARCH, BENCH)
+
+
+@query(f"WITH {PANEL}, {RESEARCH_SQL} SELECT ticker, date, {ov.rounded(RESEARCH_NUMBERS)}, {', '.join(RESEARCH_REST)} FROM u")
+def panel_research_universe(spark, sf_dir):
+    return _researched(spark, sf_dir).select("ticker", "date", *rounded(RESEARCH_NUMBERS), *RESEARCH_REST)
+
+
+@query(
+    f"WITH {PANEL}, {RESEARCH_SQL}, g AS (SELECT unnest([{{'rule': 'research_common_equity_ok', 'ok': NOT list_contains(why, 'INVALID_SECURITY_TYPE')}}, {{'rule': 'research_exchange_ok', 'ok': NOT list_contains(why, 'UNSUPPORTED_EXCHANGE')}}, "
+    "{'rule': 'research_history_ok', 'ok': NOT list_contains(why, 'INSUFFICIENT_HISTORY')}, {'rule': 'research_price_ok', 'ok': NOT list_contains(why, 'LOW_PRICE')}, "
+    "{'rule': 'research_liquidity_ok', 'ok': NOT list_has_any(why, ['LOW_MEDIAN_DOLLAR_VOLUME_20D', 'LOW_MEDIAN_DOLLAR_VOLUME_60D', 'ZERO_VOLUME_DAYS', 'CURRENT_DOLLAR_VOLUME_TOO_LOW'])}, "
+    "{'rule': 'research_trend_ok', 'ok': NOT list_has_any(why, ['POOR_6M_TREND', 'EXCESSIVE_52W_DRAWDOWN', 'BELOW_200DMA', '50DMA_BELOW_200DMA'])}, "
+    "{'rule': 'research_path_quality_ok', 'ok': NOT list_has_any(why, ['SPIKE_ABS_RETURN', 'SPIKE_TRUE_RANGE'])}, {'rule': 'research_universe_ok', 'ok': research_universe_ok}]) AS x FROM u) "
+    "SELECT x.rule AS rule, count(*) FILTER (x.ok) AS passed, count(*) FILTER (NOT x.ok) AS failed FROM g GROUP BY x.rule"
+)
+def panel_rule_counts(spark, sf_dir):
+    return universe.rule_counts(_researched(spark, sf_dir))
+
+
+@query(f"WITH {PANEL}, {RESEARCH_SQL} SELECT reason, count(*) AS rows FROM (SELECT unnest(string_split(research_rejection_reasons, '|')) AS reason FROM u WHERE research_rejection_reasons <> '') GROUP BY reason")
+def panel_rejection_reasons(spark, sf_dir):
+    return universe.reason_histogram(_researched(spark, sf_dir))
+
+
+# Targets and labels
+
+BENCHMARK = f"{ov.BARS}, {ov.TICKERS}, {ov.CONTEXT}, m AS (SELECT date, close AS b FROM context WHERE ticker = 'MKT'), pb AS (SELECT bars.*, b, row_number() OVER w AS rn, count(*) OVER (PARTITION BY ticker) AS n FROM bars LEFT JOIN m USING (date) WINDOW w AS (PARTITION BY ticker ORDER BY date))"
+FORWARD = "(lead(close, {h}) OVER w / nullif(close, 0) - 1 - (lead(b, {h}) OVER w / nullif(b, 0) - 1))"
+
+
+def _benchmark(spark, sf_dir):
+    return panels.context(spark, sf_dir).filter("ticker = 'MKT'")
+
+
+@query(
+    f"WITH {BENCHMARK}, t AS (SELECT ticker, date, {', '.join(f'{FORWARD.format(h=h)} AS target_{h}d, lead(date, {h}) OVER w AS future_date_{h}d' for h in (1, 5, 20))}, rn <= n - 20 AS has_all_future_horizons FROM pb WINDOW w AS (PARTITION BY ticker ORDER BY date)) "
+    f"SELECT ticker, date, {ov.rounded(['target_1d', 'target_5d', 'target_20d'])}, future_date_1d, future_date_5d, future_date_20d, has_all_future_horizons FROM t"
+)
+def panel_forward_targets(spark, sf_dir):
+    out = labels.forward_targets(panels.bars(spark, sf_dir), _benchmark(spark, sf_dir), [1, 5, 20], 20)
+    return out.select("ticker", "date", *rounded(["target_1d", "target_5d", "target_20d"]), "future_date_1d", "future_date_5d", "future_date_20d", "has_all_future_horizons")
+
+
+RAW_PATH = ", ".join(f"lead(close, {k}) OVER w / nullif(close, 0) - 1" for k in range(1, 21))
+EXCESS_PATH = ", ".join(FORWARD.format(h=k) for k in range(1, 11))
+
+
+@query(
+    f"WITH {BENCHMARK}, t AS (SELECT ticker, date, [{RAW_PATH}] AS path, [{EXCESS_PATH}] AS excess FROM pb WINDOW w AS (PARTITION BY ticker ORDER BY date)) "
+    "SELECT ticker, date, CASE WHEN len(list_filter(path, lambda x: x IS NOT NULL)) = 20 THEN CASE WHEN list_min(path) <= -0.97 THEN 0.0 WHEN list_max(path) >= 3.0 THEN 2.0 ELSE 1.0 END END::DOUBLE AS path_label, "
+    "CASE WHEN coalesce(list_max(excess) > 1.5, false) THEN 1.0 ELSE 0.0 END::DOUBLE AS anytime_label, "
+    "CASE WHEN coalesce(list_max(excess) > 1.5 AND excess[10] > 0 AND list_avg(list_filter(excess[6:10], lambda x: x IS NOT NULL)) > 0, false) THEN 1.0 ELSE 0.0 END::DOUBLE AS sustained_label FROM t"
+)
+def panel_path_labels(spark, sf_dir):
+    bars = panels.bars(spark, sf_dir)
+    raw = labels.forward_path(bars, None, 20).select("ticker", "date", "close", labels.path_label(F.col("path"), labels.PATH, low=-0.97, high=3.0).alias("path_label"))
+    both = labels.forward_path(raw, _benchmark(spark, sf_dir), 10)
+    return both.select("ticker", "date", "path_label", labels.path_label(F.col("path"), labels.ANYTIME, 1.5).alias("anytime_label"), labels.path_label(F.col("path"), labels.SUSTAINED, 1.5).alias("sustained_label"))
+
+
+LABELED = (
+    f"{PANEL}, {ELIGIBILITY_SQL}, {RESEARCH_SQL}, {ov.CONTEXT}, m AS (SELECT date, close AS b FROM context WHERE ticker = 'MKT'), "
+    "j AS (SELECT el.*, research_universe_ok, b, count(*) OVER (PARTITION BY el.ticker) AS n FROM el JOIN u USING (ticker, date) LEFT JOIN m USING (date)), "
+    f"t AS (SELECT *, {FORWARD.format(h=5)} AS target_5d, [{RAW_PATH}] AS path, window_row_count <= n - 20 AS full_forward FROM j WINDOW w AS (PARTITION BY ticker ORDER BY date)), "
+    "lb AS (SELECT *, CASE WHEN len(list_filter(path, lambda x: x IS NOT NULL)) = 20 THEN CASE WHEN list_min(path) <= -0.97 THEN 0 WHEN list_max(path) >= 3.0 THEN 2 ELSE 1 END END AS label, "
+    "window_row_count >= 60 AND episode_eligible AND research_universe_ok AS candidate FROM t)"
+)
+
+
+@query(
+    f"WITH {LABELED} SELECT count(*) FILTER (candidate) AS candidate_rows, count(*) FILTER (window_row_count >= 60 AND episode_eligible AND NOT research_universe_ok) AS universe_excluded_rows, "
+    "count(*) FILTER (candidate AND NOT full_forward) AS missing_forward_rows, count(*) FILTER (candidate AND full_forward AND label IS NULL) AS invalid_price_rows, "
+    "count(*) FILTER (candidate AND full_forward AND label IS NOT NULL AND target_5d IS NULL) AS missing_target_rows, count(*) FILTER (candidate AND full_forward AND label IS NOT NULL AND target_5d IS NOT NULL) AS labeled_rows, "
+    + ", ".join(f"count(*) FILTER (candidate AND full_forward AND label = {k} AND target_5d IS NOT NULL) AS class_{k}_rows" for k in range(3))
+    + " FROM lb"
+)
+def panel_labeling_summary(spark, sf_dir):
+    both = universe.add_research_universe(_eligible(spark, sf_dir), RESEARCH, BENCH)
+    return labels.labeling_summary(labels.labeled_targets(both, _benchmark(spark, sf_dir), [5], 60, labels.PATH, 20, low=-0.97, high=3.0), 60)
+
+
+@query(
+    f"WITH {BENCHMARK}, t AS (SELECT ticker, date AS anchor_date, lag(date, 59) OVER w AS window_start_date, date AS window_end_date, 5 AS target_horizon_days, lead(close, 5) OVER w / close - 1 AS target_return, "
+    "lead(date, 5) OVER w AS benchmark_future_date, 60 AS available_window_rows, b, rn FROM pb WINDOW w AS (PARTITION BY ticker ORDER BY date)) "
+    f"SELECT ticker, anchor_date, window_start_date, window_end_date, target_horizon_days, benchmark_future_date, available_window_rows, {ov.rounded(['target_return'])}, "
+    f"floor((target_return - (m.b / t.b - 1)) * 1e6 + {ov.OFFSET}) / 1e6 AS market_adjusted_target_return FROM t JOIN m ON m.date = benchmark_future_date WHERE rn >= 60"
+)
+def panel_episode_index(spark, sf_dir):
+    out = labels.episode_index(panels.bars(spark, sf_dir), _benchmark(spark, sf_dir), 60, 5)
+    return out.select("ticker", "anchor_date", "window_start_date", "window_end_date", "target_horizon_days", "benchmark_future_date", "available_window_rows", *rounded(["target_return", "market_adjusted_target_return"]))
+
+
+# Feature sets
+
+SUMMARY = ["rolling_return_5d", "volume_ratio_20d"]
+SUMMARY_COLUMNS = [f"stock_{c}__{s}" for c in SUMMARY for s in ("last", "mean60", "std60")]
+
+
+@query(
+    f"WITH {ov.HOLED}, {ov.features('bars', 'f')}, s AS (SELECT ticker, date, "
+    + ", ".join(f"{c} AS stock_{c}__last, {rows_sql('avg({})', c, 60)} AS stock_{c}__mean60, {rows_sql('stddev_pop({})', c, 60)} AS stock_{c}__std60" for c in SUMMARY)
+    + f" FROM f) SELECT ticker, date, {ov.rounded(SUMMARY_COLUMNS)} FROM s"
+)
+def panel_window_summaries(spark, sf_dir):
+    rows = features.daily_features(panels.holed(panels.bars(spark, sf_dir)))
+    return features.window_summaries(rows, SUMMARY, "stock_").select("ticker", "date", *rounded(SUMMARY_COLUMNS))
+
+
+SET_COLUMNS = ["stock_log_return_1d__last", "stock_rolling_vol_20d__mean60", "market_context_rolling_return_20d__last", "market_context_log_return_1d__mean60", "sector_context_volume_zscore_20d__last", "sector_context_rolling_vol_20d__std60"]
+
+
+@query(
+    f"WITH {ov.BARS}, {ov.TICKERS}, {ov.CONTEXT}, {ov.features('bars', 'f')}, {ov.features('context', 'c')}, "
+    f"fs AS (SELECT ticker, date, log_return_1d AS stock_log_return_1d__last, {rows_sql('avg({})', 'rolling_vol_20d', 60)} AS stock_rolling_vol_20d__mean60 FROM f), "
+    f"csu AS (SELECT ticker, date, rolling_return_20d AS a, {rows_sql('avg({})', 'log_return_1d', 60)} AS b, volume_zscore_20d AS c, {rows_sql('stddev_pop({})', 'rolling_vol_20d', 60)} AS d FROM c), "
+    "r AS (SELECT fs.*, m.a AS market_context_rolling_return_20d__last, m.b AS market_context_log_return_1d__mean60, s.c AS sector_context_volume_zscore_20d__last, s.d AS sector_context_rolling_vol_20d__std60, "
+    "row_number() OVER (PARTITION BY fs.ticker ORDER BY fs.date DESC) AS k FROM fs JOIN tickers t USING (ticker) LEFT JOIN csu m ON m.ticker = 'MKT' AND m.date = fs.date LEFT JOIN csu s ON s.ticker = t.gics_sector AND s.date = fs.date) "
+    f"SELECT ticker, date, {ov.rounded(SET_COLUMNS)}, 0.0::DOUBLE AS market_context_context_missing, 0.0::DOUBLE AS sector_context_context_missing FROM r WHERE k <= 20"
+)
+def panel_feature_set(spark, sf_dir):
+    rows = features.daily_features(panels.bars(spark, sf_dir)).join(panels.tickers(spark, sf_dir).select("ticker", F.col("gics_sector").alias("sector_etf")), "ticker")
+    around = features.daily_features(panels.context(spark, sf_dir))
+    anchors = selection.tail_rows(rows, 20).select("ticker", "date")
+    built = featuresets.build("stock_compact_market_sector", rows, around, anchors, "MKT")
+    return built.select("ticker", "date", *rounded(SET_COLUMNS), "market_context_context_missing", "sector_context_context_missing")
+
+
+@query(
+    f"WITH {ov.BARS}, w AS (SELECT ticker, date, count(*) OVER v AS k, sum(volume) OVER v AS total, first_value(close) OVER v AS first_close FROM bars WINDOW v AS (PARTITION BY ticker ORDER BY date ROWS 29 PRECEDING)) "
+    f"SELECT ticker, date, 30 AS steps, total AS volume_sum, {ov.rounded(['first_close'])} FROM w WHERE k = 30"
+)
+def panel_sequence_windows(spark, sf_dir):
+    out = features.sequence_windows(panels.bars(spark, sf_dir), ["close", "volume"], 30)
+    total = F.aggregate("window", F.lit(0.0), lambda a, x: a + x[1])
+    first = panels.bars(spark, sf_dir).select("ticker", "date", F.lag("close", 29).over(features.BY_DAY).alias("first_close"))
+    return out.join(first, ["ticker", "date"]).select("ticker", "date", F.size("window").alias("steps"), total.alias("volume_sum"), *rounded(["first_close"]))
+
+
+@query(
+    f"WITH {PANEL}, d AS (SELECT DISTINCT gics_sector FROM p) SELECT gics_sector, row_number() OVER (ORDER BY gics_sector) AS code FROM d"
+)
+def panel_vocabulary(spark, sf_dir):
+    return featuresets.vocabulary(panels.panel(spark, sf_dir), "gics_sector")
+
+
+@query(
+    f"WITH {ov.BARS}, {ov.features('bars', 'f')} "
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(CASE WHEN stddev_pop({c}) < 1e-12 THEN 1 ELSE stddev_pop({c}) END, 6) AS scale FROM f" for c in ("return_1d", "volume_ratio_20d", "close_location"))
+)
+def panel_standardizer(spark, sf_dir):
+    rows = features.daily_features(panels.bars(spark, sf_dir))
+    return featuresets.standardizer(rows, ["return_1d", "volume_ratio_20d", "close_location"]).select("feature", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"))
+
+
+# Selection and splits
+
+
+@query(
+    f"WITH {ov.BARS}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS window_row_count FROM bars), "
+    "s AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY sha256(strftime(date, '%Y-%m-%d') || '|' || upper(ticker) || '|' || window_row_count::VARCHAR), ticker) AS r FROM k) SELECT ticker, date, window_row_count FROM s WHERE r <= 3"
+)
+def panel_hash_sample(spark, sf_dir):
+    rows = panels.bars(spark, sf_dir).withColumn("window_row_count", F.row_number().over(features.BY_DAY))
+    return selection.hash_sample(rows, 3).select("ticker", "date", "window_row_count")
+
+
+@query(
+    f"WITH {ov.BARS}, s AS (SELECT ticker, date, dollar_volume, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r FROM bars WHERE dollar_volume >= 60000) "
+    f"SELECT ticker, date, {ov.rounded(['dollar_volume'])} FROM s WHERE r = 1 ORDER BY s.dollar_volume DESC, ticker LIMIT 15"
+)
+def panel_latest_liquid(spark, sf_dir):
+    return selection.latest_liquid(panels.bars(spark, sf_dir), 15, 60_000.0).select("ticker", "date", *rounded(["dollar_volume"]))
+
+
+@query(
+    f"WITH {ov.BARS}, s AS (SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r, lead(date, 59) OVER (PARTITION BY ticker ORDER BY date DESC) AS st FROM bars WHERE date <= DATE '1998-06-30') "
+    "SELECT ticker, date AS anchor_date, st AS window_start_date, date AS window_end_date, 60 AS available_window_rows, 'pending' AS target_status FROM s WHERE r = 1 AND st IS NOT NULL"
+)
+def panel_latest_windows(spark, sf_dir):
+    return selection.latest_windows(panels.bars(spark, sf_dir), 60, "1998-06-30")
+
+
+@query(
+    f"WITH {ov.BARS}, md AS (SELECT ticker, quantile_cont(dollar_volume, 0.5) AS m FROM bars GROUP BY ticker), "
+    "r AS (SELECT ticker, row_number() OVER (ORDER BY m DESC, ticker DESC) + 2 AS place FROM md WHERE ticker NOT IN ('S000001', 'S000002', 'SPY')) "
+    "SELECT ticker, place FROM r WHERE place <= 12 UNION ALL SELECT 'S000001', 1 UNION ALL SELECT 'S000002', 2 UNION ALL SELECT 'SPY', 13"
+)
+def panel_sample_universe(spark, sf_dir):
+    return selection.sample_universe(panels.bars(spark, sf_dir), 12, ["S000001", "S000002"], "SPY")
+
+
+@query(f"WITH {ov.BARS} SELECT ticker, date AS anchor_date, {ov.rounded(['close'])} FROM bars ORDER BY date DESC, ticker DESC LIMIT 250")
+def panel_tail_episodes(spark, sf_dir):
+    return selection.tail_episodes(panels.bars(spark, sf_dir).withColumnRenamed("date", "anchor_date"), 250).select("ticker", "anchor_date", *rounded(["close"]))
+
+
+FOLDS = splits.FoldRules(min_train=600, val=100, oos=250, purge=20)
+
+
+@query(
+    f"WITH {ov.BARS}, d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars)), "
+    "k AS (SELECT unnest(generate_series(0, 50)) AS fold_id), f AS (SELECT fold_id::INT AS fold_id, 720 + 250 * fold_id AS s FROM k WHERE 720 + 250 * fold_id + 250 <= (SELECT max(n) FROM d)), "
+    "t AS (SELECT fold_id, date, CASE WHEN i < s - 120 THEN 'train' WHEN i < s - 20 THEN 'val' WHEN i >= s AND i < s + 250 THEN 'oos' END AS split FROM f, d) "
+    "SELECT fold_id, split, min(date) AS first_date, max(date) AS last_date, count(DISTINCT date) AS dates, count(*) AS rows FROM t JOIN bars USING (date) WHERE split IS NOT NULL GROUP BY fold_id, split"
+)
+def panel_walk_forward(spark, sf_dir):
+    bars = panels.bars(spark, sf_dir)
+    return splits.split_sizes(bars, splits.walk_forward(splits.distinct_dates(bars), FOLDS))
+
+
+@query(
+    f"WITH {ov.BARS}, d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars)), "
+    "t AS (SELECT date, CASE WHEN i < greatest(1, floor(0.7 * n)) THEN 'train' WHEN i < least(greatest(greatest(1, floor(0.7 * n)) + 1, floor(0.85 * n)), n - 1) THEN 'val' ELSE 'test' END AS split FROM d) "
+    "SELECT 0 AS fold_id, split, min(date) AS first_date, max(date) AS last_date, count(DISTINCT date) AS dates, count(*) AS rows FROM t JOIN bars USING (date) GROUP BY split"
+)
+def panel_holdout(spark, sf_dir):
+    bars = panels.bars(spark, sf_dir)
+    return splits.split_sizes(bars, splits.holdout(splits.distinct_dates(bars)))
