@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import cross_section as cs
-from ledgerline.operators import enrich, features, featuresets, labels, selection, splits, universe
+from ledgerline.operators import enrich, features, featuresets, labels, metrics, models, selection, signals, splits, universe, upsert
 from ledgerline.plans import oracle_views as ov
 from ledgerline.plans import panels
+from ledgerline.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -438,3 +439,271 @@ def panel_walk_forward(spark, sf_dir):
 def panel_holdout(spark, sf_dir):
     bars = panels.bars(spark, sf_dir)
     return splits.split_sizes(bars, splits.holdout(splits.distinct_dates(bars)))
+
+
+# Evaluation: predictions are a feature, actual values the forward excess return.
+
+SCORED = (
+    f"{ov.BARS}, {ov.TICKERS}, {ov.CONTEXT}, {ov.features('bars', 'f')}, m AS (SELECT date, close AS b FROM context WHERE ticker = 'MKT'), fb AS (SELECT f.*, b FROM f LEFT JOIN m USING (date)), "
+    f"sc AS (SELECT ticker, date AS anchor_date, rolling_return_20d AS prediction, {FORWARD.format(h=5)} AS actual, close AS anchor_close FROM fb WINDOW w AS (PARTITION BY ticker ORDER BY date)), "
+    "ok AS (SELECT * FROM sc WHERE prediction IS NOT NULL AND actual IS NOT NULL)"
+)
+
+
+def _scored(spark, sf_dir):
+    rows = labels.forward_targets(features.daily_features(panels.bars(spark, sf_dir)), _benchmark(spark, sf_dir), [5], 5)
+    out = rows.select("ticker", F.col("date").alias("anchor_date"), F.col("rolling_return_20d").alias("prediction"), F.col("target_5d").alias("actual"), F.col("close").alias("anchor_close"))
+    return out.filter(F.col("prediction").isNotNull() & F.col("actual").isNotNull())
+
+
+REGRESSION = ["rmse", "mae", "rank_ic", "directional_hit_rate", "top_bottom_spread"]
+
+
+@query(
+    f"WITH {SCORED}, r AS (SELECT *, count(*) OVER (PARTITION BY anchor_date) AS n, row_number() OVER (PARTITION BY anchor_date ORDER BY prediction, ticker) AS rp, row_number() OVER (PARTITION BY anchor_date ORDER BY actual, ticker) AS ra FROM ok), "
+    "d AS (SELECT anchor_date, corr(rp::DOUBLE, ra::DOUBLE) AS ic, avg(actual) FILTER (rp > n - greatest(1, floor(n * 0.2))) - avg(actual) FILTER (rp <= greatest(1, floor(n * 0.2))) AS spread FROM r WHERE n >= 10 GROUP BY anchor_date) "
+    "SELECT round(sqrt(avg((prediction - actual) ** 2)), 6) AS rmse, round(avg(abs(prediction - actual)), 6) AS mae, round(avg(CASE WHEN sign(prediction) = sign(actual) THEN 1.0 ELSE 0.0 END), 6) AS directional_hit_rate, "
+    "round((SELECT avg(ic) FROM d), 6) AS rank_ic, round((SELECT avg(spread) FROM d), 6) AS top_bottom_spread, count(*) AS row_count, count(DISTINCT anchor_date) AS date_count FROM ok"
+)
+def panel_regression_metrics(spark, sf_dir):
+    out = metrics.regression_metrics(_scored(spark, sf_dir))
+    return out.select(*[F.round(c, 6).alias(c) for c in REGRESSION], "row_count", "date_count")
+
+
+# Three class probabilities from the prediction, and the class of the actual value.
+CLASSED = (
+    f"{SCORED}, c0 AS (SELECT ticker, anchor_date, actual AS realized, [1 / (1 + abs(prediction)), 0.5, 0.25 + least(greatest(prediction, 0), 4) / 4] AS s, CASE WHEN actual <= -0.5 THEN 0 WHEN actual >= 0.8 THEN 2 ELSE 1 END AS actual FROM ok), "
+    "c1 AS (SELECT *, list_transform(s, lambda x: least(greatest(x, 1e-12), 1 - 1e-12)) AS h FROM c0), c AS (SELECT *, list_transform(h, lambda x: x / (h[1] + h[2] + h[3])) AS p FROM c1), "
+    "q AS (SELECT *, p[3] AS score, list_position(p, list_max(p)) - 1 AS lab, (actual = 2)::INT AS positive FROM c)"
+)
+
+
+def _classed(spark, sf_dir):
+    x = F.col("prediction")
+    p = F.array(1 / (1 + F.abs(x)), F.lit(0.5), 0.25 + F.least(F.greatest(x, F.lit(0.0)), F.lit(4.0)) / 4)
+    return _scored(spark, sf_dir).select("ticker", "anchor_date", F.col("actual").alias("realized"), p.alias("probabilities"), F.when(F.col("actual") <= -0.5, 0).when(F.col("actual") >= 0.8, 2).otherwise(1).alias("actual"))
+
+
+CLASSIFICATION = ["accuracy", "positive_rate", "multiclass_log_loss", "macro_f1", "top_decile_precision", "top_bottom_spread", "top_bottom_event_rate_spread", "pr_auc", "roc_auc", *(f"{k}class_{i}_rate" for i in range(3) for k in ("", "pred_"))]
+
+
+@query(
+    f"WITH {CLASSED}, r AS (SELECT *, count(*) OVER (PARTITION BY anchor_date) AS n, row_number() OVER (PARTITION BY anchor_date ORDER BY score, ticker) AS k FROM q), "
+    "d AS (SELECT anchor_date, avg(positive) FILTER (k > n - ceil(n * 0.1)) AS tp, avg(positive) FILTER (k <= ceil(n * 0.1)) AS bp, avg(realized) FILTER (k > n - ceil(n * 0.1)) - avg(realized) FILTER (k <= ceil(n * 0.1)) AS sp FROM r WHERE n >= 10 GROUP BY anchor_date), "
+    "g AS (SELECT score, sum(positive)::DOUBLE AS p, count(*)::DOUBLE AS n FROM q GROUP BY score), h AS (SELECT *, sum(p) OVER (ORDER BY score DESC) AS cp, sum(n) OVER (ORDER BY score DESC) AS cn, sum(p) OVER () AS tp, sum(n) OVER () AS tn FROM g), "
+    + "ff AS (SELECT "
+    + ", ".join(f"2.0 * count(*) FILTER (lab = {i} AND actual = {i}) / nullif(count(*) FILTER (lab = {i}) + count(*) FILTER (actual = {i}), 0) AS f{i}" for i in range(3))
+    + " FROM q) SELECT round(avg((lab = actual)::INT), 6) AS accuracy, round(avg(positive), 6) AS positive_rate, round(avg(-ln(p[actual + 1])), 6) AS multiclass_log_loss, "
+    "round((SELECT (coalesce(f0, 0) + coalesce(f1, 0) + coalesce(f2, 0)) / 3 FROM ff), 6) AS macro_f1, round((SELECT avg(tp) FROM d), 6) AS top_decile_precision, round((SELECT avg(sp) FROM d), 6) AS top_bottom_spread, "
+    "round((SELECT avg(tp - bp) FROM d), 6) AS top_bottom_event_rate_spread, round((SELECT sum(p / tp * cp / cn) FROM h), 6) AS pr_auc, round((SELECT sum((n - p) * (cp - p + p / 2) / (tp * (tn - tp))) FROM h), 6) AS roc_auc, "
+    + ", ".join(f"round(avg((actual = {i})::INT), 6) AS class_{i}_rate, round(avg((lab = {i})::INT), 6) AS pred_class_{i}_rate" for i in range(3))
+    + ", count(*) AS row_count, count(DISTINCT anchor_date) AS date_count FROM q"
+)
+def panel_classification_metrics(spark, sf_dir):
+    out = metrics.classification_metrics(_classed(spark, sf_dir), 3, realized="realized")
+    return out.select(*[F.round(c, 6).alias(c) for c in CLASSIFICATION], "row_count", "date_count")
+
+
+METRIC_ROWS = """
+mr AS (SELECT event_type AS model_name, 'set' || (user_id % 4)::VARCHAR AS feature_set, CASE WHEN event_id % 5 = 0 THEN 'train' ELSE 'val' END AS split, 'target_' || (CASE event_id % 3 WHEN 0 THEN '1d' WHEN 1 THEN '5d' ELSE '20d' END) AS target,
+  CASE WHEN event_id % 11 <> 0 THEN CAST(value AS DECIMAL(18,4)) END AS a, CAST((event_id * 37) % 1009 AS DECIMAL(18,4)) AS b FROM events),
+mean AS (SELECT model_name, feature_set, {aggs} FROM mr WHERE split = 'val'{where} GROUP BY ALL)"""
+
+
+def _metric_rows(spark, sf_dir, names):
+    e = panels.table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    target = F.concat(F.lit("target_"), F.when(k % 3 == 0, "1d").when(k % 3 == 1, "5d").otherwise("20d"))
+    a = F.when(k % 11 != 0, F.col("value").cast("decimal(18,4)"))
+    b = ((k * 37) % 1009).cast("decimal(18,4)")
+    return e.select(F.col("event_type").alias("model_name"), F.concat(F.lit("set"), (F.col("user_id") % 4).cast("string")).alias("feature_set"), F.when(k % 5 == 0, "train").otherwise("val").alias("split"), target.alias("target"), *[(a if i % 2 == 0 else b).alias(n) for i, n in enumerate(names)])
+
+
+BOARD_END = "round(mean_{m}::DOUBLE, 6) AS mean_{m}"
+
+
+@query(
+    "WITH " + METRIC_ROWS.format(aggs="avg(a)::DOUBLE AS mean_rank_ic, avg(b)::DOUBLE AS mean_top_bottom_spread, avg(a)::DOUBLE AS mean_rmse, avg(b)::DOUBLE AS mean_mae", where=" AND target <> 'target_1d'")
+    + ", s AS (SELECT *, coalesce(mean_rank_ic, -999) + coalesce(mean_top_bottom_spread, 0) AS selection_score FROM mean), r AS (SELECT *, row_number() OVER (ORDER BY round(selection_score, 6) DESC, model_name, feature_set) AS leaderboard_rank FROM s) "
+    "SELECT model_name, feature_set, round(selection_score, 4) AS selection_score, leaderboard_rank, leaderboard_rank <= 3 AS recommended, row_number() OVER (PARTITION BY model_name ORDER BY leaderboard_rank) AS family_rank FROM r"
+)
+def panel_leaderboard(spark, sf_dir):
+    rows = _metric_rows(spark, sf_dir, ["rank_ic", "top_bottom_spread", "rmse", "mae"])
+    board = metrics.family_rank(metrics.leaderboard(rows, "regression"))
+    return board.select("model_name", "feature_set", F.round(F.col("selection_score").cast("double"), 4).alias("selection_score"), "leaderboard_rank", "recommended", "family_rank")
+
+
+# Signals: models are flag pairs of line items, scores their mean discount for a supplier.
+
+PREDICTIONS = """
+pr AS (SELECT l_returnflag AS model_name, l_linestatus AS feature_set, 'S' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS ticker, DATE '1998-12-01' AS anchor_date,
+  CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS prediction_score, CAST(max(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS anchor_close FROM lineitem GROUP BY ALL),
+ra AS (SELECT *, model_name || '::' || feature_set AS model_key, row_number() OVER (PARTITION BY model_name, feature_set ORDER BY prediction_score DESC, ticker) AS k, count(*) OVER (PARTITION BY model_name, feature_set) AS n FROM pr),
+pc AS (SELECT *, 100.0::DOUBLE * k / n AS model_percentile FROM ra),
+en AS (SELECT ticker, anchor_date, max(anchor_close) AS current_price, avg(prediction_score) AS ensemble_score, count(DISTINCT model_key) AS model_count, count(*) FILTER (model_percentile <= 5) AS top_5pct_model_count,
+  count(*) FILTER (model_percentile <= 10) AS top_decile_model_count, min(model_percentile) AS best_model_percentile, max(prediction_score) AS best_model_score FROM pc GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (ORDER BY round(ensemble_score, 12) DESC, top_decile_model_count DESC, best_model_score DESC, ticker) AS ensemble_rank, count(*) OVER () AS tickers FROM en),
+sg0 AS (SELECT *, 100.0::DOUBLE * ensemble_rank / tickers AS ensemble_percentile, top_decile_model_count::VARCHAR || '/' || model_count::VARCHAR AS share FROM rk),
+sg1 AS (SELECT *, CASE WHEN ensemble_percentile <= 5 AND top_decile_model_count >= 2 THEN 'ENTRY CANDIDATE' WHEN ensemble_percentile <= 10 THEN 'WATCHLIST' ELSE 'IGNORE' END AS suggested_action FROM sg0),
+sg AS (SELECT '1998-12-02' AS run_date, anchor_date AS prediction_date, ticker,
+  CASE WHEN ensemble_percentile <= 3 THEN 'TOP_3_PERCENT' WHEN ensemble_percentile <= 5 THEN 'TOP_5_PERCENT' WHEN ensemble_percentile <= 10 THEN 'TOP_DECILE' WHEN ensemble_percentile <= 20 THEN 'TOP_20_PERCENT' WHEN ensemble_percentile <= 30 THEN 'TOP_30_PERCENT' ELSE 'BELOW_TOP_30_PERCENT' END AS rank_bucket,
+  CASE WHEN top_5pct_model_count >= 2 OR ensemble_percentile <= 3 THEN 'VERY STRONG' WHEN top_decile_model_count >= 2 THEN 'STRONG' WHEN top_decile_model_count = 1 OR ensemble_percentile <= 10 THEN 'WEAK' ELSE 'NONE' END || ' (' || share || ' top-decile)' AS agreement_status,
+  suggested_action, CASE WHEN suggested_action = 'ENTRY CANDIDATE' THEN 'Top ' || printf('%.2f', ensemble_percentile) || '% with ' || share || ' models in top decile'
+    WHEN suggested_action = 'WATCHLIST' AND top_decile_model_count >= 2 THEN 'Top decile with ' || share || ' model agreement' WHEN suggested_action = 'WATCHLIST' THEN 'Top decile but weak model agreement' ELSE 'Below top decile' END AS reason,
+  current_price, ensemble_score, ensemble_rank, ensemble_percentile, model_count, top_decile_model_count, top_5pct_model_count, best_model_score, best_model_percentile FROM sg1)"""
+
+
+def _predictions(spark, sf_dir):
+    rows = panels.table(spark, sf_dir, "lineitem")
+    ticker = F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0"))
+    return rows.groupBy(F.col("l_returnflag").alias("model_name"), F.col("l_linestatus").alias("feature_set"), ticker.alias("ticker")).agg(
+        F.lit("1998-12-01").cast("date").alias("anchor_date"), (F.sum(F.col("l_discount").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("prediction_score"), F.max(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("anchor_close")
+    )
+
+
+SIGNAL_NUMBERS = ["current_price", "ensemble_score", "ensemble_percentile", "best_model_score", "best_model_percentile"]
+SIGNAL_REST = ["run_date", "prediction_date", "ticker", "rank_bucket", "agreement_status", "suggested_action", "reason", "ensemble_rank", "model_count", "top_decile_model_count", "top_5pct_model_count"]
+
+
+def _signals(spark, sf_dir):
+    return signals.ranked_signals(_predictions(spark, sf_dir), "1998-12-02")
+
+
+@query(f"WITH {PREDICTIONS} SELECT {', '.join(SIGNAL_REST)}, {', '.join(f'round({c}, 6) AS {c}' for c in SIGNAL_NUMBERS)} FROM sg")
+def panel_ranked_signals(spark, sf_dir):
+    return _signals(spark, sf_dir).select(*SIGNAL_REST, *[F.round(c, 6).alias(c) for c in SIGNAL_NUMBERS])
+
+
+LEDGER = """
+lg AS (SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS ticker, DATE '1998-11-01' + CAST(s_suppkey % 29 AS INT) AS entry_date, CASE WHEN s_suppkey % 13 <> 0 THEN 50000.0 + s_suppkey * 400 END AS entry_price, 10 AS shares,
+  CASE WHEN s_suppkey % 6 = 0 THEN 'closed' ELSE 'OPEN' END AS current_status FROM supplier UNION ALL SELECT 'GONE', DATE '1998-11-02', 10.0, 1, 'OPEN')"""
+
+
+@query(
+    f"WITH {PREDICTIONS}, {LEDGER}, j AS (SELECT lg.*, sg.prediction_date, sg.current_price, sg.rank_bucket, sg.agreement_status, sg.ensemble_percentile, sg.top_decile_model_count AS agree, (sg.current_price / nullif(entry_price, 0) - 1) * 100 AS gain, "
+    "len(list_filter(generate_series(entry_date, prediction_date - 1, INTERVAL 1 DAY), lambda x: isodow(x) < 6)) + 1 AS days FROM lg LEFT JOIN sg USING (ticker) WHERE upper(current_status) NOT IN ('CLOSED', 'SOLD')) "
+    "SELECT ticker, entry_date, prediction_date, round(gain, 6) AS current_return_pct, CASE WHEN prediction_date IS NOT NULL THEN days END AS days_held, coalesce(rank_bucket, 'NO_CURRENT_SIGNAL') AS latest_rank_bucket, coalesce(agreement_status, 'NO_CURRENT_SIGNAL') AS agreement_status, "
+    "CASE WHEN current_price IS NULL OR gain IS NULL THEN 'REVIEW' WHEN gain >= 5 THEN 'SELL - TARGET' WHEN gain <= -5 THEN 'SELL - STOP' WHEN days >= 20 THEN 'SELL - TIME' WHEN ensemble_percentile > 30 THEN 'STRONG REVIEW' WHEN ensemble_percentile > 20 THEN 'REVIEW' "
+    "WHEN agree = 0 AND gain <= 0 THEN 'CONSIDER EXIT' WHEN agree = 0 AND days > 10 THEN 'CONSIDER EXIT' ELSE 'HOLD' END AS review_action FROM j"
+)
+def panel_position_review(spark, sf_dir):
+    k = F.col("s_suppkey")
+    ledger = panels.table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("S"), F.lpad(k.cast("string"), 6, "0")).alias("ticker"), F.date_add(F.lit("1998-11-01").cast("date"), (k % 29).cast("int")).alias("entry_date"), F.when(k % 13 != 0, 50000.0 + k * 400).alias("entry_price"), F.lit(10).alias("shares"), F.when(k % 6 == 0, "closed").otherwise("OPEN").alias("current_status")
+    )
+    gone = spark.range(1).select(F.lit("GONE").alias("ticker"), F.lit("1998-11-02").cast("date").alias("entry_date"), F.lit(10.0).alias("entry_price"), F.lit(1).alias("shares"), F.lit("OPEN").alias("current_status"))
+    out = signals.review_positions(ledger.unionByName(gone), _signals(spark, sf_dir), "1998-12-02")
+    return out.select("ticker", "entry_date", "prediction_date", F.round("current_return_pct", 6).alias("current_return_pct"), "days_held", "latest_rank_bucket", "agreement_status", "review_action")
+
+
+@query(
+    f"WITH {PREDICTIONS} SELECT 'conservative' AS sleeve, ticker, suggested_action, ensemble_rank, NULL::VARCHAR AS note FROM sg WHERE suggested_action <> 'IGNORE' UNION ALL SELECT 'momentum', ticker, suggested_action, ensemble_rank, 'wide' FROM sg WHERE ensemble_rank <= 20"
+)
+def panel_combined_sleeves(spark, sf_dir):
+    s = _signals(spark, sf_dir).select("ticker", "suggested_action", "ensemble_rank")
+    return signals.combine_sleeves({"conservative": s.filter("suggested_action <> 'IGNORE'"), "momentum": s.filter("ensemble_rank <= 20").withColumn("note", F.lit("wide"))})
+
+
+# Increments
+
+
+@query(
+    f"WITH {ov.BARS}, up AS (SELECT ticker, date, close * 2 AS close, volume FROM bars WHERE date >= DATE '1998-06-01' UNION ALL SELECT 'N' || ticker, date, close, volume FROM bars WHERE date >= DATE '1998-11-01') "
+    f"SELECT coalesce(u.ticker, b.ticker) AS ticker, coalesce(u.date, b.date) AS date, floor(coalesce(u.close, b.close) * 1e2 + {ov.OFFSET}) / 1e2 AS close, coalesce(u.volume, b.volume) AS volume FROM bars b FULL JOIN up u ON b.ticker = u.ticker AND b.date = u.date"
+)
+def panel_merge(spark, sf_dir):
+    bars = panels.bars(spark, sf_dir).select("ticker", "date", "close", "volume")
+    late = bars.filter("date >= '1998-06-01'").withColumn("close", F.col("close") * 2)
+    new = bars.filter("date >= '1998-11-01'").withColumn("ticker", F.concat(F.lit("N"), "ticker"))
+    return upsert.merge(bars, late.unionByName(new), ["ticker", "date"]).select("ticker", "date", *rounded(["close"]), "volume")
+
+
+@query(
+    f"WITH {NORMALIZED} SELECT ticker, date, {ov.rounded([f'{c}__cs_z' for c in Z])} FROM n2 WHERE date IN (SELECT date FROM bars WHERE ticker = 'S000007')"
+)
+def panel_renormalized_dates(spark, sf_dir):
+    rows = features.daily_features(panels.bars(spark, sf_dir)).join(panels.tickers(spark, sf_dir), "ticker")
+    return cs.renormalize_dates(rows, panels.bars(spark, sf_dir).filter("ticker = 'S000007'")).select("ticker", "date", *rounded([f"{c}__cs_z" for c in Z]))
+
+
+@query(
+    "SELECT ticker, min(source) AS source FROM (SELECT 'S' || s_suppkey::VARCHAR AS ticker, 'a' AS source FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'S' || s_suppkey::VARCHAR, 'b' FROM supplier WHERE s_suppkey % 3 = 0) GROUP BY ticker"
+)
+def panel_union_first_wins(spark, sf_dir):
+    s = panels.table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"))
+    part = lambda k, name: s.filter(F.col("s_suppkey") % k == 0).select("ticker", F.lit(name).alias("source"))
+    return upsert.union_first_wins([part(2, "a"), part(3, "b")], "ticker")
+
+
+@query(f"WITH {ov.BARS} SELECT min(date) AS min_date, max(date) AS max_date, count(*) AS row_count, count(DISTINCT ticker) AS ticker_count FROM bars")
+def panel_manifest(spark, sf_dir):
+    return upsert.summary(panels.bars(spark, sf_dir))
+
+
+@query(
+    f"WITH {ov.BARS}, {ov.TICKERS} SELECT ticker, count(*) AS bars FROM bars WHERE ticker IN (SELECT ticker FROM tickers WHERE gics_sector = 'ASIA') AND ticker NOT IN (SELECT ticker FROM tickers WHERE exchange = 'OTC') AND date BETWEEN DATE '1994-01-01' AND DATE '1996-12-31' GROUP BY ticker"
+)
+def panel_filtered_tickers(spark, sf_dir):
+    t = panels.tickers(spark, sf_dir)
+    rows = selection.date_ticker_filter(panels.bars(spark, sf_dir), "1994-01-01", "1996-12-31", t.filter("gics_sector = 'ASIA'"))
+    return upsert.missing_rows(rows, t.filter("exchange = 'OTC'"), ["ticker"]).groupBy("ticker").agg(F.count("*").alias("bars"))
+
+
+# Baseline models
+
+MODEL_ROWS = f"{ov.BARS}, {ov.TICKERS}, {ov.CONTEXT}, {ov.features('bars', 'f')}, m AS (SELECT date, close AS b FROM context WHERE ticker = 'MKT'), fb AS (SELECT f.*, b FROM f LEFT JOIN m USING (date)), mo AS (SELECT ticker, date, momentum_20d AS x, {FORWARD.format(h=5)} AS y FROM fb WINDOW w AS (PARTITION BY ticker ORDER BY date))"
+
+
+@query(
+    f"WITH {MODEL_ROWS}, t AS (SELECT avg(y) AS mean, stddev_pop(y) / stddev_pop(coalesce(x, 0)) AS scale FROM mo WHERE date < DATE '1996-01-01' AND y IS NOT NULL) "
+    "SELECT ticker, date, 0.0::DOUBLE AS zero, round(mean, 6) AS mean, round(coalesce(x, 0) * scale, 6) AS momentum FROM mo, t WHERE date >= DATE '1998-01-01'"
+)
+def panel_baseline_predictions(spark, sf_dir):
+    rows = labels.forward_targets(features.daily_features(panels.bars(spark, sf_dir)), _benchmark(spark, sf_dir), [5], 5)
+    rows = rows.select("ticker", "date", F.col("momentum_20d").alias("stock_momentum_20d__last"), F.col("target_5d").alias("y"))
+    train, test = rows.filter("date < '1996-01-01' AND y IS NOT NULL"), rows.filter("date >= '1998-01-01'")
+    out = models.Zero().predict(test).withColumnRenamed("prediction", "zero")
+    out = models.Mean.fit(train, "y").predict(out).withColumnRenamed("prediction", "mean")
+    out = models.Momentum.fit(train, "y").predict(out).withColumnRenamed("prediction", "momentum")
+    return out.select("ticker", "date", "zero", F.round("mean", 6).alias("mean"), F.round("momentum", 6).alias("momentum"))
+
+
+def _model_rows(spark, sf_dir):
+    rows = labels.forward_targets(features.daily_features(panels.bars(spark, sf_dir)), _benchmark(spark, sf_dir), [5], 5)
+    cols = ["rolling_return_5d", "rolling_return_20d", "rolling_vol_20d", "volume_ratio_20d", "close_location"]
+    rows = rows.select("ticker", "date", *cols, F.col("target_5d").alias("y"), F.when(F.col("target_5d") > 0.8, 2.0).when(F.col("target_5d") < -0.5, 0.0).otherwise(1.0).alias("label")).filter("y IS NOT NULL")
+    return cols, rows.filter("date < '1996-01-01'"), rows.filter("date >= '1998-01-01'")
+
+
+@query()
+def panel_ridge_predictions(spark, sf_dir):
+    cols, train, test = _model_rows(spark, sf_dir)
+    model = models.fit_regressor("ridge", train, cols, "y")
+    return model.transform(test.fillna(0.0, subset=cols)).select("ticker", "date", F.round("prediction", 6).alias("prediction"))
+
+
+@query()
+def panel_logistic_predictions(spark, sf_dir):
+    cols, train, test = _model_rows(spark, sf_dir)
+    out = models.probabilities(models.fit_classifier("logistic", train, cols, "label", 3), test, cols)
+    return signals.prediction_frame(out, 3).select("ticker", "date", *[F.round(f"pred_prob_{i}", 4).alias(f"pred_prob_{i}") for i in range(3)], "pred_class")
+
+
+# Scalars and windows on events
+
+
+@query(
+    "SELECT event_id, CASE WHEN trim(json_extract_string(props, '$.k')) NOT IN ('', 'NA', 'N/A') THEN try_cast(json_extract_string(props, '$.k') AS DOUBLE) END AS k, CAST(ts AS DATE) AS d, "
+    "len(list_filter(generate_series(CAST(ts AS DATE), DATE '2024-12-31' - 1, INTERVAL 1 DAY), lambda x: isodow(x) < 6)) + 1 AS held, CASE WHEN value >= 0 THEN round(ln(1 + value), 6) END AS log_value FROM events WHERE CAST(ts AS DATE) < DATE '2024-12-31'"
+)
+def panel_event_scalars(spark, sf_dir):
+    from ledgerline.functions.scalars import business_days_held, lenient_double, log1p_guarded
+
+    e = panels.table(spark, sf_dir, "events").filter(F.col("ts").cast("date") < "2024-12-31")
+    d = F.col("ts").cast("date")
+    return e.select("event_id", lenient_double(F.get_json_object("props", "$.k")).alias("k"), d.alias("d"), business_days_held(d, F.lit("2024-12-31").cast("date")).alias("held"), F.round(log1p_guarded(F.col("value")), 6).alias("log_value"))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def panel_event_windows(spark, sf_dir):
+    return ingest.windowed_counts(panels.table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
