@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import first_number, own_ticker, ratio
-from ledgerline.operators.features import BY_DAY, row_window
+from ledgerline.operators.features import by_day, row_window
 
 #: Fields of a vendor filing in order of preference.
 AVAILABLE = ("filing_date", "filingDate", "filingDateTime", "acceptedDate", "accepted_date")
@@ -98,7 +98,7 @@ def add_sentiment(panel: DataFrame, sentiment: DataFrame) -> DataFrame:
     Sentiment of a date without a bar matches nothing.
     """
     met = panel.join(sentiment.select("ticker", "date", "sentiment_count_raw", "sentiment_normalized_raw"), ["ticker", "date"], "left")
-    lag = lambda c: F.lag(c).over(BY_DAY)
+    lag = lambda c: F.lag(c).over(by_day())
     out = met.withColumns(
         {
             "sentiment_count": F.coalesce(lag("sentiment_count_raw"), F.lit(0.0)),

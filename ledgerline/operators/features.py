@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import ratio
 
-BY_DAY = Window.partitionBy("ticker").orderBy("date")
+
+def by_day():
+    """A ticker's rows by date. Built on use, as it needs a session."""
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 def dense_lag(name: str, k: int) -> Column:
@@ -26,7 +29,7 @@ class Dense:
         self.name, self.count = name, f"_n_{name}"
 
     def counted(self) -> Column:
-        return F.count(self.name).over(BY_DAY.rowsBetween(Window.unboundedPreceding, 0))
+        return F.count(self.name).over(by_day().rowsBetween(Window.unboundedPreceding, 0))
 
     def _window(self, n: int):
         return Window.partitionBy("ticker").orderBy(self.count).rangeBetween(-(n - 1), 0)
@@ -94,7 +97,7 @@ def daily_features(bars: DataFrame) -> DataFrame:
 
 
 def row_window(n: int):
-    return BY_DAY.rowsBetween(-(n - 1), 0)
+    return by_day().rowsBetween(-(n - 1), 0)
 
 
 def over_rows(aggregate, x: Column, n: int) -> Column:
@@ -105,7 +108,7 @@ def over_rows(aggregate, x: Column, n: int) -> Column:
 def add_if_absent(panel: DataFrame) -> DataFrame:
     """Adds the four range and volume features with row semantics, each only if the panel lacks it."""
     close, high, low = F.col("close"), F.col("high"), F.col("low")
-    prev = F.col("prev_close") if "prev_close" in panel.columns else F.lag("close").over(BY_DAY)
+    prev = F.col("prev_close") if "prev_close" in panel.columns else F.lag("close").over(by_day())
     dollars, volume = F.col("dollar_volume"), F.col("volume")
     new = {
         "close_location": ratio(close - low, high - low),
@@ -132,4 +135,4 @@ def window_summaries(panel: DataFrame, features: list[str], prefix: str, n: int
 def sequence_windows(panel: DataFrame, features: list[str], n: int) -> DataFrame:
     """ticker, date, window: the last n rows' features as an array of arrays, null as 0; rows with a whole window only."""
     row = F.array(*[F.coalesce(F.col(c).cast("float"), F.lit(0.0).cast("float")) for c in features])
-    return panel.withColumn("_rn", F.row_number().over(BY_DAY)).withColumn("window", F.collect_list(row).over(row_window(n))).filter(F.col("_rn") >= n).select("ticker", "date", "window")
+    return panel.withColumn("_rn", F.row_number().over(by_day())).withColumn("window", F.collect_list(row).over(row_window(n))).filter(F.col("_rn") >= n).select("ticker", "date", "window")

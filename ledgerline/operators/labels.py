@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import ratio
-from ledgerline.operators.features import BY_DAY
+from ledgerline.operators.features import by_day
 
 ANYTIME, SUSTAINED, PATH = "anytime", "sustained", "path"
 #: The path label's bounds and horizon.
@@ -21,15 +21,15 @@ def _with_benchmark(panel: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _excess(h: int) -> Column:
-    return ratio(F.lead("close", h).over(BY_DAY), F.col("close")) - 1 - (ratio(F.lead("_b", h).over(BY_DAY), F.col("_b")) - 1)
+    return ratio(F.lead("close", h).over(by_day()), F.col("close")) - 1 - (ratio(F.lead("_b", h).over(by_day()), F.col("_b")) - 1)
 
 
 def forward_targets(panel: DataFrame, benchmark: DataFrame, horizons: list[int], longest: int) -> DataFrame:
     """Adds target_{h}d, the return over h rows less the benchmark's over the same dates, future_date_{h}d, and whether the longest horizon is there."""
     out = _with_benchmark(panel, benchmark)
-    new = {f"target_{h}d": _excess(h) for h in horizons} | {f"future_date_{h}d": F.lead("date", h).over(BY_DAY) for h in horizons}
+    new = {f"target_{h}d": _excess(h) for h in horizons} | {f"future_date_{h}d": F.lead("date", h).over(by_day()) for h in horizons}
     whole = Window.partitionBy("ticker")
-    new |= {"has_all_future_horizons": F.row_number().over(BY_DAY) <= F.count(F.lit(1)).over(whole) - longest}
+    new |= {"has_all_future_horizons": F.row_number().over(by_day()) <= F.count(F.lit(1)).over(whole) - longest}
     return out.withColumns(new).drop("_b")
 
 
@@ -55,7 +55,7 @@ def path_label(path: Column, event: str, threshold: float = GAIN, low: float = L
 def forward_path(panel: DataFrame, benchmark: DataFrame | None, horizon: int) -> DataFrame:
     """Adds path: the returns over 1 to horizon rows, less the benchmark's if there is one. Missing rows are null."""
     if benchmark is None:
-        steps = [ratio(F.lead("close", k).over(BY_DAY), F.col("close")) - 1 for k in range(1, horizon + 1)]
+        steps = [ratio(F.lead("close", k).over(by_day()), F.col("close")) - 1 for k in range(1, horizon + 1)]
         return panel.withColumn("path", F.array(*steps))
     return _with_benchmark(panel, benchmark).withColumn("path", F.array(*[_excess(k) for k in range(1, horizon + 1)])).drop("_b")
 
@@ -69,7 +69,7 @@ def labeled_targets(panel: DataFrame, benchmark: DataFrame, horizons: list[int],
     out = forward_targets(panel, benchmark, horizons, max([*horizons, horizon]))
     out = forward_path(out, None if event == PATH else benchmark, horizon).withColumn("label", path_label(F.col("path"), event, threshold, low, high)).drop("path")
     if "window_row_count" not in out.columns:
-        out = out.withColumn("window_row_count", F.row_number().over(BY_DAY))
+        out = out.withColumn("window_row_count", F.row_number().over(by_day()))
     mask = F.col("window_row_count") >= window
     for c in ("episode_eligible", "research_universe_ok"):
         if c in out.columns:
@@ -102,10 +102,10 @@ def episode_index(panel: DataFrame, benchmark: DataFrame, window: int, horizon:
     """An episode per anchor with `window` rows up to it and `horizon` after it, where the benchmark has both dates."""
     rows = panel.filter(F.col("ticker") != benchmark_ticker).withColumns(
         {
-            "_rn": F.row_number().over(BY_DAY),
-            "window_start_date": F.lag("date", window - 1).over(BY_DAY),
-            "_future": F.lead("close", horizon).over(BY_DAY),
-            "_future_date": F.lead("date", horizon).over(BY_DAY),
+            "_rn": F.row_number().over(by_day()),
+            "window_start_date": F.lag("date", window - 1).over(by_day()),
+            "_future": F.lead("close", horizon).over(by_day()),
+            "_future_date": F.lead("date", horizon).over(by_day()),
         }
     )
     marks = benchmark.select(F.col("date").alias("_d"), F.col("close").alias("_c")).filter(F.col("_c").isNotNull())

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import canonical_exchange, common_equity, ratio
-from ledgerline.operators.features import BY_DAY, over_rows
+from ledgerline.operators.features import by_day, over_rows
 
 TYPE_COLUMNS = ("type", "security_type", "asset_type", "eodhd_type")
 
@@ -89,7 +89,7 @@ def _holds(condition: Column) -> Column:
 
 def add_eligibility(panel: DataFrame, rules: Eligibility = Eligibility(), benchmark: str = "SPY") -> DataFrame:
     """Adds window_row_count, two metrics, six rules and episode_eligible."""
-    rn = panel.withColumn("window_row_count", F.row_number().over(BY_DAY))
+    rn = panel.withColumn("window_row_count", F.row_number().over(by_day()))
     names = ["common_equity", "history", "valid_ohlcv", "liquidity", "price", "exchange"]
     if not rules.enabled:
         return rn.withColumns({f"eligibility_{n}_ok": F.lit(True) for n in names} | {"eligibility_valid_ohlcv_rows": F.lit(None).cast("double"), "eligibility_avg_dollar_volume": F.lit(None).cast("double"), "episode_eligible": F.lit(True)})
@@ -130,17 +130,17 @@ def research_metrics(panel: DataFrame, rules: Research = CONSERVATIVE) -> DataFr
     close, high, low, volume, dollars = (F.col(c) for c in ("close", "high", "low", "volume", "dollar_volume"))
     empty = ~_holds((volume > 0) & (dollars > 0))
     peak = F.coalesce(high, close)
-    ret = F.col("return_1d") if "return_1d" in panel.columns else ratio(close, F.lag("close").over(BY_DAY)) - 1
+    ret = F.col("return_1d") if "return_1d" in panel.columns else ratio(close, F.lag("close").over(by_day())) - 1
     spread = F.col("true_range_pct") if "true_range_pct" in panel.columns else ratio(F.abs(high - low), close)
     out = panel.withColumns({"_abs_return": F.abs(ret), "_spread": spread, "_peak": peak, "_empty": empty.cast("double")})
     median = lambda x: F.percentile(x, F.lit(0.5))
     out = out.withColumns(
         {
-            "research_history_days": F.row_number().over(BY_DAY),
+            "research_history_days": F.row_number().over(by_day()),
             "research_median_dollar_volume_20d": over_rows(median, dollars, rules.short),
             "research_median_dollar_volume_60d": over_rows(median, dollars, rules.long),
             "research_zero_volume_day_ratio_60d": over_rows(F.avg, F.col("_empty"), rules.long),
-            "research_return_6m": ratio(close, F.lag("close", rules.half_year).over(BY_DAY)) - 1,
+            "research_return_6m": ratio(close, F.lag("close", rules.half_year).over(by_day())) - 1,
             "research_drawdown_from_252d_high": 1 - ratio(close, over_rows(F.max, F.col("_peak"), rules.trend)),
             "_sma_short": over_rows(F.avg, close, rules.sma_short),
             "_sma_long": over_rows(F.avg, close, rules.sma_long),

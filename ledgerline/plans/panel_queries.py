@@ -355,7 +355,7 @@ def panel_feature_set(spark, sf_dir):
 def panel_sequence_windows(spark, sf_dir):
     out = features.sequence_windows(panels.bars(spark, sf_dir), ["close", "volume"], 30)
     total = F.aggregate("window", F.lit(0.0), lambda a, x: a + x[1])
-    first = panels.bars(spark, sf_dir).select("ticker", "date", F.lag("close", 29).over(features.BY_DAY).alias("first_close"))
+    first = panels.bars(spark, sf_dir).select("ticker", "date", F.lag("close", 29).over(features.by_day()).alias("first_close"))
     return out.join(first, ["ticker", "date"]).select("ticker", "date", F.size("window").alias("steps"), total.alias("volume_sum"), *rounded(["first_close"]))
 
 
@@ -383,7 +383,7 @@ def panel_standardizer(spark, sf_dir):
     "s AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY sha256(strftime(date, '%Y-%m-%d') || '|' || upper(ticker) || '|' || window_row_count::VARCHAR), ticker) AS r FROM k) SELECT ticker, date, window_row_count FROM s WHERE r <= 3"
 )
 def panel_hash_sample(spark, sf_dir):
-    rows = panels.bars(spark, sf_dir).withColumn("window_row_count", F.row_number().over(features.BY_DAY))
+    rows = panels.bars(spark, sf_dir).withColumn("window_row_count", F.row_number().over(features.by_day()))
     return selection.hash_sample(rows, 3).select("ticker", "date", "window_row_count")
 
 
@@ -406,7 +406,7 @@ def panel_latest_windows(spark, sf_dir):
 @query(
     f"WITH {ov.BARS}, md AS (SELECT ticker, quantile_cont(dollar_volume, 0.5) AS m FROM bars GROUP BY ticker), "
     "r AS (SELECT ticker, row_number() OVER (ORDER BY m DESC, ticker DESC) + 2 AS place FROM md WHERE ticker NOT IN ('S000001', 'S000002', 'SPY')) "
-    "SELECT ticker, place FROM r WHERE place <= 12 UNION ALL SELECT 'S000001', 1 UNION ALL SELECT 'S000002', 2 UNION ALL SELECT 'SPY', 13"
+    "SELECT ticker, place FROM r WHERE place <= 12 UNION ALL SELECT 'S000001', 1 UNION ALL SELECT 'S000002', 2 UNION ALL SELECT 'SPY', (SELECT count(*) FROM r WHERE place <= 12) + 3"
 )
 def panel_sample_universe(spark, sf_dir):
     return selection.sample_universe(panels.bars(spark, sf_dir), 12, ["S000001", "S000002"], "SPY")
@@ -516,21 +516,21 @@ def _metric_rows(spark, sf_dir, names):
     target = F.concat(F.lit("target_"), F.when(k % 3 == 0, "1d").when(k % 3 == 1, "5d").otherwise("20d"))
     a = F.when(k % 11 != 0, F.col("value").cast("decimal(18,4)"))
     b = ((k * 37) % 1009).cast("decimal(18,4)")
-    return e.select(F.col("event_type").alias("model_name"), F.concat(F.lit("set"), (F.col("user_id") % 4).cast("string")).alias("feature_set"), F.when(k % 5 == 0, "train").otherwise("val").alias("split"), target.alias("target"), *[(a if i % 2 == 0 else b).alias(n) for i, n in enumerate(names)])
+    return e.select(F.col("event_type").alias("model_name"), F.concat(F.lit("set"), (F.col("user_id") % 4).cast("string")).alias("feature_set"), F.when(k % 5 == 0, "train").otherwise("val").alias("split"), target.alias("target"), *[(a if i % 2 == 0 else b).cast("double").alias(n) for i, n in enumerate(names)])
 
 
 BOARD_END = "round(mean_{m}::DOUBLE, 6) AS mean_{m}"
 
 
 @query(
-    "WITH " + METRIC_ROWS.format(aggs="avg(a)::DOUBLE AS mean_rank_ic, avg(b)::DOUBLE AS mean_top_bottom_spread, avg(a)::DOUBLE AS mean_rmse, avg(b)::DOUBLE AS mean_mae", where=" AND target <> 'target_1d'")
+    "WITH " + METRIC_ROWS.format(aggs="avg(a::DOUBLE) AS mean_rank_ic, avg(b::DOUBLE) AS mean_top_bottom_spread, avg(a::DOUBLE) AS mean_rmse, avg(b::DOUBLE) AS mean_mae", where=" AND target <> 'target_1d'")
     + ", s AS (SELECT *, coalesce(mean_rank_ic, -999) + coalesce(mean_top_bottom_spread, 0) AS selection_score FROM mean), r AS (SELECT *, row_number() OVER (ORDER BY round(selection_score, 6) DESC, model_name, feature_set) AS leaderboard_rank FROM s) "
-    "SELECT model_name, feature_set, round(selection_score, 4) AS selection_score, leaderboard_rank, leaderboard_rank <= 3 AS recommended, row_number() OVER (PARTITION BY model_name ORDER BY leaderboard_rank) AS family_rank FROM r"
+    f"SELECT model_name, feature_set, floor(selection_score * 1e4 + {ov.OFFSET}) / 1e4 AS selection_score, leaderboard_rank, leaderboard_rank <= 3 AS recommended, row_number() OVER (PARTITION BY model_name ORDER BY leaderboard_rank) AS family_rank FROM r"
 )
 def panel_leaderboard(spark, sf_dir):
     rows = _metric_rows(spark, sf_dir, ["rank_ic", "top_bottom_spread", "rmse", "mae"])
     board = metrics.family_rank(metrics.leaderboard(rows, "regression"))
-    return board.select("model_name", "feature_set", F.round(F.col("selection_score").cast("double"), 4).alias("selection_score"), "leaderboard_rank", "recommended", "family_rank")
+    return board.select("model_name", "feature_set", (F.floor(F.col("selection_score") * 1e4 + ov.OFFSET) / 1e4).alias("selection_score"), "leaderboard_rank", "recommended", "family_rank")
 
 
 # Signals: models are flag pairs of line items, scores their mean discount for a supplier.
