@@ -26,7 +26,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Fixed value: white space.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Distinct units that a generation remembers, and characters of text that it works on at once.
-REMEMBER, SLICE = 1_500_000, 6_000_000
+REMEMBER, SLICE = 1_000_000, 3_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -41,7 +41,7 @@ class UnitCache:
     unit is encoded once; subclasses say how. Arrow splits, numbers and looks up the units, so Python sees new ones
     only. What is remembered is bounded: when it is full, the units not met again since they came go."""
 
-    remember = REMEMBER
+    remember, slice = REMEMBER, SLICE
 
     def __init__(self):
         self.uneven = f"[{SPACE}] | [{SPACE}]"
@@ -121,11 +121,11 @@ class UnitCache:
         return flat[np.repeat(place, each) + np.arange(int(each.sum()))], np.add.reduceat(each, heads)
 
     def encode_array(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text, working on SLICE characters at a time."""
+        """The ids of each text, working on `slice` characters at a time."""
         sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < len(texts):
-            end = max(start + 1, int(np.searchsorted(sizes, SLICE + (sizes[start - 1] if start else 0), side="right")))
+            end = max(start + 1, int(np.searchsorted(sizes, self.slice + (sizes[start - 1] if start else 0), side="right")))
             flat, counts = self.encode_flat(texts.slice(start, end - start))
             ends = np.cumsum(counts)
             yield from (flat[a:b] for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True))
@@ -281,6 +281,7 @@ def bpe_columns(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "
             made = [[f(coder, ids.tolist()) for f in makers] for ids in coder.encode_array(batch[text_col])]
             columns = [pa.array(x, _ARROW[OUTPUTS[k][0]]) for x, k in zip(zip(*made, strict=True), outputs, strict=True)] if made else [pa.array([], _ARROW[OUTPUTS[k][0]]) for k in outputs]
             yield pa.record_batch([batch[id_col], *columns], names=[id_col, *outputs])
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(task, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{x} {OUTPUTS[x][0]}" for x in outputs))
 

@@ -157,6 +157,8 @@ def load(data: bytes) -> tuple[WaveletMatrix, np.ndarray]:
 class LibraryCache(UnitCache):
     """Encodes units with the tokenizers library; a text's units are encoded as they are in the whole text."""
 
+    remember, slice = 1_500_000, 6_000_000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 

@@ -159,7 +159,10 @@ def range_entries(ranges: DataFrame) -> DataFrame:
 
 
 def _parse(data: _Range, at: int) -> tuple[dict, bytes, int]:
-    head, block = data.header_at(at)
+    found = data.header_at(at)
+    if not found or not MAGIC.match(found[0] + b"\r\n"):
+        raise ValueError(f"no record at {at}")
+    head, block = found
     fields = _fields(head)
     size = int(fields["content-length"])
     return fields, data.bytes_at(block, size), block + size + 4
