@@ -97,6 +97,24 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op6_source_mixing": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                          (('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null')), 1, 7))::BIGINT % 4096)::INT AS block FROM documents),
+             g AS (SELECT source, block, sum(size)::BIGINT AS words, ('0x' || substr(md5('mix-1|block|' || block::VARCHAR), 1, 7))::BIGINT AS place FROM d GROUP BY source, block),
+             s AS (SELECT source, sum(words)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM g GROUP BY source),
+             o AS (SELECT *, 3.0 * source_size AS cap, sum(source_size) OVER ()::DOUBLE AS total, row_number() OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST) AS k FROM s),
+             l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+             t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, k) FROM l WHERE level * weight <= cap) * weight, cap))::DOUBLE AS target FROM l),
+             p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::INT ELSE 0 END AS passes FROM t),
+             b AS (SELECT p.source, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size AS need,
+                          list({'w': g.words, 'b': g.block, 'p': g.place} ORDER BY g.place, g.block) AS blocks FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source GROUP BY ALL),
+             f AS (SELECT *, list_reduce(list_concat([{'need': need, 'took': []::INT[], 'w': 0::BIGINT, 'b': -1, 'p': 0::BIGINT}],
+                            list_transform(blocks, lambda x: {'need': 0.0::DOUBLE, 'took': []::INT[], 'w': x.w, 'b': x.b, 'p': x.p})),
+                          lambda a, x: CASE WHEN x.w > 0 AND x.w <= a.need THEN {'need': a.need - x.w, 'took': list_append(a.took, x.b), 'w': a.w, 'b': a.b, 'p': a.p} ELSE a END) AS fit FROM b),
+             e AS (SELECT *, list_min(list_transform(list_filter(blocks, lambda x: x.w > 0 AND x.w < 2 * fit.need AND NOT list_contains(fit.took, x.b)), lambda x: {'off': abs(fit.need - x.w), 'p': x.p, 'b': x.b})).b AS extra FROM f),
+             n AS (SELECT source, source_size, target, passes, CASE WHEN extra IS NULL THEN fit.took ELSE list_append(fit.took, extra) END AS took FROM e)
+        SELECT d.doc_id, d.size, n.source_size, n.target, d.size * (n.passes + list_contains(n.took, d.block)::INT)::BIGINT AS taken
+        FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source""",
     "op8_warc_boundary_chains": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
              w AS (SELECT h, max(page_id) AS winner FROM p WHERE n >= 1000 GROUP BY h)
