@@ -25,7 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/ledgerline-{uuid.uuid4().hex}"
+    MADE.append(f"{base.rstrip('/')}/ledgerline-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+#: Scratch folders of this session.
+MADE: list[str] = []
+
+
+def clear_scratch() -> None:
+    """Delete all scratch folders of this session; results that still read them are lost."""
+    while MADE:
+        files, path = file_system(MADE.pop())
+        files.delete_dir_contents(path, missing_dir_ok=True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

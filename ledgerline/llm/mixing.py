@@ -132,6 +132,33 @@ def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: str = SEED) -> D
     return rows.withColumn("first", F.coalesce(F.sum("quota").over(run), F.lit(0).cast("long")))
 
 
+def _hashed(*parts: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 7), 16, 10).cast("long")
+
+
+def block_of(id_column: Column, blocks: int = BLOCKS, seed: str = SEED) -> Column:
+    """The block of a document within its source; null ids share one."""
+    return (_hashed(F.lit(seed), F.coalesce(id_column.cast("string"), F.lit("null"))) % blocks).cast("int")
+
+
+def _key(id_column: Column, number: Column, seed: str) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(seed), id_column.cast("string"), number.cast("string")))
+
+
+def plan_mix(rows: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+    """rows: source, block, size. Returns the sources (source, source_size, weight, target) and the draws of their blocks
+    (source, block, copies: an array of pass and shard). A block that is not drawn has no row."""
+    grouped = materialize(rows.groupBy("source", "block").agg(F.sum("size").alias("words")))
+    sources = materialize(source_targets(grouped.groupBy("source").agg(F.sum("words").alias("source_size"))))
+    placed = grouped.withColumn("place", _hashed(F.lit(seed), F.lit("block"), F.col("block").cast("string")))
+    draws = materialize(block_draws(placed, sources))
+    runs = shard_quotas(draws.select("source", F.size("draws").alias("quota")), shards, seed)
+    slots = draws.select("source", F.posexplode("draws").alias("slot", "draw")).select("source", "slot", "draw.block", "draw.pass")
+    mine = F.col("source").eqNullSafe(F.col("of")) & (F.col("slot") >= F.col("first")) & (F.col("slot") < F.col("first") + F.col("quota"))
+    dealt = slots.join(runs.withColumnRenamed("source", "of"), mine).drop("of")
+    return sources, materialize(dealt.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("copies")))
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS, shards: int = SHARDS, seed: str = SEED
 ) -> DataFrame:
@@ -140,30 +167,26 @@ def mix_sources(
     Each entry of draws is one copy in the mix; key orders the copies of a shard at random. Null text has size 0, null
     sources are one source, repeated rows are drawn together, null ids share one block. An empty table gives no rows.
     """
-    n = blocks
-    hashed = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 7), 16, 10).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = materialize(rows.withColumn("block", (hashed(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null"))) % n).cast("int")))
-    grouped = materialize(rows.groupBy("source", "block").agg(F.sum("size").alias("words")))
-    targets = materialize(source_targets(grouped.groupBy("source").agg(F.sum("words").alias("source_size"))))
-    placed = grouped.withColumn("place", hashed(F.lit(seed), F.lit("block"), F.col("block").cast("string")))
-    draws = materialize(block_draws(placed, targets))
-    runs = shard_quotas(draws.select("source", F.size("draws").alias("quota")), shards, seed)
-    slots = draws.select("source", F.posexplode("draws").alias("slot", "draw")).select("source", "slot", "draw.block", "draw.pass")
-    dealt = slots.join(runs.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")) & (F.col("slot") >= F.col("first")) & (F.col("slot") < F.col("first") + F.col("quota"))).drop("of")
-    taken = materialize(dealt.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("copies")))
-    return (
-        _null_safe_left(_null_safe_left(rows, taken, ["source", "block"]), targets.drop("weight"), ["source"])
-        .withColumn("copies", F.coalesce("copies", F.array().cast("array<struct<pass:int,shard:int>>")))
-        .select(
-            F.col("id").alias(id_col),
-            F.col("source").alias(source_col),
-            "size",
-            "source_size",
-            "target",
-            F.transform("copies", lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), F.md5(F.concat_ws("|", F.lit(seed), F.col("id").cast("string"), x["pass"].cast("string"))).alias("key"))).alias("draws"),
-        )
-    )
+    rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), block_of(F.col(id_col), blocks, seed).alias("block")))
+    sources, taken = plan_mix(rows, blocks, shards, seed)
+    out = _null_safe_left(_null_safe_left(rows, taken, ["source", "block"]), sources.drop("weight"), ["source"])
+    copies = F.coalesce("copies", F.array().cast("array<struct<pass:int,shard:int>>"))
+    draws = F.transform(copies, lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), _key(F.col("id"), x["pass"], seed).alias("key")))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", draws.alias("draws"))
+
+
+def mix_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS, shards: int = SHARDS, seed: str = SEED
+) -> DataFrame:
+    """The mix: each input row once for each of its draws, with mix_shard, mix_pass and mix_key added.
+
+    Rows meet the draws of their block, which are few beside the rows, so texts move only if those are not broadcast.
+    """
+    rows = docs.withColumn("_block", block_of(F.col(id_col), blocks, seed))
+    _, taken = plan_mix(rows.select(F.col(source_col).alias("source"), F.col("_block").alias("block"), word_count(F.col(text_col)).alias("size")), blocks, shards, seed)
+    draws = taken.select(F.col("source").alias("_of"), F.col("block").alias("_its"), F.explode("copies").alias("_draw"))
+    met = rows.join(draws, F.col(source_col).eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_its")))
+    return met.select(*docs.columns, F.col("_draw.shard").alias("mix_shard"), F.col("_draw.pass").alias("mix_pass"), _key(F.col(id_col), F.col("_draw.pass"), seed).alias("mix_key"))
 
 
 def _null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -172,7 +195,6 @@ def _null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(renamed, on, "left").drop(*[f"_{k}" for k in keys])
 
 
-def emit_shards(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: each drawn copy of each document with its shard, shuffled within the shard by key."""
-    copies = mixed.select(id_col, F.explode("draws").alias("draw")).select(id_col, "draw.shard", "draw.pass", "draw.key")
-    return docs.join(copies, id_col).repartition("shard").sortWithinPartitions("shard", "key")
+def emit_shards(mixed: DataFrame) -> DataFrame:
+    """The mix by output shard, shuffled within each."""
+    return mixed.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_key")

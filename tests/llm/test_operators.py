@@ -150,8 +150,10 @@ def test_mixing(spark):
     assert sorted(map(key, again)) == sorted(map(key, got))
     shards = Counter(d["shard"] for row in got for d in row.draws)
     assert set(shards) == {0, 1, 2, 3} and max(shards.values()) < 1.5 * min(shards.values())
-    mixed = mixing.emit_shards(frame.dropDuplicates(["doc_id"]), mixing.mix_sources(frame.dropDuplicates(["doc_id"]), shards=4))
-    assert mixed.count() == sum(len(r.draws) for r in got) - sum(len(r.draws) for r in got if r.doc_id == 900) // 2
+    copies = mixing.emit_shards(mixing.mix_documents(frame, shards=4)).collect()
+    assert Counter((c.doc_id, c.mix_shard, c.mix_pass, c.mix_key) for c in copies) == Counter((r.doc_id, d["shard"], d["pass"], d["key"]) for r in got for d in r.draws)
+    nulls = spark.createDataFrame([(None, "a b", None)] * 50 + [(1, "c d", "s")] * 3, "doc_id long, text string, source string")
+    assert mixing.mix_documents(nulls).count() == sum(len(r.draws) for r in mixing.mix_sources(nulls).collect()) <= 3 * 53
     assert mixing.mix_sources(frame.limit(0)).count() == 0
 
 

@@ -70,3 +70,21 @@ def test_pipeline_keeps_what_plain_python_keeps(spark):
 def corpus_pipeline_groups(rows, fingerprint, reach):
     ids = sorted(rows)
     return reach(ids, [fingerprint(rows[i]) for i in ids])
+
+
+def test_stages_with_nameless_rows_and_no_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra int"
+    rows = [(None, "Nameless letters here", "en", None, 1, 1)] * 3 + [(None, "other nameless letters", None, "s", 1, 1), (1, "OTHER nameless letters", "en", "s", 1, 1), (2, "a b c d", "en", "s", 1, 1)]
+    kept = spark.createDataFrame(rows, schema)
+    got = []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        kept = corpus_pipeline.materialize(stage(spark, kept, SMALL))
+        got.append(sorted((r.doc_id or 0, r.text) for r in kept.collect()))
+    assert len(got[0]) == 6
+    assert got[1] == got[2] == [(0, "Nameless letters here"), (1, "OTHER nameless letters"), (2, "a b c d")]
+    mixed = corpus_pipeline.materialize(corpus_pipeline.mixed(spark, kept, SMALL))
+    assert corpus_pipeline.tokens(spark, mixed, SMALL).count() == mixed.count() >= 1
+    nothing = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        nothing = corpus_pipeline.materialize(stage(spark, nothing, SMALL))
+    assert nothing.count() == 0
