@@ -36,31 +36,42 @@ def regression_metrics(rows: DataFrame, date: str = "anchor_date", unique: str =
         F.when(F.count("_p") >= 3, F.corr("_p", "_a")).alias("ic"),
         (F.avg(F.when(F.col("_place") > F.col("_n") - q, actual)) - F.avg(F.when(F.col("_place") <= q, actual))).alias("spread"),
     )
-    return whole.crossJoin(daily.agg(F.avg("ic").alias("rank_ic"), F.avg("spread").alias("top_bottom_spread")))  # one row each
+    return beside(whole, daily.agg(F.avg("ic").alias("rank_ic"), F.avg("spread").alias("top_bottom_spread")))
+
+
+#: Ranges of scores over which running sums are first taken.
+RANGES = 1024
 
 
 def ranking_areas(rows: DataFrame) -> DataFrame:
     """rows: score, positive (0/1). One row: pr_auc (average precision over distinct scores) and roc_auc (ties count half).
 
-    Rows meet by score only after they are summed up by score, so the ordered windows run over distinct scores. Their
-    running sums are taken in two steps, within ranges of scores and over ranges, so no task sorts all scores.
+    Rows are first summed up by score. Running sums are taken within ranges of scores, and over the ranges' totals, so
+    no task sorts all scores.
     """
     by = rows.groupBy("score").agg(F.sum("positive").cast("double").alias("p"), F.count("*").cast("double").alias("n"))
-    ranged = by.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id())
-    ranged = ranged.withColumns({c: F.sum(x).over(Window.partitionBy("part").orderBy(F.desc("score"))) for c, x in (("cp", "p"), ("cn", "n"))})
-    offsets = ranged.groupBy("part").agg(F.max("score").alias("top"), F.sum("p").alias("sp"), F.sum("n").alias("sn"))
-    before = Window.orderBy(F.desc("top")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(o) for c, o in (("sp", "op"), ("sn", "on"))])
-    total = by.agg(F.sum("p").alias("tp"), F.sum("n").alias("tn"))
-    all_ = ranged.join(offsets, "part").crossJoin(total).withColumns({"cp": F.col("cp") + F.col("op"), "cn": F.col("cn") + F.col("on")})  # one row of totals
-    negatives, tn = F.col("n") - F.col("p"), F.col("tn") - F.col("tp")
+    ends = by.agg(F.struct(F.min("score").alias("low"), F.max("score").alias("high"), F.sum("p").alias("tp"), F.sum("n").alias("tn"))).scalar()
+    ranged = by.withColumn("_e", ends).withColumn("part", F.floor(F.coalesce((F.col("score") - F.col("_e.low")) / F.nullif(F.col("_e.high") - F.col("_e.low"), F.lit(0.0)), F.lit(0.0)) * RANGES))
+    within = Window.partitionBy("part").orderBy(F.desc("score"))
+    ranged = ranged.withColumns({"cp": F.sum("p").over(within), "cn": F.sum("n").over(within)})
+    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("part").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn")).select("part", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(o) for c, o in (("sp", "op"), ("sn", "on"))])
+    whole = ranged.join(offsets, "part").withColumns({"cp": F.col("cp") + F.col("op"), "cn": F.col("cn") + F.col("on"), "tp": F.col("_e.tp"), "tn": F.col("_e.tn") - F.col("_e.tp")})
     higher = F.col("cp") - F.col("p")
-    return all_.agg(
+    return whole.agg(
         F.sum(F.col("p") / F.nullif(F.col("tp"), F.lit(0.0)) * F.col("cp") / F.col("cn")).alias("pr_auc"),
-        F.sum(negatives * (higher + F.col("p") / 2) / F.nullif(F.col("tp") * tn, F.lit(0.0))).alias("roc_auc"),
+        F.sum((F.col("n") - F.col("p")) * (higher + F.col("p") / 2) / F.nullif(F.col("tp") * F.col("tn"), F.lit(0.0))).alias("roc_auc"),
     )
 
 
+def beside(one: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row frames side by side, the others as scalar subqueries."""
+    out = one
+    for i, other in enumerate(others):
+        out = out.withColumn(f"_{i}", other.select(F.struct(*other.columns).alias("s")).scalar())
+    return out.select(*one.columns, *[F.col(f"_{i}.{c}").alias(c) for i, other in enumerate(others) for c in other.columns])
+
+
 def classification_metrics(rows: DataFrame, classes: int, date: str = "anchor_date", unique: str = "ticker", realized: str | None = None) -> DataFrame:
     """rows: date, unique, probabilities (array), actual (class). One row of metrics; the last class is the positive one."""
     scored = rows.withColumn("_prob", clipped_probabilities(F.col("probabilities"))).withColumns(
@@ -87,7 +98,7 @@ def classification_metrics(rows: DataFrame, classes: int, date: str = "anchor_da
     daily = ranked.groupBy(date).agg(F.avg(F.when(top, F.col("positive"))).alias("precision"), gap(F.col("positive")).alias("events"), (gap(F.col(realized)) if realized else F.lit(None).cast("double")).alias("spread"))
     means = daily.agg(F.avg("precision").alias("top_decile_precision"), F.avg("spread").alias("top_bottom_spread"), F.avg("events").alias("top_bottom_event_rate_spread"))
     out = sums.withColumn("macro_f1", f1).drop(*[f"_hit_{i}" for i in k])
-    return out.crossJoin(means).crossJoin(ranking_areas(scored.select("score", "positive")))  # one row each
+    return beside(out, means, ranking_areas(scored.select("score", "positive")))
 
 
 def leaderboard(metrics: DataFrame, kind: str, split: str = "val") -> DataFrame:

@@ -14,8 +14,7 @@ def latest_rows(panel: DataFrame, stale_days: int | None = None) -> DataFrame:
     last = panel.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
     if stale_days is None:
         return last
-    newest = panel.agg(F.max("date").alias("_newest"))
-    return last.join(newest, F.col("date") >= F.date_sub(F.col("_newest"), stale_days)).drop("_newest")
+    return last.filter(F.col("date") >= F.date_sub(panel.agg(F.max("date")).scalar(), stale_days))
 
 
 def tail_rows(panel: DataFrame, n: int) -> DataFrame:

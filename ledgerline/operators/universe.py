@@ -115,9 +115,9 @@ def add_eligibility(panel: DataFrame, rules: Eligibility = Eligibility(), benchm
 def eligibility_summary(eligible: DataFrame, benchmark: str = "SPY") -> DataFrame:
     """One row: tickers, eligible tickers and rows, and eligible tickers on the latest date."""
     rows = eligible.filter(F.col("ticker") != benchmark.upper())
-    latest = rows.agg(F.max("date").alias("latest_date"))
+    latest = rows.agg(F.max("date")).scalar()
     ticker_if = lambda c: F.countDistinct(F.when(c, F.col("ticker")))
-    return rows.crossJoin(latest).agg(  # one row beside the panel
+    return rows.withColumn("latest_date", latest).agg(
         F.countDistinct("ticker").alias("total_ticker_count"),
         ticker_if(F.col("episode_eligible")).alias("eligible_ticker_count"),
         F.count_if("episode_eligible").alias("eligible_episode_rows"),

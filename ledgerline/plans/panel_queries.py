@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.functions import scalars
 from ledgerline.operators import cross_section as cs
 from ledgerline.operators import enrich, features, featuresets, labels, metrics, models, selection, signals, splits, universe, upsert
 from ledgerline.plans import oracle_views as ov
@@ -121,11 +122,8 @@ SENTIMENT_COLUMNS = [*(f"sentiment_count_{n}d" for n in (5, 20, 60)), *(f"sentim
 )
 def panel_sentiment_lagged(spark, sf_dir):
     raw = panels.sentiment(spark, sf_dir)
-    ends = raw.agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    from ledgerline.functions.scalars import weekday_calendar
-
-    days = ends.select(F.explode(weekday_calendar(F.col("a"), F.col("b"))).alias("date"))
-    panel = raw.select("ticker").distinct().crossJoin(days)  # a calendar of one row a day beside the tickers: the panel itself
+    calendar = raw.agg(scalars.weekday_calendar(F.min("date"), F.max("date"))).scalar()
+    panel = raw.select("ticker").distinct().withColumn("date", F.explode(calendar))
     return enrich.add_sentiment(panel, raw).select("ticker", "date", "sentiment_count", *rounded(["sentiment_normalized"]), "sentiment_missing", *rounded(SENTIMENT_COLUMNS))
 
 
@@ -697,11 +695,9 @@ def panel_logistic_predictions(spark, sf_dir):
     "len(list_filter(generate_series(CAST(ts AS DATE), DATE '2024-12-31' - 1, INTERVAL 1 DAY), lambda x: isodow(x) < 6)) + 1 AS held, CASE WHEN value >= 0 THEN round(ln(1 + value), 6) END AS log_value FROM events WHERE CAST(ts AS DATE) < DATE '2024-12-31'"
 )
 def panel_event_scalars(spark, sf_dir):
-    from ledgerline.functions.scalars import business_days_held, lenient_double, log1p_guarded
-
     e = panels.table(spark, sf_dir, "events").filter(F.col("ts").cast("date") < "2024-12-31")
     d = F.col("ts").cast("date")
-    return e.select("event_id", lenient_double(F.get_json_object("props", "$.k")).alias("k"), d.alias("d"), business_days_held(d, F.lit("2024-12-31").cast("date")).alias("held"), F.round(log1p_guarded(F.col("value")), 6).alias("log_value"))
+    return e.select("event_id", scalars.lenient_double(F.get_json_object("props", "$.k")).alias("k"), d.alias("d"), scalars.business_days_held(d, F.lit("2024-12-31").cast("date")).alias("held"), F.round(scalars.log1p_guarded(F.col("value")), 6).alias("log_value"))
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL")

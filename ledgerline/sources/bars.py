@@ -114,10 +114,12 @@ def wiki_constituents(pages: DataFrame) -> DataFrame:
 
 
 def reappearing_tickers(rows: DataFrame, position: str) -> DataFrame:
-    """Tickers whose rows are not together in file order: none in a file sorted by ticker."""
-    order = Window.orderBy(position)
-    starts = rows.withColumn("_new", F.coalesce(F.col("ticker") != F.lag("ticker").over(order), F.lit(True)).cast("int"))
-    return starts.groupBy("ticker").agg(F.sum("_new").alias("runs")).filter("runs > 1")
+    """Tickers whose rows are not together in file order, by consecutive positions: none in a file sorted by ticker.
+
+    A run starts where the row before is not the ticker's, found by an anti-join on ticker and position.
+    """
+    after = rows.select("ticker", (F.col(position) + 1).alias(position))
+    return rows.join(after, ["ticker", position], "left_anti").groupBy("ticker").agg(F.count("*").alias("runs")).filter("runs > 1")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

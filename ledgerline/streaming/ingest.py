@@ -16,8 +16,10 @@ def stream_bars(spark: SparkSession, source: str, schema, table: str, checkpoint
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        newest = rows.agg(F.max("date").alias("_newest"))
-        recent = rows.join(newest, F.col("date") > F.date_sub("_newest", overlap_days)).drop("_newest").withColumn("month", F.date_format("date", "yyyy-MM"))
+        newest = rows.agg(F.max("date")).first()[0]
+        if newest is None:
+            return
+        recent = rows.filter(F.col("date") > F.date_sub(F.lit(newest), overlap_days)).withColumn("month", F.date_format("date", "yyyy-MM"))
         merge_into(spark, table, recent, [*keys, "month"], "month")
 
     stream = spark.readStream.schema(schema).parquet(source)
