@@ -12,9 +12,11 @@ documents' token counts (uint32). The counts of ones are rebuilt on loading.
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.bpe import UnitCache
+from ledgerline.llm.bpe import UnitCache, byte_letters
 from ledgerline.llm.common import file_system, materialize, write_file
 
 MAGIC = b"WAVETOK1"
@@ -165,16 +167,28 @@ class LibraryCache(UnitCache):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        spelled = {b: c for c, b in byte_letters().items()}
+        self.letters = {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(256)}
+        self.plain = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
         super().__init__()
 
     def packed(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        flat, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
-        for i in range(0, len(units), 50_000):
-            part = units[i : i + 50_000]
-            encoded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            flat.append(np.array(encoded.ids, np.uint32))
-            lengths.append(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(part)))
-        return np.concatenate(flat), np.concatenate(lengths)
+        """Words of plain letters are one piece each and go to the tokenizer's model at once; others take the whole way."""
+        found: list = [None] * len(units)
+        rest, tokenize, letters, plain = [], self.model.tokenize, self.letters, self.plain
+        for i, unit in enumerate(units):
+            if plain(unit):
+                found[i] = [t.id for t in tokenize(unit.translate(letters))]
+            else:
+                rest.append(i)
+        for start in range(0, len(rest), 50_000):
+            part = rest[start : start + 50_000]
+            encoded = self.tokenizer.encode([units[i] for i in part], is_pretokenized=True, add_special_tokens=False)
+            ids, ends = encoded.ids, np.cumsum(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(part))).tolist()
+            for i, a, b in zip(part, [0, *ends[:-1]], ends, strict=True):
+                found[i] = ids[a:b]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
 
 @functools.lru_cache(maxsize=2)
