@@ -265,3 +265,33 @@ def test_selection_of_rows(spark):
     numbered = panel.withColumn("window_row_count", F.lit(1))
     assert selection.hash_sample(numbered, 1).count() == 9 and sorted(selection.hash_sample(numbered, 1).collect()) == sorted(selection.hash_sample(numbered.repartition(3), 1).collect())
     assert [r.date.day for r in selection.weekdays(spark, "2024-01-05", "2024-01-09").collect()] == [5, 8, 9]
+
+
+def test_features_only_if_absent(spark):
+    panel = bars(spark, [("A", d, 10.0 + d, 12.0 + d, 9.0 + d, 11.0 + d, 5.0 + d) for d in range(25)])
+    got = features.add_if_absent(panel.withColumn("close_location", F.lit(7.0))).orderBy("date").collect()
+    assert got[0].close_location == 7.0 and got[0].true_range_pct is None and got[1].true_range_pct == pytest.approx(3 / 11)
+    assert got[3].dollar_volume_ratio_5d is None and got[4].dollar_volume_ratio_5d > 1
+    assert got[18].volume_zscore_20d is None and got[19].volume_zscore_20d == pytest.approx(9.5 / statistics.pstdev(range(20)))
+
+
+def test_diagnostics_boards_and_reports(spark):
+    found = universe.add_research_universe(universe_panel(spark))
+    asked = spark.createDataFrame([("GOOD", DAY + dt.timedelta(259)), ("NONE", DAY)], "ticker string, anchor_date date")
+    got = {r.ticker: r for r in universe.attach_diagnostics(asked, found).collect()}
+    assert got["GOOD"].research_universe_ok and not got["NONE"].research_universe_ok and got["NONE"].research_rejection_reasons == ""
+    board = lambda x: spark.createDataFrame([("m", "f", x), ("n", "f", 0.0)], "model_name string, feature_set string, score double")
+    assert {r.model_name: r.delta_score for r in metrics.compare_boards(board(1.0), board(3.0).filter("model_name = 'm'"), ["score"]).collect()} == {"m": 2.0}
+    report = spark.createDataFrame([("IGNORE", 1.0, "a"), ("WATCHLIST", 9.0, "b"), ("ENTRY CANDIDATE", 5.0, "c"), ("ENTRY CANDIDATE", 2.0, "d")], "suggested_action string, ensemble_percentile double, ticker string")
+    assert [r.ticker for r in signals.report_order(report).collect()] == ["d", "c", "b", "a"]
+    assert signals.implied_close(spark.createDataFrame([(100.0, 0.1, 0.05)], "anchor_close double, prediction double, benchmark_return double")).first().implied_close == pytest.approx(115.0)
+
+
+def test_small_selections(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "role string, status string")
+    assert sorted(map(tuple, upsert.status_counts(rows).collect())) == [("a", "x", 2), ("b", "y", 1)]
+    panel = bars(spark, [(t, 0, 1.0, 1.0, 1.0, 1.0, 1.0) for t in ("C", "A", "B")])
+    assert [r.ticker for r in selection.first_tickers(panel, 2).orderBy("ticker").collect()] == ["A", "B"]
+    assert {r.ticker for r in upsert.without_tickers(panel, ["a"]).collect()} == {"B", "C"}
+    codes = featuresets.vocabulary(rows, "role")
+    assert {(r.role, r.role_code) for r in featuresets.encoded(rows.union(spark.createDataFrame([("zz", "x")], rows.schema)), "role", codes.filter("role <> 'b'")).collect()} == {("a", 1), ("b", 0), ("zz", 0)}

@@ -64,3 +64,15 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(path).filter("month = '2024-02'").count() == 1
     assert sinks.write_manifest(panel, str(tmp_path / "m"), {"note": "x"})["ticker_count"] == 2
     assert sinks.fresher(spark, path, str(tmp_path / "absent")) == path and sinks.fresher(spark, str(tmp_path / "absent"), path) == path
+
+
+def test_processed_flat_and_context(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("ticker,date,close,has_prev_close,extra\nA,2024-01-02,NA,true,z\nB,2024-01-02,2.5,,z\n")
+    got = sources.read_processed(spark, str(tmp_path / "p.csv"), ["close", "absent"], ["has_prev_close"]).orderBy("ticker").collect()
+    assert [(r.ticker, r.close, r.has_prev_close) for r in got] == [("A", None, True), ("B", 2.5, None)] and "extra" not in got[0]
+    wanted = spark.createDataFrame([("B",)], "ticker string")
+    flat = sources.read_flat_files(spark, str(tmp_path / "p.csv"), wanted, "ticker string, date string, close string, has_prev_close string, extra string")
+    assert [r.ticker for r in flat.collect()] == ["B"]
+    panel = spark.createDataFrame([("SPY", 1.0), ("A", float("nan"))], "ticker string, x double")
+    assert [r.ticker for r in sources.context_rows(spark, None, panel, ["SPY"]).collect()] == ["SPY"]
+    assert {r.x for r in sources.clean(panel).collect()} == {1.0, None}
