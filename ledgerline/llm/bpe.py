@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from ledgerline.llm.common import release
+
 #: Fixed value: what the byte-level pre-tokenizer cuts a text into.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: white space.
@@ -281,7 +283,7 @@ def bpe_columns(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "
             made = [[f(coder, ids.tolist()) for f in makers] for ids in coder.encode_array(batch[text_col])]
             columns = [pa.array(x, _ARROW[OUTPUTS[k][0]]) for x, k in zip(zip(*made, strict=True), outputs, strict=True)] if made else [pa.array([], _ARROW[OUTPUTS[k][0]]) for k in outputs]
             yield pa.record_batch([batch[id_col], *columns], names=[id_col, *outputs])
-        pa.default_memory_pool().release_unused()
+        release()
 
     return rows.mapInArrow(task, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{x} {OUTPUTS[x][0]}" for x in outputs))
 

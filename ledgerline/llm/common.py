@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -75,6 +77,13 @@ def write_file(uri: str, parts) -> None:
     files.move(own, path)
 
 
+def release() -> None:
+    """Give memory that a task has done with back to the system, as the Python worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """The column as strings, null as empty."""
     return [x or "" for x in column.to_pylist()]

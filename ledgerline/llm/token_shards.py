@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.bpe import UnitCache, byte_letters
-from ledgerline.llm.common import file_system, materialize, write_file
+from ledgerline.llm.common import file_system, materialize, release, write_file
 
 MAGIC = b"WAVETOK1"
 HEAD = "<8sQIIQ"
@@ -228,6 +228,8 @@ def write_token_shards(docs: DataFrame, path: str, folder: str, end_id: int, id_
                     held, ids, size, number = [], [], 0, number + 1
         if held:
             yield close()
+            held.clear()
+        release()
 
     files = materialize(rows.mapInArrow(task, "file string, part long, number long, n_tokens long, ids array<long>"))
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
