@@ -295,3 +295,15 @@ def test_small_selections(spark):
     assert {r.ticker for r in upsert.without_tickers(panel, ["a"]).collect()} == {"B", "C"}
     codes = featuresets.vocabulary(rows, "role")
     assert {(r.role, r.role_code) for r in featuresets.encoded(rows.union(spark.createDataFrame([("zz", "x")], rows.schema)), "role", codes.filter("role <> 'b'")).collect()} == {("a", 1), ("b", 0), ("zz", 0)}
+
+
+def test_windows_on_a_stream(spark, tmp_path):
+    from ledgerline.streaming.ingest import windowed_counts
+
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, 1, h), "a" if h % 2 else "b", float(h)) for h in range(24)], "ts timestamp, event_type string, value double")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = windowed_counts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), width="6 hours")
+    query = stream.writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(spark.table("counts")) == key(windowed_counts(rows, width="6 hours")) and spark.table("counts").count() == 8
