@@ -31,6 +31,8 @@ from ledgerline.llm.common import file_system, materialize, release, write_file
 MAGIC = b"WAVETOK1"
 HEAD = "<8sQIIQ"
 BLOCK = 512
+#: Bits of a plane that are worked on together, as they fit a core's cache.
+STEP = 1 << 16
 #: A file is closed once it holds so many tokens.
 SHARD_TOKENS = 8_000_000
 
@@ -54,19 +56,28 @@ class WaveletMatrix:
             ones = (row & (1 << bit)).astype(bool)
             packed = np.packbits(ones, bitorder="little")
             planes.append(np.concatenate((packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8))))
-            low = np.compress(~ones, row)
-            zeros.append(len(low))
-            row = np.concatenate((low, np.compress(ones, row)))
+            zeros.append(len(row) - int(np.count_nonzero(ones)))
+            then, low, high = np.empty_like(row), 0, zeros[-1]
+            for start in range(0, len(row), STEP):
+                part, here = row[start : start + STEP], ones[start : start + STEP]
+                down, up = np.compress(~here, part), np.compress(here, part)
+                then[low : low + len(down)], then[high : high + len(up)] = down, up
+                low, high = low + len(down), high + len(up)
+            row = then
         return cls(symbols, zeros, planes, len(tokens))
 
     def tokens(self) -> np.ndarray:
-        """The whole sequence, plane by plane from the last: each plane's order is undone by its own bits."""
+        """The whole sequence, plane by plane from the last: each plane's order is undone by its own bits, some at a time."""
         row = np.zeros(self.n, np.uint16 if len(self.symbols) <= 1 << 16 else np.uint32)
         for bit, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
-            back = np.empty_like(row)
-            back[np.flatnonzero(~ones)] = row[:zeros]
-            back[np.flatnonzero(ones)] = row[zeros:] | (1 << bit)
+            back, low, high = np.empty_like(row), 0, zeros
+            for start in range(0, self.n, STEP):
+                part, here = back[start : start + STEP], ones[start : start + STEP]
+                up, down = np.flatnonzero(here), np.flatnonzero(~here)
+                part[down] = row[low : low + len(down)]
+                part[up] = row[high : high + len(up)] | (1 << bit)
+                low, high = low + len(down), high + len(up)
             row = back
         return self.symbols[row] if self.n else self.symbols[:0]
 
