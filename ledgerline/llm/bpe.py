@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from ledgerline.llm.common import release
+from ledgerline.llm.common import bound_batches, release
 
 #: Fixed value: what the byte-level pre-tokenizer cuts a text into.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -274,7 +274,7 @@ def bpe_columns(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("ids", "
     Null text counts as empty: no ids, empty text. Rows may repeat; each is one output row. Other columns are not
     read. An empty table gives no rows.
     """
-    rows = docs.select(id_col, text_col)
+    rows = bound_batches(docs.select(id_col, text_col))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)

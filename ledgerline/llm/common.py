@@ -77,6 +77,19 @@ def write_file(uri: str, parts) -> None:
     files.move(own, path)
 
 
+#: Bytes of an Arrow batch of texts, about; the usual limit of rows alone lets long texts add up.
+BATCH_BYTES = 12 << 20
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """For work on whole texts in Python: has the session keep Arrow batches within BATCH_BYTES, unless it has a lower bound."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name)
+    if not now.isdecimal() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def release() -> None:
     """Give memory that a task has done with back to the system, as the Python worker lives on for other tasks."""
     pa.default_memory_pool().release_unused()

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import bound_batches
+
 #: n-grams in a profile, and those of a document that are compared.
 PROFILE = 300
 #: Distinct (language, n-gram) entries that a task gathers before it sums them up.
@@ -86,7 +88,7 @@ def train_profiles(rows: DataFrame, lang_col: str = "lang", text_col: str = "tex
 
     Counts are summed within tasks, then by language and n-gram. Only the top of each language comes to the driver.
     """
-    known = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    known = bound_batches(rows).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = known.mapInArrow(_count_task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
@@ -125,7 +127,7 @@ def identify(rows: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
     the rows have them. Whole texts count; a text of any length is one row's work.
     """
     model = RankProfiles(profiles, size)
-    kept = rows.select(*[c for c in rows.columns if c not in ("lang_pred", "score")])
+    kept = bound_batches(rows).select(*[c for c in rows.columns if c not in ("lang_pred", "score")])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

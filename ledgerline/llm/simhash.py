@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ledgerline.llm.common import materialize, texts_of
+from ledgerline.llm.common import bound_batches, materialize, texts_of
 from ledgerline.llm.components import connected_components
 
 RADIUS, SHINGLE, SEED, BITS = 2, 3, 42, 64
@@ -45,7 +45,7 @@ def fingerprint(text: str) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp: a document's fingerprint as a signed 64-bit number. Null text counts as empty."""
-    rows = docs.select(id_col, text_col)
+    rows = bound_batches(docs.select(id_col, text_col))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from ledgerline.llm.common import materialize
+from ledgerline.llm.common import bound_batches, materialize
 
 #: Bytes that the gear hash spans, bytes on each side in which a cut is the least, and a chunk's most bytes.
 GEAR, REACH, MOST = 16, 24, 4096
@@ -121,7 +121,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     share an id count as one document's repeats of each other; all null ids are one document, and it stays last. An
     empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    rows = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
     chunks = rows.mapInArrow(_chunk_task, "high long, low long, doc long, start long, bytes long, first boolean")
     seen = chunks.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("doc").alias("keeper")).filter("n > 1")
     # Read anew, so that a chunk that a third of the texts hold can be split in the join.

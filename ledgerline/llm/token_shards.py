@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.bpe import UnitCache, byte_letters
-from ledgerline.llm.common import file_system, materialize, release, write_file
+from ledgerline.llm.common import bound_batches, file_system, materialize, release, write_file
 
 MAGIC = b"WAVETOK1"
 HEAD = "<8sQIIQ"
@@ -218,7 +218,7 @@ def write_token_shards(docs: DataFrame, path: str, folder: str, end_id: int, id_
     with one id follow each other by text. A task holds one file's tokens and writes it under a name that a repeated
     attempt replaces. An empty table gives no file.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = bound_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).repartitionByRange("id").sortWithinPartitions("id", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = library(path), TaskContext.get().partitionId()

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import file_system, materialize, write_file
+from ledgerline.llm.common import bound_batches, file_system, materialize, write_file
 
 #: Payloads of at least so many bytes may be revisits.
 REVISIT = 1000
@@ -56,7 +56,7 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None, date: str =
 
 def write_warc(planned: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> int:
     """Write one archive a partition and return the number of records. A task that runs again replaces its file."""
-    rows = planned.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"), "refers_to")
+    rows = bound_batches(planned).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"), "refers_to")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = [0]
