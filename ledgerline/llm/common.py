@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -21,12 +22,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see.
 
-    It lies under spark.checkpoint.dir. Only where that is unset, as in local tests, a temporary folder is set.
+    It lies under spark.checkpoint.dir, a path without a scheme in Spark's default file system. Only where that is unset
+    and Spark runs in one process, as in tests, a temporary folder is set; on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-        spark.sparkContext.setCheckpointDir(base)
+        context.setCheckpointDir(base)
+    if not re.match("[A-Za-z][A-Za-z0-9+.-]*:/", base):
+        path = context._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
     MADE.append(f"{base.rstrip('/')}/ledgerline-{uuid.uuid4().hex}")
     return MADE[-1]
 
@@ -35,11 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
 MADE: list[str] = []
 
 
-def clear_scratch() -> None:
-    """Delete all scratch folders of this session; results that still read them are lost."""
-    while MADE:
-        files, path = file_system(MADE.pop())
+def clear_scratch(since: int = 0, keep: int = 0) -> None:
+    """Delete this session's scratch folders from a place in MADE on, but for the last `keep`; results that still read them are lost."""
+    kept = MADE[max(since, len(MADE) - keep) :]
+    for folder in MADE[since : len(MADE) - len(kept)]:
+        files, path = file_system(folder)
         files.delete_dir_contents(path, missing_dir_ok=True)
+    MADE[since:] = kept
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -50,6 +60,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str) -> DataFrame:
+    """rows with the other columns of groups, which has each row's key once and in `size` how many rows have it.
+
+    A key with over a thousandth of the rows is hot. There are fewer than a thousand of them, so they are broadcast, and
+    their rows go on by their column `spread` instead of meeting in one task.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    names = [c for c in groups.columns if c != key]
+    hot = groups.filter(F.col(size) * 1000 > total).select(F.col(key).alias("_hot_key"), F.struct(*names).alias("_hot"))
+    known = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").drop("_hot_key")
+    known = known.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(1024)).cast("int") + 1))
+    cold = groups.select(key, F.lit(0).alias("_salt"), F.struct(*names).alias("_own"))
+    met = known.join(cold, [key, "_salt"], "left").withColumn("_own", F.coalesce("_hot", "_own"))
+    return met.select(*rows.columns, *[F.col(f"_own.{c}").alias(c) for c in names])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
@@ -63,7 +89,7 @@ def file_system(uri: str):
         return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 def write_file(uri: str, parts) -> None:

@@ -22,8 +22,8 @@ from ledgerline.llm.common import bound_batches, file_system, materialize, write
 
 #: Payloads of at least so many bytes may be revisits.
 REVISIT = 1000
-#: Bytes of a file that one task looks through at once.
-RANGE = 4 << 20
+#: Bytes of a file that are looked through at once, and ranges that a task has, about.
+RANGE, RANGES = 4 << 20, 8
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -177,13 +177,16 @@ def read_warc(spark: SparkSession, folder: str, step: int = RANGE, with_payload:
     record, is an error. Only file names and sizes are listed; contents are read in ranges by the tasks.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(folder).select("path", "length")
+    # So many tasks as the bytes ask for: ranges are a few bytes each, and would else be packed into few tasks.
+    total = files.agg(F.sum(F.ceil(F.col("length") / step))).first()[0] or 0
+    tasks = max(1, min(total, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGES))))
     starts = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("start"))
-    ranges = materialize(starts.withColumn("end", F.least("length", F.col("start") + step)).repartition("path", "start"))
+    ranges = materialize(starts.withColumn("end", F.least("length", F.col("start") + step)).repartition(tasks, "path", "start"))
     reached = range_entries(ranges)
     if not ranges.select("path").distinct().join(reached, "path", "left_anti").isEmpty():
         raise ValueError(f"a file in {folder} does not begin with a record")
     entries = reached.withColumn("start", F.col("at") - F.col("at") % step)
-    work = ranges.join(entries, ["path", "start"]).select("path", "start", "end", "length", "at").repartition("path", "start")
+    work = ranges.join(entries, ["path", "start"]).select("path", "start", "end", "length", "at").repartition(tasks, "path", "start")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
