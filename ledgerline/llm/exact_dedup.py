@@ -2,7 +2,8 @@
 
 Rows with equal normalised text form a group. A task first combines its own rows, then rows of one salt meet by
 digest, then the winners of all salts meet; each step groups by the digest and the full content, so texts whose
-digests collide stay apart. No step holds the members of a group, only its winner and its size.
+digests collide stay apart. No step holds the members of a group, only its winner and its size. Rows of a digest that
+many have do not meet in one task when they are told their winner.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ascii_lower, materialize
+from ledgerline.llm.common import ascii_lower, join_groups, materialize
 
 SALTS = 16
 
@@ -43,9 +44,9 @@ def exact_dedup(
     light = rows.select("id", "digest")
     shared = groups.groupBy("digest").count().filter("count > 1").select("digest")
     if shared.isEmpty():
-        out = light.join(groups, "digest")
+        out = join_groups(light, groups, "digest", "group_size", "id")
     else:
         apart = rows.join(shared, "digest", "left_semi")
         full = apart.groupBy("digest", "content").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-        out = light.join(groups.join(shared, "digest", "left_anti"), "digest").unionByName(apart.join(full, ["digest", "content"]).drop("content"))
+        out = join_groups(light.join(shared, "digest", "left_anti"), groups.join(shared, "digest", "left_anti"), "digest", "group_size", "id").unionByName(apart.join(full, ["digest", "content"]).drop("content"))
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")

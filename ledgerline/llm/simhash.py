@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ledgerline.llm.common import bound_batches, materialize, texts_of
+from ledgerline.llm.common import bound_batches, join_groups, materialize, texts_of
 from ledgerline.llm.components import connected_components
 
 RADIUS, SHINGLE, SEED, BITS = 2, 3, 42, 64
@@ -163,11 +163,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     get their row. An empty table gives no rows.
     """
     rows = materialize(fingerprints(docs, id_col, text_col))
-    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("low")))
+    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")))
     labels = connected_components(links_within(nodes.select("fp"), radius, tree))
     joined = nodes.join(labels.withColumnRenamed("node", "fp"), "fp")
     lowest = joined.groupBy("label").agg(F.min("low").alias("component_id"))
     wide = joined.join(lowest, "label").select("fp", "component_id")
-    component = materialize(nodes.join(wide, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
+    component = materialize(nodes.join(wide, "fp", "left").select("fp", "n", F.coalesce("component_id", "low").alias("component_id")))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return rows.join(component, "fp").select(F.col("id").alias(id_col), "fp", hexed.alias("fingerprint"), "component_id")
+    return join_groups(rows, component, "fp", "n", "id").select(F.col("id").alias(id_col), "fp", hexed.alias("fingerprint"), "component_id")
