@@ -10,13 +10,16 @@ all arrays hold block numbers of one source or sources of one node, never docume
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import WORD, materialize
 
 BLOCKS = 4096
-SHARDS = 8
+#: Words of an output shard, about, and the least blocks that shards get on average.
+SHARD_WORDS, SHARD_BLOCKS = 20_000_000, 16
 MOST = 3
 SEED = "mix-1"
 
@@ -89,27 +92,52 @@ def block_draws(blocks: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def _hypergeometric(u: Column, rest: Column, n: Column, free: Column) -> Column:
+    """How many of n blocks are among the `free` that are drawn of `rest` in all: by inversion, u in [0, 1) deciding.
+
+    Outcomes are gone through from the likeliest one upwards, then downwards from it, each weight from the one before,
+    first for their sum and then for the place of u. So many steps are taken that what is left out weighs less than u
+    can tell (twelve standard deviations).
+    """
+    off = rest - n - free
+    most = F.least(n, (F.sqrt(n) * 6 + 12).cast("long"))
+    likeliest = F.greatest(F.least(n, free, F.floor((n + 1) * (free + 1) / (rest + 2))), -off, F.lit(0)).cast("long")
+
+    def start(place: Column) -> Column:
+        fields = {"n": n, "free": free, "off": off, "mode": likeliest, "most": most, "place": place, "weight": F.lit(0.0), "sum": F.lit(0.0), "got": F.lit(None).cast("long")}
+        return F.struct(*[x.alias(k) for k, x in fields.items()])
+
+    def step(s, i):
+        k = F.when(i <= s["most"], s["mode"] + i).otherwise(s["mode"] + s["most"] - i)
+        rise = (s["n"] - k + 1) * (s["free"] - k + 1) / (k * (s["off"] + k))
+        fall = (k + 1) * (s["off"] + k + 1) / ((s["n"] - k) * (s["free"] - k))
+        weight = F.when(i == 0, 1.0).when(i <= s["most"], s["weight"] * rise).when(i == s["most"] + 1, fall).otherwise(s["weight"] * fall)
+        same = [s[c].alias(c) for c in ("n", "free", "off", "mode", "most", "place")]
+        got = F.when(s["got"].isNull() & (s["sum"] + weight > s["place"]), k).otherwise(s["got"])
+        return F.struct(*same, weight.alias("weight"), (s["sum"] + weight).alias("sum"), got.alias("got"))
+
+    steps = F.sequence(F.lit(0).cast("long"), most * 2 + 1)
+    total = F.aggregate(steps, start(F.lit(float("inf"))), step)["sum"]
+    return F.aggregate(steps, start(u * total), step)["got"]
+
+
 def _left_share(seed: str, level: int):
     """For the fold over a node's sources: draws the left child's blocks of one source after another."""
 
-    def draw(state, _):
-        yes = _unit(F.lit(seed), F.lit(level), F.col("node"), state["rest"]) * state["rest"] < state["free"]
-        one = F.when(yes, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
-        return F.struct((state["rest"] - 1).alias("rest"), (state["free"] - one).alias("free"), (state["got"] + one).alias("got"))
-
     def share(held, x):
-        begin = F.struct(held["rest"].alias("rest"), held["free"].alias("free"), F.lit(0).cast("long").alias("got"))
-        drawn = F.when(x["n"] > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(x["n"], F.lit(1).cast("long"))), begin, draw)).otherwise(begin)
-        return F.struct(drawn["rest"].alias("rest"), drawn["free"].alias("free"), F.concat(held["left"], F.array(drawn["got"])).alias("left"))
+        u = _unit(F.lit(seed), F.lit(level), F.col("node"), F.size(held["left"]))
+        got = _hypergeometric(u, held["rest"], x["n"], held["free"])
+        return F.struct((held["rest"] - x["n"]).alias("rest"), (held["free"] - got).alias("free"), F.concat(held["left"], F.array(got)).alias("left"))
 
     return share
 
 
-def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
+def shard_quotas(quotas: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
     """quotas: source, quota (blocks). Returns source, shard, quota, first: the run of the source's draws a shard gets.
 
     A node holds block counts by source for its range of shards; its left child draws as many blocks as its share of
-    the shards asks for, without replacement, each block of the node as likely as any other. shards is a power of two.
+    the shards asks for, without replacement, each block of the node as likely as any other. Nodes of a level are rows
+    of their own; one holds a number a source, and a draw takes steps with the root of it. shards is a power of two.
     """
     if shards & (shards - 1):
         raise ValueError("shards must be a power of two")
@@ -145,22 +173,30 @@ def _key(id_column: Column, number: Column, seed: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), id_column.cast("string"), number.cast("string")))
 
 
-def plan_mix(rows: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+def shards_for(words: float, blocks: int) -> int:
+    """The number of output shards: a power of two, as SHARD_WORDS and SHARD_BLOCKS ask for; two at least."""
+    wanted = min(words / SHARD_WORDS, blocks / SHARD_BLOCKS)
+    return max(2, 1 << math.ceil(math.log2(max(1, wanted))))
+
+
+def plan_mix(rows: DataFrame, blocks: int = BLOCKS, shards: int | None = None, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     """rows: source, block, size. Returns the sources (source, source_size, weight, target) and the draws of their blocks
-    (source, block, copies: an array of pass and shard). A block that is not drawn has no row."""
+    (source, block, copies: an array of pass and shard). A block that is not drawn has no row. The number of shards
+    follows from the targets unless it is given."""
     grouped = materialize(rows.groupBy("source", "block").agg(F.sum("size").alias("words")))
     sources = materialize(source_targets(grouped.groupBy("source").agg(F.sum("words").alias("source_size"))))
     placed = grouped.withColumn("place", _hashed(F.lit(seed), F.lit("block"), F.col("block").cast("string")))
     draws = materialize(block_draws(placed, sources))
-    runs = shard_quotas(draws.select("source", F.size("draws").alias("quota")), shards, seed)
+    drawn = draws.agg(F.sum("target"), F.sum(F.size("draws"))).first()
+    runs = shard_quotas(draws.select("source", F.size("draws").alias("quota")), shards or shards_for(drawn[0] or 0, drawn[1] or 0), seed)
     slots = draws.select("source", F.posexplode("draws").alias("slot", "draw")).select("source", "slot", "draw.block", "draw.pass")
-    mine = F.col("source").eqNullSafe(F.col("of")) & (F.col("slot") >= F.col("first")) & (F.col("slot") < F.col("first") + F.col("quota"))
-    dealt = slots.join(runs.withColumnRenamed("source", "of"), mine).drop("of")
+    seats = runs.filter("quota > 0").select(F.col("source").alias("of"), "shard", F.explode(F.sequence("first", F.col("first") + F.col("quota") - 1)).alias("seat"))
+    dealt = slots.join(seats, F.col("source").eqNullSafe(F.col("of")) & (F.col("slot") == F.col("seat")))
     return sources, materialize(dealt.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("copies")))
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS, shards: int = SHARDS, seed: str = SEED
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS, shards: int | None = None, seed: str = SEED
 ) -> DataFrame:
     """One row per input row: id, source, size, source_size, target and draws, an array of (pass, shard, key).
 
@@ -176,17 +212,19 @@ def mix_sources(
 
 
 def mix_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS, shards: int = SHARDS, seed: str = SEED
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS, shards: int | None = None, seed: str = SEED
 ) -> DataFrame:
-    """The mix: each input row once for each of its draws, with mix_shard, mix_pass and mix_key added.
+    """The mix: each input row once for each of its draws, with mix_shard, mix_pass and mix_key added or replaced.
 
     Rows meet the draws of their block, which are few beside the rows, so texts move only if those are not broadcast.
     """
-    rows = docs.withColumn("_block", block_of(F.col(id_col), blocks, seed))
-    _, taken = plan_mix(rows.select(F.col(source_col).alias("source"), F.col("_block").alias("block"), word_count(F.col(text_col)).alias("size")), blocks, shards, seed)
-    draws = taken.select(F.col("source").alias("_of"), F.col("block").alias("_its"), F.explode("copies").alias("_draw"))
-    met = rows.join(draws, F.col(source_col).eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_its")))
-    return met.select(*docs.columns, F.col("_draw.shard").alias("mix_shard"), F.col("_draw.pass").alias("mix_pass"), _key(F.col(id_col), F.col("_draw.pass"), seed).alias("mix_key"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    rows = own.withColumn("block", block_of(F.col("id"), blocks, seed))
+    _, taken = plan_mix(rows.select("source", "block", word_count(F.col("text")).alias("size")), blocks, shards, seed)
+    draws = taken.select(F.col("source").alias("of"), F.col("block").alias("its"), F.explode("copies").alias("draw"))
+    met = rows.join(draws, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("its")))
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("mix_shard", "mix_pass", "mix_key")]
+    return met.select(*kept, F.col("draw.shard").alias("mix_shard"), F.col("draw.pass").alias("mix_pass"), _key(F.col("id"), F.col("draw.pass"), seed).alias("mix_key"))
 
 
 def _null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -196,5 +234,5 @@ def _null_safe_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 
 
 def emit_shards(mixed: DataFrame) -> DataFrame:
-    """The mix by output shard, shuffled within each."""
-    return mixed.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_key")
+    """The mix in the order of its output shards, shuffled within each; a large shard takes several tasks."""
+    return mixed.repartitionByRange("mix_shard", "mix_key").sortWithinPartitions("mix_shard", "mix_key")
