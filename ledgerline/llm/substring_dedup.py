@@ -72,76 +72,63 @@ def chunk_ends(data: bytes) -> np.ndarray:
     return ends
 
 
-def _chunk_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    docs, spans, digests, firsts = [], [], [], []
-    size = 0
-
-    def emit():
-        pair = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        where = np.concatenate(spans)
-        return pa.record_batch(
-            {
-                "high": np.ascontiguousarray(pair[:, 0]),
-                "low": np.ascontiguousarray(pair[:, 1]),
-                "doc": pa.array([d for d, s in zip(docs, spans, strict=True) for _ in range(len(s))], pa.int64()),
-                "start": np.ascontiguousarray(where[:, 0]),
-                "bytes": np.ascontiguousarray(where[:, 1] - where[:, 0]),
-                "first": pa.array(np.concatenate(firsts)),
-            }
-        )
+CHUNKS = "row long, doc long, start long, bytes long, high long, low long"
+
 
+def _chunk_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each input row itself, where start is -1, and one for each of its chunks."""
     for batch in batches:
-        for doc, text in zip(batch["doc"].to_pylist(), batch["text"], strict=True):
+        docs, spans, digests, size = [], [], [], 0
+
+        def emit():
+            pair = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            where, lengths = np.concatenate(spans), [len(s) for s in spans]
+            named = {"row": pa.array([r for r, _ in docs], pa.int64()), "doc": pa.array([d for _, d in docs], pa.int64())}
+            each = pa.array(np.repeat(np.arange(len(docs)), lengths))
+            numbers = {"start": where[:, 0], "bytes": where[:, 1], "high": pair[:, 0], "low": pair[:, 1]}
+            return pa.record_batch({k: v.take(each) for k, v in named.items()} | {k: pa.array(np.ascontiguousarray(v)) for k, v in numbers.items()})
+
+        for row, doc, text in zip(batch["row"].to_pylist(), batch["doc"].to_pylist(), batch["text"], strict=True):
             data = text.as_py() or b""
             ends = chunk_ends(data)
-            if not len(ends):
-                continue
-            starts = np.concatenate(([0], ends[:-1]))
-            own = [xxh3_128_digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            first = np.zeros(len(own), bool)
-            first[[*{d: i for i, d in zip(range(len(own) - 1, -1, -1), reversed(own), strict=True)}.values()]] = True
-            docs.append(doc)
-            spans.append(np.stack((starts, ends), axis=1))
-            digests += own
-            firsts.append(first)
-            size += len(own)
+            starts = np.concatenate((np.zeros(min(1, len(ends)), np.int64), ends[:-1]))
+            docs.append((row, doc))
+            spans.append(np.concatenate(([[-1, len(data)]], np.stack((starts, ends - starts), axis=1))))
+            digests.append(bytes(16))
+            digests += [xxh3_128_digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            size += len(spans[-1])
             if size >= ROWS:
                 yield emit()
-                docs, spans, digests, firsts, size = [], [], [], [], 0
-    if size:
-        yield emit()
-
+                docs, spans, digests, size = [], [], [], 0
+        if size:
+            yield emit()
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE) -> DataFrame:
-    """One row per document: id, text_bytes, has_repeat, n_passages, repeated_bytes, removed_bytes, kept_bytes, removed.
 
-    A passage is a run of chunks that each occur elsewhere too, in this document or another, and of at least `passage`
-    bytes in all. Of a chunk's occurrences the first in the smallest id stays; the others, within passages, are what
-    `removed` lists as byte spans (start, stop) of the UTF-8 text. Null text counts as empty and has none. Rows that
-    share an id count as one document's repeats of each other; all null ids are one document, and it stays last. An
-    empty table gives no rows.
-    """
-    rows = bound_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    chunks = rows.mapInArrow(_chunk_task, "high long, low long, doc long, start long, bytes long, first boolean")
-    seen = chunks.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("doc").alias("keeper")).filter("n > 1")
+def _passages(rows: DataFrame, passage: int) -> DataFrame:
+    """rows: row (a key of its own), doc, text. One row each: row, doc, text_bytes and what repeated_passages tells."""
+    chunked = materialize(rows.mapInArrow(_chunk_task, CHUNKS))
+    chunks = chunked.filter("start >= 0")
+    place = F.struct(F.col("doc").isNull().alias("nameless"), "doc", "row", "start")
+    seen = chunks.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(place).alias("keeper")).filter("n > 1").select("high", "low", F.col("keeper.row").alias("keeper_row"), F.col("keeper.start").alias("keeper_start"))
     # Read anew, so that a chunk that a third of the texts hold can be split in the join.
-    repeats = chunks.join(materialize(seen), ["high", "low"]).select("doc", "start", "bytes", (F.col("first") & F.col("doc").eqNullSafe(F.col("keeper"))).alias("stays"))
-    in_order = Window.partitionBy("doc").orderBy("start")
+    stays = (F.col("row") == F.col("keeper_row")) & (F.col("start") == F.col("keeper_start"))
+    repeats = chunks.join(materialize(seen), ["high", "low"]).select("row", "start", "bytes", stays.alias("stays"))
+    in_order = Window.partitionBy("row").orderBy("start")
     apart = F.coalesce(F.lag(F.col("start") + F.col("bytes")).over(in_order) < F.col("start"), F.lit(True))
     runs = repeats.withColumn("run", F.sum(apart.cast("int")).over(in_order))
-    sums = runs.groupBy("doc", "run").agg(
+    sums = runs.groupBy("row", "run").agg(
         F.sum("bytes").alias("bytes"),
         F.sum(F.when(~F.col("stays"), F.col("bytes")).otherwise(0)).alias("removed_bytes"),
         F.sort_array(F.collect_list(F.when(~F.col("stays"), F.struct("start", (F.col("start") + F.col("bytes")).alias("stop"))))).alias("removed"),
     )
-    found = sums.filter(F.col("bytes") >= passage).groupBy("doc").agg(
+    found = sums.filter(F.col("bytes") >= passage).groupBy("row").agg(
         F.count("*").alias("n_passages"), F.sum("bytes").alias("repeated_bytes"), F.sum("removed_bytes").alias("removed_bytes"), F.sort_array(F.flatten(F.collect_list("removed"))).alias("removed")
     )
-    sizes = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("text_bytes"))
     none = F.lit(0).cast("long")
-    joined = sizes.join(found, F.col("id").eqNullSafe(F.col("doc")), "left")
+    joined = chunked.filter("start < 0").select("row", "doc", F.col("bytes").alias("text_bytes")).join(found, "row", "left")
     return joined.select(
-        F.col("id").alias(id_col),
+        "row",
+        "doc",
         "text_bytes",
         F.coalesce(F.col("n_passages") > 0, F.lit(False)).alias("has_repeat"),
         *[F.coalesce(c, none).alias(c) for c in ("n_passages", "repeated_bytes", "removed_bytes")],
@@ -150,16 +137,31 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def cut_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without the byte spans that `removed` lists. A character that a span cuts through stays."""
-    joined = docs.join(found.select(id_col, "removed"), id_col, "left")
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE) -> DataFrame:
+    """One row per input row: id, text_bytes, has_repeat, n_passages, repeated_bytes, removed_bytes, kept_bytes, removed.
+
+    A passage is a run of chunks that each occur elsewhere too, in this text or another, and of at least `passage` bytes
+    in all. Of a chunk's occurrences the first in the smallest id stays; the others, within passages, are what `removed`
+    lists as byte spans (start, stop) of the UTF-8 text. Null text counts as empty and has none. Rows that share an id,
+    or have none, are texts of their own, in the order of the table; those without an id come last. An empty table
+    gives no rows.
+    """
+    rows = bound_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    return _passages(rows, passage).drop("row").withColumnRenamed("doc", id_col)
+
+
+def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE) -> DataFrame:
+    """The documents without their repeated passages, as many rows as there were. A character that a span cuts through stays."""
+    rows = materialize(bound_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("all")))
+    found = _passages(rows.select("row", F.col(f"all.`{id_col}`").cast("long").alias("doc"), F.col(f"all.`{text_col}`").cast("binary").alias("text")), passage)
+    joined = rows.join(found.select("row", "removed"), "row", "left")
     names = docs.columns
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text_col)
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch[text_col].to_pylist(), batch["removed"].to_pylist(), strict=True):
+            columns, texts = list(batch.columns[:-1]), []
+            for text, spans in zip(columns[at].to_pylist(), batch.columns[-1].to_pylist(), strict=True):
                 if text is not None and spans:
                     data, kept, end = text.encode(), [], 0
                     for span in spans:
@@ -172,8 +174,7 @@ def cut_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text
                         end = max(end, stop)
                     text = b"".join([*kept, data[end:]]).decode()
                 texts.append(text)
-            columns = [batch[c] for c in names]
             columns[at] = pa.array(texts, pa.string())
             yield pa.record_batch(columns, names=names)
 
-    return joined.select(*names, "removed").mapInArrow(task, docs.schema)
+    return joined.select(*[F.col(f"all.`{c}`") for c in names], F.col("removed").alias("_spans")).mapInArrow(task, docs.schema)
