@@ -1,14 +1,15 @@
 """Language-model scoring by prediction by partial matching over bytes, beside a unigram base.
 
-A text is a sequence of words and one end. PPM codes each word byte by byte, a blank after it, in the context of up to
-four bytes before (not beyond the word's own start): the longest context known from training predicts the byte, or
+A text is a sequence of words and one end. PPM codes it byte by byte, a blank between words and an end after the last,
+in the context of the four bytes before, across words: the longest context known from training predicts the byte, or
 escapes, with as much weight as it has distinct bytes, to the next shorter one, in which the bytes already ruled out
-no longer count. As contexts stay in a word, a word's code length is computed once, not once an occurrence.
+no longer count. An end stands before the first byte too.
 
-The work: documents are dealt to blocks; a block's distinct words go, packed by a hash into buckets, to where their
-training counts are summed over all blocks; byte contexts are counted from those sums; and each block gets its own
-words back with their scores. So no task holds the vocabulary, and only the context trie is broadcast. Its size is
-bounded: of each order it keeps the strings with at least 1/2**20 of all training bytes, so 2**20 at most.
+What a byte costs depends on its string alone, the byte and the four before it. So documents are dealt to blocks; a
+block's distinct words and distinct strings go, packed by bucket, to where their training counts are summed over all
+blocks, and come back with what they cost. The trie is dealt by the last two bytes of a context: a bucket has all of the
+orders two to four below its own pairs, and a pair has 2**24 strings at most. Of orders one and zero, which all share,
+there are no more than 65,792 strings; these are broadcast. Nothing is left out, however seldom it occurs.
 """
 
 from __future__ import annotations
@@ -19,17 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import bound_batches, materialize, release
 
 ORDER = 4
-#: A string of the context trie has at least this part of all training bytes.
-KEEP = 2.0**-20
-#: Bytes of text in a block.
-BLOCK = 24 << 20
+#: Bytes of text in a block, and of all text for a bucket.
+BLOCK, BUCKET = 24 << 20, 256 << 20
+#: Bytes that are looked at together, and strings that are gathered before they are summed up.
+STEP, GATHER = 1 << 20, 4_000_000
 BLANK, END = b" ", b"\n"
+LEAD = b"\0" * (ORDER - 1) + END
 MASKS = [np.uint64((1 << 8 * n) - 1) for n in range(ORDER + 2)]
 
 
@@ -38,18 +41,21 @@ def split_words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def word_events(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte that is coded, the string of it and the four before (from a word's start: a blank and zeros), and where each word begins."""
-    lead = b"\0" * (ORDER - 1) + BLANK
-    coded = [w if w == END else w + BLANK for w in words]
-    line = np.frombuffer(lead + lead.join(coded), np.uint8).astype(np.uint64)
-    strings = np.zeros(len(line), np.uint64)
-    for back in range(ORDER + 1):
-        strings[ORDER:] |= line[ORDER - back : len(line) - back] << np.uint64(8 * back)
-    lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-    begins = np.cumsum(lengths) - lengths
-    own = np.arange(lengths.sum()) + np.repeat((np.arange(len(coded)) + 1) * ORDER, lengths)
-    return strings[own], begins
+def strings_of(lines: list[bytes]) -> Iterator[np.ndarray]:
+    """For each byte of each line and its end, in turn, the string of it and the four before it; some at a time."""
+    if not lines:
+        return
+    data = np.frombuffer(LEAD + (END + LEAD).join(lines) + END, np.uint8)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
+    coded = np.ones(len(data), bool)
+    begins = np.cumsum(sizes + ORDER) - sizes
+    coded[(begins[:, None] - np.arange(1, ORDER + 1)).ravel()] = False
+    for at in range(ORDER, len(data), STEP):
+        part = data[at - ORDER : at + STEP].astype(np.uint64)
+        strings = part[ORDER:].copy()
+        for back in range(1, ORDER + 1):
+            strings |= part[ORDER - back : len(part) - back] << np.uint64(8 * back)
+        yield strings[coded[at : at + STEP]]
 
 
 def grouped(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,33 +68,67 @@ def grouped(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(weights, first)
 
 
+class Tally:
+    """Sums of counts by string; what is gathered is summed up again and again."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
+        self.held = 0
+
+    def add(self, strings: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((strings, counts))
+        self.held += len(strings)
+        if self.held > max(GATHER, 2 * len(self.parts[0][0])):
+            self.sums()
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.held:
+            self.parts, self.held = [grouped(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))], 0
+        return self.parts[0]
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys stand in an ascending table, and whether they do."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
 class PpmModel:
-    """A pretrained context trie.
+    """A pretrained context trie, or the part of it below some pairs of bytes.
 
-    orders: for each length of context, the strings of a context and a byte with their counts, and the contexts with
-    all that followed them. Strings that were left out for their small counts add to a context's escape. Of the n
-    times a context was seen, each of its bytes gives half a count to the escape.
+    For each length of context: the strings of a context and a byte with their counts, and the contexts with all that
+    followed them. Of the n times a context was seen, each of its bytes gives half a count to the escape.
     """
 
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.strings, self.counts, self.contexts, self.totals = (list(x) for x in zip(*orders, strict=True))
-        self.kinds, self.left_out, self.ruled_out = [], [], []
-        for n, (strings, counts, contexts, totals) in enumerate(orders):
-            above = np.searchsorted(contexts, strings >> np.uint64(8))
+    def __init__(self, strings: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None):
+        """strings: those of five bytes, with their training counts; low: those of two bytes, if they come from more than these."""
+        seen = counts > 0
+        strings, counts = strings[seen], counts[seen]
+        low = grouped(strings & MASKS[2], counts) if low is None else low
+        self.strings, self.counts, self.contexts, self.totals, self.kinds, self.ruled_out = [], [], [], [], [], []
+        for n in range(ORDER + 1):
+            longer, n_longer = low if n < 2 else (strings, counts)
+            own, sums = grouped(longer & MASKS[n + 1], n_longer)
+            contexts, totals = grouped(own >> np.uint64(8), sums)
+            above = np.searchsorted(contexts, own >> np.uint64(8))
             self.kinds.append(np.bincount(above, minlength=len(contexts)))
-            self.left_out.append(totals - np.bincount(above, counts, len(contexts)))
             # What the bytes seen in a context weigh in the next shorter one.
             if n:
-                at, found = _find(self.strings[n - 1], strings & MASKS[n])
-                self.ruled_out.append(np.bincount(above, np.where(found, self.counts[n - 1][at] if len(self.counts[n - 1]) else 0, 0), len(contexts)))
+                at, found = _find(self.strings[n - 1], own & MASKS[n])
+                weights = np.where(found, self.counts[n - 1][at], 0) if len(self.strings[n - 1]) else np.zeros(len(own))
+                self.ruled_out.append(np.bincount(above, weights, len(contexts)))
             else:
                 self.ruled_out.append(None)
+            for held, x in zip((self.strings, self.counts, self.contexts, self.totals), (own, sums, contexts, totals), strict=True):
+                held.append(x)
 
     def log10(self, strings: np.ndarray) -> np.ndarray:
         """The log10 probability of the last byte of each string after the others."""
         out, open_, came = np.zeros(len(strings)), np.ones(len(strings), bool), np.full(len(strings), -1)
-        last, left = len(self.strings) - 1, np.full(len(strings), 256)
-        for n in range(last, -1, -1):
+        left = np.full(len(strings), 256)
+        for n in range(ORDER, -1, -1):
             at, known = _find(self.contexts[n], (strings >> np.uint64(8)) & MASKS[n])
             use = np.flatnonzero(open_ & known)
             if not len(use):
@@ -96,31 +136,16 @@ class PpmModel:
             at, above = at[use], came[use]
             total, kinds = self.totals[n][at].astype(float), self.kinds[n][at]
             left[use] = 256 - kinds
-            if n < last:
+            if n < ORDER:
                 total = total - np.where(above >= 0, self.ruled_out[n + 1][above], 0)
                 kinds = kinds - np.where(above >= 0, self.kinds[n + 1][above], 0)
             place, seen = _find(self.strings[n], strings[use] & MASKS[n + 1])
-            count = np.where(seen, self.counts[n][place] - 0.5, 0) if len(self.counts[n]) else np.zeros(len(use))
-            escape = kinds / 2 + self.left_out[n][at]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out[use] += np.log10(np.where(seen, count, escape) / total, where=seen | (escape > 0), out=np.zeros(len(use)))
+            weight = np.where(seen, self.counts[n][place] - 0.5, kinds / 2)
+            out[use] += np.log10(weight / np.where(weight > 0, total, 1), where=weight > 0, out=np.zeros(len(use)))
             came[use] = at
             open_[use[seen]] = False
         return out - np.where(open_, np.log10(np.maximum(left, 1)), 0.0)
 
-    def score_words(self, words: list[bytes]) -> np.ndarray:
-        strings, begins = word_events(words)
-        distinct, back = np.unique(strings, return_inverse=True)
-        return np.add.reduceat(self.log10(distinct)[back], begins)
-
-
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where keys stand in an ascending table, and whether they do."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
-
 
 def _pack(words: list[bytes]) -> bytes:
     return BLANK.join(words)
@@ -130,150 +155,167 @@ def _unpack(data: bytes) -> list[bytes]:
     return data.split(BLANK) if data else []
 
 
+PIECES = "bucket int, block int, words binary, counts binary, strings binary, string_counts binary"
+
+
+def _piece(bucket: int, block: int, words: list[bytes], counts: np.ndarray, strings: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    data = {"words": _pack(words), "counts": counts.astype("<i8").tobytes(), "strings": strings.astype("<u8").tobytes(), "string_counts": sums.astype("<i8").tobytes()}
+    return pa.record_batch({"bucket": pa.array([bucket], pa.int32()), "block": pa.array([block], pa.int32())} | {k: pa.array([v], pa.binary()) for k, v in data.items()})
+
+
+def _by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _string_bucket(strings: np.ndarray, buckets: int) -> np.ndarray:
+    """By the last two bytes of the context."""
+    pair = (strings >> np.uint64(8)) & MASKS[2]
+    return ((pair * np.uint64(2654435761) >> np.uint64(12)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _count_task(buckets: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A partition is a block: its distinct words with their training counts, packed by bucket."""
-        everything: Counter = Counter()
-        held_out: Counter = Counter()
-        block = None
+        """A partition is a block: its distinct words and strings with their training counts, packed by bucket."""
+        seen: Counter = Counter()
+        asked: set = set()
+        tally, block = Tally(), None
         for batch in batches:
+            lines: dict[bool, list[bytes]] = {False: [], True: []}
             for block, out, text in zip(batch["block"].to_pylist(), batch["held_out"].to_pylist(), batch["text"], strict=True):  # noqa: B007
                 words = split_words(text.as_py())
+                lines[out].append(BLANK.join(words))
                 words.append(END)
-                (held_out if out else everything).update(words)
-        for word in held_out.keys() - everything.keys():
-            everything[word] = 0
+                (asked if out else seen).update(words)
+            for out, own in lines.items():
+                for strings in strings_of(own):
+                    distinct, counts = np.unique(strings, return_counts=True)
+                    tally.add(distinct, np.zeros(len(distinct), np.int64) if out else counts)
         if block is None:
             return
-        words = list(everything)
-        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        words = [*seen, *(asked - seen.keys())]
+        counts = np.zeros(len(words), np.int64)
+        counts[: len(seen)] = [*seen.values()]
+        strings, sums = tally.sums()
+        order, cuts = _by_bucket(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets, buckets)
+        string_order, string_cuts = _by_bucket(_string_bucket(strings, buckets), buckets)
         for i in range(buckets):
-            own = [words[j] for j in order[cuts[i] : cuts[i + 1]]]
-            if own:
-                counts = np.array([everything[w] for w in own], "<i8")
-                yield pa.record_batch({"bucket": pa.array([i], pa.int32()), "block": pa.array([block], pa.int32()), "words": pa.array([_pack(own)], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
-        everything.clear()
-        words.clear()
+            at, string_at = order[cuts[i] : cuts[i + 1]], string_order[string_cuts[i] : string_cuts[i + 1]]
+            if len(at) or len(string_at):
+                yield _piece(i, block, [words[j] for j in at], counts[at], strings[string_at], sums[string_at])
+        del seen, asked, tally, words, strings, sums
         release()
 
     return task
 
 
 def _sum_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition is a bucket: its distinct words with their counts over all blocks."""
+    """A partition is a bucket: its distinct words and strings with their counts over all blocks. The block is -1."""
     total: dict[bytes, int] = {}
-    bucket = None
+    tally, bucket = Tally(), None
     for batch in batches:
-        for bucket, words, counts in zip(batch["bucket"].to_pylist(), batch["words"].to_pylist(), batch["counts"].to_pylist(), strict=True):  # noqa: B007
+        for bucket, words, counts, strings, sums in zip(*(batch[c].to_pylist() for c in ("bucket", "words", "counts", "strings", "string_counts")), strict=True):  # noqa: B007
             for word, n in zip(_unpack(words), np.frombuffer(counts, "<i8").tolist(), strict=True):
                 total[word] = total.get(word, 0) + n
+            tally.add(np.frombuffer(strings, "<u8"), np.frombuffer(sums, "<i8"))
     if bucket is not None:
         counts = np.fromiter(total.values(), "<i8", len(total))
-        yield pa.record_batch({"bucket": pa.array([bucket], pa.int32()), "words": pa.array([_pack(list(total))], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "tokens": pa.array([int(counts.sum())], pa.int64()), "kinds": pa.array([int((counts > 0).sum())], pa.int64())})
+        yield _piece(bucket, -1, list(total), counts, *tally.sums())
 
 
-def _string_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pair_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings of two bytes with their counts, and in a row without one the number of tokens and of known words."""
     for batch in batches:
-        for words, counts in zip(batch["words"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-            counts = np.frombuffer(counts, "<i8")
-            known = [w for w, n in zip(_unpack(words), counts.tolist(), strict=True) if n]
-            if known:
-                strings, begins = word_events(known)
-                lengths = np.diff(np.append(begins, len(strings)))
-                strings, sums = grouped(strings, np.repeat(counts[counts > 0], lengths))
-                for i in range(0, len(strings), 50_000):
-                    yield pa.record_batch({"string": strings[i : i + 50_000].view(np.int64), "n": sums[i : i + 50_000]})
-
-
-def train_ppm(vocabulary: DataFrame, keep: float = KEEP) -> PpmModel:
-    """The context trie from packed words and training counts. At most 1/keep strings of an order come to the driver."""
-    strings = materialize(vocabulary.mapInArrow(_string_task, "string long, n long").groupBy("string").agg(F.sum("n").alias("n")))
-    least = max(1.0, (strings.agg(F.sum("n")).first()[0] or 0) * keep)
-    orders = []
-    for n in range(ORDER + 1):
-        own = F.col("string").bitwiseAND(F.lit(int(MASKS[n + 1])))
-        parts = []
-        for key in (own, F.shiftrightunsigned(own, 8)):
-            got = strings.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
-            keys, counts = got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy().astype(np.int64)
-            order = np.argsort(keys)
-            parts += [keys[order], counts[order]]
-        orders.append(tuple(parts))
-    return PpmModel(orders)
-
-
-def _score_task(model, tokens: int, kinds: int):
+        for counts, strings, sums in zip(*(batch[c].to_pylist() for c in ("counts", "strings", "string_counts")), strict=True):
+            counts, sums = np.frombuffer(counts, "<i8"), np.frombuffer(sums, "<i8")
+            pairs, n = grouped(np.frombuffer(strings, "<u8")[sums > 0] & MASKS[2], sums[sums > 0])
+            yield pa.record_batch({"pair": pa.array([None, *pairs.tolist()], pa.int32()), "n": pa.array([int(counts.sum()), *n.tolist()], pa.int64()), "kinds": pa.array([int((counts > 0).sum())] + [0] * len(pairs), pa.int64())})
+
+
+SCORED = {"words": "binary", "known": "binary", "base": "binary", "strings": "binary", "cost": "binary"}
+
+
+def _score_task(low, tokens: int, kinds: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A partition is a bucket: first its vocabulary, then the words of one block after another."""
+        """A partition is a bucket: first its vocabulary and its part of the trie, then what one block after another asks for."""
         at: dict[bytes, int] = {}
-        counts = base = score = np.zeros(0)
+        known = base = cost = np.zeros(0)
+        table = np.zeros(0, np.uint64)
         for batch in batches:
-            for block, words, own in zip(batch["block"].to_pylist(), batch["words"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                words = _unpack(words)
+            for block, words, counts, strings, sums in zip(*(batch[c].to_pylist() for c in ("block", "words", "counts", "strings", "string_counts")), strict=True):
+                words, strings = _unpack(words), np.frombuffer(strings, "<u8")
                 if block < 0:
-                    at = {w: i for i, w in enumerate(words)}
-                    counts = np.frombuffer(own, "<i8")
-                    base = np.log10((counts + 1) / (tokens + kinds + 1))
-                    score = np.concatenate([model.value.score_words(words[i : i + 200_000]) for i in range(0, len(words), 200_000)])
+                    at, counts = {w: i for i, w in enumerate(words)}, np.frombuffer(counts, "<i8")
+                    known, base = (counts > 0).astype(np.uint8), np.log10((counts + 1) / (tokens + kinds + 1))
+                    model, table = PpmModel(strings, np.frombuffer(sums, "<i8"), low.value), strings
+                    cost = np.concatenate([np.zeros(0), *(model.log10(table[i : i + STEP]) for i in range(0, len(table), STEP))])
                     continue
                 places = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-                columns = {"known": (counts[places] > 0).astype(np.uint8), "base": base[places].astype("<f8"), "score": score[places].astype("<f8")}
-                yield pa.record_batch({"block": pa.array([block], pa.int32()), "words": pa.array([_pack(words)], pa.binary())} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in columns.items()})
+                made = {"words": _pack(words), "known": known[places].tobytes(), "base": base[places].astype("<f8").tobytes(), "strings": strings.tobytes(), "cost": cost[np.searchsorted(table, strings)].astype("<f8").tobytes()}
+                yield pa.record_batch({"block": pa.array([block], pa.int32())} | {k: pa.array([v], pa.binary()) for k, v in made.items()})
 
     return task
 
 
 def _document_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition is a block: first its words with their scores, then its documents."""
+    """A partition is a block: first its words and strings with what they cost, then its documents."""
     at: dict[bytes, int] = {}
-    parts: dict[str, list] = {"known": [], "base": [], "score": []}
-    known = base = score = None
+    parts: dict[str, list] = {"known": [], "base": [], "strings": [], "cost": []}
+    kinds = {"known": np.uint8, "base": "<f8", "strings": "<u8", "cost": "<f8"}
+    known = base = cost = table = None
     for batch in batches:
-        rows = []
-        columns = [batch[c].to_pylist() for c in ("words", "known", "base", "score")]
+        rows, lines = [], []
+        columns = [batch[c].to_pylist() for c in SCORED]
         for i, (words, *own) in enumerate(zip(*columns, strict=True)):
             if words is not None:
                 at.update(zip(_unpack(words), range(len(at), len(at) + len(own[0])), strict=True))
                 for (k, held), data in zip(parts.items(), own, strict=True):
-                    held.append(np.frombuffer(data, np.uint8 if k == "known" else "<f8"))
+                    held.append(np.frombuffer(data, kinds[k]))
                 continue
             if known is None:
-                known, base, score = (np.concatenate(x) for x in parts.values())
+                known, base, strings, cost = (np.concatenate(x) for x in parts.values())
+                table = pa.array(strings)
+                parts.clear()
             words = split_words(batch["text"][i].as_py())
+            lines.append(BLANK.join(words))
             words.append(END)
             places = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-            rows.append((i, len(words), int(known[places].sum(dtype=np.int64)), float(base[places].sum()), float(score[places].sum())))
+            rows.append((i, len(words), int(known[places].sum(dtype=np.int64)), float(base[places].sum())))
         if rows:
+            each = np.concatenate([cost[pc.index_in(pa.array(strings), value_set=table).to_numpy(zero_copy_only=False).astype(np.int64)] for strings in strings_of(lines)])
+            sizes = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
+            scores = np.add.reduceat(each, np.cumsum(sizes) - sizes)
             taken = pa.array([r[0] for r in rows], pa.int64())
             yield pa.record_batch(
-                [batch["id"].take(taken), batch["held_out"].take(taken), *(pa.array([r[j] for r in rows], kind) for j, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.float64())))],
+                [batch["id"].take(taken), batch["held_out"].take(taken), *(pa.array([r[j] for r in rows], kind) for j, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()))), pa.array(scores)],
                 names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"],
             )
+    at.clear()
+    del parts, known, base, cost, table
+    release()
 
 
-def ppm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, keep: float = KEEP) -> DataFrame:
+def ppm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """Train on the rows where held_out is false and score all: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Null text counts as empty: its one token is the end. Rows may repeat, null ids share a block. With nothing to
-    train on, every byte has 1/256 and the base 1. An empty table gives no rows.
+    Null text counts as empty: its one token is the end. Rows may repeat, and ids too; equal texts have equal scores.
+    With nothing to train on, every byte has 1/256 and the base 1. An empty table gives no rows.
     """
     spark = bound_batches(docs).sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks, buckets = max(parts, -(-size // block)), parts
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    words = materialize(rows.repartitionById(blocks, "block").mapInArrow(_count_task(buckets), "bucket int, block int, words binary, counts binary"))
-    vocabulary = materialize(words.repartitionById(buckets, "bucket").mapInArrow(_sum_task, "bucket int, words binary, counts binary, tokens long, kinds long"))
-    tokens, kinds = (x or 0 for x in vocabulary.agg(F.sum("tokens"), F.sum("kinds")).first())
-    model = spark.sparkContext.broadcast(train_ppm(vocabulary, keep))
-    both = words.unionByName(vocabulary.select("bucket", F.lit(-1).alias("block"), "words", "counts"))
-    scored = both.repartitionById(buckets, "bucket").sortWithinPartitions("block").mapInArrow(_score_task(model, tokens, kinds), "block int, words binary, known binary, base binary, score binary")
+    blocks, buckets = max(parts, -(-size // block)), max(parts, -(-size // bucket))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    pieces = materialize(rows.repartitionById(blocks, "block").mapInArrow(_count_task(buckets), PIECES))
+    vocabulary = materialize(pieces.repartitionById(buckets, "bucket").mapInArrow(_sum_task, PIECES))
+    pairs = vocabulary.mapInArrow(_pair_task, "pair int, n long, kinds long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).orderBy("pair").toArrow().to_pydict()
+    tokens, kinds = (pairs["n"].pop(0), pairs["kinds"].pop(0)) if pairs["n"] else (0, 0)
+    low = spark.sparkContext.broadcast((np.array(pairs["pair"][1:], np.uint64), np.array(pairs["n"], np.int64)))
+    asked = pieces.unionByName(vocabulary).repartitionById(buckets, "bucket").sortWithinPartitions("block")
+    scored = asked.mapInArrow(_score_task(low, tokens, kinds), "block int, " + ", ".join(f"{k} {v}" for k, v in SCORED.items()))
     nothing = F.lit(None).cast("binary")
-    lines = scored.select("block", F.lit(0).alias("after"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit(None).cast("boolean").alias("held_out"), nothing.alias("text"), "words", "known", "base", "score").unionByName(
-        rows.select("block", F.lit(1).alias("after"), "id", "held_out", "text", *[nothing.alias(c) for c in ("words", "known", "base", "score")])
-    )
+    of_block = scored.select("block", F.lit(0).alias("after"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit(None).cast("boolean").alias("held_out"), nothing.alias("text"), *SCORED)
+    lines = of_block.unionByName(rows.select("block", F.lit(1).alias("after"), "id", "held_out", "text", *[nothing.alias(c) for c in SCORED]))
     out = lines.repartitionById(blocks, "block").sortWithinPartitions("after").mapInArrow(_document_task, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -294,17 +294,17 @@ def test_warc_errors(spark):
             warc.read_warc(spark, folder).collect()
 
 
-def plain_ppm(counts):
+def plain_ppm(counted):
+    """counted: the training texts as bytes."""
     seen = [defaultdict(Counter) for _ in range(ppm.ORDER + 1)]
-    lead = b"\0" * (ppm.ORDER - 1) + b" "
-    for w, n in counts.items():
-        line = lead + (w if w == b"\n" else w + b" ")
+    for text in counted:
+        line = ppm.LEAD + text + ppm.END
         for i in range(ppm.ORDER, len(line)):
             for k in range(ppm.ORDER + 1):
-                seen[k][line[i - k : i]][line[i]] += n
+                seen[k][line[i - k : i]][line[i]] += 1
 
-    def score(w):
-        line, total = lead + (w if w == b"\n" else w + b" "), 0.0
+    def score(text):
+        line, total = ppm.LEAD + text + ppm.END, 0.0
         for i in range(ppm.ORDER, len(line)):
             out = set()
             for k in range(ppm.ORDER, -1, -1):
@@ -324,39 +324,60 @@ def plain_ppm(counts):
     return score
 
 
-def test_ppm_scores(spark):
+def test_ppm_scores(spark, monkeypatch):
     r = random.Random(9)
     texts = [*ODD, *(" ".join("".join(r.choices("abcdé", k=r.randint(1, 7))) for _ in range(r.randint(0, 60))) for _ in range(40))]
     frame = docs(spark, texts)
     fold = langid.fold(F.col("doc_id"), 7) == 2
-    got = {x.doc_id: x for x in ppm.ppm_scores(frame, fold, keep=0.0).collect()}
     tokens = {i: [*(w.encode() for w in words(t)), b"\n"] for i, t in enumerate(texts)}
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
     counts = Counter(w for i, ws in tokens.items() if not out[i] for w in ws)
-    n, v, score = sum(counts.values()), len(counts), plain_ppm(counts)
-    assert any(out.values()) and len(got) == len(texts)
-    for i, ws in tokens.items():
-        x = got[i]
-        assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (out[i], len(ws), sum(counts[w] > 0 for w in ws), n)
-        assert x.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws))
-        assert x.score == pytest.approx(sum(map(score, ws)))
-
-
-def test_ppm_probabilities_sum_to_one(spark):
-    frame = docs(spark, ["abra cadabra abra", "bar bar barn", "x"])
-    words_ = spark.createDataFrame([(b"abra bar \n", np.array([5, 3, 2], "<i8").tobytes())], "words binary, counts binary")
-    del frame
-    for keep in (0.0, 0.1):
-        model = ppm.train_ppm(words_, keep)
-        for context in (b"\0\0\0 ", b"abra", b"zzzz", b" bar"):
-            head = np.uint64(int.from_bytes(context, "big")) << np.uint64(8)
-            assert (10 ** model.log10(head | np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1)
+    lines = {i: b" ".join(ws[:-1]) for i, ws in tokens.items()}
+    n, v, score = sum(counts.values()), len(counts), plain_ppm([lines[i] for i in lines if not out[i]])
+    assert any(out.values())
+    for sizes in ({}, {"block": 3000, "bucket": 7000}):  # the query's own settings, and many blocks and buckets
+        got = {x.doc_id: x for x in ppm.ppm_scores(frame, fold, **sizes).collect()}
+        assert len(got) == len(texts)
+        for i, ws in tokens.items():
+            x = got[i]
+            assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (out[i], len(ws), sum(counts[w] > 0 for w in ws), n)
+            assert x.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws))
+            assert x.score == pytest.approx(score(lines[i]))
+
+
+def test_ppm_tells_the_order_of_words(spark):
+    r = random.Random(19)
+    line = "the cat sat on a mat and then the dog ran off".split()
+    texts = [" ".join(line)] * 20 + [" ".join(r.sample(line, len(line))) for _ in range(5)] + [" ".join(line), " ".join(line[::-1])]
+    frame = docs(spark, texts).union(docs(spark, [None, texts[0]]).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = ppm.ppm_scores(frame, F.coalesce(F.col("doc_id"), F.lit(25)) >= 25).collect()
+    got = {x.doc_id: x.score for x in rows}
+    assert len(rows) == 29 and got[25] > got[26] + 3 and got[25] == got[0]
+    assert [x.n_tokens for x in rows if x.doc_id is None and x.n_tokens == 1] == [1] and sum(x.score == got[0] for x in rows) == 22
+
+
+def test_strings_are_cut_alike_in_steps(monkeypatch):
+    lines = [b"abc", b"", b"defghij kl", b"m" * 50]
+    whole = np.concatenate(list(ppm.strings_of(lines))).tolist()
+    padded = [(ppm.LEAD + x + ppm.END)[i : i + 5] for x in lines for i in range(len(x) + 1)]
+    assert [int(x).to_bytes(5, "big") for x in whole] == padded
+    for step in (1, 7, 16):
+        monkeypatch.setattr(ppm, "STEP", step)
+        assert np.concatenate(list(ppm.strings_of(lines))).tolist() == whole
+
+
+def test_ppm_probabilities_sum_to_one():
+    strings = np.concatenate(list(ppm.strings_of([b"abra cadabra abra", b"bar bar barn", b"x"])))
+    model = ppm.PpmModel(*np.unique(strings, return_counts=True))
+    for context in (ppm.LEAD, b"abra", b"zzzz", b" bar", b"rn\nx"):
+        head = np.uint64(int.from_bytes(context, "big")) << np.uint64(8)
+        assert (10 ** model.log10(head | np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1)
 
 
 def test_ppm_without_training(spark):
     frame = docs(spark, ["ab", None])
     got = {r.doc_id: r for r in ppm.ppm_scores(frame, F.lit(True)).collect()}
-    assert got[1].n_tokens == 1 and got[1].n_known == 0 and got[0].base_score == 0 and got[0].score == pytest.approx(-4 * math.log10(256))
+    assert got[1].n_tokens == 1 and got[1].n_known == 0 and got[0].base_score == 0 and got[0].score == pytest.approx(-3 * math.log10(256))
     assert ppm.ppm_scores(frame.limit(0), F.lit(False)).count() == 0
 
 
@@ -416,6 +437,46 @@ def test_repeated_passages(spark):
     assert len(got) == len(texts) and {i for i, x in got.items() if x.has_repeat} == {*range(12), 30, 43}
     assert got[0].removed_bytes == 0 and got[0].repeated_bytes > 0.5 * len(passage) and got[5].removed_bytes > 0.5 * len(passage)
     assert got[43].kept_bytes == 0 and got[30].removed_bytes == 0 and got[40].text_bytes == 0
-    cut = {x.doc_id: x.text for x in substring_dedup.cut_passages(frame, found).collect()}
+    cut = {x.doc_id: x.text for x in substring_dedup.cut_passages(frame).collect()}
     assert cut[43] == "" and cut[40] is None and cut[20] == texts[20] and len(cut[5].encode()) == got[5].kept_bytes
     assert substring_dedup.repeated_passages(frame.limit(0)).count() == 0
+
+
+def plain_passages(rows, least=substring_dedup.PASSAGE):
+    """rows: (id, text), in the table's order. What repeated_passages tells of each, by position."""
+    cuts = [[*zip([0, *(e := substring_dedup.chunk_ends((t or "").encode()).tolist())[:-1]], e, strict=True)] if t else [] for _, t in rows]
+    places = defaultdict(list)
+    for at, ((i, t), own) in enumerate(zip(rows, cuts, strict=True)):
+        for a, b in own:
+            places[t.encode()[a:b]].append((i is None, i or 0, at, a))
+    out = []
+    for at, ((_, t), own) in enumerate(zip(rows, cuts, strict=True)):
+        runs, end = [], None
+        for a, b in own:
+            chunk = places[t.encode()[a:b]]
+            if len(chunk) > 1:
+                if end != a:
+                    runs.append([])
+                runs[-1].append((a, b, min(chunk)[2:] == (at, a)))
+                end = b
+        runs = [x for x in runs if x[-1][1] - x[0][0] >= least]
+        gone = [(a, b) for x in runs for a, b, stays in x if not stays]
+        size, removed = len((t or "").encode()), sum(b - a for a, b in gone)
+        out.append((size, bool(runs), len(runs), sum(x[-1][1] - x[0][0] for x in runs), removed, size - removed, gone))
+    return out
+
+
+def test_passages_of_rows_that_share_an_id(spark):
+    r = random.Random(13)
+    text = lambda n: " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(n))
+    a, b = text(150), text(150)
+    rows = [(1, a), (5, a), (5, a), (5, b + a), (None, a), (None, b), (None, None), (3, b + b), (7, "x" * 9000)]
+    frame = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, removed int").coalesce(1)
+    got = substring_dedup.repeated_passages(frame).collect()
+    plain = lambda x: (x.text_bytes, x.has_repeat, x.n_passages, x.repeated_bytes, x.removed_bytes, x.kept_bytes, [tuple(s) for s in x.removed])
+    key = lambda x: repr(x)
+    assert sorted(((x.doc_id, *plain(x)) for x in got), key=key) == sorted(((i, *p) for (i, _), p in zip(rows, plain_passages(rows), strict=True)), key=key)
+    assert all(0 <= x.kept_bytes <= x.text_bytes for x in got)
+    cut = {x.removed: x.text for x in substring_dedup.cut_passages(frame).collect()}
+    assert len(cut) == len(rows) and cut[0] == a and cut[1] == cut[2] == "" and cut[6] is None
+    assert [len((cut[k] or "").encode()) for k in range(len(rows))] == [p[5] for p in plain_passages(rows)]
