@@ -401,11 +401,30 @@ def test_nearest_neighbours(spark):
             hits += len({i for _, i in want} & {m[1] for m in mine})
         assert hits >= 0.9 * 10 * len(got) and len(got) == 7
         assert [m[1] for m in sorted(got[0])] == list(range(600, 610))
+    # Rows that share an id: each is a candidate, and each asks.
+    same = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [1.5, 0.0]), (100, [3.0, 0.0]), (100, [3.0, 0.5])], "vec_id long, embedding array<double>")
+    got = sorted((x.query_id, x.rank, x.vec_id, round(x.score, 3)) for x in ann.nearest_neighbours(same, F.col("vec_id") % 100 == 0, k=2).collect())
+    assert got == [(0, 1, 1, 0.5), (0, 2, 1, 1.0), (100, 1, 100, 0.5), (100, 1, 100, 0.5), (100, 2, 1, 1.0), (100, 2, 1, 1.118)]
     few = frame.filter("vec_id < 3")
     assert ann.nearest_neighbours(few, F.col("vec_id") % 100 == 0).count() == 2 and ann.nearest_neighbours(few.limit(0), F.lit(True)).count() == 0
     assert ann.chi_square_cdf(ann.stop_ratio(0.95, 8), 8) == pytest.approx(0.95)
 
 
+def test_neighbours_of_clusters_are_found_without_looking_at_all(spark):
+    r = np.random.default_rng(20)
+    vectors = (r.normal(size=(60, 32)) * 4)[r.integers(0, 60, 12_000)] + r.normal(size=(12_000, 32)) * 0.7
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(frame, F.col("vec_id") % 100 == 0, tree=1000, with_work=True).collect()
+    work = {x.query_id: x.verified for x in got}
+    assert len(work) == 120 and np.mean(list(work.values())) < 0.1 * len(vectors) and max(work.values()) < 0.3 * len(vectors)
+    hits = 0
+    for q in work:
+        off = ((vectors - vectors[q]) ** 2).sum(axis=1)
+        off[q] = np.inf
+        hits += len({x.vec_id for x in got if x.query_id == q} & set(np.argsort(off)[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(work)
+
+
 def plain_cuts(data):
     table, top = substring_dedup.TABLE, (1 << 32) - 1
     hashes = [sum(int(table[data[i - j]]) << j for j in range(min(substring_dedup.GEAR, i + 1))) % (1 << 32) for i in range(len(data))]
