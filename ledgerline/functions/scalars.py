@@ -10,11 +10,15 @@ MISSING = ("", "NA", "N/A")
 TRUE, FALSE = ("true", "1", "yes", "y"), ("false", "0", "no", "n")
 #: Exchange spellings and what they stand for.
 EXCHANGES = {"NYSE AMERICAN": "AMEX", "NYSE MKT": "AMEX", "NYSEMKT": "AMEX"}
+#: Spellings of listed exchanges in symbol lists, and exchanges over the counter.
+LISTED = {"NYSE": "NYSE", "NASDAQ": "NASDAQ", "AMEX": "AMEX", "NYSE MKT": "AMEX", "NYSE AMERICAN": "AMEX", "BATS": "BATS"}
+OVER_THE_COUNTER = ("OTC", "OTCBB", "OTCGREY", "OTCMKTS", "OTCQB", "OTCQX", "OTCM", "PINK")
 #: Types of common equity, and markers of other securities in a type.
 COMMON_TYPES = ("COMMON", "COMMON STOCK", "COMMON SHARE", "COMMON SHARES", "COMMON EQUITY", "CS", "EQUITY")
 OTHER_MARKERS = ("ETF", "FUND", "TRUST", "ETN", "WARRANT", "WARRANTS", "UNIT", "UNITS", "RIGHT", "RIGHTS", "PREFERRED", "PREFERENCE")
-#: Endings of a code after a hyphen, and words of a name, that mark other securities.
-OTHER_SUFFIXES = ("P", "PR", *(f"PR{x}" for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "R", "RT", "RW", "U", "UN", "UNIT", "W", "WS", "WT", "WTA", "WTB", "WTC")
+#: Parts of a code after a hyphen (whole ones and beginnings), last letters, and words of a name, that mark
+#: other securities.
+OTHER_PARTS, OTHER_BEGINNINGS, OTHER_LETTERS = ("P", "R", "RT", "RW", "U", "UN", "UNIT", "W", "WS"), ("PR", "WT"), ("D", "W", "R", "U", "P")
 OTHER_NAMES = r"(?i)\b(warrant|warrants|unit|units|right|rights|preferred|preference)\b"
 #: Rank buckets by the percentile they end at.
 RANK_BUCKETS = ((3, "TOP_3_PERCENT"), (5, "TOP_5_PERCENT"), (10, "TOP_DECILE"), (20, "TOP_20_PERCENT"), (30, "TOP_30_PERCENT"))
@@ -69,6 +73,18 @@ def canonical_exchange(exchange: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for pair in EXCHANGES.items() for x in pair])[upper], upper)
 
 
+def listed_exchange(exchange: Column, requested: Column, with_otc: bool = False) -> Column:
+    """The exchange of a row in the symbol list of a requested exchange; null if the row does not belong to it.
+
+    A blank one is the requested one. In the list of a listed exchange only its own spellings count, in another list
+    any exchange does, over the counter only with_otc.
+    """
+    own, asked = (F.upper(F.trim(F.coalesce(x, F.lit("")))) for x in (exchange, requested))
+    canonical = F.create_map(*[F.lit(x) for pair in LISTED.items() for x in pair])[own]
+    found = F.when(~asked.isin(*set(LISTED.values())), F.coalesce(F.nullif(own, F.lit("")), F.nullif(asked, F.lit("")))).when(own == "", asked).when(canonical == asked, asked)
+    return found if with_otc else F.when(~own.isin(*OVER_THE_COUNTER), found)
+
+
 def common_equity(*types: Column) -> Column:
     """Every given type is blank, or a common one without another security's marker. Without types all pass."""
     passes = F.lit(True)
@@ -81,9 +97,10 @@ def common_equity(*types: Column) -> Column:
 def other_security(code: Column, name: Column) -> Column:
     """A name or code that marks a warrant, unit, right or preferred share."""
     upper = F.upper(F.trim(F.coalesce(code, F.lit(""))))
-    by_suffix = F.exists(F.slice(F.split(upper, "-"), 2, 100), lambda x: x.isin(*OTHER_SUFFIXES))
-    by_letter = upper.rlike("^[A-Z]{4,}[DWRUP]$")
-    return F.coalesce(name, F.lit("")).rlike(OTHER_NAMES) | by_suffix | by_letter
+    beginning = lambda x: F.substring(x, 1, 2).isin(*OTHER_BEGINNINGS)
+    by_part = F.exists(F.slice(F.split(upper, "-"), F.lit(2), F.length(upper) + 1), lambda x: x.isin(*OTHER_PARTS) | beginning(x))
+    by_letter = ~upper.contains("-") & (F.length(upper) >= 5) & F.right(upper, F.lit(1)).isin(*OTHER_LETTERS)
+    return F.coalesce(name, F.lit("")).rlike(OTHER_NAMES) | by_part | by_letter
 
 
 def test_symbol(ticker: Column, name: Column, tickers: tuple[str, ...] = ("ZVZZT", "ZWZZT", "ZXZZT")) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
 
-from ledgerline.functions.scalars import canonical_exchange, epoch_ms_date, finite, lenient_bool, lenient_double, other_security, own_ticker, ratio, vendor_symbol
+from ledgerline.functions.scalars import canonical_exchange, epoch_ms_date, finite, lenient_bool, lenient_double, listed_exchange, other_security, own_ticker, ratio, vendor_symbol
 
 BAR_NUMBERS = ("open", "high", "low", "close", "volume", "dollar_volume")
 BAR_TEXT = StructType([StructField(c, StringType()) for c in ("date", "ticker", *BAR_NUMBERS[:5], "adjusted", "dollar_volume")])
@@ -74,14 +75,37 @@ def aggregate_bars(payloads: DataFrame) -> DataFrame:
     return rows.select("ticker", epoch_ms_date(F.col("r.t")).alias("date"), F.col("r.o").alias("open"), F.col("r.h").alias("high"), F.col("r.l").alias("low"), F.col("r.c").alias("close"), F.col("r.v").alias("volume"), "adjusted", (F.col("r.c") * F.col("r.v")).alias("dollar_volume"))
 
 
-def listing(rows: DataFrame, allowed: tuple[str, ...], order: str) -> DataFrame:
-    """A symbol list as a universe: common shares in USD on allowed exchanges, the first row of each symbol by `order`."""
-    exchange = canonical_exchange(F.col("Exchange"))
-    kept = rows.filter(
-        F.col("Code").isNotNull() & (F.upper("Currency") == "USD") & F.lower("Type").contains("common") & exchange.isin(*allowed) & ~exchange.contains("OTC") & ~other_security(F.col("Code"), F.col("Name"))
-    ).withColumn("exchange_name", exchange)
-    first = kept.withColumn("_s", vendor_symbol(F.col("Code"))).withColumn("_rn", F.row_number().over(Window.partitionBy("_s").orderBy(order))).filter("_rn = 1")
-    return first.select(F.col("_s").alias("symbol"), own_ticker(F.col("_s")).alias("ticker"), F.col("Name").alias("name"), F.col("exchange_name").alias("exchange"), F.col("Currency").alias("currency"), F.col("Type").alias("type"), F.col("Isin").alias("isin"))
+def listing(rows: DataFrame, requested: str | Column, order: str, with_otc: bool = False, is_delisted: bool | None = None) -> DataFrame:
+    """The symbol list of a requested exchange as a universe: common shares in USD, the first row of each symbol by `order`.
+
+    A blank exchange is the requested one; blank currencies and types pass. is_delisted is for rows that do not tell.
+    """
+    text = lambda c: F.nullif(F.trim(F.col(c)), F.lit("")) if c in rows.columns else F.lit(None).cast("string")
+    code, currency, kind = F.upper(text("Code")), F.upper(text("Currency")), text("Type")
+    exchange = listed_exchange(text("Exchange"), F.lit(requested) if isinstance(requested, str) else requested, with_otc)
+    passes = code.isNotNull() & exchange.isNotNull() & (currency.isNull() | (currency == "USD")) & (kind.isNull() | F.lower(kind).contains("common")) & ~other_security(code, F.col("Name"))
+    kept = rows.filter(passes).withColumn("_s", vendor_symbol(code)).withColumn("_rn", F.row_number().over(Window.partitionBy("_s").orderBy(order))).filter("_rn = 1")
+    delisted = F.coalesce(lenient_bool(text("IsDelisted")), F.lit(is_delisted).cast("boolean"))
+    return kept.select(
+        F.col("_s").alias("symbol"), own_ticker(F.col("_s")).alias("ticker"), text("Name").alias("name"), text("Country").alias("country"), exchange.alias("exchange"), currency.alias("currency"), kind.alias("type"), text("Isin").alias("isin"), delisted.alias("is_delisted")
+    )
+
+
+def read_sentiment(spark: SparkSession, path: str) -> DataFrame:
+    """Sentiment CSV: one row per ticker and date that have both; a count that is no number is 0. Without a file, no rows."""
+    kinds = "ticker string, eodhd_symbol string, date string, sentiment_count_raw string, sentiment_normalized_raw string"
+    try:
+        rows = spark.read.csv(path, header=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], kinds)
+    text = lambda c: F.trim(F.col(c)) if c in rows.columns else F.lit(None).cast("string")
+    count = F.coalesce(lenient_double(text("sentiment_count_raw")), F.lit(0.0)).cast("long").cast("double")
+    out = rows.select(
+        F.upper(text("ticker")).alias("ticker"), F.upper(text("eodhd_symbol")).alias("eodhd_symbol"), F.substring(text("date"), 1, 10).try_cast("date").alias("date"), count.alias("sentiment_count_raw"), lenient_double(text("sentiment_normalized_raw")).alias("sentiment_normalized_raw")
+    )
+    return out.filter((F.col("ticker") != "") & F.col("date").isNotNull())
 
 
 def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,8 +120,13 @@ def read_flat_files(spark: SparkSession, path: str, tickers: DataFrame, schema:
 
 
 def context_rows(spark: SparkSession, path: str | None, panel: DataFrame, tickers: list[str]) -> DataFrame:
-    """The context table, or without one the context tickers' rows of the panel."""
-    return spark.read.parquet(path) if path else panel.filter(F.col("ticker").isin(tickers))
+    """The context table, or where there is none the context tickers' rows of the panel."""
+    try:
+        return spark.read.parquet(path) if path else panel.filter(F.col("ticker").isin(tickers))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return panel.filter(F.col("ticker").isin(tickers))
 
 
 def wiki_constituents(pages: DataFrame) -> DataFrame:

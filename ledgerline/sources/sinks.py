@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ def fresher(spark, normalized: str, processed: str) -> str:
     def newest(path: str):
         try:
             return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.max("modificationTime")).first()[0]
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
 

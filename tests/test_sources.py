@@ -24,8 +24,18 @@ def test_listing(spark):
         (4, "CCC", "C Preferred", "NYSE", "USD", "Common Stock", "i"), (5, "DDD", "D", "PINK", "USD", "Common Stock", "i"), (6, "EEE", "E", "NYSE", "EUR", "Common Stock", "i"), (7, "FFF", "F", "NYSE", "USD", "ETF", "i"),
     ]
     df = spark.createDataFrame(rows, "at int, Code string, Name string, Exchange string, Currency string, Type string, Isin string")
-    (row,) = sources.listing(df, ("NYSE", "AMEX"), "at").collect()
+    (row,) = sources.listing(df, "AMEX", "at").collect()
     assert (row.symbol, row.exchange, row.name) == ("AAA.US", "AMEX", "Acme Inc")
+    blank = spark.createDataFrame([(1, "AAA", "A", None, "USD", "Common Stock"), (2, "BBB", "B", "NYSE", "", "Common Stock"), (3, "CCC", "C", "NYSE", "USD", None), (4, "ddd", "", "", "", "")], "at int, Code string, Name string, Exchange string, Currency string, Type string")
+    got = {r.ticker: r for r in sources.listing(blank, "NYSE", "at", is_delisted=True).collect()}
+    assert set(got) == {"AAA", "BBB", "CCC", "DDD"} and got["DDD"].exchange == "NYSE" and got["DDD"].name is None and got["BBB"].currency is None and got["AAA"].is_delisted
+
+
+def test_sentiment_csv(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("ticker,eodhd_symbol,date,sentiment_count_raw,sentiment_normalized_raw\naa,AA.US,2024-01-02T00:00,3.0,0.5\nbb,,2024-01-02,x,NaN\n,,2024-01-02,1,1\ncc,,,1,1\n")
+    got = sorted(map(tuple, sources.read_sentiment(spark, str(tmp_path / "s.csv")).collect()))
+    assert got == [("AA", "AA.US", dt.date(2024, 1, 2), 3.0, 0.5), ("BB", None, dt.date(2024, 1, 2), 0.0, None)]
+    assert sources.read_sentiment(spark, str(tmp_path / "absent.csv")).count() == 0
 
 
 def test_aggregates_and_payload_files(spark, tmp_path):
@@ -75,4 +85,5 @@ def test_processed_flat_and_context(spark, tmp_path):
     assert [r.ticker for r in flat.collect()] == ["B"]
     panel = spark.createDataFrame([("SPY", 1.0), ("A", float("nan"))], "ticker string, x double")
     assert [r.ticker for r in sources.context_rows(spark, None, panel, ["SPY"]).collect()] == ["SPY"]
+    assert [r.ticker for r in sources.context_rows(spark, str(tmp_path / "absent"), panel, ["SPY"]).collect()] == ["SPY"]
     assert {r.x for r in sources.clean(panel).collect()} == {1.0, None}
