@@ -1,48 +1,36 @@
-"""Streaming ingestion of bars: idempotent merges with a bounded look-back, and event-time windows on events."""
+"""Streaming ingestion of bars: idempotent merges of all that comes, and event-time windows on events."""
 
 from __future__ import annotations
 
 from functools import reduce
 from operator import and_
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators.upsert import merge, merge_into
+from ledgerline.operators.upsert import merge_into
 
 
-def stream_bars(spark: SparkSession, source: str, schema, table: str, checkpoint: str, overlap_days: int = 7, keys: tuple[str, ...] = ("ticker", "date")):
+def stream_bars(spark: SparkSession, source: str, schema, table: str, checkpoint: str, keys: tuple[str, ...] = ("ticker", "date", "adjusted")):
     """Merges files of bars into a table partitioned by month as they come; a batch that runs again changes nothing.
 
-    A vendor corrects only recent days: a row that would change a stored one from before its ticker's next fetch, which
-    begins so many days back from the latest stored date, goes to the table `{table}_late` instead. So do rows without
-    a key. All others are merged, as are all of a new table or ticker. Returns the started query, which takes what is
-    there and ends.
+    Every row with a key is merged, however old: what a fetch asks for is bounded where it is made (`fetch_start`), not
+    here. Of rows with one key the one in the later file counts, in one file the later row. Tickers are in capitals;
+    keys that the files lack are left out, and an unknown `adjusted` counts as true. Rows without a key go to the table
+    `{table}_unkeyed`. Returns the started query, which takes what is there and ends.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        rows = rows.withColumn("month", F.coalesce(F.date_format("date", "yyyy-MM"), F.lit("none")))
-        keyed = reduce(and_, [F.col(k).isNotNull() for k in keys])
-        late, fresh = rows.filter(~keyed), merge(rows.filter(keyed).limit(0), rows.filter(keyed), list(keys))
-        try:
-            there = spark.read.parquet(table)
-        except AnalysisException:
-            there = None
-        if there is not None:
-            latest = there.groupBy("ticker").agg(F.max("date").alias("_latest"))
-            old = there.select(*keys, F.struct(*[c for c in rows.columns if c in there.columns]).alias("_old"))
-            same = F.struct(*[F.col(f"_new.{c}") for c in rows.columns if c in there.columns]).eqNullSafe(F.col("_old"))
-            met = fresh.select(*keys, F.struct(*rows.columns).alias("_new")).join(latest, "ticker", "left").join(old, list(keys), "left")
-            closed = F.coalesce(F.col("_old").isNotNull() & (F.col("_new.date") < F.date_sub("_latest", max(overlap_days, 0) - 1)), F.lit(False))
-            late = late.unionByName(met.filter(closed & ~same).select("_new.*"))
-            fresh = met.filter(~closed).select("_new.*")
-        if not late.isEmpty():
-            merge_into(spark, f"{table.rstrip('/')}_late", late, rows.columns, "month")
-        if not fresh.isEmpty():
-            merge_into(spark, table, fresh, [*keys, "month"], "month")
-
-    stream = spark.readStream.schema(schema).parquet(source)
+        own = [k for k in keys if k in rows.columns]
+        rows = rows.withColumns({"ticker": F.upper("ticker"), "month": F.coalesce(F.date_format("date", "yyyy-MM"), F.lit("none"))} | ({"adjusted": F.coalesce("adjusted", F.lit(True))} if "adjusted" in own else {}))
+        keyed = reduce(and_, [F.col(k).isNotNull() for k in own])
+        if not rows.filter(~keyed).isEmpty():
+            merge_into(spark, f"{table.rstrip('/')}_unkeyed", rows.filter(~keyed).drop("_came"), [c for c in rows.columns if c != "_came"], "month", None)
+        if not rows.filter(keyed).isEmpty():
+            merge_into(spark, table, rows.filter(keyed), [*own, "month"], "month", "_came")
+
+    came = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index").alias("_came")
+    stream = spark.readStream.schema(schema).parquet(source).select("*", came)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
