@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import argmax, clipped_probabilities
+from ledgerline.sources.scratch import materialize
 
 
 def _present(c: str):
@@ -40,23 +41,24 @@ def regression_metrics(rows: DataFrame, date: str = "anchor_date", unique: str =
 
 
 #: Ranges of scores over which running sums are first taken.
-RANGES = 1024
+RANGES = 256
 
 
 def ranking_areas(rows: DataFrame) -> DataFrame:
     """rows: score, positive (0/1). One row: pr_auc (average precision over distinct scores) and roc_auc (ties count half).
 
-    Rows are first summed up by score. Running sums are taken within ranges of scores, and over the ranges' totals, so
-    no task sorts all scores.
+    Rows are first summed up by score, and the scores dealt to ranges of about as many scores each, written as they are
+    dealt. Running sums are taken within ranges, and over the ranges' totals, so no task sorts all scores, however they
+    lie.
     """
     by = rows.groupBy("score").agg(F.sum("positive").cast("double").alias("p"), F.count("*").cast("double").alias("n"))
-    ends = by.agg(F.struct(F.min("score").alias("low"), F.max("score").alias("high"), F.sum("p").alias("tp"), F.sum("n").alias("tn"))).scalar()
-    ranged = by.withColumn("_e", ends).withColumn("part", F.floor(F.coalesce((F.col("score") - F.col("_e.low")) / F.nullif(F.col("_e.high") - F.col("_e.low"), F.lit(0.0)), F.lit(0.0)) * RANGES))
+    ranged = materialize(by.repartitionByRange(RANGES, F.desc("score")).withColumn("part", F.spark_partition_id()))
+    ends = ranged.agg(F.struct(F.sum("p").alias("tp"), F.sum("n").alias("tn"))).scalar()
     within = Window.partitionBy("part").orderBy(F.desc("score"))
-    ranged = ranged.withColumns({"cp": F.sum("p").over(within), "cn": F.sum("n").over(within)})
-    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumns({"cp": F.sum("p").over(within), "cn": F.sum("n").over(within), "_e": ends})
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     offsets = ranged.groupBy("part").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn")).select("part", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(o) for c, o in (("sp", "op"), ("sn", "on"))])
-    whole = ranged.join(offsets, "part").withColumns({"cp": F.col("cp") + F.col("op"), "cn": F.col("cn") + F.col("on"), "tp": F.col("_e.tp"), "tn": F.col("_e.tn") - F.col("_e.tp")})
+    whole = summed.join(F.broadcast(offsets), "part").withColumns({"cp": F.col("cp") + F.col("op"), "cn": F.col("cn") + F.col("on"), "tp": F.col("_e.tp"), "tn": F.col("_e.tn") - F.col("_e.tp")})
     higher = F.col("cp") - F.col("p")
     return whole.agg(
         F.sum(F.col("p") / F.nullif(F.col("tp"), F.lit(0.0)) * F.col("cp") / F.col("cn")).alias("pr_auc"),
@@ -73,10 +75,14 @@ def beside(one: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def classification_metrics(rows: DataFrame, classes: int, date: str = "anchor_date", unique: str = "ticker", realized: str | None = None) -> DataFrame:
-    """rows: date, unique, probabilities (array), actual (class). One row of metrics; the last class is the positive one."""
+    """rows: date, unique, probabilities (array), actual (class). One row of metrics; the last class is the positive one.
+
+    The scored rows are written once, narrow, and all metrics read them.
+    """
     scored = rows.withColumn("_prob", clipped_probabilities(F.col("probabilities"))).withColumns(
         {"score": F.element_at("_prob", classes), "_label": argmax(F.col("_prob")), "positive": (F.col("actual") == classes - 1).cast("int")}
     )
+    scored = materialize(scored.select(date, unique, "actual", "_prob", "score", "_label", "positive", *([realized] if realized else [])))
     hit = F.col("_label") == F.col("actual")
     k = range(classes)
     sums = scored.agg(
@@ -110,8 +116,7 @@ def leaderboard(metrics: DataFrame, kind: str, split: str = "val") -> DataFrame:
     rows = metrics.filter(F.col("split") == split)
     if kind == "regression":
         long = ~F.col("target").endswith("_1d")
-        any_long = F.max(long).over(Window.partitionBy(F.lit(0)))
-        rows = rows.withColumn("_any", any_long).filter(long | ~F.col("_any"))
+        rows = rows.filter(long | ~rows.agg(F.coalesce(F.max(long), F.lit(False)).alias("any")).scalar())
         names = {"mean_rank_ic": "rank_ic", "mean_top_bottom_spread": "top_bottom_spread", "mean_rmse": "rmse", "mean_mae": "mae"}
         main, extra, order = "mean_rank_ic", ["mean_top_bottom_spread"], ["mean_rank_ic", "mean_top_bottom_spread"]
     else:
@@ -132,6 +137,16 @@ def family_rank(board: DataFrame) -> DataFrame:
 
 
 def compare_boards(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
-    """Entries that both boards have, with each metric's change, and the medians of the changes."""
+    """Entries that both boards have, with each metric's change."""
     both = old.select("model_name", "feature_set", *[F.col(c).alias(f"old_{c}") for c in columns]).join(new.select("model_name", "feature_set", *[F.col(c).alias(f"new_{c}") for c in columns]), ["model_name", "feature_set"])
     return both.withColumns({f"delta_{c}": F.col(f"new_{c}") - F.col(f"old_{c}") for c in columns})
+
+
+def board_changes(compared: DataFrame, column: str = "selection_score") -> DataFrame:
+    """One row of a comparison: entries that met, improved, worsened and stayed, each metric's median change, and whether the
+    new board is better: its median change is above zero and more entries improved than worsened."""
+    delta = F.col(f"delta_{column}")
+    medians = [F.percentile(c, F.lit(0.5)).alias(f"median_{c}") for c in compared.columns if c.startswith("delta_")]
+    out = compared.agg(F.count("*").alias("matched_count"), F.count_if(delta > 0).alias("improved_count"), F.count_if(delta < 0).alias("worsened_count"), F.count_if(delta == 0).alias("tie_count"), *medians)
+    better = (F.col(f"median_delta_{column}") > 0) & (F.col("improved_count") > F.col("worsened_count"))
+    return out.withColumn("new_board_better", F.coalesce(better, F.lit(False)))

@@ -17,6 +17,12 @@ def latest_rows(panel: DataFrame, stale_days: int | None = None) -> DataFrame:
     return last.filter(F.col("date") >= F.date_sub(panel.agg(F.max("date")).scalar(), stale_days))
 
 
+def latest_keys(bars: DataFrame, stale_days: int) -> DataFrame:
+    """ticker, date of each ticker's last row, as latest_rows chooses it, by partial aggregates of the keys alone."""
+    last = bars.groupBy("ticker").agg(F.max("date").alias("date"))
+    return last.filter(F.col("date") >= F.date_sub(bars.agg(F.max("date")).scalar(), stale_days))
+
+
 def tail_rows(panel: DataFrame, n: int) -> DataFrame:
     """Each ticker's last n rows."""
     order = Window.partitionBy("ticker").orderBy(F.desc("date"))
@@ -34,15 +40,19 @@ def hash_sample(rows: DataFrame, k: int, date: str = "date") -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(date).orderBy(key, "ticker"))).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def latest_liquid(panel: DataFrame, n: int, floor: float) -> DataFrame:
-    """The n tickers with the largest dollar volume in their latest row that reaches the floor."""
-    passing = panel.filter(F.col("dollar_volume") >= floor)
-    return latest_rows(passing).orderBy(F.desc("dollar_volume"), "ticker").limit(n).select("ticker", "date", "dollar_volume")
+def latest_liquid(panel: DataFrame, n: int, floor: float, least_price: float = 0.0) -> DataFrame:
+    """The n tickers with the largest dollar volume (its 60-day average where the panel has one) in their latest row that
+    reaches the floors of volume and price. A floor of 0 passes all."""
+    measure = F.coalesce(*[F.col(c) for c in ("rolling_avg_dollar_volume_60d", "dollar_volume") if c in panel.columns])
+    rows = panel.withColumn("dollar_volume", measure)
+    for column, least in (("dollar_volume", floor), ("close", least_price)):
+        rows = rows.filter(F.col(column) >= least) if least else rows
+    return latest_rows(rows).orderBy(F.desc_nulls_last("dollar_volume"), F.desc("date"), "ticker").limit(n).select("ticker", "date", "dollar_volume")
 
 
-def first_tickers(panel: DataFrame, n: int) -> DataFrame:
-    """The first n tickers in order."""
-    return panel.select("ticker").distinct().orderBy("ticker").limit(n)
+def first_tickers(panel: DataFrame, n: int, position: str) -> DataFrame:
+    """The n tickers that come first in the order of a column, as of rows in a file; ties by ticker."""
+    return panel.groupBy("ticker").agg(F.min(position).alias("_first")).orderBy("_first", "ticker").limit(n).select("ticker")
 
 
 def sample_universe(bars: DataFrame, n: int, forced: list[str], benchmark: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import canonical_exchange, common_equity, ratio
-from ledgerline.operators.features import by_day, over_rows
+from ledgerline.operators.features import by_day, over_rows, row_window
 
 TYPE_COLUMNS = ("type", "security_type", "asset_type", "eodhd_type")
 
@@ -126,19 +126,33 @@ def eligibility_summary(eligible: DataFrame, benchmark: str = "SPY") -> DataFram
     )
 
 
+def _median(x: Column, n: int) -> Column:
+    """The median of the last n rows; null unless all hold a value. Sorting a row's few values is cheaper than Spark's
+    percentile, which counts them in a map a row."""
+    held = F.sort_array(F.collect_list(x).over(row_window(n)))
+    return F.when(F.size(held) == n, (held[(n - 1) // 2] + held[n // 2]) / 2)
+
+
+def _unless_empty(panel: DataFrame, column: str, other: Column) -> Column:
+    """The panel's column, or the other where the panel has none or only nulls in it; told by one value of it."""
+    if column not in panel.columns:
+        return other
+    filled = panel.filter(F.col(column).isNotNull()).select(F.lit(True).alias("some")).limit(1).agg(F.max("some").alias("some")).scalar()
+    return F.when(filled, F.col(column)).otherwise(other)
+
+
 def research_metrics(panel: DataFrame, rules: Research = CONSERVATIVE) -> DataFrame:
     close, high, low, volume, dollars = (F.col(c) for c in ("close", "high", "low", "volume", "dollar_volume"))
     empty = ~_holds((volume > 0) & (dollars > 0))
     peak = F.coalesce(high, close)
-    ret = F.col("return_1d") if "return_1d" in panel.columns else ratio(close, F.lag("close").over(by_day())) - 1
-    spread = F.col("true_range_pct") if "true_range_pct" in panel.columns else ratio(F.abs(high - low), close)
+    ret = _unless_empty(panel, "return_1d", ratio(close, F.lag("close").over(by_day())) - 1)
+    spread = _unless_empty(panel, "true_range_pct", ratio(F.abs(high - low), close))
     out = panel.withColumns({"_abs_return": F.abs(ret), "_spread": spread, "_peak": peak, "_empty": empty.cast("double")})
-    median = lambda x: F.percentile(x, F.lit(0.5))
     out = out.withColumns(
         {
             "research_history_days": F.row_number().over(by_day()),
-            "research_median_dollar_volume_20d": over_rows(median, dollars, rules.short),
-            "research_median_dollar_volume_60d": over_rows(median, dollars, rules.long),
+            "research_median_dollar_volume_20d": _median(dollars, rules.short),
+            "research_median_dollar_volume_60d": _median(dollars, rules.long),
             "research_zero_volume_day_ratio_60d": over_rows(F.avg, F.col("_empty"), rules.long),
             "research_return_6m": ratio(close, F.lag("close", rules.half_year).over(by_day())) - 1,
             "research_drawdown_from_252d_high": 1 - ratio(close, over_rows(F.max, F.col("_peak"), rules.trend)),
