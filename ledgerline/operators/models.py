@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import importlib
+import json
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators.featuresets import aligned
+from ledgerline.operators.featuresets import aligned, standardizer
 
 
 @dataclass(frozen=True)
@@ -59,38 +61,75 @@ def _signal(columns: list[str]):
     return F.coalesce(sum(F.coalesce(F.col(c), F.lit(0.0)) for c in columns) / F.nullif(sum(given), F.lit(0)), F.lit(0.0))
 
 
-def assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds `features`: the columns as a vector, nulls as 0; an absent column is an error."""
-    from pyspark.ml.feature import VectorAssembler
+@dataclass(frozen=True)
+class Fitted:
+    """A model with the columns that it takes, in order, and how they are scaled: by mean and population deviation."""
+
+    kind: str
+    columns: tuple[str, ...]
+    means: tuple[float, ...]
+    scales: tuple[float, ...]
+    model: object
+
+    def features(self, rows: DataFrame) -> DataFrame:
+        """The rows with `features`: the columns as a vector, nulls as 0; an absent column is an error."""
+        from pyspark.ml.functions import array_to_vector
+
+        aligned(rows, list(self.columns))
+        scaled = [(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - m) / s for c, m, s in zip(self.columns, self.means, self.scales, strict=True)]
+        return rows.withColumn("features", array_to_vector(F.array(*scaled)))
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """Adds `prediction`, or for a classifier `probabilities` as an array."""
+        from pyspark.ml.functions import vector_to_array
+
+        out = self.model.transform(self.features(rows)).drop("features")
+        if "probability" not in out.columns:
+            return out
+        return out.withColumn("probabilities", vector_to_array("probability")).drop("rawPrediction", "probability", "prediction")
 
-    aligned(rows, columns)
-    filled = rows.fillna(0.0, subset=columns)
-    return VectorAssembler(inputCols=columns, outputCol="features").transform(filled)
+    def save(self, path: str) -> None:
+        """The model and, beside it, a JSON file of the rest; what is there is replaced."""
+        spark = SparkSession.active()
+        rest = {"kind": self.kind, "columns": self.columns, "means": self.means, "scales": self.scales, "model": f"{type(self.model).__module__}.{type(self.model).__name__}"}
+        self.model.write().overwrite().save(f"{path}/model")
+        spark.createDataFrame([(json.dumps(rest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/fitted")
 
+    @classmethod
+    def load(cls, path: str) -> Fitted:
+        """Only Spark's own models are read."""
+        rest = json.loads(SparkSession.active().read.text(f"{path}/fitted").first()[0])
+        module, _, name = rest["model"].rpartition(".")
+        if module not in ("pyspark.ml.regression", "pyspark.ml.classification"):
+            raise ValueError(f"not a model of Spark: {rest['model']}")
+        model = getattr(importlib.import_module(module), name).load(f"{path}/model")
+        return cls(rest["kind"], tuple(rest["columns"]), tuple(rest["means"]), tuple(rest["scales"]), model)
 
-def _scaled(columns: list[str], stages: list):
-    """A pipeline that scales by the training mean and deviation before the model."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True), *stages])
+def _fit(kind: str, data: DataFrame, columns: list[str], estimator) -> Fitted:
+    """Scales by one pass of partial sums, nulls as 0, and fits."""
+    filled = data.fillna(0.0, subset=columns)
+    found = {r.feature: (r["mean"], r.scale) for r in standardizer(filled, columns).collect()}  # a row a column
+    bare = Fitted(kind, tuple(columns), *(tuple(float(found[c][i] or 0.0) if i == 0 else float(found[c][i] or 1.0) for c in columns) for i in (0, 1)), None)
+    return replace(bare, model=estimator.fit(bare.features(data)))
 
 
-def fit_regressor(kind: str, rows: DataFrame, columns: list[str], target: str, seed: int = 7):
-    """ridge, elastic_net or boosted_trees: a fitted PipelineModel; nulls as 0, features scaled.
+def fit_regressor(kind: str, rows: DataFrame, columns: list[str], target: str, seed: int = 7) -> Fitted:
+    """ridge (a penalty of 10 on the summed loss), elastic_net (0.005, a fifth of it absolute, on the mean loss) or boosted_trees.
 
-    Spark's squared loss is halved and averaged, so a ridge penalty on the summed loss is divided by the rows.
+    Spark's squared loss is halved and averaged, and its squared penalty divided by the target's deviation.
     """
     from pyspark.ml.regression import GBTRegressor, LinearRegression
 
-    data = aligned(rows, [*columns, target]).fillna(0.0, subset=columns).filter(F.col(target).isNotNull())
+    data = aligned(rows, [*columns, target]).filter(F.col(target).isNotNull())
     if kind == "boosted_trees":
         model = GBTRegressor(labelCol=target, maxDepth=4, maxIter=50, stepSize=0.03, subsamplingRate=0.8, seed=seed)
     else:
-        n = max(1, data.count())
-        penalty, mix = {"ridge": (10.0 / n, 0.0), "elastic_net": (0.005, 0.2)}[kind]
-        model = LinearRegression(labelCol=target, regParam=penalty, elasticNetParam=mix, standardization=False)
-    return _scaled(columns, [model]).fit(data)
+        n, deviation = data.agg(F.count("*"), F.stddev_pop(target)).first()
+        absolute, squared = {"ridge": (0.0, 10.0 / max(1, n)), "elastic_net": (0.001, 0.004)}[kind]
+        penalty = absolute + squared * (deviation or 1.0)
+        model = LinearRegression(labelCol=target, regParam=penalty, elasticNetParam=absolute / penalty, standardization=False, tol=1e-9)
+    return _fit(kind, data, columns, model)
 
 
 @dataclass(frozen=True)
@@ -104,30 +143,22 @@ class OneClass:
         return rows.withColumn("probabilities", F.array(*[F.lit(1.0 if i == self.label else 0.0) for i in range(self.classes)]))
 
 
-def fit_classifier(kind: str, rows: DataFrame, columns: list[str], label: str, classes: int, seed: int = 7):
-    """logistic, forest or perceptron, with balanced weights where Spark takes them; OneClass if the labels do not differ."""
-    from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+def fit_classifier(kind: str, rows: DataFrame, columns: list[str], label: str, classes: int, seed: int = 7) -> Fitted | OneClass:
+    """logistic, elastic_net_logistic, forest, boosted_trees (two classes) or perceptron, with balanced weights where Spark
+    takes them; OneClass if the labels do not differ."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 
-    data = aligned(rows, [*columns, label]).fillna(0.0, subset=columns).filter(F.col(label).isNotNull())
+    data = aligned(rows, [*columns, label]).filter(F.col(label).isNotNull())
     sizes = {int(r[0]): r[1] for r in data.groupBy(label).count().collect()}  # a row a class
     if len(sizes) < 2:
         return OneClass(next(iter(sizes), 0), classes)
     total = sum(sizes.values())
     weight = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (float(k), total / (len(sizes) * n))])[F.col(label).cast("double")]
-    data = data.withColumn("_weight", weight)
     model = {
-        "logistic": lambda: LogisticRegression(labelCol=label, weightCol="_weight", regParam=1.0 / total),
+        "logistic": lambda: LogisticRegression(labelCol=label, weightCol="_weight", regParam=1.0 / total, standardization=False),
+        "elastic_net_logistic": lambda: LogisticRegression(labelCol=label, weightCol="_weight", regParam=0.0005, elasticNetParam=0.15, standardization=False),
         "forest": lambda: RandomForestClassifier(labelCol=label, weightCol="_weight", numTrees=50, maxDepth=6, seed=seed),
+        "boosted_trees": lambda: GBTClassifier(labelCol=label, weightCol="_weight", maxDepth=4, maxIter=50, stepSize=0.03, subsamplingRate=0.8, seed=seed),
         "perceptron": lambda: MultilayerPerceptronClassifier(labelCol=label, layers=[len(columns), 64, 32, classes], maxIter=60, seed=seed),
     }[kind]()
-    return _scaled(columns, [model]).fit(data)
-
-
-def probabilities(model, rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows with `probabilities` as an array."""
-    from pyspark.ml.functions import vector_to_array
-
-    if isinstance(model, OneClass):
-        return model.transform(rows)
-    out = model.transform(rows.fillna(0.0, subset=columns))
-    return out.withColumn("probabilities", vector_to_array("probability")).drop("_raw", "features", "rawPrediction", "probability", "prediction")
+    return _fit(kind, data.withColumn("_weight", weight), columns, model)
