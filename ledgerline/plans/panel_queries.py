@@ -81,7 +81,9 @@ def panel_sector_cross_section(spark, sf_dir):
     f"SELECT ticker, date, gics_sector, {ov.rounded(['close', *Z, *(f'{c}__cs_z' for c in Z), *(f'{c}__cs_pct' for c in Z)])}, cs_universe_count FROM r WHERE rn = 1 AND date >= (SELECT max(date) FROM n2) - INTERVAL 60 DAY"
 )
 def panel_latest_cross_section(spark, sf_dir):
-    rows = selection.latest_rows(_normalized(spark, sf_dir), stale_days=60)
+    bars = panels.bars(spark, sf_dir)
+    panel = features.daily_features(bars).join(panels.tickers(spark, sf_dir), "ticker")
+    rows = cs.normalize_rows(panel, selection.latest_keys(bars, stale_days=60))
     return rows.select("ticker", "date", "gics_sector", *rounded(["close", *Z, *(f"{c}__cs_z" for c in Z), *(f"{c}__cs_pct" for c in Z)]), "cs_universe_count")
 
 
@@ -269,14 +271,15 @@ EXCESS_PATH = ", ".join(FORWARD.format(h=k) for k in range(1, 11))
 @query(
     f"WITH {BENCHMARK}, t AS (SELECT ticker, date, [{RAW_PATH}] AS path, [{EXCESS_PATH}] AS excess FROM pb WINDOW w AS (PARTITION BY ticker ORDER BY date)) "
     "SELECT ticker, date, CASE WHEN len(list_filter(path, lambda x: x IS NOT NULL)) = 20 THEN CASE WHEN list_min(path) <= -0.97 THEN 0.0 WHEN list_max(path) >= 3.0 THEN 2.0 ELSE 1.0 END END::DOUBLE AS path_label, "
+    "CASE WHEN len(list_filter(path, lambda x: x IS NOT NULL)) = 20 THEN CASE WHEN list_min(path) <= -0.05 THEN 0.0 WHEN list_max(path) >= 0.05 THEN 2.0 ELSE 1.0 END END::DOUBLE AS path_label_5pct, "
     "CASE WHEN coalesce(list_max(excess) > 1.5, false) THEN 1.0 ELSE 0.0 END::DOUBLE AS anytime_label, "
     "CASE WHEN coalesce(list_max(excess) > 1.5 AND excess[10] > 0 AND list_avg(list_filter(excess[6:10], lambda x: x IS NOT NULL)) > 0, false) THEN 1.0 ELSE 0.0 END::DOUBLE AS sustained_label FROM t"
 )
 def panel_path_labels(spark, sf_dir):
     bars = panels.bars(spark, sf_dir)
-    raw = labels.forward_path(bars, None, 20).select("ticker", "date", "close", labels.path_label(F.col("path"), labels.PATH, low=-0.97, high=3.0).alias("path_label"))
+    raw = labels.forward_path(bars, None, 20).select("ticker", "date", "close", labels.path_label(F.col("path"), labels.PATH, low=-0.97, high=3.0).alias("path_label"), labels.path_label(F.col("path"), labels.PATH).alias("path_label_5pct"))
     both = labels.forward_path(raw, _benchmark(spark, sf_dir), 10)
-    return both.select("ticker", "date", "path_label", labels.path_label(F.col("path"), labels.ANYTIME, 1.5).alias("anytime_label"), labels.path_label(F.col("path"), labels.SUSTAINED, 1.5).alias("sustained_label"))
+    return both.select("ticker", "date", "path_label", "path_label_5pct", labels.path_label(F.col("path"), labels.ANYTIME, 1.5).alias("anytime_label"), labels.path_label(F.col("path"), labels.SUSTAINED, 1.5).alias("sustained_label"))
 
 
 LABELED = (
@@ -333,19 +336,42 @@ SET_COLUMNS = ["stock_log_return_1d__last", "stock_rolling_vol_20d__mean60", "ma
 @query(
     f"WITH {ov.BARS}, {ov.TICKERS}, {ov.CONTEXT}, {ov.features('bars', 'f')}, {ov.features('context', 'c')}, "
     f"fs AS (SELECT ticker, date, log_return_1d AS stock_log_return_1d__last, {rows_sql('avg({})', 'rolling_vol_20d', 60)} AS stock_rolling_vol_20d__mean60 FROM f), "
-    f"csu AS (SELECT ticker, date, rolling_return_20d AS a, {rows_sql('avg({})', 'log_return_1d', 60)} AS b, volume_zscore_20d AS c, {rows_sql('stddev_pop({})', 'rolling_vol_20d', 60)} AS d FROM c), "
-    "r AS (SELECT fs.*, m.a AS market_context_rolling_return_20d__last, m.b AS market_context_log_return_1d__mean60, s.c AS sector_context_volume_zscore_20d__last, s.d AS sector_context_rolling_vol_20d__std60, "
-    "row_number() OVER (PARTITION BY fs.ticker ORDER BY fs.date DESC) AS k FROM fs JOIN tickers t USING (ticker) LEFT JOIN csu m ON m.ticker = 'MKT' AND m.date = fs.date LEFT JOIN csu s ON s.ticker = t.gics_sector AND s.date = fs.date) "
-    f"SELECT ticker, date, {ov.rounded(SET_COLUMNS)}, 0.0::DOUBLE AS market_context_context_missing, 0.0::DOUBLE AS sector_context_context_missing FROM r WHERE k <= 20"
+    f"csu AS (SELECT ticker, date, rolling_return_20d AS a, {rows_sql('avg({})', 'log_return_1d', 60)} AS b, volume_zscore_20d AS c, {rows_sql('stddev_pop({})', 'rolling_vol_20d', 60)} AS d, log_return_1d AS e FROM c), "
+    "r AS (SELECT fs.*, m.a AS market_context_rolling_return_20d__last, m.b AS market_context_log_return_1d__mean60, s.c AS sector_context_volume_zscore_20d__last, s.d AS sector_context_rolling_vol_20d__std60, CASE WHEN m.e IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS market_context_context_missing, CASE WHEN s.e IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS sector_context_context_missing "
+    "FROM fs JOIN tickers t USING (ticker) LEFT JOIN csu m ON m.ticker = 'MKT' AND m.date = fs.date LEFT JOIN csu s ON s.ticker = t.gics_sector AND s.date = fs.date) "
+    f"SELECT ticker, date, {ov.rounded(SET_COLUMNS)}, market_context_context_missing, sector_context_context_missing FROM r"
 )
 def panel_feature_set(spark, sf_dir):
     rows = features.daily_features(panels.bars(spark, sf_dir)).join(panels.tickers(spark, sf_dir).select("ticker", F.col("gics_sector").alias("sector_etf")), "ticker")
     around = features.daily_features(panels.context(spark, sf_dir))
-    anchors = selection.tail_rows(rows, 20).select("ticker", "date")
-    built = featuresets.build("stock_compact_market_sector", rows, around, anchors, "MKT")
+    built = featuresets.build("stock_compact_market_sector", rows, around, panels.bars(spark, sf_dir).select("ticker", "date"), "MKT")
     return built.select("ticker", "date", *rounded(SET_COLUMNS), "market_context_context_missing", "sector_context_context_missing")
 
 
+LEAN_COLUMNS = ["stock_log1p_dollar_volume__cs_z__last", "stock_momentum_20d__sector_cs_pct__mean60", "stock_return_1d__cs_pct__std60", "stock_fundamental_net_income__last", "stock_stock_vs_market_return_1d__mean60", "market_context_rolling_vol_20d__last"]
+
+
+@query(
+    f"WITH {NORMALIZED}, {FUNDAMENTALS}, {ov.CONTEXT}, {ov.features('context', 'c')}, best AS (SELECT * FROM filings QUALIFY row_number() OVER (PARTITION BY ticker, availability_date ORDER BY source_period_end DESC, source_frequency DESC) = 1), "
+    "j AS (SELECT n2.*, b.fundamental_net_income, CASE WHEN b.ticker IS NULL THEN 1.0 ELSE 0.0 END AS fundamental_missing, n2.return_1d - m.return_1d AS vs, m.rolling_vol_20d AS market_vol "
+    "FROM n2 ASOF LEFT JOIN best b ON n2.ticker = b.ticker AND n2.date >= b.availability_date LEFT JOIN c m ON m.ticker = 'MKT' AND m.date = n2.date), "
+    f"s AS (SELECT ticker, date, log1p_dollar_volume__cs_z AS stock_log1p_dollar_volume__cs_z__last, {rows_sql('avg({})', 'momentum_20d__sector_cs_pct', 60)} AS stock_momentum_20d__sector_cs_pct__mean60, {rows_sql('stddev_pop({})', 'return_1d__cs_pct', 60)} AS stock_return_1d__cs_pct__std60, "
+    f"fundamental_net_income AS stock_fundamental_net_income__last, {rows_sql('avg({})', 'vs', 60)} AS stock_stock_vs_market_return_1d__mean60, market_vol AS market_context_rolling_vol_20d__last, {rows_sql('avg({})', 'fundamental_missing', 60)} AS stock_fundamental_missing__mean60 FROM j) "
+    f"SELECT ticker, date, {ov.rounded(LEAN_COLUMNS)}, round(stock_fundamental_missing__mean60, 6) AS stock_fundamental_missing__mean60 FROM s"
+)
+def panel_feature_set_lean(spark, sf_dir):
+    around = features.daily_features(panels.context(spark, sf_dir))
+    rows = enrich.add_fundamentals(_normalized(spark, sf_dir).withColumn("sector_etf", F.col("gics_sector")), panels.fundamentals(spark, sf_dir))
+    rows = enrich.add_relative_returns(rows, around, "MKT")
+    built = featuresets.build("stock_normalized_lean_market_fundamentals", rows, around, panels.bars(spark, sf_dir).select("ticker", "date"), "MKT")
+    return built.select("ticker", "date", *rounded(LEAN_COLUMNS), F.round("stock_fundamental_missing__mean60", 6).alias("stock_fundamental_missing__mean60"))
+
+
+@query(f"WITH {ov.BARS}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM bars) SELECT ticker, date, {ov.rounded(['close'])} FROM k WHERE k <= 20")
+def panel_tail_rows(spark, sf_dir):
+    return selection.tail_rows(panels.bars(spark, sf_dir), 20).select("ticker", "date", *rounded(["close"]))
+
+
 @query(
     f"WITH {ov.BARS}, w AS (SELECT ticker, date, count(*) OVER v AS k, sum(volume) OVER v AS total, first_value(close) OVER v AS first_close FROM bars WINDOW v AS (PARTITION BY ticker ORDER BY date ROWS 29 PRECEDING)) "
     f"SELECT ticker, date, 30 AS steps, total AS volume_sum, {ov.rounded(['first_close'])} FROM w WHERE k = 30"
@@ -531,6 +557,20 @@ def panel_leaderboard(spark, sf_dir):
     return board.select("model_name", "feature_set", (F.floor(F.col("selection_score") * 1e4 + ov.OFFSET) / 1e4).alias("selection_score"), "leaderboard_rank", "recommended", "family_rank")
 
 
+CLASS_BOARD = ["pr_auc", "roc_auc", "top_decile_precision", "top_bottom_spread", "accuracy", "positive_rate"]
+
+
+@query(
+    "WITH " + METRIC_ROWS.format(aggs=", ".join(f"avg({'ab'[i % 2]}::DOUBLE) AS mean_{c}" for i, c in enumerate(CLASS_BOARD)), where="")
+    + ", s AS (SELECT *, coalesce(mean_pr_auc, -999) + coalesce(mean_top_decile_precision, 0) + coalesce(mean_top_bottom_spread, 0) AS selection_score FROM mean), r AS (SELECT *, row_number() OVER (ORDER BY round(selection_score, 6) DESC, model_name, feature_set) AS leaderboard_rank FROM s) "
+    f"SELECT model_name, feature_set, floor(selection_score * 1e4 + {ov.OFFSET}) / 1e4 AS selection_score, floor(mean_roc_auc * 1e4 + {ov.OFFSET}) / 1e4 AS mean_roc_auc, leaderboard_rank, leaderboard_rank <= 3 AS recommended FROM r"
+)
+def panel_classification_leaderboard(spark, sf_dir):
+    board = metrics.leaderboard(_metric_rows(spark, sf_dir, CLASS_BOARD), "classification")
+    digits = lambda c: (F.floor(F.col(c) * 1e4 + ov.OFFSET) / 1e4).alias(c)
+    return board.select("model_name", "feature_set", digits("selection_score"), digits("mean_roc_auc"), "leaderboard_rank", "recommended")
+
+
 # Signals: models are flag pairs of line items, scores their mean discount for a supplier.
 
 PREDICTIONS = """
@@ -582,7 +622,10 @@ lg AS (SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS ticker, DATE '1
     "len(list_filter(generate_series(entry_date, prediction_date - 1, INTERVAL 1 DAY), lambda x: isodow(x) < 6)) + 1 AS days FROM lg LEFT JOIN sg USING (ticker) WHERE upper(current_status) NOT IN ('CLOSED', 'SOLD')) "
     "SELECT ticker, entry_date, prediction_date, round(gain, 6) AS current_return_pct, CASE WHEN prediction_date IS NOT NULL THEN days END AS days_held, coalesce(rank_bucket, 'NO_CURRENT_SIGNAL') AS latest_rank_bucket, coalesce(agreement_status, 'NO_CURRENT_SIGNAL') AS agreement_status, "
     "CASE WHEN current_price IS NULL OR gain IS NULL THEN 'REVIEW' WHEN gain >= 5 THEN 'SELL - TARGET' WHEN gain <= -5 THEN 'SELL - STOP' WHEN days >= 20 THEN 'SELL - TIME' WHEN ensemble_percentile > 30 THEN 'STRONG REVIEW' WHEN ensemble_percentile > 20 THEN 'REVIEW' "
-    "WHEN agree = 0 AND gain <= 0 THEN 'CONSIDER EXIT' WHEN agree = 0 AND days > 10 THEN 'CONSIDER EXIT' ELSE 'HOLD' END AS review_action FROM j"
+    "WHEN agree = 0 AND gain <= 0 THEN 'CONSIDER EXIT' WHEN agree = 0 AND days > 10 THEN 'CONSIDER EXIT' ELSE 'HOLD' END AS review_action, "
+    "CASE WHEN current_price IS NULL THEN 'No current prediction/price found for ticker' WHEN gain IS NULL THEN 'Current return could not be calculated' WHEN gain >= 5 THEN 'Current return reached target profit' WHEN gain <= -5 THEN 'Current return reached stop loss' "
+    "WHEN days >= 20 THEN 'Max holding period reached' WHEN ensemble_percentile > 30 THEN 'Latest rank fell below top 30%' WHEN ensemble_percentile > 20 THEN 'Latest rank fell below top 20%' WHEN agree = 0 AND gain <= 0 THEN 'Model agreement disappeared and return is flat/negative' "
+    "WHEN agree = 0 AND days > 10 THEN 'Model agreement disappeared after more than 10 held days' ELSE 'No hard exit or review trigger' END AS reason FROM j"
 )
 def panel_position_review(spark, sf_dir):
     k = F.col("s_suppkey")
@@ -591,7 +634,7 @@ def panel_position_review(spark, sf_dir):
     )
     gone = spark.range(1).select(F.lit("GONE").alias("ticker"), F.lit("1998-11-02").cast("date").alias("entry_date"), F.lit(10.0).alias("entry_price"), F.lit(1).alias("shares"), F.lit("OPEN").alias("current_status"))
     out = signals.review_positions(ledger.unionByName(gone), _signals(spark, sf_dir), "1998-12-02")
-    return out.select("ticker", "entry_date", "prediction_date", F.round("current_return_pct", 6).alias("current_return_pct"), "days_held", "latest_rank_bucket", "agreement_status", "review_action")
+    return out.select("ticker", "entry_date", "prediction_date", F.round("current_return_pct", 6).alias("current_return_pct"), "days_held", "latest_rank_bucket", "agreement_status", "review_action", "reason")
 
 
 @query(
@@ -613,7 +656,7 @@ def panel_merge(spark, sf_dir):
     bars = panels.bars(spark, sf_dir).select("ticker", "date", "close", "volume")
     late = bars.filter("date >= '1998-06-01'").withColumn("close", F.col("close") * 2)
     new = bars.filter("date >= '1998-11-01'").withColumn("ticker", F.concat(F.lit("N"), "ticker"))
-    return upsert.merge(bars, late.unionByName(new), ["ticker", "date"]).select("ticker", "date", *rounded(["close"]), "volume")
+    return upsert.merge(bars, late.unionByName(new), ["ticker", "date"], None).select("ticker", "date", *rounded(["close"]), "volume")
 
 
 @query(
@@ -653,8 +696,8 @@ MODEL_ROWS = f"{ov.BARS}, {ov.TICKERS}, {ov.CONTEXT}, {ov.features('bars', 'f')}
 
 
 @query(
-    f"WITH {MODEL_ROWS}, t AS (SELECT avg(y) AS mean, stddev_pop(y) / stddev_pop(coalesce(x, 0)) AS scale FROM mo WHERE date < DATE '1996-01-01' AND y IS NOT NULL) "
-    "SELECT ticker, date, 0.0::DOUBLE AS zero, round(mean, 6) AS mean, round(coalesce(x, 0) * scale, 6) AS momentum FROM mo, t WHERE date >= DATE '1998-01-01'"
+    f"WITH {MODEL_ROWS.replace('mo AS (', 'mo AS MATERIALIZED (')}, t AS MATERIALIZED (SELECT avg(y) AS mean, stddev_pop(y) / stddev_pop(coalesce(x, 0)) AS scale FROM mo WHERE date < DATE '1996-01-01' AND y IS NOT NULL) "
+    "SELECT ticker, date, 0.0::DOUBLE AS zero, round((SELECT mean FROM t), 6) AS mean, round(coalesce(x, 0) * (SELECT scale FROM t), 6) AS momentum FROM mo WHERE date >= DATE '1998-01-01'"
 )
 def panel_baseline_predictions(spark, sf_dir):
     rows = labels.forward_targets(features.daily_features(panels.bars(spark, sf_dir)), _benchmark(spark, sf_dir), [5], 5)
@@ -677,13 +720,25 @@ def _model_rows(spark, sf_dir):
 def panel_ridge_predictions(spark, sf_dir):
     cols, train, test = _model_rows(spark, sf_dir)
     model = models.fit_regressor("ridge", train, cols, "y")
-    return model.transform(test.fillna(0.0, subset=cols)).select("ticker", "date", F.round("prediction", 6).alias("prediction"))
+    return model.transform(test).select("ticker", "date", F.round("prediction", 6).alias("prediction"))
+
+
+@query(
+    f"WITH {MODEL_ROWS.replace('momentum_20d AS x', 'coalesce(rolling_return_20d, 0) AS a, coalesce(volume_ratio_20d, 0) AS b').replace('mo AS (', 'mo AS MATERIALIZED (')}, t AS (SELECT * FROM mo WHERE date < DATE '1996-01-01' AND y IS NOT NULL), "
+    "k AS (SELECT count(*)::DOUBLE AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, covar_pop(a, b) AS cab, covar_pop(a, y) AS cay, covar_pop(b, y) AS cby FROM t), "
+    "e AS (SELECT *, n + 10 AS d, n * cab / (sa * sb) AS o, n * cay / sa AS p, n * cby / sb AS q FROM k), w AS (SELECT *, (d * p - o * q) / (d * d - o * o) AS wa, (d * q - o * p) / (d * d - o * o) AS wb FROM e) "
+    "SELECT ticker, date, round(my + wa * (a - ma) / sa + wb * (b - mb) / sb, 6) AS prediction FROM mo, w WHERE date >= DATE '1998-01-01' AND y IS NOT NULL"
+)
+def panel_ridge_of_two(spark, sf_dir):
+    _, train, test = _model_rows(spark, sf_dir)
+    model = models.fit_regressor("ridge", train, ["rolling_return_20d", "volume_ratio_20d"], "y")
+    return model.transform(test).select("ticker", "date", F.round("prediction", 6).alias("prediction"))
 
 
 @query()
 def panel_logistic_predictions(spark, sf_dir):
     cols, train, test = _model_rows(spark, sf_dir)
-    out = models.probabilities(models.fit_classifier("logistic", train, cols, "label", 3), test, cols)
+    out = models.fit_classifier("logistic", train, cols, "label", 3).transform(test)
     return signals.prediction_frame(out, 3).select("ticker", "date", *[F.round(f"pred_prob_{i}", 4).alias(f"pred_prob_{i}") for i in range(3)], "pred_class")
 
 
@@ -692,12 +747,13 @@ def panel_logistic_predictions(spark, sf_dir):
 
 @query(
     "SELECT event_id, CASE WHEN trim(json_extract_string(props, '$.k')) NOT IN ('', 'NA', 'N/A') THEN try_cast(json_extract_string(props, '$.k') AS DOUBLE) END AS k, CAST(ts AS DATE) AS d, "
-    "len(list_filter(generate_series(CAST(ts AS DATE), DATE '2024-12-31' - 1, INTERVAL 1 DAY), lambda x: isodow(x) < 6)) + 1 AS held, CASE WHEN value >= 0 THEN round(ln(1 + value), 6) END AS log_value FROM events WHERE CAST(ts AS DATE) < DATE '2024-12-31'"
+    "CASE WHEN CAST(ts AS DATE) < DATE '2024-01-16' THEN 1 + len(list_filter(generate_series(CAST(ts AS DATE), DATE '2024-01-16' - 1, INTERVAL 1 DAY), lambda x: isodow(x) < 6)) WHEN CAST(ts AS DATE) = DATE '2024-01-16' THEN 1 "
+    "ELSE 1 - len(list_filter(generate_series(DATE '2024-01-16', CAST(ts AS DATE) - 1, INTERVAL 1 DAY), lambda x: isodow(x) < 6)) END AS held, CASE WHEN value >= 0 THEN round(ln(1 + value), 6) END AS log_value FROM events"
 )
 def panel_event_scalars(spark, sf_dir):
-    e = panels.table(spark, sf_dir, "events").filter(F.col("ts").cast("date") < "2024-12-31")
+    e = panels.table(spark, sf_dir, "events")
     d = F.col("ts").cast("date")
-    return e.select("event_id", scalars.lenient_double(F.get_json_object("props", "$.k")).alias("k"), d.alias("d"), scalars.business_days_held(d, F.lit("2024-12-31").cast("date")).alias("held"), F.round(scalars.log1p_guarded(F.col("value")), 6).alias("log_value"))
+    return e.select("event_id", scalars.lenient_double(F.get_json_object("props", "$.k")).alias("k"), d.alias("d"), scalars.business_days_held(d, F.lit("2024-01-16").cast("date")).alias("held"), F.round(scalars.log1p_guarded(F.col("value")), 6).alias("log_value"))
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL")

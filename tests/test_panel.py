@@ -158,6 +158,9 @@ def test_scalars(spark):
     assert get(scalars.ratio(lit(1.0), lit(0.0))) is None and get(scalars.log1p_guarded(lit(-0.5))) is None
     assert get(scalars.vendor_symbol(lit("abc"))) == "ABC.US" and get(scalars.own_ticker(lit("abc.us"))) == "ABC"
     assert [get(scalars.other_security(lit(c), lit(n))) for c, n in (("AB-WS", "x"), ("ABCDW", "x"), ("AB", "Acme Warrants"), ("AB", "Acme Inc"), ("BRK-B", "x"))] == [True, True, True, False, False]
+    assert all(get(scalars.other_security(lit(c), lit("x"))) for c in ("ABC-PRAA", "ABC-WTX", "BR1KW", "AB.CU")) and not get(scalars.other_security(lit("A-BCDW"), lit("x")))
+    listed = lambda own, asked, **k: get(scalars.listed_exchange(lit(own).cast("string"), lit(asked), **k))
+    assert [listed(*x) for x in (("NYSE MKT", "AMEX"), ("NYSE", "AMEX"), (None, "nyse"), ("", "US"), ("XETRA", "US"), ("PINK", "US"), ("ARCA", "NYSE"))] == ["AMEX", None, "NYSE", "US", "XETRA", None, None] and listed("PINK", "US", with_otc=True) == "PINK"
     assert [get(scalars.rank_bucket(lit(float(p)))) for p in (3, 4, 10, 15, 30, 31)] == ["TOP_3_PERCENT", "TOP_5_PERCENT", "TOP_DECILE", "TOP_20_PERCENT", "TOP_30_PERCENT", "BELOW_TOP_30_PERCENT"]
     day = lambda s: lit(s).cast("date")
     assert [get(scalars.business_days_held(day(a), day(b))) for a, b in (("2024-01-05", "2024-01-05"), ("2024-01-05", "2024-01-08"), ("2024-01-01", "2024-01-15"))] == [1, 2, 11]
@@ -168,9 +171,42 @@ def test_scalars(spark):
 def test_merge_is_idempotent_and_incoming_wins(spark):
     base = spark.createDataFrame([("A", 1, "old"), ("B", 1, "old")], "k string, d int, v string")
     new = spark.createDataFrame([("B", 1, "new", 5), ("C", 1, "new", 6)], "k string, d int, v string, w int")
-    once = upsert.merge(base, new, ["k", "d"])
+    once = upsert.merge(base, new, ["k", "d"], None)
     assert sorted((r.k, r.v) for r in once.collect()) == [("A", "old"), ("B", "new"), ("C", "new")]
-    assert sorted(map(tuple, upsert.merge(once, new, ["k", "d"]).select(*once.columns).collect())) == sorted(map(tuple, once.collect()))
+    assert sorted(map(tuple, upsert.merge(once, new, ["k", "d"], None).select(*once.columns).collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_the_last_to_arrive_wins(spark, tmp_path):
+    base = spark.createDataFrame([("A", 1, 5.0), ("B", 2, 5.0)], "k string, d int, v double")
+    new = spark.createDataFrame([("A", 1, 9.0, 1), ("A", 1, 7.0, 2), ("C", 1, 3.0, 3)], "k string, d int, v double, at int")
+    want = [("A", 1, 7.0), ("B", 2, 5.0), ("C", 1, 3.0)]
+    assert sorted(map(tuple, upsert.merge(base, new, ["k", "d"], "at").collect())) == want
+    path = str(tmp_path / "t")
+    upsert.merge_into(spark, path, base, ["k", "d"], "d", None)
+    upsert.merge_into(spark, path, new, ["k", "d"], "d", "at")
+    assert sorted((r.k, r.d, r.v) for r in spark.read.parquet(path).collect()) == want and not any(x.name.endswith("_merge") for x in tmp_path.iterdir())
+
+
+def test_increments_beside_a_table(spark, tmp_path):
+    path, folder, archive = (str(tmp_path / x) for x in ("t", "more", "old"))
+    upsert.merge_into(spark, path, spark.createDataFrame([("A", 1, 5.0), ("B", 2, 5.0)], "k string, d int, v double"), ["k", "d"], "d", None)
+    for v in (6.0, 4.0):
+        upsert.add_increment(spark.createDataFrame([("A", 1, v), ("N", 3, v)], "k string, d int, v double"), folder)
+    want = [("A", 1, 4.0), ("B", 2, 5.0), ("N", 3, 4.0)]
+    key = lambda df: sorted((r.k, r.d, r.v) for r in df.collect())
+    assert key(upsert.with_increments(spark, spark.read.parquet(path), folder, ["k", "d"])) == want
+    upsert.consolidate(spark, path, folder, ["k", "d"], "d", archive)
+    assert key(spark.read.parquet(path)) == want and spark.read.parquet(archive).count() == 4 and not list((tmp_path / "more").glob("*.parquet"))
+
+
+def test_bounded_state_gives_the_same_windows(spark):
+    rows = [("A", d, 10.0 + d % 7, 20.0, 1.0, 10.0 + d % 5, 5.0 + d) for d in range(150)]
+    whole = features.daily_features(bars(spark, rows)).filter(F.col("date") >= DAY + dt.timedelta(148)).orderBy("date")
+    state = upsert.state_rows(bars(spark, rows[:1]).limit(0), bars(spark, rows[:148]), 125)
+    after = upsert.state_rows(state, bars(spark, rows[148:]), 125)
+    assert state.count() == after.count() == 125
+    same = features.daily_features(after).filter(F.col("date") >= DAY + dt.timedelta(148)).orderBy("date")
+    assert same.drop("has_60d_history").collect() == whole.drop("has_60d_history").collect()
 
 
 def test_merge_into_and_stream(spark, tmp_path):
@@ -179,26 +215,30 @@ def test_merge_into_and_stream(spark, tmp_path):
     source, table = str(tmp_path / "in"), str(tmp_path / "table")
     first = bars(spark, [("A", d, 1.0, 1.0, 1.0, 1.0, 1.0) for d in range(40)])
     first.coalesce(1).write.parquet(source)
-    stream_bars(spark, source, first.schema, table, str(tmp_path / "c"), overlap_days=100).awaitTermination()
+    stream_bars(spark, source, first.schema, table, str(tmp_path / "c")).awaitTermination()
     again = bars(spark, [("A", 39, 1.0, 1.0, 1.0, 7.0, 1.0), ("A", 40, 1.0, 1.0, 1.0, 8.0, 1.0), ("A", 2, 1.0, 1.0, 1.0, 9.0, 1.0)])
     again.coalesce(1).write.mode("append").parquet(source)
-    stream_bars(spark, source, first.schema, table, str(tmp_path / "c"), overlap_days=7).awaitTermination()
+    stream_bars(spark, source, first.schema, table, str(tmp_path / "c")).awaitTermination()
     got = {(r.date - DAY).days: r.close for r in spark.read.parquet(table).collect()}
-    assert len(got) == 41 and got[39] == 7.0 and got[40] == 8.0 and got[2] == 1.0
+    assert len(got) == 41 and got[39] == 7.0 and got[40] == 8.0 and got[2] == 9.0
     assert upsert.fetch_start(None, DAY, 7) == DAY and upsert.fetch_start(DAY, DAY, 0) == DAY + dt.timedelta(1) and upsert.fetch_start(DAY, DAY, 7) == DAY - dt.timedelta(6)
 
 
-def test_splits():
+def test_splits(spark):
     dates = [DAY + dt.timedelta(i) for i in range(400)]
-    folds = splits.walk_forward(dates, splits.FoldRules(252, 21, 21, 20))
+    each = lambda spans: [(s.fold, s.split, d) for s in spans for d in dates if s.first <= d <= s.last]
+    folds = each(splits.walk_forward(dates, splits.FoldRules(252, 21, 21, 20)))
+    panel = spark.createDataFrame([(d,) for d in dates] * 2, "date date")
+    got = splits.split_rows(panel, splits.walk_forward(dates)).collect()
+    assert sorted((r.fold_id, r.split, r.date) for r in got) == sorted(each(splits.walk_forward(dates)) * 2)
     zero = {s: [d for f, k, d in folds if f == 0 and k == s] for s in ("train", "val", "oos")}
     assert [len(zero[s]) for s in ("train", "val", "oos")] == [252, 21, 21]
     assert (zero["oos"][0] - zero["val"][-1]).days == 21 and max(f for f, _, _ in folds) == 4
-    apart = [d for f, k, d in splits.walk_forward(dates, purge_validation=True) if f == 0 and k == "train"]
+    apart = [d for f, k, d in each(splits.walk_forward(dates, purge_validation=True)) if f == 0 and k == "train"]
     assert (zero["val"][0] - apart[-1]).days == 21
-    assert splits.last_fold(dates)[-1][2] == dates[-1] and splits.FoldRules(purge=5).checked(20).purge == 20
-    assert [sum(k == s for _, k, _ in splits.holdout(dates)) for s in ("train", "val", "test")] == [280, 60, 60]
-    assert sum(k == "refit" for _, k, _ in splits.final_fit(dates)) == 400
+    assert splits.last_fold(dates)[-1].last == dates[-1] and splits.FoldRules(purge=5).checked(20).purge == 20
+    assert [sum(k == s for _, k, _ in each(splits.holdout(dates))) for s in ("train", "val", "test")] == [280, 60, 60]
+    assert sum(k == "refit" for _, k, _ in each(splits.final_fit(dates))) == 400
     with pytest.raises(ValueError):
         splits.holdout(dates[:2])
 
@@ -218,6 +258,8 @@ def test_metrics_against_plain_python(spark):
     assert got.pr_auc == pytest.approx(expected)
     one = metrics.ranking_areas(df.withColumn("positive", F.lit(1))).first()
     assert one.roc_auc is None
+    skewed = metrics.ranking_areas(df.withColumn("score", F.exp(F.col("score") * 30))).first()
+    assert (skewed.roc_auc, skewed.pr_auc) == (pytest.approx(got.roc_auc), pytest.approx(got.pr_auc))
 
 
 def test_signals_and_reviews(spark):
@@ -253,9 +295,38 @@ def test_models(spark):
     fitted = models.fit_regressor("elastic_net", rows, ["a", "b"], "y").transform(rows)
     assert fitted.agg(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 1.0
     same = models.fit_classifier("logistic", rows.filter("label = 1"), ["a", "b"], "label", 2)
-    assert models.probabilities(same, rows, ["a", "b"]).first().probabilities == [0.0, 1.0]
-    both = models.probabilities(models.fit_classifier("logistic", rows, ["a", "b"], "label", 2), rows, ["a", "b"])
-    assert all(abs(sum(r.probabilities) - 1) < 1e-9 for r in both.collect())
+    assert same.transform(rows).first().probabilities == [0.0, 1.0]
+
+
+@pytest.mark.parametrize("kind", ["logistic", "elastic_net_logistic", "forest", "boosted_trees", "perceptron"])
+def test_classifiers_learn_a_threshold(spark, kind, tmp_path):
+    rows = spark.createDataFrame([(float(i), float(i % 3) if i % 5 else None, float(i >= 30)) for i in range(60)], "a double, b double, label double")
+    fitted = models.fit_classifier(kind, rows, ["a", "b"], "label", 2)
+    out = fitted.transform(rows).collect()
+    assert all(abs(sum(r.probabilities) - 1) < 1e-9 for r in out)
+    assert sum((r.probabilities[1] > 0.5) == bool(r.label) for r in out) >= 54
+    fitted.save(str(tmp_path / "m"))
+    again = models.Fitted.load(str(tmp_path / "m"))
+    assert again.columns == ("a", "b") and [r.probabilities for r in again.transform(rows).collect()] == [r.probabilities for r in out]
+    with pytest.raises(ValueError):
+        again.transform(rows.drop("b"))
+
+
+@pytest.mark.parametrize("kind", ["ridge", "elastic_net", "boosted_trees"])
+def test_regressors(spark, kind):
+    import numpy as np
+
+    r = random.Random(8)
+    data = [(r.uniform(0, 50), r.uniform(-1, 1), r.uniform(0, 1)) for _ in range(80)]
+    rows = spark.createDataFrame([(a, b, 2 * a - 3 * b + e) for a, b, e in data], "a double, b double, y double")
+    out = models.fit_regressor(kind, rows, ["a", "b"], "y").transform(rows).orderBy("a").collect()
+    error = statistics.mean(abs(x.prediction - x.y) for x in out)
+    assert error < {"ridge": 4, "elastic_net": 2, "boosted_trees": 12}[kind] < statistics.pstdev([x.y for x in out])
+    if kind == "ridge":  # the normal equations, with population deviations
+        x, y = np.array([[p.a, p.b] for p in out]), np.array([p.y for p in out])
+        z = (x - x.mean(0)) / x.std(0)
+        weights = np.linalg.solve(z.T @ z + 10 * np.eye(2), z.T @ (y - y.mean()))
+        assert [p.prediction for p in out] == pytest.approx((y.mean() + z @ weights).tolist(), abs=1e-6)
 
 
 def test_selection_of_rows(spark):
@@ -282,6 +353,9 @@ def test_diagnostics_boards_and_reports(spark):
     assert got["GOOD"].research_universe_ok and not got["NONE"].research_universe_ok and got["NONE"].research_rejection_reasons == ""
     board = lambda x: spark.createDataFrame([("m", "f", x), ("n", "f", 0.0)], "model_name string, feature_set string, score double")
     assert {r.model_name: r.delta_score for r in metrics.compare_boards(board(1.0), board(3.0).filter("model_name = 'm'"), ["score"]).collect()} == {"m": 2.0}
+    many = lambda xs: spark.createDataFrame([(f"m{i}", "f", x) for i, x in enumerate(xs)], "model_name string, feature_set string, score double")
+    changes = metrics.board_changes(metrics.compare_boards(many([1.0, 1.0, 1.0, 1.0]), many([2.0, 4.0, 0.0, 1.0]), ["score"]), "score").first()
+    assert (changes.matched_count, changes.improved_count, changes.worsened_count, changes.tie_count, changes.median_delta_score, changes.new_board_better) == (4, 2, 1, 1, 0.5, True)
     report = spark.createDataFrame([("IGNORE", 1.0, "a"), ("WATCHLIST", 9.0, "b"), ("ENTRY CANDIDATE", 5.0, "c"), ("ENTRY CANDIDATE", 2.0, "d")], "suggested_action string, ensemble_percentile double, ticker string")
     assert [r.ticker for r in signals.report_order(report).collect()] == ["d", "c", "b", "a"]
     assert signals.implied_close(spark.createDataFrame([(100.0, 0.1, 0.05)], "anchor_close double, prediction double, benchmark_return double")).first().implied_close == pytest.approx(115.0)
@@ -291,7 +365,10 @@ def test_small_selections(spark):
     rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "role string, status string")
     assert sorted(map(tuple, upsert.status_counts(rows).collect())) == [("a", "x", 2), ("b", "y", 1)]
     panel = bars(spark, [(t, 0, 1.0, 1.0, 1.0, 1.0, 1.0) for t in ("C", "A", "B")])
-    assert [r.ticker for r in selection.first_tickers(panel, 2).orderBy("ticker").collect()] == ["A", "B"]
+    placed = panel.withColumn("at", F.when(F.col("ticker") == "C", 0).when(F.col("ticker") == "A", 1).otherwise(2))
+    assert {r.ticker for r in selection.first_tickers(placed, 2, "at").collect()} == {"A", "C"}
+    dear = panel.withColumn("close", F.when(F.col("ticker") == "B", 9.0).otherwise(1.0))
+    assert [r.ticker for r in selection.latest_liquid(dear, 5, 0.5, least_price=5.0).collect()] == ["B"]
     assert {r.ticker for r in upsert.without_tickers(panel, ["a"]).collect()} == {"B", "C"}
     codes = featuresets.vocabulary(rows, "role")
     assert {(r.role, r.role_code) for r in featuresets.encoded(rows.union(spark.createDataFrame([("zz", "x")], rows.schema)), "role", codes.filter("role <> 'b'")).collect()} == {("a", 1), ("b", 0), ("zz", 0)}
