@@ -32,6 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return MADE[-1]
 
 
+def make_folder(spark: SparkSession, folder: str) -> None:
+    """The folder, if it is not there yet: for files that tasks write, of which there may be none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 def delete_folder(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
