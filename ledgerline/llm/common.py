@@ -1,17 +1,18 @@
-"""Shared storage, scratch tables and text helpers of the corpus operators."""
+"""Files in shared storage, joins of hot keys and text helpers of the corpus operators."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import re
-import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.sources.scratch import MADE, clear_scratch, make_folder, materialize, shared_dir  # noqa: F401
+
 #: The upper-case and lower-case letters that normalisation maps, and nothing beyond them.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_TABLE = str.maketrans(UPPER, LOWER)
@@ -19,47 +20,6 @@ LOWER_TABLE = str.maketrans(UPPER, LOWER)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see.
-
-    It lies under spark.checkpoint.dir, a path without a scheme in Spark's default file system. Only where that is unset
-    and Spark runs in one process, as in tests, a temporary folder is set; on a cluster that is an error.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        if not re.match(r"local(\[|$)", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-        context.setCheckpointDir(base)
-    if not re.match("[A-Za-z][A-Za-z0-9+.-]*:/", base):
-        path = context._jvm.org.apache.hadoop.fs.Path(base)
-        base = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    MADE.append(f"{base.rstrip('/')}/ledgerline-{uuid.uuid4().hex}")
-    return MADE[-1]
-
-
-#: Scratch folders of this session.
-MADE: list[str] = []
-
-
-def clear_scratch(since: int = 0, keep: int = 0) -> None:
-    """Delete this session's scratch folders from a place in MADE on, but for the last `keep`; results that still read them are lost."""
-    kept = MADE[max(since, len(MADE) - keep) :]
-    for folder in MADE[since : len(MADE) - len(kept)]:
-        files, path = file_system(folder)
-        files.delete_dir_contents(path, missing_dir_ok=True)
-    MADE[since:] = kept
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str) -> DataFrame:
     """rows with the other columns of groups, which has each row's key once and in `size` how many rows have it.
 
@@ -71,7 +31,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread:
     hot = groups.filter(F.col(size) * 1000 > total).select(F.col(key).alias("_hot_key"), F.struct(*names).alias("_hot"))
     known = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").drop("_hot_key")
     known = known.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(1024)).cast("int") + 1))
-    cold = groups.select(key, F.lit(0).alias("_salt"), F.struct(*names).alias("_own"))
+    # A plain 0 would be taken out of the join's keys.
+    cold = groups.select(key, F.when(F.col(size) > 0, 0).otherwise(-1).alias("_salt"), F.struct(*names).alias("_own"))
     met = known.join(cold, [key, "_salt"], "left").withColumn("_own", F.coalesce("_hot", "_own"))
     return met.select(*rows.columns, *[F.col(f"_own.{c}").alias(c) for c in names])
 

@@ -61,8 +61,9 @@ END_ID = 2
 
 
 def op7_wavelet_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = write_token_shards(_table(spark, sf_dir, "documents"), tokenizer_path(), shared_dir(spark), END_ID)
-    return read_token_shards(files, with_ids=False)
+    folder = shared_dir(spark)
+    write_token_shards(_table(spark, sf_dir, "documents"), tokenizer_path(), folder, END_ID)
+    return read_token_shards(spark, folder, with_ids=False)
 
 
 def op8_warc_boundary_chains(spark: SparkSession, sf_dir: str) -> DataFrame:

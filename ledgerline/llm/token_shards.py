@@ -1,12 +1,14 @@
 """Token ids in binary shard files, each a wavelet matrix.
 
 A shard holds the ids of consecutive documents as bit-planes: plane k has bit k (from the top) of each token's place in
-the shard's own alphabet, and each next plane is ordered by the bits before it, zeros first. With counts of ones at
-every 512th bit, a token is read, counted or found from about log2(alphabet) bits a token, without unpacking the rest.
-
-Layout, little-endian: 8 bytes magic; uint64 tokens, uint32 symbols, uint32 planes, uint64 documents; the symbols
-(uint32, ascending); zeros of each plane (uint64); each plane's bits, padded to 64 bytes; then, zstd-compressed, the
-documents' token counts (uint32). The counts of ones are rebuilt on loading.
+the shard's own alphabet, and each next plane is ordered by the bits before it, zeros first. With the counts of ones
+before every 512th bit, a token is read, counted or found from about log2(alphabet) words of 64 bytes, which are read
+from their place in the file: the rest stays unread.
+
+Layout, little-endian: 8 bytes magic; uint64 tokens, uint32 symbols, uint32 planes, uint64 documents, uint64 documents
+without an id, which come first; the symbols (uint32, ascending); zeros of each plane (uint64); for each plane the ones
+before each block (uint64, and in all) and then its bits, padded to 64 bytes; then, zstd-compressed, the documents'
+token counts (uint32) and ids (int64).
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.bpe import UnitCache, byte_letters
-from ledgerline.llm.common import bound_batches, file_system, materialize, release, write_file
+from ledgerline.llm.common import bound_batches, file_system, make_folder, materialize, release, write_file
 
-MAGIC = b"WAVETOK1"
-HEAD = "<8sQIIQ"
+MAGIC = b"WAVETOK2"
+HEAD = "<8sQIIQQ"
 BLOCK = 512
 #: Bits of a plane that are worked on together, as they fit a core's cache.
 STEP = 1 << 16
@@ -40,8 +42,11 @@ SHARD_TOKENS = 8_000_000
 class WaveletMatrix:
     """A sequence of symbols by bit-planes with rank and select."""
 
-    def __init__(self, symbols: np.ndarray, zeros: list[int], planes: list[np.ndarray], n: int):
+    def __init__(self, symbols: np.ndarray, zeros: list[int], planes: list, n: int, ones: list | None = None):
+        """planes and ones: arrays, or what gives arrays for slices."""
         self.symbols, self.zeros, self.planes, self.n = symbols, zeros, planes, n
+        if ones is not None:
+            self._ones = ones
 
     @classmethod
     def build(cls, tokens: np.ndarray) -> WaveletMatrix:
@@ -93,7 +98,7 @@ class WaveletMatrix:
 
     def _select(self, k: int, one: bool, j: int) -> int:
         """Where plane k has its j-th (from 0) one or zero."""
-        ones = self._ones[k]
+        ones = self._ones[k][:]
         before = ones if one else np.arange(len(ones)) * BLOCK - ones
         block = int(np.searchsorted(before, j, side="right")) - 1
         bits = np.unpackbits(self.planes[k][block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)], bitorder="little")
@@ -141,30 +146,68 @@ class WaveletMatrix:
         return at
 
 
-def dump(tokens: np.ndarray, counts: np.ndarray) -> Iterator[bytes]:
-    """The parts of a shard file: all tokens and each document's number of them."""
+def dump(tokens: np.ndarray, counts: np.ndarray, ids: list[int | None] | None = None) -> Iterator[bytes]:
+    """The parts of a shard file: all tokens, each document's number of them, and its id; documents without one come first."""
     matrix = WaveletMatrix.build(tokens)
-    yield struct.pack(HEAD, MAGIC, matrix.n, len(matrix.symbols), len(matrix.planes), len(counts))
+    ids = list(range(len(counts))) if ids is None else ids
+    named = [x for x in ids if x is not None]
+    if ids != [None] * (len(ids) - len(named)) + named:
+        raise ValueError("documents without an id come first")
+    yield struct.pack(HEAD, MAGIC, matrix.n, len(matrix.symbols), len(matrix.planes), len(counts), len(ids) - len(named))
     yield matrix.symbols.astype("<u4").tobytes()
     yield np.array(matrix.zeros, "<u8").tobytes()
-    yield from (plane.tobytes() for plane in matrix.planes)
-    yield zstandard.compress(counts.astype("<u4").tobytes())
+    for ones, plane in zip(matrix._ones, matrix.planes, strict=True):
+        yield ones.astype("<u8").tobytes()
+        yield plane.tobytes()
+    yield zstandard.compress(counts.astype("<u4").tobytes() + np.array(named, "<i8").tobytes())
+
+
+class _Ranged:
+    """An array in a file, of which slices are read."""
+
+    def __init__(self, file, at: int, kind: str, length: int):
+        self.file, self.at, self.kind, self.length = file, at, np.dtype(kind), length
+
+    def __getitem__(self, i: int | slice):
+        start, stop, _ = (slice(i, i + 1) if isinstance(i, int) else i).indices(self.length)
+        self.file.seek(self.at + start * self.kind.itemsize)
+        got = np.frombuffer(self.file.read((stop - start) * self.kind.itemsize), self.kind)
+        return got[0] if isinstance(i, int) else got
 
 
-def load(data: bytes) -> tuple[WaveletMatrix, np.ndarray]:
-    """The wavelet matrix of a shard file and its documents' token counts."""
-    magic, n, symbols, planes, documents = struct.unpack_from(HEAD, data)
+def header(file) -> tuple[int, int, int, int, int]:
+    """tokens, symbols, planes, documents, documents without an id."""
+    file.seek(0)
+    magic, *sizes = struct.unpack(HEAD, file.read(struct.calcsize(HEAD)))
     if magic != MAGIC:
         raise ValueError("not a token shard")
+    return tuple(sizes)
+
+
+def open_matrix(file) -> tuple[WaveletMatrix, int]:
+    """The matrix of an open shard file, whose planes are read as they are asked for, and where its documents begin."""
+    n, symbols, planes, _, _ = header(file)
     at = struct.calcsize(HEAD)
-    names = np.frombuffer(data, "<u4", symbols, at)
-    at += 4 * symbols
-    zeros = np.frombuffer(data, "<u8", planes, at).tolist()
-    at += 8 * planes
-    size = -(-n // BLOCK) * (BLOCK // 8)
-    rows = [np.frombuffer(data, np.uint8, size, at + k * size) for k in range(planes)]
-    counts = np.frombuffer(zstandard.decompress(data[at + planes * size :], max_output_size=max(1, 4 * documents)), "<u4")
-    return WaveletMatrix(names, zeros, rows, n), counts
+    names, zeros = _Ranged(file, at, "<u4", symbols)[:], _Ranged(file, at + 4 * symbols, "<u8", planes)[:].tolist()
+    at += 4 * symbols + 8 * planes
+    blocks = -(-n // BLOCK)
+    ones, rows = [], []
+    for _ in range(planes):
+        ones.append(_Ranged(file, at, "<u8", blocks + 1))
+        rows.append(_Ranged(file, at + 8 * (blocks + 1), "u1", blocks * (BLOCK // 8)))
+        at = rows[-1].at + rows[-1].length
+    return WaveletMatrix(names, zeros, rows, n, ones), at
+
+
+def load(file) -> tuple[WaveletMatrix, np.ndarray, list[int | None]]:
+    """The whole matrix of an open shard file, its documents' token counts and their ids."""
+    matrix, at = open_matrix(file)
+    matrix.planes, matrix._ones = [x[:] for x in matrix.planes], [x[:] for x in matrix._ones]
+    _, _, _, documents, nameless = header(file)
+    file.seek(at)
+    rest = zstandard.decompress(file.read(), max_output_size=max(1, 12 * documents))
+    counts = np.frombuffer(rest, "<u4", documents)
+    return matrix, counts, [None] * nameless + np.frombuffer(rest, "<i8", documents - nameless, 4 * documents).tolist()
 
 
 class LibraryCache(UnitCache):
@@ -214,20 +257,20 @@ def library(path: str) -> LibraryCache:
 def write_token_shards(docs: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode all texts and write their ids, each document's followed by end_id, in ascending id order.
 
-    Returns file, first (ids of all files before it), n_tokens. Null text counts as empty, null ids come first, rows
-    with one id follow each other by text. A task holds one file's tokens and writes it under a name that a repeated
-    attempt replaces. An empty table gives no file.
+    Returns file, n_tokens, n_docs. Null text counts as empty, null ids come first, rows with one id follow each other by
+    text. A task holds one file's tokens and writes it under a name that a repeated attempt replaces; names are in the
+    order of the ids. An empty table gives no file.
     """
-    rows = bound_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = bound_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).repartitionByRange("id").sortWithinPartitions("id", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = library(path), TaskContext.get().partitionId()
         held, ids, size, number = [], [], 0, 0
 
         def close():
-            name = f"{folder}/tokens-{part:06d}-{number:05d}.wav"
-            write_file(name, dump(np.concatenate(held), np.array([len(x) for x in held])))
-            return pa.record_batch({"file": [name], "part": pa.array([part], pa.int64()), "number": pa.array([number], pa.int64()), "n_tokens": pa.array([size], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64()))})
+            name = f"{folder}/tokens-{part:08d}-{number:08d}.wav"
+            write_file(name, dump(np.concatenate(held), np.array([len(x) for x in held]), ids))
+            return pa.record_batch({"file": [name], "n_tokens": pa.array([size], pa.int64()), "n_docs": pa.array([len(held)], pa.int64())})
 
         for batch in batches:
             for doc, made in zip(batch["id"].to_pylist(), coder.encode_array(batch["text"]), strict=True):
@@ -242,24 +285,38 @@ def write_token_shards(docs: DataFrame, path: str, folder: str, end_id: int, id_
             held.clear()
         release()
 
-    files = materialize(rows.mapInArrow(task, "file string, part long, number long, n_tokens long, ids array<long>"))
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = files.select("file", "part", "number", "n_tokens").withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
-    return materialize(files.select("file", "ids").join(firsts, "file").select("file", "first", "n_tokens", "ids"))
+    make_folder(docs.sparkSession, folder)
+    return materialize(rows.mapInArrow(task, "file string, n_tokens long, n_docs long"))
+
+
+def _header_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = []
+        for name in batch["path"].to_pylist():
+            fs, path = file_system(name)
+            with fs.open_input_file(path) as f:
+                sizes.append(header(f)[0])
+        yield pa.record_batch({"file": batch["path"], "n_tokens": pa.array(sizes, pa.int64())})
 
 
-def read_token_shards(files: DataFrame, with_ids: bool = True) -> DataFrame:
-    """files: as write_token_shards returned. One row per document: doc_id, start, n_tokens, ids_crc32, and tokens unless left out.
+def read_token_shards(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """One row per document of a folder's files: doc_id, start, n_tokens, ids_crc32, and tokens unless left out.
 
-    The token ids come from the files alone; crc32 is taken over them as little-endian unsigned 32-bit integers.
+    All comes from the files and the order of their names; crc32 is taken over token ids as little-endian unsigned
+    32-bit integers. First headers alone are read, for how many ids are before each file.
     """
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path")
+    sizes = materialize(names.repartition(tasks, "path").mapInArrow(_header_task, "file string, n_tokens long"))
+    before = Window.orderBy(F.element_at(F.split("file", "/"), -1)).rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    files = materialize(sizes.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long"))))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, first, docs in zip(batch["file"].to_pylist(), batch["first"].to_pylist(), batch["ids"].to_pylist(), strict=True):
+            for name, first in zip(batch["file"].to_pylist(), batch["first"].to_pylist(), strict=True):
                 fs, path = file_system(name)
                 with fs.open_input_file(path) as f:
-                    matrix, counts = load(f.read())
+                    matrix, counts, docs = load(f)
                 tokens = matrix.tokens().astype("<u4")
                 ends = np.cumsum(counts, dtype=np.int64)
                 starts, data = ends - counts, memoryview(tokens).cast("B")
@@ -269,5 +326,4 @@ def read_token_shards(files: DataFrame, with_ids: bool = True) -> DataFrame:
                     columns["tokens"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(tokens.astype(np.int64)))
                 yield pa.record_batch(columns)
 
-    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return files.repartition(tasks, "file").mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", tokens array<long>" * with_ids)

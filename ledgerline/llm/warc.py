@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import bound_batches, file_system, materialize, write_file
+from ledgerline.llm.common import bound_batches, file_system, make_folder, materialize, write_file
 
 #: Payloads of at least so many bytes may be revisits.
 REVISIT = 1000
@@ -78,6 +78,7 @@ def write_warc(planned: DataFrame, folder: str, id_col: str = "page_id", url_col
             write_file(f"{folder}/pages-{TaskContext.get().partitionId():06d}.warc", parts())
         yield pa.record_batch({"n": pa.array([count[0]], pa.int64())})
 
+    make_folder(planned.sparkSession, folder)
     return rows.mapInArrow(task, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 

@@ -1,4 +1,6 @@
+import functools
 import hashlib
+import io
 import math
 import random
 import zlib
@@ -106,10 +108,52 @@ def test_language_profiles(spark):
     assert {x.lang_pred for x in langid.identify(frame, {}).collect()} == {"und"} and langid.train_profiles(frame.limit(0)) == {}
 
 
-def test_out_of_place_distance():
-    model = langid.RankProfiles({"a": [1, 2, 3], "b": [3, 2]}, 3)
-    assert model.labels == ["a", "b"] and model.ranks.tolist() == [[0, 1, 2], [-1, 1, 0]]
-    assert langid.gram_counts("12 ..")[0].size == 0
+def plain_grams(text):
+    """n-grams of one to three letters with their counts, of lower-cased words padded with blanks; by code points."""
+    line, counts = "".join(c if c.isalpha() else " " for c in text.lower()), Counter()
+    for w in (f" {w} " for w in line.split()):
+        counts.update(c for c in w if c != " ")
+        counts.update(w[j : j + 2] for j in range(len(w) - 1))
+        counts.update(w[j : j + 3] for j in range(len(w) - 2))
+    return counts
+
+
+def ranked(counts, size=langid.PROFILE):
+    code = lambda g: sum(ord(c) << (21 * (len(g) - 1 - j)) for j, c in enumerate(g))
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[:size]
+
+
+def plain_language(rows):
+    """rows: (id, text, lang). The prediction and score of each, by profiles of the rows whose fold is not 1."""
+    sums = defaultdict(Counter)
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1 and text is not None and lang is not None:
+            sums[lang].update(plain_grams(text))
+    profiles = {k: {g: r for r, g in enumerate(ranked(v))} for k, v in sorted(sums.items()) if v}
+    out = {}
+    for i, text, _ in rows:
+        top = ranked(plain_grams(text or ""))
+        if not top or not profiles:
+            out[i] = ("und", 0.0)
+            continue
+        off = {k: sum(abs(p[g] - r) if g in p else langid.PROFILE for r, g in enumerate(top)) for k, p in profiles.items()}
+        best = min(profiles, key=lambda k: (off[k], k))
+        out[i] = (best, 1 - off[best] / (langid.PROFILE * len(top)))
+    return out
+
+
+def test_out_of_place_distances(spark):
+    r = random.Random(21)
+    alphabets = {"xx": "abcdeé", "yy": "defghÉ", "zz": "éêàçuß"}
+    rows = [(i, " ".join("".join(r.choices(alphabets[k], k=r.randint(1, 9))) for _ in range(r.randint(1, 60))), k) for i, k in enumerate(["xx", "yy", "zz"] * 25)]
+    rows += [(200, None, "xx"), (201, "12 $$", "yy"), (202, "a-b'c 漢字", None), (203, "Ab " * 40_000, "xx"), (204, rows[0][1], "zz"), (205, "ǅ ſ İ", "xx")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    frame = frame.union(frame.filter("doc_id in (3, 203)"))
+    profiles = langid.train_profiles(frame.filter(langid.fold(F.col("doc_id"), 3) != 1))
+    got = langid.identify(frame, profiles).collect()
+    want = plain_language([*rows, *(x for x in rows if x[0] in (3, 203))])
+    assert len(got) == len(rows) + 2
+    assert [(x.lang_pred, pytest.approx(x.score)) for x in got] == [want[x.doc_id] for x in got]
 
 
 def targets(sizes, most=3):
@@ -233,12 +277,27 @@ def test_long_chains_are_one_component(spark):
     assert set(got.values()) == {0, 500} and len(got) == 203
 
 
+class Counted(io.BytesIO):
+    read_bytes = 0
+
+    def read(self, size=-1):
+        got = super().read(size)
+        self.read_bytes += len(got)
+        return got
+
+
 def test_wavelet_matrix():
     r = np.random.default_rng(7)
     for tokens in (r.integers(0, 50_000, 3000), np.zeros(700, int), np.array([5]), np.array([], int), r.integers(0, 3, 2000)):
         data = b"".join(token_shards.dump(tokens.astype(np.uint32), np.array([len(tokens)])))
-        matrix, counts = token_shards.load(data)
-        assert matrix.tokens().tolist() == tokens.tolist() and counts.tolist() == [len(tokens)]
+        matrix, counts, ids = token_shards.load(io.BytesIO(data))
+        assert matrix.tokens().tolist() == tokens.tolist() and counts.tolist() == [len(tokens)] and ids == [0]
+        file = Counted(data)
+        ranged, _ = token_shards.open_matrix(file)
+        if len(tokens) > 2000:  # from the file's own ranges
+            file.read_bytes = 0
+            assert [ranged[i] for i in (5, len(tokens) - 1)] == tokens[[5, -1]].tolist() and file.read_bytes < len(data) / 2
+            assert ranged.rank(int(tokens[9])) == int((tokens == tokens[9]).sum()) and ranged.select(int(tokens[9]), 0) == int(np.flatnonzero(tokens == tokens[9])[0])
         for i in r.integers(0, max(1, len(tokens)), 60).tolist() if len(tokens) else []:
             symbol = int(tokens[i])
             assert matrix[i] == symbol and matrix.rank(symbol, i) == int((tokens[:i] == symbol).sum()) and matrix.select(symbol, matrix.rank(symbol, i)) == i
@@ -252,16 +311,26 @@ def test_token_shards(spark):
     texts = [*fuzz(300, 8), None, *ODD]
     frame = docs(spark, texts).repartition(3)
     for most in (200, 10**6):
-        files = token_shards.write_token_shards(frame, PATH, shared_dir(spark), 2, shard_tokens=most)
-        got = {r.doc_id: r for r in token_shards.read_token_shards(files).collect()}
+        folder = shared_dir(spark)
+        files = token_shards.write_token_shards(frame, PATH, folder, 2, shard_tokens=most)
+        got = {r.doc_id: r for r in token_shards.read_token_shards(spark, folder).collect()}
+        assert files.agg(F.sum("n_docs")).first()[0] == len(got) == len(texts)
         start = 0
         for i, text in enumerate(texts):
             ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
             assert (got[i].start, got[i].n_tokens, list(got[i].tokens)) == (start, len(ids), ids)
             assert got[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
             start += len(ids)
-    empty = token_shards.write_token_shards(frame.limit(0), PATH, shared_dir(spark), 2)
-    assert token_shards.read_token_shards(empty).count() == 0
+    # Rows that share an id, or have none: the latter first, then by id and text.
+    odd = spark.createDataFrame([(3, "b b"), (3, "a"), (None, "z"), (3, None), (None, "y"), (1, "x")], "doc_id long, text string")
+    folder = shared_dir(spark)
+    token_shards.write_token_shards(odd, PATH, folder, 2, shard_tokens=4)
+    got = sorted(token_shards.read_token_shards(spark, folder).collect(), key=lambda r: r.start)
+    want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in ("y", "z", "x", "", "a", "b b")]
+    assert [r.doc_id for r in got] == [None, None, 1, 3, 3, 3] and [list(r.tokens) for r in got] == want
+    folder = shared_dir(spark)
+    token_shards.write_token_shards(frame.limit(0), PATH, folder, 2)
+    assert token_shards.read_token_shards(spark, folder).count() == 0
 
 
 def test_warc_chains(spark):
@@ -280,10 +349,23 @@ def test_warc_chains(spark):
             assert (r.record_type, r.refers_to) == (("revisit", f"<urn:page:{again}>") if again else ("response", None))
             assert r.payload_bytes == len(data) and r.payload_sha1 == hashlib.sha1(data).hexdigest() and bytes(r.payload) == (b"" if again else data)
     nothing = shared_dir(spark)
-    frame.limit(1).write.parquet(nothing)
     assert warc.write_warc(warc.plan_records(frame.limit(0)), nothing) == 0 and warc.read_warc(spark, nothing).count() == 0
 
 
+def test_warc_ranges_are_dealt_to_all_tasks(spark):
+    rows = [(i, "u", "p" * 2000) for i in range(300)] + [(7, "u", "q" * 1200), (7, None, "q" * 1200), (None, "u", "r")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    folder = shared_dir(spark)
+    assert warc.write_warc(warc.plan_records(frame), folder) == len(rows)
+    read = warc.read_warc(spark, folder, 1500, with_payload=False)
+    tasks, used = read.rdd.getNumPartitions(), read.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 2 * 4 and used >= 0.75 * tasks  # four shuffle partitions, eight ranges a task
+    got = Counter((r.record_id, r.record_type, r.payload_bytes) for r in read.collect())
+    # Of equal payloads one response; rows that repeat the winning id are responses too.
+    assert got[("<urn:page:7>", "response", 1200)] == 2 and got[("<urn:page:>", "response", 1)] == 1 and got[("<urn:page:299>", "response", 2000)] == 1
+    assert sum(got.values()) == len(rows) and sum(n for (_, kind, _), n in got.items() if kind == "revisit") == 299
+
+
 def test_warc_errors(spark):
     from ledgerline.llm.common import write_file
 
@@ -303,23 +385,23 @@ def plain_ppm(counted):
             for k in range(ppm.ORDER + 1):
                 seen[k][line[i - k : i]][line[i]] += 1
 
+    @functools.cache
+    def cost(string):
+        out, total = set(), 0.0
+        for k in range(ppm.ORDER, -1, -1):
+            left = {s: n for s, n in seen[k].get(string[ppm.ORDER - k : -1], {}).items() if s not in out}
+            if not left:
+                continue
+            whole = sum(left.values())
+            if string[-1] in left:
+                return total + math.log10((left[string[-1]] - 0.5) / whole)
+            total += math.log10(len(left) / 2 / whole)
+            out |= set(left)
+        return total - math.log10(256 - len(out))
+
     def score(text):
-        line, total = ppm.LEAD + text + ppm.END, 0.0
-        for i in range(ppm.ORDER, len(line)):
-            out = set()
-            for k in range(ppm.ORDER, -1, -1):
-                left = {s: n for s, n in seen[k].get(line[i - k : i], {}).items() if s not in out}
-                if not left:
-                    continue
-                whole = sum(left.values())
-                if line[i] in left:
-                    total += math.log10((left[line[i]] - 0.5) / whole)
-                    break
-                total += math.log10(len(left) / 2 / whole)
-                out |= set(left)
-            else:
-                total -= math.log10(256 - len(out))
-        return total
+        line = ppm.LEAD + text + ppm.END
+        return sum(cost(line[i - ppm.ORDER : i + 1]) for i in range(ppm.ORDER, len(line)))
 
     return score
 

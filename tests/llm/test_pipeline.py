@@ -32,44 +32,133 @@ def test_queries_match_sql(spark, name):
 
 
 @needs_tables
-def test_pipeline_keeps_what_plain_python_keeps(spark):
-    from test_operators import plain_fingerprint, reach
+def test_queries_match_brute_force(spark):
+    """Those without SQL, over the whole smallest tables."""
+    import hashlib
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+    from test_operators import PATH, plain_fingerprint, plain_language, plain_passages, plain_ppm, reach, words
+    from tokenizers import Tokenizer
+
+    library, digest = Tokenizer.from_file(PATH), lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()]
+    run = lambda n: entry.queries()[n](spark, SMALL).collect()
+    by = lambda n: {r.doc_id: r for r in run(n)}
+
+    want = plain_passages([(i, t) for i, t, _ in rows])
+    got = by("op1_gear_substring_dedup")
+    assert [(x.text_bytes, x.has_repeat, x.n_passages, x.repeated_bytes, x.removed_bytes, x.kept_bytes, x.n_removed) for x in (got[i] for i, *_ in rows)] == [(*w[:6], len(w[6])) for w in want]
+
+    encoded = {i: library.encode(t or "", add_special_tokens=False).ids for i, t, _ in rows}
+    got = by("op3_trie_bpe")
+    assert {i: (x.n_tokens, x.ids_sha256, x.decoded_sha256) for i, x in got.items()} == {i: (len(e), digest(",".join(map(str, e))), digest(library.decode(e, skip_special_tokens=False))) for i, e in encoded.items()}
+
+    start, got = 0, by("op7_wavelet_token_shards")
+    for i, e in sorted(encoded.items()):
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(e) + 1, zlib.crc32(np.array([*e, 2], "<u4").tobytes()))
+        start += len(e) + 1
+
+    got, want = by("op5_rank_order_language"), plain_language(rows)
+    assert all(x.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and x.lang_pred == want[i][0] and abs(x.score - want[i][1]) < 1e-12 for i, x in got.items()) and len(got) == len(rows)
+
+    own = {i: [w.encode() for w in words(t)] for i, t, _ in rows}
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in own}
+    counts = Counter(w for i in own if not out[i] for w in [*own[i], b"\n"])
+    score, n = plain_ppm([b" ".join(own[i]) for i in own if not out[i]]), sum(counts.values())
+    got = by("op9_ppm_scoring")
+    for i, x in got.items():
+        assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (out[i], len(own[i]) + 1, sum(counts[w] > 0 for w in [*own[i], b"\n"]), n)
+        assert x.base_score == pytest.approx(sum(np.log10((counts[w] + 1) / (n + len(counts) + 1)) for w in [*own[i], b"\n"])) and x.score == pytest.approx(score(b" ".join(own[i])))
+
+    ids, prints = [i for i, *_ in rows], [plain_fingerprint(t) for _, t, _ in rows]
+    assert {i: (x.fingerprint, x.component_id) for i, x in by("op10_simhash_bk_tree").items()} == {i: (f"{f:016x}", low) for (i, low), f in zip(reach(ids, prints).items(), prints, strict=True)}
+
+    vectors = {r.vec_id: np.array(r.embedding) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()}
+    found, hits = run("op4_projected_kd_neighbours"), 0
+    queries = [i for i in vectors if i % 100 == 0]
+    for q in queries:
+        exact = sorted((float(np.sqrt(((v - vectors[q]) ** 2).sum())), i) for i, v in vectors.items() if i != q)[:10]
+        mine = sorted((x.rank, x.vec_id, x.score) for x in found if x.query_id == q)
+        assert [m[0] for m in mine] == list(range(1, len(exact) + 1)) and all(s == pytest.approx(float(np.sqrt(((vectors[i] - vectors[q]) ** 2).sum()))) for _, i, s in mine)
+        hits += len({i for _, i in exact} & {i for _, i, _ in mine})
+    assert hits >= 0.9 * 10 * len(queries)
+
+
+def plain_kept(rows):
+    """rows: (id, text, lang) with distinct ids. What the first three stages keep, stage by stage."""
+    from test_jaccard import plain_components
+    from test_operators import plain_language
 
     from ledgerline.llm.common import LOWER_TABLE
 
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
-    odd = spark.createDataFrame([(9000, None, None, None, None), (9001, "", "en", "s", 0), (9002, "$$ 12", "en", None, 5), (9003, None, "fr", "s", 1)], docs.schema)
-    first = docs.first()
+    told = plain_language(rows)
+    rows = [x for x in rows if told[x[0]][0] != "und" and told[x[0]][1] > 0]
+    yield [i for i, *_ in rows]
+    last = {(t or "").translate(LOWER_TABLE): (i, t) for i, t, _ in sorted(rows)}
+    rows = sorted(last.values())
+    yield [i for i, _ in rows]
+    lowest = plain_components([t for _, t in rows])  # ascending ids, so the first place is the smallest id
+    yield [i for at, (i, _) in enumerate(rows) if lowest[at] == at]
+
+
+@needs_tables
+def test_run_keeps_what_plain_python_keeps(spark):
+    import hashlib
+    from collections import Counter
+
+    from test_operators import PATH
+    from tokenizers import Tokenizer
+
+    from ledgerline.llm.mixing import mix_sources
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    *_, kept = plain_kept(rows)
+    drawn = mix_sources(docs.filter(F.col("doc_id").isin(kept))).select("doc_id", F.size("draws").alias("n")).collect()
+    library, digest = Tokenizer.from_file(PATH), lambda x: hashlib.sha256(x.encode()).hexdigest()
+    texts, want = {i: t for i, t, _ in rows}, Counter()
+    for x in drawn:
+        ids = library.encode(texts[x.doc_id] or "", add_special_tokens=False).ids
+        want[(x.doc_id, len(ids), digest(",".join(map(str, ids))), digest(library.decode(ids, skip_special_tokens=False)))] = x.n
+    got = corpus_pipeline.run(spark, SMALL).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert Counter(map(tuple, got)) == +want and len({x.doc_id for x in got}) > 50
+
+
+@needs_tables
+def test_stages_keep_what_plain_python_keeps(spark):
+    from ledgerline.llm.common import LOWER_TABLE
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    first = docs.orderBy("doc_id").first()
     shout = first.text.translate({v: k for k, v in LOWER_TABLE.items()})
-    extra = spark.createDataFrame([(9004, shout, first.lang, first.source, 1), (9004, shout, first.lang, first.source, 1)], docs.schema)
-    kept = docs.unionByName(odd).unionByName(extra).withColumn("n_chars", F.col("n_chars"))
-    rows = {r.doc_id: r.text for r in kept.collect()}
-    for name, stage in corpus_pipeline.STAGES[:3]:
+    odd = [(9000, None, None, None, None), (9001, "", "en", "s", 0), (9002, "$$ 12", "en", None, 5), (9003, None, "fr", "s", 1), (9004, shout, first.lang, first.source, 1)]
+    kept = docs.unionByName(spark.createDataFrame([*odd, odd[-1]], docs.schema))
+    rows = {r.doc_id: (r.doc_id, r.text, r.lang) for r in kept.collect()}
+    for (_, stage), want in zip(corpus_pipeline.STAGES, plain_kept(list(rows.values())), strict=False):
         kept = corpus_pipeline.materialize(stage(spark, kept, SMALL))
         assert kept.columns == corpus_pipeline.COLUMNS
-        got = sorted(r.doc_id for r in kept.select("doc_id").collect())
-        if name == "language":
-            rows = {i: t for i, t in rows.items() if t and any(c.isalpha() for c in t)}
-            assert sorted(set(got)) == sorted(rows)
-        elif name == "exact_dedup":
-            last = {}
-            for i in sorted(rows):
-                last[rows[i].translate(LOWER_TABLE)] = i
-            rows = {i: rows[i] for i in last.values()}
-            assert got == sorted(rows) and 9004 in rows and first.doc_id not in rows
-        else:
-            best = corpus_pipeline_groups(rows, plain_fingerprint, reach)
-            rows = {i: t for i, t in rows.items() if best[i] == i}
-            assert got == sorted(rows)
-    mixed = corpus_pipeline.materialize(corpus_pipeline.mixed(spark, kept, SMALL))
-    assert {r.doc_id for r in mixed.collect()} <= set(rows) and mixed.columns == corpus_pipeline.COLUMNS
-    out = corpus_pipeline.tokens(spark, mixed, SMALL)
-    assert out.count() == mixed.count()
+        got = [r.doc_id for r in kept.select("doc_id").collect()]
+        assert sorted(set(got)) == sorted(want)
+    assert len(got) == len(set(got)) and first.doc_id not in got and 9004 in got
+
+
+def test_exact_stage_keeps_texts_that_share_an_id(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(5, "xx aa", "a", "s", 1), (5, "yy bb", "a", "s", 1), (7, "xx aa", "a", "s", 1), (7, "XX aa", "a", "s", 1), (7, "xx aa", "a", "s", 1), (None, "yy bb", "a", "s", 1), (None, "zz", "b", "s", 1), (None, "zz", "a", "s", 1)]
+    got = sorted((r.doc_id or 0, r.text, r.lang) for r in corpus_pipeline.exact(spark, spark.createDataFrame(rows, schema), "").collect())
+    assert got == [(0, "zz", "a"), (5, "yy bb", "a"), (7, "XX aa", "a")]
+
 
+def test_mix_stage_writes_its_shards_in_order(spark):
+    from ledgerline.llm.mixing import mix_sources
 
-def corpus_pipeline_groups(rows, fingerprint, reach):
-    ids = sorted(rows)
-    return reach(ids, [fingerprint(rows[i]) for i in ids])
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), "a", f"s{i % 4}", 1) for i in range(400)], schema)
+    keys = sorted((d["shard"], d["key"], r.doc_id) for r in mix_sources(docs).collect() for d in r.draws)
+    got = [r.doc_id for r in corpus_pipeline.materialize(corpus_pipeline.mixed(spark, docs, "").withColumn("at", F.monotonically_increasing_id())).orderBy("at").collect()]
+    assert got == [i for *_, i in keys] and len({s for s, *_ in keys}) > 1 and got != sorted(got)
 
 
 def test_stages_with_nameless_rows_and_no_rows(spark):
