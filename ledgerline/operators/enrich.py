@@ -27,6 +27,11 @@ RATIOS = {
     "debt_to_assets": ("total_liabilities", "total_assets"),
     "ocf_margin": ("operating_cash_flow", "revenue"),
 }
+#: The fund that stands for each sector.
+SECTOR_FUNDS = {
+    "Communication Services": "XLC", "Consumer Discretionary": "XLY", "Consumer Staples": "XLP", "Energy": "XLE", "Financials": "XLF", "Health Care": "XLV",
+    "Industrials": "XLI", "Information Technology": "XLK", "Materials": "XLB", "Real Estate": "XLRE", "Utilities": "XLU",
+}
 STATEMENTS = {"income": ("Income_Statement", "IncomeStatement"), "balance": ("Balance_Sheet", "BalanceSheet"), "cash": ("Cash_Flow", "CashFlow")}
 PAYLOAD = "struct<Financials: map<string, map<string, map<string, map<string, string>>>>>"
 
@@ -115,6 +120,11 @@ def add_sentiment(panel: DataFrame, sentiment: DataFrame) -> DataFrame:
     return out.drop("sentiment_count_raw", "sentiment_normalized_raw")
 
 
+def add_sector_funds(panel: DataFrame) -> DataFrame:
+    """Adds sector_etf, the fund of the row's gics_sector; null for other sectors."""
+    return panel.withColumn("sector_etf", F.create_map(*[F.lit(x) for pair in SECTOR_FUNDS.items() for x in pair])[F.trim("gics_sector")])
+
+
 def add_relative_returns(panel: DataFrame, context: DataFrame, benchmark: str, sector_tickers: DataFrame | None = None) -> DataFrame:
     """stock_vs_market_ and stock_vs_sector_return_{1,5}d: a row's returns less the benchmark's and its sector's of the date.
 

@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 from ledgerline.functions.scalars import ratio
 
 
+#: The columns that daily_features adds, numbers and flags.
+DAILY = [
+    "prev_close", "return_1d", "log_return_1d", "gap_pct", "intraday_return", "hl_range_pct", "close_location", "true_range_pct", "rolling_return_5d", "rolling_return_20d", "rolling_return_60d",
+    "rolling_vol_20d", "rolling_vol_60d", "rolling_avg_volume_20d", "rolling_avg_volume_60d", "rolling_avg_dollar_volume_20d", "rolling_avg_dollar_volume_60d", "sma_close_20d", "sma_close_60d",
+    "price_vs_sma_20d", "price_vs_sma_60d", "momentum_20d", "momentum_60d", "volume_ratio_20d", "dollar_volume_ratio_5d", "volume_zscore_20d",
+]
+DAILY_FLAGS = ["has_prev_close", "has_20d_history", "has_60d_history"]
+
+
 def by_day():
     """A ticker's rows by date. Built on use, as it needs a session."""
     return Window.partitionBy("ticker").orderBy("date")

@@ -1,5 +1,7 @@
 """DuckDB SQL for the derived panels, as common table expressions."""
 
+from ledgerline.operators.features import DAILY, DAILY_FLAGS
+
 TICKERS = """
 tickers AS (
   SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS ticker, r_name AS gics_sector,
@@ -73,12 +75,7 @@ def features(source: str, out: str) -> str:
   FROM {out}_e)"""
 
 
-FEATURE_COLUMNS = [
-    "prev_close", "return_1d", "log_return_1d", "gap_pct", "intraday_return", "hl_range_pct", "close_location", "true_range_pct", "rolling_return_5d", "rolling_return_20d", "rolling_return_60d",
-    "rolling_vol_20d", "rolling_vol_60d", "rolling_avg_volume_20d", "rolling_avg_volume_60d", "rolling_avg_dollar_volume_20d", "rolling_avg_dollar_volume_60d", "sma_close_20d", "sma_close_60d",
-    "price_vs_sma_20d", "price_vs_sma_60d", "momentum_20d", "momentum_60d", "volume_ratio_20d", "dollar_volume_ratio_5d", "volume_zscore_20d",
-]
-FLAG_COLUMNS = ["has_prev_close", "has_20d_history", "has_60d_history"]
+FEATURE_COLUMNS, FLAG_COLUMNS = DAILY, DAILY_FLAGS
 
 
 def cross_section(source: str, out: str, features: list[str], keys: list[str], suffix: str, least: int, coverage: str) -> str:

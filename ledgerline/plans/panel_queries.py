@@ -759,3 +759,11 @@ def panel_event_scalars(spark, sf_dir):
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def panel_event_windows(spark, sf_dir):
     return ingest.windowed_counts(panels.table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+@query(
+    "WITH l AS (SELECT *, lag(ts) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM l) "
+    'SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS events, round(sum(value), 4) AS total FROM r GROUP BY user_id, run'
+)
+def panel_event_sessions(spark, sf_dir):
+    return ingest.sessions(panels.table(spark, sf_dir, "events"), gap="6 hours").withColumn("total", F.round("total", 4))

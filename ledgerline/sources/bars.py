@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
 
 from ledgerline.functions.scalars import canonical_exchange, epoch_ms_date, finite, lenient_bool, lenient_double, listed_exchange, other_security, own_ticker, ratio, vendor_symbol
+from ledgerline.operators.features import DAILY, DAILY_FLAGS
 
 BAR_NUMBERS = ("open", "high", "low", "close", "volume", "dollar_volume")
 BAR_TEXT = StructType([StructField(c, StringType()) for c in ("date", "ticker", *BAR_NUMBERS[:5], "adjusted", "dollar_volume")])
@@ -26,8 +27,9 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.to_date("date").alias("date"), F.upper("ticker").alias("ticker"), *[lenient_double(F.col(c)).alias(c) for c in BAR_NUMBERS], lenient_bool(F.col("adjusted")).alias("adjusted"))
 
 
-def read_processed(spark: SparkSession, path: str, numbers: list[str], flags: list[str] = (), texts: list[str] = ("ticker",)) -> DataFrame:
-    """A processed CSV by its header: the named columns with their types; others are not read."""
+def read_processed(spark: SparkSession, path: str, numbers: list[str] = (*BAR_NUMBERS, *DAILY), flags: list[str] = DAILY_FLAGS, texts: list[str] = ("ticker", "gics_sector", "gics_sub_industry")) -> DataFrame:
+    """A processed CSV by its header: the named columns with their types, by default those of bars and daily features;
+    others are not read."""
     rows = spark.read.csv(path, header=True)
     here = set(rows.columns)
     return rows.select(

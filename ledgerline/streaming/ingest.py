@@ -38,3 +38,9 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
     """Events, count and total value per type and window, tumbling or sliding; the same on a stream or a table."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy(F.window("ts", width, step or width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "events", "total")
+
+
+def sessions(events: DataFrame, key: str = "user_id", gap: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Runs of a key's events with less than a gap between them: start, the last one's end, events and total value."""
+    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    return rows.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "total")

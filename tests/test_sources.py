@@ -87,3 +87,30 @@ def test_processed_flat_and_context(spark, tmp_path):
     assert [r.ticker for r in sources.context_rows(spark, None, panel, ["SPY"]).collect()] == ["SPY"]
     assert [r.ticker for r in sources.context_rows(spark, str(tmp_path / "absent"), panel, ["SPY"]).collect()] == ["SPY"]
     assert {r.x for r in sources.clean(panel).collect()} == {1.0, None}
+
+
+def test_stages_are_taken_up_again(spark, tmp_path):
+    from ledgerline.sources.stages import run_stages
+
+    ran = []
+
+    def stage(name, add):
+        def f(_, rows):
+            ran.append(name)
+            return rows.selectExpr(f"x + {add} AS x")
+
+        return name, f
+
+    rows, folder = spark.createDataFrame([(1,), (2,)], "x int"), str(tmp_path / "run")
+    go = lambda stages, made_of, **k: (ran.clear(), sorted(r.x for r in run_stages(spark, rows, stages, folder, made_of, **k).collect()), list(ran))[1:]
+    a, b = stage("a", 1), stage("b", 10)
+    assert go([a, b], {"v": 1}) == ([12, 13], ["a", "b"]) and go([a, b], {"v": 1}) == ([12, 13], [])
+    assert go([a, b, stage("c", 100)], {"v": 1}) == ([112, 113], ["c"])  # only what is new
+    assert go([a, b], {"v": 2}) == ([12, 13], ["a", "b"]) and go([a, b], {"v": 2}, resume=False) == ([12, 13], ["a", "b"])
+
+
+def test_sector_funds(spark):
+    from ledgerline.operators.enrich import add_sector_funds
+
+    panel = spark.createDataFrame([("Energy",), (" Utilities ",), ("Unknown",), (None,)], "gics_sector string")
+    assert [r.sector_etf for r in add_sector_funds(panel).collect()] == ["XLE", "XLU", None, None]
