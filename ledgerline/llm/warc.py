@@ -142,9 +142,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"path": pa.array([path] * len(leaves), pa.string()), "at": pa.array(list(leaves), pa.int64()), "leaves": pa.array(list(leaves.values()), pa.int64())})
 
 
-def range_entries(ranges: DataFrame) -> DataFrame:
+def range_entries(ranges: DataFrame, tasks: int) -> DataFrame:
     """ranges: path, start, end, length. Returns path, at: the first true record of each range that has one."""
-    found = materialize(ranges.mapInArrow(_candidates, "path string, at long, leaves long"))
+    found = materialize(ranges.repartition(tasks, "path", "start").mapInArrow(_candidates, "path string, at long, leaves long"))
     entered = found.select("path", F.col("leaves").alias("at")).distinct()
     jump = materialize(found.join(entered, ["path", "at"], "left_semi").union(found.filter("at = 0")).distinct())
     nodes = jump.select("path", "at")
@@ -182,8 +182,8 @@ def read_warc(spark: SparkSession, folder: str, step: int = RANGE, with_payload:
     total = files.agg(F.sum(F.ceil(F.col("length") / step))).first()[0] or 0
     tasks = max(1, min(total, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGES))))
     starts = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("start"))
-    ranges = materialize(starts.withColumn("end", F.least("length", F.col("start") + step)).repartition(tasks, "path", "start"))
-    reached = range_entries(ranges)
+    ranges = materialize(starts.withColumn("end", F.least("length", F.col("start") + step)))
+    reached = range_entries(ranges, tasks)
     if not ranges.select("path").distinct().join(reached, "path", "left_anti").isEmpty():
         raise ValueError(f"a file in {folder} does not begin with a record")
     entries = reached.withColumn("start", F.col("at") - F.col("at") % step)
