@@ -52,8 +52,10 @@ def op5_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """taken counts the copies that stand in output shards; shards lists them, a copy a pass."""
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    shards = F.array_join(F.transform("draws", lambda x: x["shard"].cast("string")), ",")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), shards.alias("shards"))
 
 
 #: Fixed value: the id that ends a document in the shards.
@@ -98,8 +100,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    # The splitting tree of two shards, which is what tables of up to 40 million words get.
     "op6_source_mixing": r"""
-        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                           (('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, 'null')), 1, 7))::BIGINT % 4096)::INT AS block FROM documents),
              g AS (SELECT source, block, sum(size)::BIGINT AS words, ('0x' || substr(md5('mix-1|block|' || block::VARCHAR), 1, 7))::BIGINT AS place FROM d GROUP BY source, block),
              s AS (SELECT source, sum(words)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM g GROUP BY source),
@@ -113,9 +116,22 @@ ORACLE = {
                             list_transform(blocks, lambda x: {'need': 0.0::DOUBLE, 'took': []::INT[], 'w': x.w, 'b': x.b, 'p': x.p})),
                           lambda a, x: CASE WHEN x.w > 0 AND x.w <= a.need THEN {'need': a.need - x.w, 'took': list_append(a.took, x.b), 'w': a.w, 'b': a.b, 'p': a.p} ELSE a END) AS fit FROM b),
              e AS (SELECT *, list_min(list_transform(list_filter(blocks, lambda x: x.w > 0 AND x.w < 2 * fit.need AND NOT list_contains(fit.took, x.b)), lambda x: {'off': abs(fit.need - x.w), 'p': x.p, 'b': x.b})).b AS extra FROM f),
-             n AS (SELECT source, source_size, target, passes, CASE WHEN extra IS NULL THEN fit.took ELSE list_append(fit.took, extra) END AS took FROM e)
-        SELECT d.doc_id, d.size, n.source_size, n.target, d.size * (n.passes + list_contains(n.took, d.block)::INT)::BIGINT AS taken
-        FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source""",
+             n AS (SELECT source, source_size, target, passes, list_transform(blocks, lambda x: x.b) AS own, CASE WHEN extra IS NULL THEN fit.took ELSE list_append(fit.took, extra) END AS took FROM e),
+             q AS (SELECT *, (passes * len(own) + len(took))::BIGINT AS quota, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM n),
+             tree AS (
+               SELECT 0::BIGINT AS i, (SELECT sum(quota) FROM q)::BIGINT AS rest, (SELECT floor(sum(quota) / 2) FROM q)::BIGINT AS free, 0::BIGINT AS got
+               UNION ALL
+               SELECT i, rest - quota, free - got, got FROM (SELECT *, ks[1 + len(list_filter(sums, lambda c: c <= u * sums[-1]))] AS got FROM (
+                 SELECT *, list_transform(range(1, len(ws) + 1), lambda j: list_sum(ws[1:j])) AS sums FROM (
+                 SELECT *, list_transform(ks, lambda k: exp(lgamma(mode + 1) + lgamma(quota - mode + 1) + lgamma(free - mode + 1) + lgamma(more + mode + 1) - lgamma(k + 1) - lgamma(quota - k + 1) - lgamma(free - k + 1) - lgamma(more + k + 1))) AS ws FROM (
+                 SELECT *, list_concat(range(mode, least(quota, free, mode + 700) + 1), list_reverse(range(greatest(0, -more, mode - 700), mode))) AS ks FROM (
+                 SELECT *, greatest(least(quota, free, floor((quota + 1) * (free + 1) / (rest + 2))::BIGINT), -more, 0) AS mode FROM (
+                 SELECT q.i, q.quota, t.rest, t.free, t.rest - q.quota - t.free AS more, ('0x' || substr(md5('mix-1|0|0|' || (q.i - 1)::VARCHAR), 1, 12))::BIGINT / 281474976710656 AS u FROM tree t JOIN q ON q.i = t.i + 1)))))))
+        SELECT d.doc_id, d.size, q.source_size, q.target, d.size * (q.passes + list_contains(q.took, d.block)::INT)::BIGINT AS taken,
+               array_to_string(list_transform(list_concat(list_transform(range(0, q.passes), lambda p: p * len(q.own) + list_position(q.own, d.block) - 1),
+                                                          CASE WHEN list_contains(q.took, d.block) THEN [q.passes * len(q.own) + list_position(q.took, d.block) - 1] ELSE []::BIGINT[] END),
+                                              lambda s: CASE WHEN s < tree.got THEN '0' ELSE '1' END), ',') AS shards
+        FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN tree ON tree.i = q.i""",
     "op8_warc_boundary_chains": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
              w AS (SELECT h, max(page_id) AS winner FROM p WHERE n >= 1000 GROUP BY h)

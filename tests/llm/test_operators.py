@@ -214,6 +214,49 @@ def test_shard_quotas_are_hypergeometric(spark):
     assert len(set(left)) > 2 and abs(np.mean(left) - 20) < 2.5
 
 
+def plain_share(u, rest, n, free):
+    """By inversion, from the likeliest outcome upwards and then downwards, with exact weights."""
+    from fractions import Fraction
+
+    weight = lambda k: math.comb(n, k) * math.comb(rest - n, free - k)
+    low, high = max(0, free - (rest - n)), min(n, free)
+    mode = max(low, min(high, (n + 1) * (free + 1) // (rest + 2)))
+    place, total = Fraction(u) * math.comb(rest, free), 0
+    for k in [*range(mode, high + 1), *range(mode - 1, low - 1, -1)]:
+        total += weight(k)
+        if total > place:
+            return k
+    raise AssertionError
+
+
+def test_shard_quotas_follow_the_tree(spark):
+    quotas = [("a", 4000), ("b", 377), ("c", 1), ("d", 0), ("e", 52), (None, 900)]
+    for shards in (2, 8):
+        nodes = {0: [n for _, n in quotas]}
+        for level in range(shards.bit_length() - 1):
+            below = {}
+            for node, held in nodes.items():
+                rest, free, left = sum(held), sum(held) // 2, []
+                for n in held:
+                    u = int(hashlib.md5(f"s|{level}|{node}|{len(left)}".encode()).hexdigest()[:12], 16) / 16**12
+                    left.append(plain_share(u, rest, n, free))
+                    rest, free = rest - n, free - left[-1]
+                below |= {2 * node: left, 2 * node + 1: [n - k for n, k in zip(held, left, strict=True)]}
+            nodes = below
+        got = {(r.source, r.shard): (r.quota, r.first) for r in mixing.shard_quotas(spark.createDataFrame(quotas, "source string, quota long"), shards, "s").collect()}
+        assert {k: q for k, (q, _) in got.items()} == {(name, node): held[i] for node, held in nodes.items() for i, (name, _) in enumerate(quotas)}
+        assert all(got[k, s + 1][1] == got[k, s][0] + got[k, s][1] for k, _ in quotas for s in range(shards - 1))
+        assert max(map(sum, nodes.values())) - min(map(sum, nodes.values())) <= shards
+
+
+def test_mix_keeps_columns_whose_names_it_uses(spark):
+    frame = spark.createDataFrame([(i, "a b c", "s", i, -i, "x", 7) for i in range(20)], "doc_id long, text string, source string, _of int, block int, row string, mix_shard int")
+    got = mixing.mix_documents(frame)
+    assert got.columns == ["doc_id", "text", "source", "_of", "block", "row", "mix_shard", "mix_pass", "mix_key"]
+    rows = got.collect()
+    assert len(rows) == 20 and all((r["_of"], r["block"], r["row"]) == (r.doc_id, -r.doc_id, "x") for r in rows) and {r.mix_shard for r in rows} == {0, 1}
+
+
 def plain_fingerprint(text):
     w = words(text)
     if not w:
