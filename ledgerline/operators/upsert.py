@@ -79,11 +79,8 @@ def merge_into(spark: SparkSession, path: str, incoming: DataFrame, keys: list[s
     files replace theirs by dynamic partition overwrite when the job commits. Rows are written aside first, as a job may
     not overwrite what it reads: in a folder of this merge's own, which is deleted.
     """
-    try:
-        there = spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
+    there = _read(spark, path)
+    if there is None:
         there = spark.createDataFrame([], incoming.drop(*([arrival] if arrival else [])).schema)
     touched = incoming.select(partition).distinct()
     named = [r[0] for r in touched.take(NAMED + 1)]
@@ -97,6 +94,16 @@ def merge_into(spark: SparkSession, path: str, incoming: DataFrame, keys: list[s
         MADE.remove(aside)
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where there is none or it has no file."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def add_increment(increment: DataFrame, folder: str) -> None:
     """Keep an increment beside its table until it is consolidated: files are added, none is rewritten."""
     increment.withColumn("_added", F.current_timestamp()).write.mode("append").parquet(folder)
@@ -104,7 +111,8 @@ def add_increment(increment: DataFrame, folder: str) -> None:
 
 def with_increments(spark: SparkSession, table: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     """The table as consolidating its increments would leave it; the last one added counts."""
-    return merge(table, spark.read.parquet(folder), keys, "_added")
+    more = _read(spark, folder)
+    return table if more is None else merge(table, more, keys, "_added")
 
 
 def consolidate(spark: SparkSession, path: str, folder: str, keys: list[str], partition: str, archive: str | None = None) -> None:
@@ -114,7 +122,10 @@ def consolidate(spark: SparkSession, path: str, folder: str, keys: list[str], pa
     off can be repeated: merging once more changes nothing.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    files = spark.read.parquet(folder).inputFiles()
+    more = _read(spark, folder)
+    files = [] if more is None else more.inputFiles()
+    if not files:
+        return
     merge_into(spark, path, spark.read.parquet(*files), keys, partition, "_added")
     for name in files:
         source = jvm.org.apache.hadoop.fs.Path(name)

@@ -196,6 +196,8 @@ def test_increments_beside_a_table(spark, tmp_path):
     key = lambda df: sorted((r.k, r.d, r.v) for r in df.collect())
     assert key(upsert.with_increments(spark, spark.read.parquet(path), folder, ["k", "d"])) == want
     upsert.consolidate(spark, path, folder, ["k", "d"], "d", archive)
+    upsert.consolidate(spark, path, folder, ["k", "d"], "d", archive)  # nothing is left to do
+    assert key(upsert.with_increments(spark, spark.read.parquet(path), folder, ["k", "d"])) == want
     assert key(spark.read.parquet(path)) == want and spark.read.parquet(archive).count() == 4 and not list((tmp_path / "more").glob("*.parquet"))
 
 
