@@ -95,7 +95,7 @@ def listing(rows: DataFrame, requested: str | Column, order: str, with_otc: bool
 
 def read_sentiment(spark: SparkSession, path: str) -> DataFrame:
     """Sentiment CSV: one row per ticker and date that have both; a count that is no number is 0. Without a file, no rows."""
-    kinds = "ticker string, eodhd_symbol string, date string, sentiment_count_raw string, sentiment_normalized_raw string"
+    kinds = "ticker string, date string, sentiment_count_raw string, sentiment_normalized_raw string"
     try:
         rows = spark.read.csv(path, header=True)
     except AnalysisException as e:
@@ -105,7 +105,7 @@ def read_sentiment(spark: SparkSession, path: str) -> DataFrame:
     text = lambda c: F.trim(F.col(c)) if c in rows.columns else F.lit(None).cast("string")
     count = F.coalesce(lenient_double(text("sentiment_count_raw")), F.lit(0.0)).cast("long").cast("double")
     out = rows.select(
-        F.upper(text("ticker")).alias("ticker"), F.upper(text("eodhd_symbol")).alias("eodhd_symbol"), F.substring(text("date"), 1, 10).try_cast("date").alias("date"), count.alias("sentiment_count_raw"), lenient_double(text("sentiment_normalized_raw")).alias("sentiment_normalized_raw")
+        F.upper(text("ticker")).alias("ticker"), F.substring(text("date"), 1, 10).try_cast("date").alias("date"), count.alias("sentiment_count_raw"), lenient_double(text("sentiment_normalized_raw")).alias("sentiment_normalized_raw")
     )
     return out.filter((F.col("ticker") != "") & F.col("date").isNotNull())
 

@@ -32,9 +32,9 @@ def test_listing(spark):
 
 
 def test_sentiment_csv(spark, tmp_path):
-    (tmp_path / "s.csv").write_text("ticker,eodhd_symbol,date,sentiment_count_raw,sentiment_normalized_raw\naa,AA.US,2024-01-02T00:00,3.0,0.5\nbb,,2024-01-02,x,NaN\n,,2024-01-02,1,1\ncc,,,1,1\n")
+    (tmp_path / "s.csv").write_text("ticker,vendor_symbol,date,sentiment_count_raw,sentiment_normalized_raw\naa,AA.US,2024-01-02T00:00,3.0,0.5\nbb,,2024-01-02,x,NaN\n,,2024-01-02,1,1\ncc,,,1,1\n")
     got = sorted(map(tuple, sources.read_sentiment(spark, str(tmp_path / "s.csv")).collect()))
-    assert got == [("AA", "AA.US", dt.date(2024, 1, 2), 3.0, 0.5), ("BB", None, dt.date(2024, 1, 2), 0.0, None)]
+    assert got == [("AA", dt.date(2024, 1, 2), 3.0, 0.5), ("BB", dt.date(2024, 1, 2), 0.0, None)]
     assert sources.read_sentiment(spark, str(tmp_path / "absent.csv")).count() == 0
 
 
