@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import bound_batches
+from ledgerline.llm.common import bound_batches, release
 
 #: n-grams in a profile, and those of a document that are compared.
 PROFILE = 300
@@ -81,6 +81,8 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from emit()
                     held, size = {}, 0
     yield from emit()
+    held.clear()
+    release()
 
 
 def train_profiles(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE) -> dict[str, list[int]]:
@@ -133,6 +135,7 @@ def identify(rows: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
         for batch in batches:
             found = [model.predict(x.as_py()) for x in batch[text_col]]
             yield pa.record_batch([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        release()
 
     return kept.mapInArrow(task, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", lang_pred string, score double")
 
