@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.ann import nearest_neighbours
+from ledgerline.llm.block_clusters import cluster_vectors
 from ledgerline.llm.bpe import bpe_columns
-from ledgerline.llm.common import shared_dir
+from ledgerline.llm.common import join_groups, shared_dir
+from ledgerline.llm.decontamination import find_contamination
 from ledgerline.llm.exact_dedup import exact_dedup
 from ledgerline.llm.langid import fold, identify, train_profiles
 from ledgerline.llm.mixing import mix_sources
@@ -15,6 +19,7 @@ from ledgerline.llm.ppm import ppm_scores
 from ledgerline.llm.simhash import near_duplicates
 from ledgerline.llm.substring_dedup import repeated_passages
 from ledgerline.llm.token_shards import read_token_shards, write_token_shards
+from ledgerline.llm.vector_codes import compress_vectors
 from ledgerline.llm.warc import plan_records, read_warc, write_warc
 
 
@@ -86,6 +91,33 @@ def op10_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).drop("fp")
 
 
+def _digest(numbers: list[int]) -> str:
+    return hashlib.sha256(",".join(map(str, numbers)).encode()).hexdigest()
+
+
+def op11_block_norm_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, centroids = cluster_vectors(_table(spark, sf_dir, "embeddings"))
+    sums = {r["cluster"]: r["s"] for r in rows.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}
+    known = [(i, sums.get(i), sum(sums.values()), _digest(c)) for i, c in enumerate(centroids)]
+    clusters = spark.createDataFrame(known, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    return rows.drop("compared").join(F.broadcast(clusters), "cluster")
+
+
+def op12_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_ball_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress_vectors(_table(spark, sf_dir, "embeddings"), keep="label")
+    named = coded.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("label").cast("string")), F.lit("null")))
+    groups = named.groupBy("key").agg(F.sum("error").alias("label_error"), F.count("*").alias("n"))
+    met = join_groups(named.select("vec_id", "code", "error", "key"), groups, "key", "n", "vec_id")
+    digest = _digest([x for book in books for entry in book for x in entry])
+    return met.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_gear_substring_dedup": op1_gear_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -97,6 +129,9 @@ QUERIES = {
     "op8_warc_boundary_chains": op8_warc_boundary_chains,
     "op9_ppm_scoring": op9_ppm_scoring,
     "op10_simhash_bk_tree": op10_simhash_bk_tree,
+    "op11_block_norm_clusters": op11_block_norm_clusters,
+    "op12_suffix_automaton_decontamination": op12_suffix_automaton_decontamination,
+    "op13_ball_tree_codes": op13_ball_tree_codes,
 }
 
 ORACLE = {
@@ -144,4 +179,53 @@ ORACLE = {
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t""",
+    "op11_block_norm_clusters": """
+        WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+                             WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+             rounds AS (
+               SELECT 0 AS r, list(x ORDER BY i) AS cs FROM (SELECT x, row_number() OVER (ORDER BY sha256('3:' || vec_id), x) AS i FROM v) WHERE i <= 8
+               UNION ALL
+               SELECT r, list(coalesce(c, was) ORDER BY i) FROM (
+                 SELECT o.r + 1 AS r, o.i, o.was, m.c FROM (SELECT r, cs[i] AS was, i FROM rounds, range(1, 9) t(i) WHERE i <= len(cs) AND r < 10) o
+                 LEFT JOIN (SELECT i, list((((s - ((s % n) + n) % n) // n)::BIGINT) ORDER BY d) AS c FROM (
+                   SELECT i, d, sum(x[d]) AS s, count(*)::HUGEINT AS n FROM (
+                     SELECT x, list_position(ds, list_min(ds)) AS i FROM (
+                       SELECT v.x, list_transform(cs, lambda c: list_sum(list_transform(range(1, 65), lambda j: (v.x[j] - c[j]) * (v.x[j] - c[j])))::BIGINT) AS ds FROM v, rounds)), range(1, 65) t(d)
+                   GROUP BY i, d) GROUP BY i) m ON m.i = o.i) GROUP BY r),
+             f AS (SELECT cs FROM rounds WHERE r = 10),
+             a AS (SELECT vec_id, list_min(ds) AS distance, list_position(ds, list_min(ds)) AS i FROM (
+                     SELECT v.vec_id, list_transform(cs, lambda c: list_sum(list_transform(range(1, 65), lambda j: (v.x[j] - c[j]) * (v.x[j] - c[j])))::BIGINT) AS ds FROM v, f))
+        SELECT vec_id, (i - 1)::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY i))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(f.cs[i], ',')) AS centroid_sha256 FROM a, f""",
+    "op12_suffix_automaton_decontamination": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+             i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+             n AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda a: array_to_string(w[a:a + 9], ' '))) AS win FROM i WHERE len(w) > 0),
+             p AS (SELECT row, size, unnest(list_transform(range(1, len(w) - size + 2), lambda a: {'place': a, 'win': array_to_string(w[a:a + size - 1], ' ')})) AS x FROM d, (SELECT DISTINCT size FROM n) WHERE len(w) >= size),
+             f AS (SELECT p.row, p.x['place'] AS place, p.size, n.item_id FROM p JOIN n ON p.size = n.size AND p.x['win'] = n.win),
+             h AS (SELECT row, count(DISTINCT pos) AS n_hit FROM (SELECT row, unnest(range(place, place + size)) AS pos FROM (SELECT DISTINCT row, place, size FROM f)) GROUP BY row),
+             t AS (SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT row, item_id::VARCHAR AS item_id FROM f WHERE item_id IS NOT NULL) GROUP BY row)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h ON h.row = d.row LEFT JOIN t ON t.row = d.row""",
+    "op13_ball_tree_codes": """
+        WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id, x) AS k, * FROM (
+                               SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+                               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding))),
+             q AS (SELECT k, p, x[p * len(x) // 8 + 1 : (p + 1) * len(x) // 8] AS x FROM v, range(0, 8) t(p)),
+             rounds AS (
+               SELECT 0 AS r, p, list(x ORDER BY k) AS es FROM q WHERE k <= 16 GROUP BY p
+               UNION ALL
+               SELECT r, p, list(coalesce(c, was) ORDER BY i) FROM (
+                 SELECT o.r + 1 AS r, o.p, o.i, o.was, m.c FROM (SELECT r, p, es[i] AS was, i FROM rounds, range(1, 17) t(i) WHERE i <= len(es) AND r < 6) o
+                 LEFT JOIN (SELECT p, i, list((((s - ((s % n) + n) % n) // n)::BIGINT) ORDER BY d) AS c FROM (
+                   SELECT p, i, d, sum(x[d]) AS s, count(*)::HUGEINT AS n FROM (
+                     SELECT p, x, list_position(ds, list_min(ds)) AS i FROM (
+                       SELECT q.p, q.x, list_transform(es, lambda c: list_sum(list_transform(range(1, len(q.x) + 1), lambda j: (q.x[j] - c[j]) * (q.x[j] - c[j])))::BIGINT) AS ds FROM q JOIN rounds ON rounds.p = q.p)), range(1, len(x) + 1) t(d)
+                   GROUP BY p, i, d) GROUP BY p, i) m ON m.i = o.i AND m.p = o.p) GROUP BY r, p),
+             f AS (SELECT p, es FROM rounds WHERE r = 6),
+             a AS (SELECT k, sum(list_min(ds))::BIGINT AS error, string_agg(printf('%02x', list_position(ds, list_min(ds)) - 1), '' ORDER BY p) AS code FROM (
+                     SELECT q.k, q.p, list_transform(es, lambda c: list_sum(list_transform(range(1, len(q.x) + 1), lambda j: (q.x[j] - c[j]) * (q.x[j] - c[j])))::BIGINT) AS ds FROM q JOIN f ON f.p = q.p) GROUP BY k)
+        SELECT v.vec_id, a.code, a.error, (sum(a.error) OVER (PARTITION BY v.label))::BIGINT AS label_error,
+               sha256((SELECT array_to_string(flatten(list(flatten(es) ORDER BY p)), ',') FROM f)) AS codebooks_sha256 FROM v JOIN a ON a.k = v.k""",
 }
