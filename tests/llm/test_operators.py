@@ -123,11 +123,11 @@ def ranked(counts, size=langid.PROFILE):
     return sorted(counts, key=lambda g: (-counts[g], code(g)))[:size]
 
 
-def plain_language(rows):
-    """rows: (id, text, lang). The prediction and score of each, by profiles of the rows whose fold is not 1."""
+def plain_language(rows, held_out=1):
+    """rows: (id, text, lang). The prediction and score of each, by profiles of the rows whose fold is not held out."""
     sums = defaultdict(Counter)
     for i, text, lang in rows:
-        if zlib.crc32(str(i).encode()) % 3 != 1 and text is not None and lang is not None:
+        if zlib.crc32(str(i).encode()) % 3 != held_out and text is not None and lang is not None:
             sums[lang].update(plain_grams(text))
     profiles = {k: {g: r for r, g in enumerate(ranked(v))} for k, v in sorted(sums.items()) if v}
     out = {}

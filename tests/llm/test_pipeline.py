@@ -93,7 +93,7 @@ def plain_kept(rows):
 
     from ledgerline.llm.common import LOWER_TABLE
 
-    told = plain_language(rows)
+    told = plain_language(rows, held_out=None)
     rows = [x for x in rows if told[x[0]][0] != "und" and told[x[0]][1] > 0]
     yield [i for i, *_ in rows]
     last = {(t or "").translate(LOWER_TABLE): (i, t) for i, t, _ in sorted(rows)}
@@ -177,3 +177,27 @@ def test_stages_with_nameless_rows_and_no_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         nothing = corpus_pipeline.materialize(stage(spark, nothing, SMALL))
     assert nothing.count() == 0
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_stage_keeps_one_row_of_a_group_whatever_its_ids(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = lambda n: " ".join([*base[:n], "new", *base[n + 1 :]])
+    texts = [(3, " ".join(base)), (5, near(50)), (5, "another text of few words"), (None, near(70)), (None, "nameless and alone in here"), (None, "nameless and alone in here"), (8, near(20))]
+    rows = [(i, t, "en", "s", 1) for i, t in texts]
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near(spark, spark.createDataFrame(rows, COLUMNS), "").collect())
+    assert got == sorted((i or 0, t) for i, t in {texts[0], texts[2], texts[4]})
+    again = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near(spark, spark.createDataFrame(rows[1:2] + rows[3:], COLUMNS), "").collect())
+    assert again == sorted((i or 0, t) for i, t in {texts[1], texts[4]})
+
+
+def test_language_stage_learns_from_all_labelled_rows(spark):
+    import zlib
+
+    held_out = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 3 == 1)
+    rows = [(1, "plain english words and more of them", "en", "s", 1), (held_out, "这是一个中文文本", "zh", "s", 1), (2, "12 $$", "en", "s", 1)]
+    frame = spark.createDataFrame(rows, COLUMNS)
+    assert {r.doc_id for r in corpus_pipeline.language(spark, frame, "").collect()} == {1, held_out}
+    assert corpus_pipeline.language(spark, frame.withColumn("lang", F.lit(None).cast("string")), "").count() == 0
