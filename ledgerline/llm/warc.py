@@ -30,15 +30,19 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = REVISIT) -> DataFrame:
-    """Adds refers_to: the id of the record that this one revisits, or null.
+    """Adds refers_to: the id of the record that this one revisits, or null. A column of that name is replaced.
 
     Of equal payloads of at least `least` bytes the record with the largest id is the response. Payloads are compared
-    by SHA-256 and length; only those and the ids are grouped.
+    by SHA-256 and length; only those and the ids are grouped. Null payloads count as empty. A null id is a response
+    only where no record of its payload has an id; then, and where several records have the largest id, all of these
+    are responses, as nothing names one of them. Other columns stay, whatever their names. An empty table gives no rows.
     """
-    keyed = pages.withColumn("_bytes", F.octet_length(F.coalesce(payload_col, F.lit("")))).withColumn("_key", F.when(F.col("_bytes") >= least, F.sha2(F.coalesce(payload_col, F.lit("")), 256)))
-    winners = keyed.filter(F.col("_key").isNotNull()).groupBy("_key", "_bytes").agg(F.max(id_col).alias("_winner"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    joined = keyed.join(materialize(winners), ["_key", "_bytes"], "left")
-    return joined.withColumn("refers_to", F.when(~F.col(id_col).eqNullSafe(F.col("_winner")), F.col("_winner"))).drop("_key", "_bytes", "_winner")
+    taken = {c.lower() for c in pages.columns}
+    size, digest, winner = (next(n for i in range(len(taken) + 1) if (n := f"_{x}{i}") not in taken) for x in ("size", "digest", "winner"))
+    keyed = pages.withColumn(size, F.octet_length(F.coalesce(payload_col, F.lit("")))).withColumn(digest, F.when(F.col(size) >= least, F.sha2(F.coalesce(payload_col, F.lit("")), 256)))
+    winners = keyed.filter(F.col(digest).isNotNull()).groupBy(digest, size).agg(F.max(id_col).alias(winner), F.count("*").alias("n")).filter("n > 1").drop("n")
+    joined = keyed.join(materialize(winners), [digest, size], "left")
+    return joined.withColumn("refers_to", F.when(~F.col(id_col).eqNullSafe(F.col(winner)), F.col(winner))).drop(digest, size, winner)
 
 
 def record(page_id, url: str | None, payload: bytes, refers_to=None, date: str = DATE) -> bytes:
@@ -55,7 +59,12 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None, date: str =
 
 
 def write_warc(planned: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> int:
-    """Write one archive a partition and return the number of records. A task that runs again replaces its file."""
+    """Write one archive a partition and return the number of records. A task that runs again replaces its file.
+
+    planned has what plan_records returns. Null payloads are empty, null or empty urls are left out, a null id names an
+    empty page. Rows that repeat an id, or all of a row, are records of their own. A table without rows makes an empty
+    folder.
+    """
     rows = bound_batches(planned).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"), "refers_to")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +184,7 @@ def read_warc(spark: SparkSession, folder: str, step: int = RANGE, with_payload:
     Columns: path, at (offset), record_type, record_id, uri, refers_to, payload_bytes (of the full response),
     payload_sha1 (lower-case hex; of the payload itself for responses, from the header for revisits), and payload
     unless it is left out. A record whose payload does not match its digest, or a file that does not end with a whole
-    record, is an error. Only file names and sizes are listed; contents are read in ranges by the tasks.
+    record, is an error; an empty file or folder has no records. Only file names and sizes are listed; contents are read in ranges by the tasks.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(folder).select("path", "length")
     # So many tasks as the bytes ask for: ranges are a few bytes each, and would else be packed into few tasks.

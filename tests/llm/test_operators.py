@@ -395,6 +395,15 @@ def test_warc_chains(spark):
     assert warc.write_warc(warc.plan_records(frame.limit(0)), nothing) == 0 and warc.read_warc(spark, nothing).count() == 0
 
 
+def test_warc_plan_keeps_other_columns_of_any_name(spark):
+    rows = [(1, "u", "p" * 1200, 1, 2, 3, "x", 4), (2, None, "p" * 1200, 5, 6, 7, None, 8), (None, "u", "p" * 1200, 1, 2, 3, "x", 4), (None, "v", "q" * 1200, 1, 2, 3, "x", 4), (None, "w", "q" * 1200, 1, 2, 3, "x", 4)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, _winner int, _key int, _bytes int, refers_to string, _SIZE0 int")
+    got = warc.plan_records(frame)
+    assert sorted(got.columns) == sorted(frame.columns)
+    want = [(*r[:6], {"p": None if r[0] == 2 else 2}.get(r[2][0]), r[7]) for r in rows]
+    assert sorted(map(repr, map(tuple, got.select(frame.columns).collect()))) == sorted(map(repr, want))
+
+
 def test_warc_ranges_are_dealt_to_all_tasks(spark):
     rows = [(i, "u", "p" * 2000) for i in range(300)] + [(7, "u", "q" * 1200), (7, None, "q" * 1200), (None, "u", "r")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
