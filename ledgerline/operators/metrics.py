@@ -111,7 +111,8 @@ def leaderboard(metrics: DataFrame, kind: str, split: str = "val") -> DataFrame:
     """model_name, feature_set, mean metrics, selection_score, leaderboard_rank, recommended (the first three).
 
     kind: regression (rank correlation plus spread; targets of one day count only if there are no others) or
-    classification (average precision plus top-decile precision plus spread). Ties rank by name.
+    classification (average precision plus top-decile precision plus spread). Ties, which are values that agree to nine
+    digits, rank by name.
     """
     rows = metrics.filter(F.col("split") == split)
     if kind == "regression":
@@ -126,7 +127,8 @@ def leaderboard(metrics: DataFrame, kind: str, split: str = "val") -> DataFrame:
     score = F.coalesce(main, F.lit(-999.0))
     for c in extra:
         score = score + F.coalesce(c, F.lit(0.0))
-    ranks = Window.orderBy(F.desc("selection_score"), *[F.desc_nulls_last(c) for c in order], "model_name", "feature_set")
+    near = lambda c: F.round(c, 9).desc_nulls_last()
+    ranks = Window.orderBy(near("selection_score"), *[near(c) for c in order], "model_name", "feature_set")
     out = means.withColumn("selection_score", score).withColumn("leaderboard_rank", F.row_number().over(ranks))
     return out.withColumns({"recommended": F.col("leaderboard_rank") <= 3, "source_split": F.lit(split)})
 

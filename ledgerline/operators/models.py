@@ -19,6 +19,8 @@ class Zero:
     def predict(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("prediction", F.lit(0.0))
 
+    transform = predict
+
 
 @dataclass(frozen=True)
 class Mean:
@@ -33,6 +35,8 @@ class Mean:
     def predict(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("prediction", F.lit(self.mean).cast("double"))
 
+    transform = predict
+
 
 @dataclass(frozen=True)
 class Momentum:
@@ -54,6 +58,8 @@ class Momentum:
         here = [c for c in self.columns if c in rows.columns]
         return rows.withColumn("prediction", _signal(here) * self.scale if here else F.lit(self.mean).cast("double"))
 
+    transform = predict
+
 
 def _signal(columns: list[str]):
     """The mean of a row's values that are not null, 0 if all are."""
@@ -71,6 +77,11 @@ class Fitted:
     scales: tuple[float, ...]
     model: object
 
+    @property
+    def rounds(self) -> int | None:
+        """The trees of a boosted model, one after the other; None for other kinds."""
+        return self.model.getNumTrees if self.kind == "boosted_trees" else None
+
     def features(self, rows: DataFrame) -> DataFrame:
         """The rows with `features`: the columns as a vector, nulls as 0; an absent column is an error."""
         from pyspark.ml.functions import array_to_vector
@@ -106,30 +117,39 @@ class Fitted:
         return cls(rest["kind"], tuple(rest["columns"]), tuple(rest["means"]), tuple(rest["scales"]), model)
 
 
-def _fit(kind: str, data: DataFrame, columns: list[str], estimator) -> Fitted:
-    """Scales by one pass of partial sums, nulls as 0, and fits."""
+def _fit(kind: str, data: DataFrame, columns: list[str], estimator, val: DataFrame | None = None) -> Fitted:
+    """Scales by one pass of partial sums over data, nulls as 0, and fits; rows of val only tell when to stop."""
     filled = data.fillna(0.0, subset=columns)
     found = {r.feature: (r["mean"], r.scale) for r in standardizer(filled, columns).collect()}  # a row a column
     bare = Fitted(kind, tuple(columns), *(tuple(float(found[c][i] or 0.0) if i == 0 else float(found[c][i] or 1.0) for c in columns) for i in (0, 1)), None)
-    return replace(bare, model=estimator.fit(bare.features(data)))
+    if val is None:
+        return replace(bare, model=estimator.fit(bare.features(data)))
+    both = data.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)))
+    stops = {estimator.validationIndicatorCol: "_val", estimator.validationTol: VALIDATION_TOLERANCE}
+    return replace(bare, model=estimator.fit(bare.features(both), stops))
+
+
+#: Boosting stops once a round lowers the validation loss by less than this share of it.
+VALIDATION_TOLERANCE = 1e-4
 
 
-def fit_regressor(kind: str, rows: DataFrame, columns: list[str], target: str, seed: int = 7) -> Fitted:
+def fit_regressor(kind: str, rows: DataFrame, columns: list[str], target: str, seed: int = 7, val: DataFrame | None = None, rounds: int = 50) -> Fitted:
     """ridge (a penalty of 10 on the summed loss), elastic_net (0.005, a fifth of it absolute, on the mean loss) or boosted_trees.
 
-    Spark's squared loss is halved and averaged, and its squared penalty divided by the target's deviation.
+    Spark's squared loss is halved and averaged, and its squared penalty divided by the target's deviation. Boosting takes
+    at most `rounds` rounds; with val, which other kinds leave aside, no more than lower its loss.
     """
     from pyspark.ml.regression import GBTRegressor, LinearRegression
 
-    data = aligned(rows, [*columns, target]).filter(F.col(target).isNotNull())
+    given = lambda df: aligned(df, [*columns, target]).filter(F.col(target).isNotNull())
+    data = given(rows)
     if kind == "boosted_trees":
-        model = GBTRegressor(labelCol=target, maxDepth=4, maxIter=50, stepSize=0.03, subsamplingRate=0.8, seed=seed)
-    else:
-        n, deviation = data.agg(F.count("*"), F.stddev_pop(target)).first()
-        absolute, squared = {"ridge": (0.0, 10.0 / max(1, n)), "elastic_net": (0.001, 0.004)}[kind]
-        penalty = absolute + squared * (deviation or 1.0)
-        model = LinearRegression(labelCol=target, regParam=penalty, elasticNetParam=absolute / penalty, standardization=False, tol=1e-9)
-    return _fit(kind, data, columns, model)
+        model = GBTRegressor(labelCol=target, maxDepth=4, maxIter=rounds, stepSize=0.03, subsamplingRate=0.8, seed=seed)
+        return _fit(kind, data, columns, model, None if val is None else given(val))
+    n, deviation = data.agg(F.count("*"), F.stddev_pop(target)).first()
+    absolute, squared = {"ridge": (0.0, 10.0 / max(1, n)), "elastic_net": (0.001, 0.004)}[kind]
+    penalty = absolute + squared * (deviation or 1.0)
+    return _fit(kind, data, columns, LinearRegression(labelCol=target, regParam=penalty, elasticNetParam=absolute / penalty, standardization=False, tol=1e-9))
 
 
 @dataclass(frozen=True)
@@ -143,12 +163,13 @@ class OneClass:
         return rows.withColumn("probabilities", F.array(*[F.lit(1.0 if i == self.label else 0.0) for i in range(self.classes)]))
 
 
-def fit_classifier(kind: str, rows: DataFrame, columns: list[str], label: str, classes: int, seed: int = 7) -> Fitted | OneClass:
+def fit_classifier(kind: str, rows: DataFrame, columns: list[str], label: str, classes: int, seed: int = 7, val: DataFrame | None = None, rounds: int = 50) -> Fitted | OneClass:
     """logistic, elastic_net_logistic, forest, boosted_trees (two classes) or perceptron, with balanced weights where Spark
-    takes them; OneClass if the labels do not differ."""
+    takes them; OneClass if the labels do not differ. val and rounds are for boosting, as in fit_regressor."""
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 
-    data = aligned(rows, [*columns, label]).filter(F.col(label).isNotNull())
+    given = lambda df: aligned(df, [*columns, label]).filter(F.col(label).isNotNull())
+    data = given(rows)
     sizes = {int(r[0]): r[1] for r in data.groupBy(label).count().collect()}  # a row a class
     if len(sizes) < 2:
         return OneClass(next(iter(sizes), 0), classes)
@@ -158,7 +179,8 @@ def fit_classifier(kind: str, rows: DataFrame, columns: list[str], label: str, c
         "logistic": lambda: LogisticRegression(labelCol=label, weightCol="_weight", regParam=1.0 / total, standardization=False),
         "elastic_net_logistic": lambda: LogisticRegression(labelCol=label, weightCol="_weight", regParam=0.0005, elasticNetParam=0.15, standardization=False),
         "forest": lambda: RandomForestClassifier(labelCol=label, weightCol="_weight", numTrees=50, maxDepth=6, seed=seed),
-        "boosted_trees": lambda: GBTClassifier(labelCol=label, weightCol="_weight", maxDepth=4, maxIter=50, stepSize=0.03, subsamplingRate=0.8, seed=seed),
+        "boosted_trees": lambda: GBTClassifier(labelCol=label, weightCol="_weight", maxDepth=4, maxIter=rounds, stepSize=0.03, subsamplingRate=0.8, seed=seed),
         "perceptron": lambda: MultilayerPerceptronClassifier(labelCol=label, layers=[len(columns), 64, 32, classes], maxIter=60, seed=seed),
     }[kind]()
-    return _fit(kind, data.withColumn("_weight", weight), columns, model)
+    stop = given(val).withColumn("_weight", F.coalesce(weight, F.lit(1.0))) if val is not None and kind == "boosted_trees" else None
+    return _fit(kind, data.withColumn("_weight", weight), columns, model, stop)

@@ -75,6 +75,40 @@ def features(source: str, out: str) -> str:
   FROM {out}_e)"""
 
 
+#: What the models take, of bars whose closes and volumes are all there: x1 to x5, and y, the excess return over five rows.
+MODEL_ROWS = f"""{BARS},
+mk AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS m FROM lineitem GROUP BY 1),
+nb AS (SELECT bars.*, m, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS r FROM bars LEFT JOIN mk USING (date)),
+mo AS (SELECT ticker, date, close / nullif(lag(close, 4) OVER w, 0) - 1 AS x1, close / nullif(lag(close, 19) OVER w, 0) - 1 AS x2, CASE WHEN count(r) OVER v = 20 THEN stddev_pop(r) OVER v END AS x3,
+  CASE WHEN volume <> 0 AND count(*) OVER v = 20 THEN volume / nullif(avg(volume) OVER v, 0) END AS x4, CASE WHEN close <> 0 THEN (close - low) / nullif(high - low, 0) END AS x5,
+  lead(close, 5) OVER w / nullif(close, 0) - 1 - (lead(m, 5) OVER w / nullif(m, 0) - 1) AS y
+  FROM nb WINDOW w AS (PARTITION BY ticker ORDER BY date), v AS (PARTITION BY ticker ORDER BY date ROWS 19 PRECEDING))"""
+
+
+def moments(columns: list[str]) -> str:
+    """Count, means, deviations and covariances of columns, nulls as 0, and of the target, as aggregates."""
+    x = {c: f"coalesce({c}, 0)" for c in columns}
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    one = ", ".join(f"avg({v}) AS m_{c}, stddev_pop({v}) AS s_{c}, covar_pop({v}, y) AS c_{c}" for c, v in x.items())
+    return f"count(*)::DOUBLE AS n, avg(y) AS my, stddev_pop(y) AS sy, {one}, {', '.join(f'covar_pop({x[a]}, {x[b]}) AS c_{a}_{b}' for a, b in pairs)}"
+
+
+def ridge(source: str, out: str, columns: list[str], penalty: float = 10.0, keys: str = "") -> str:
+    """The weights w_<column> of scaled columns with a squared penalty, from a relation of moments: elimination, a step a column."""
+    n, kept = range(len(columns)), "".join(f"{k}, " for k in keys.split())
+    pair = lambda i, j: "_".join(columns[k] for k in sorted((i, j)))
+    first = ", ".join([*(f"n * c_{pair(i, j)} / (s_{columns[i]} * s_{columns[j]}){f' + {penalty}' if i == j else ''} AS a{i}{j}" for i in n for j in n), *(f"n * c_{columns[i]} / s_{columns[i]} AS b{i}" for i in n)])
+    steps = [f"{out}0 AS (SELECT {kept}{first} FROM {source})"]
+    for p in n:
+        row = lambda i, c, p=p: f"{c.format(p)} / a{p}{p} AS {c.format(p)}" if i == p else f"{c.format(i)} - a{i}{p} * {c.format(p)} / a{p}{p} AS {c.format(i)}"
+        steps.append(f"{out}{p + 1} AS (SELECT {kept}{', '.join(row(i, c) for i in n for c in [*(f'a{{}}{j}' for j in n), 'b{}'])} FROM {out}{p})")
+    return ", ".join([*steps, f"{out} AS (SELECT {kept}{', '.join(f'b{i} AS w_{c}' for i, c in enumerate(columns))} FROM {out}{len(columns)})"])
+
+
+def ridge_value(columns: list[str]) -> str:
+    return "my + " + " + ".join(f"w_{c} * (coalesce({c}, 0) - m_{c}) / s_{c}" for c in columns)
+
+
 FEATURE_COLUMNS, FLAG_COLUMNS = DAILY, DAILY_FLAGS
 
 

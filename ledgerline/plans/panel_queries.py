@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars
 from ledgerline.operators import cross_section as cs
-from ledgerline.operators import enrich, features, featuresets, labels, metrics, models, selection, signals, splits, universe, upsert
+from ledgerline.operators import boosting, enrich, features, featuresets, labels, metrics, models, perceptron, selection, signals, splits, training, universe, upsert
 from ledgerline.plans import oracle_views as ov
 from ledgerline.plans import panels
+from ledgerline.sources.scratch import materialize, shared_dir
 from ledgerline.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -692,12 +693,9 @@ def panel_filtered_tickers(spark, sf_dir):
 
 # Baseline models
 
-MODEL_ROWS = f"{ov.BARS}, {ov.TICKERS}, {ov.CONTEXT}, {ov.features('bars', 'f')}, m AS (SELECT date, close AS b FROM context WHERE ticker = 'MKT'), fb AS (SELECT f.*, b FROM f LEFT JOIN m USING (date)), mo AS (SELECT ticker, date, momentum_20d AS x, {FORWARD.format(h=5)} AS y FROM fb WINDOW w AS (PARTITION BY ticker ORDER BY date))"
-
-
 @query(
-    f"WITH {MODEL_ROWS.replace('mo AS (', 'mo AS MATERIALIZED (')}, t AS MATERIALIZED (SELECT avg(y) AS mean, stddev_pop(y) / stddev_pop(coalesce(x, 0)) AS scale FROM mo WHERE date < DATE '1996-01-01' AND y IS NOT NULL) "
-    "SELECT ticker, date, 0.0::DOUBLE AS zero, round((SELECT mean FROM t), 6) AS mean, round(coalesce(x, 0) * (SELECT scale FROM t), 6) AS momentum FROM mo WHERE date >= DATE '1998-01-01'"
+    f"WITH {ov.MODEL_ROWS}, t AS (SELECT avg(y) AS mean, stddev_pop(y) / stddev_pop(coalesce(x2, 0)) AS scale FROM mo WHERE date < DATE '1996-01-01' AND y IS NOT NULL) "
+    "SELECT ticker, date, 0.0::DOUBLE AS zero, round(mean, 6) AS mean, round(coalesce(x2, 0) * scale, 6) AS momentum FROM mo, t WHERE date >= DATE '1998-01-01'"
 )
 def panel_baseline_predictions(spark, sf_dir):
     rows = labels.forward_targets(features.daily_features(panels.bars(spark, sf_dir)), _benchmark(spark, sf_dir), [5], 5)
@@ -709,26 +707,31 @@ def panel_baseline_predictions(spark, sf_dir):
     return out.select("ticker", "date", "zero", F.round("mean", 6).alias("mean"), F.round("momentum", 6).alias("momentum"))
 
 
-def _model_rows(spark, sf_dir):
+def _model_rows(spark, sf_dir, all_dates=False):
     rows = labels.forward_targets(features.daily_features(panels.bars(spark, sf_dir)), _benchmark(spark, sf_dir), [5], 5)
     cols = ["rolling_return_5d", "rolling_return_20d", "rolling_vol_20d", "volume_ratio_20d", "close_location"]
     rows = rows.select("ticker", "date", *cols, F.col("target_5d").alias("y"), F.when(F.col("target_5d") > 0.8, 2.0).when(F.col("target_5d") < -0.5, 0.0).otherwise(1.0).alias("label")).filter("y IS NOT NULL")
+    if all_dates:
+        return cols, rows
     return cols, rows.filter("date < '1996-01-01'"), rows.filter("date >= '1998-01-01'")
 
 
-@query()
+TRAINED = f"{ov.MODEL_ROWS}, t AS (SELECT * FROM mo WHERE date < DATE '1996-01-01' AND y IS NOT NULL)"
+RIDGE = "WITH {rows}, k AS (SELECT {moments} FROM t), {ridge} SELECT ticker, date, round({value}, 6) AS prediction FROM mo, k, w WHERE date >= DATE '1998-01-01' AND y IS NOT NULL"
+
+
+def _ridge_sql(columns: list[str]) -> str:
+    return RIDGE.format(rows=TRAINED, moments=ov.moments(columns), ridge=ov.ridge("k", "w", columns), value=ov.ridge_value(columns))
+
+
+@query(_ridge_sql(["x1", "x2", "x3", "x4", "x5"]))
 def panel_ridge_predictions(spark, sf_dir):
     cols, train, test = _model_rows(spark, sf_dir)
     model = models.fit_regressor("ridge", train, cols, "y")
     return model.transform(test).select("ticker", "date", F.round("prediction", 6).alias("prediction"))
 
 
-@query(
-    f"WITH {MODEL_ROWS.replace('momentum_20d AS x', 'coalesce(rolling_return_20d, 0) AS a, coalesce(volume_ratio_20d, 0) AS b').replace('mo AS (', 'mo AS MATERIALIZED (')}, t AS (SELECT * FROM mo WHERE date < DATE '1996-01-01' AND y IS NOT NULL), "
-    "k AS (SELECT count(*)::DOUBLE AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, covar_pop(a, b) AS cab, covar_pop(a, y) AS cay, covar_pop(b, y) AS cby FROM t), "
-    "e AS (SELECT *, n + 10 AS d, n * cab / (sa * sb) AS o, n * cay / sa AS p, n * cby / sb AS q FROM k), w AS (SELECT *, (d * p - o * q) / (d * d - o * o) AS wa, (d * q - o * p) / (d * d - o * o) AS wb FROM e) "
-    "SELECT ticker, date, round(my + wa * (a - ma) / sa + wb * (b - mb) / sb, 6) AS prediction FROM mo, w WHERE date >= DATE '1998-01-01' AND y IS NOT NULL"
-)
+@query(_ridge_sql(["x2", "x4"]))
 def panel_ridge_of_two(spark, sf_dir):
     _, train, test = _model_rows(spark, sf_dir)
     model = models.fit_regressor("ridge", train, ["rolling_return_20d", "volume_ratio_20d"], "y")
@@ -742,6 +745,66 @@ def panel_logistic_predictions(spark, sf_dir):
     return signals.prediction_frame(out, 3).select("ticker", "date", *[F.round(f"pred_prob_{i}", 4).alias(f"pred_prob_{i}") for i in range(3)], "pred_class")
 
 
+def _target_rows(spark, sf_dir):
+    return _model_rows(spark, sf_dir, all_dates=True)
+
+
+@query()
+def panel_softmax_trees(spark, sf_dir):
+    """Three classes by boosted trees that stop by the year after the training years."""
+    cols, rows = _target_rows(spark, sf_dir)
+    rows = materialize(rows)
+    early = lambda a, b: rows.filter(F.col("date").between(a, b))
+    model = boosting.fit_softmax_trees(early("1995-01-01", "1997-12-31"), cols, "label", 3, val=early("1998-01-01", "1998-12-31"), rounds=10, rate=0.3)
+    out = model.transform(early("1999-01-01", "2001-12-31"))
+    return signals.prediction_frame(out, 3).select("ticker", "date", *[F.round(f"pred_prob_{i}", 4).alias(f"pred_prob_{i}") for i in range(3)], "pred_class")
+
+
+@query()
+def panel_perceptron_predictions(spark, sf_dir):
+    cols, rows = _target_rows(spark, sf_dir)
+    rows = materialize(rows)
+    early = lambda a, b: rows.filter(F.col("date").between(a, b))
+    model = perceptron.fit_perceptron(early("1995-01-01", "1997-12-31"), cols, "y", val=early("1998-01-01", "1998-12-31"), hidden=(16,), rounds=15)
+    return model.transform(early("1999-01-01", "2001-12-31")).select("ticker", "date", F.round("prediction", 4).alias("prediction"))
+
+
+#: The folds of the training board: dates of training, validation and test, and the gap.
+BOARD_RULES = splits.FoldRules(min_train=1200, val=200, oos=300, purge=20)
+_START, _OOS, _VAL, _GAP = BOARD_RULES.min_train + BOARD_RULES.val + BOARD_RULES.purge, BOARD_RULES.oos, BOARD_RULES.val, BOARD_RULES.purge
+BOARD_METRICS = ["mean_rank_ic", "mean_top_bottom_spread", "mean_rmse", "mean_mae"]
+
+
+@query(
+    f"WITH {ov.MODEL_ROWS}, kn AS (SELECT * FROM mo WHERE y IS NOT NULL), dd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM kn)), dr AS (SELECT kn.*, k FROM kn JOIN dd USING (date)), "
+    f"fo AS (SELECT f, {_START} + {_OOS} * f AS s FROM range(0, 100) t(f) WHERE {_START} + {_OOS} * f + {_OOS} <= (SELECT count(*) FROM dd)), "
+    f"k AS (SELECT f, {ov.moments(['x2', 'x4'])} FROM dr JOIN fo ON k < s - {_GAP + _VAL} GROUP BY f), {ov.ridge('k', 'u', ['x2'], keys='f')}, {ov.ridge('k', 'w', ['x2', 'x4'], keys='f')}, "
+    f"te AS (SELECT f, CASE WHEN k < s THEN 'val' ELSE 'oos' END AS split, dr.* FROM dr JOIN fo ON k >= s - {_GAP + _VAL} AND k < s - {_GAP} OR k >= s AND k < s + {_OOS}), "
+    "pr AS (SELECT te.f, split, ticker, date, y, unnest([{'m': 'momentum', 'c': 'pair', 'p': coalesce(x2, 0) * sy / s_x2}, {'m': 'momentum', 'c': 'single', 'p': coalesce(x2, 0) * sy / s_x2}, "
+    f"{{'m': 'ridge', 'c': 'pair', 'p': {ov.ridge_value(['x2', 'x4']).replace('w_', 'w.w_')}}}, {{'m': 'ridge', 'c': 'single', 'p': {ov.ridge_value(['x2']).replace('w_', 'u.w_')}}}]) AS z FROM te JOIN k ON k.f = te.f JOIN u ON u.f = te.f JOIN w ON w.f = te.f), "
+    "pq AS (SELECT f, split, ticker, date, y, z.m AS model_name, z.c AS feature_set, z.p AS p FROM pr), "
+    "ra AS (SELECT *, count(*) OVER g AS n, row_number() OVER (PARTITION BY f, split, model_name, feature_set, date ORDER BY p, ticker) AS rp, row_number() OVER (PARTITION BY f, split, model_name, feature_set, date ORDER BY y, ticker) AS ry FROM pq WINDOW g AS (PARTITION BY f, split, model_name, feature_set, date)), "
+    "da AS (SELECT f, split, model_name, feature_set, date, corr(rp::DOUBLE, ry::DOUBLE) AS ic, avg(y) FILTER (rp > n - greatest(1, floor(n * 0.2))) - avg(y) FILTER (rp <= greatest(1, floor(n * 0.2))) AS spread FROM ra WHERE n >= 10 GROUP BY ALL), "
+    "dm AS (SELECT f, split, model_name, feature_set, avg(ic) AS rank_ic, avg(spread) AS spread FROM da GROUP BY ALL), fm AS (SELECT f, split, model_name, feature_set, sqrt(avg((p - y) ** 2)) AS rmse, avg(abs(p - y)) AS mae FROM pq GROUP BY ALL), "
+    "me AS (SELECT fm.split, fm.model_name, fm.feature_set, count(*) AS folds, avg(rank_ic) AS mean_rank_ic, avg(spread) AS mean_top_bottom_spread, avg(rmse) AS mean_rmse, avg(mae) AS mean_mae FROM fm LEFT JOIN dm ON dm.f = fm.f AND dm.split = fm.split AND dm.model_name = fm.model_name AND dm.feature_set = fm.feature_set GROUP BY ALL), "
+    "bo AS (SELECT *, row_number() OVER (ORDER BY round(coalesce(mean_rank_ic, -999) + coalesce(mean_top_bottom_spread, 0), 9) DESC, model_name, feature_set) AS leaderboard_rank FROM me WHERE split = 'val') "
+    f"SELECT bo.model_name, bo.feature_set, bo.folds, bo.leaderboard_rank, {', '.join(f'round(bo.{c}, 6) AS {c}' for c in BOARD_METRICS)}, {', '.join(f'round(o.{c}, 6) AS oos_{c}' for c in BOARD_METRICS)} "
+    "FROM bo LEFT JOIN me o ON o.split = 'oos' AND o.model_name = bo.model_name AND o.feature_set = bo.feature_set"
+)
+def panel_training_board(spark, sf_dir):
+    """The board of two models on two feature sets over all walk-forward folds, by validation, with the means of the tests."""
+    _, rows = _model_rows(spark, sf_dir, all_dates=True)
+    folder = shared_dir(spark)
+    spans = splits.walk_forward(splits.distinct_dates(rows), BOARD_RULES)
+    sets = {"pair": ["rolling_return_20d", "volume_ratio_20d"], "single": ["rolling_return_20d"]}
+    cells = materialize(training.train_walk_forward(rows, spans, [training.regression_recipe(k) for k in ("momentum", "ridge")], sets, "y", folder, {"tables": sf_dir}))
+    board = metrics.leaderboard(cells.withColumn("target", F.lit("target_5d")), "regression")
+    tests = cells.filter("split = 'oos'").groupBy("model_name", "feature_set").agg(*[F.avg(c.removeprefix("mean_")).alias(f"oos_{c}") for c in BOARD_METRICS])
+    folds = cells.groupBy("model_name", "feature_set").agg(F.countDistinct("fold_id").alias("folds"))
+    out = board.join(tests, ["model_name", "feature_set"], "left").join(folds, ["model_name", "feature_set"])
+    return out.select("model_name", "feature_set", "folds", "leaderboard_rank", *[F.round(c, 6).alias(c) for m in BOARD_METRICS for c in (m, f"oos_{m}")])
+
+
 # Scalars and windows on events
 
 
