@@ -128,3 +128,43 @@ def standardizer(rows: DataFrame, columns: list[str]) -> DataFrame:
     scale = lambda c: F.when(F.col(f"s_{c}") < 1e-12, 1.0).otherwise(F.col(f"s_{c}"))
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"m_{c}").alias("mean"), scale(c).alias("scale")) for c in columns])
     return sums.select(F.explode(pairs).alias("x")).select("x.*")
+
+
+#: A column's stored moments: how many values, their mean, and the squares of their distances from it summed up.
+MOMENTS = "feature string, n long, mean double, squares double"
+
+
+def moments(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, n, mean, squares of each column, by one pass of partial sums. Nulls do not count."""
+    sums = rows.agg(*[e for c in columns for e in (F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"), (F.var_pop(c) * F.count(c)).alias(f"q_{c}"))])
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n_{c}").alias("n"), F.col(f"m_{c}").cast("double").alias("mean"), F.col(f"q_{c}").alias("squares")) for c in columns])
+    return sums.select(F.explode(each).alias("x")).select("x.*")
+
+
+def merged_moments(parts: DataFrame) -> DataFrame:
+    """The moments of all parts' rows together, a row a feature: parts are taken two by two, smaller ones first.
+
+    Each two are merged about their common mean, so nothing large is subtracted from something large. Parts without
+    values change nothing.
+    """
+    known = F.filter(F.sort_array(F.collect_list(F.struct("n", "mean", "squares"))), lambda x: x["n"] > 0)
+    nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("squares"))
+
+    def two(a, b):
+        n = a["n"] + b["n"]
+        gap = b["mean"] - a["mean"]
+        joined = F.struct(n.alias("n"), (a["mean"] + gap * (b["n"] / n)).alias("mean"), (a["squares"] + b["squares"] + gap * gap * (a["n"] * (b["n"] / n))).alias("squares"))
+        return F.when(a["n"] == 0, b).otherwise(joined)
+
+    return parts.groupBy("feature").agg(F.aggregate(known, nothing, two).alias("x")).select("feature", "x.*")
+
+
+def scales(merged: DataFrame) -> DataFrame:
+    """feature, mean, scale as standardizer gives them, of stored moments."""
+    deviation = F.sqrt(F.col("squares") / F.nullif("n", F.lit(0)))
+    return merged.select("feature", "mean", F.when(deviation < 1e-12, 1.0).otherwise(deviation).alias("scale"))
+
+
+def add_moments(increment: DataFrame, columns: list[str], folder: str) -> None:
+    """Keep an increment's moments beside those of the rows before it; rows already counted are not read again."""
+    moments(increment, columns).coalesce(1).write.mode("append").parquet(folder)
