@@ -7,9 +7,13 @@ no longer count. An end stands before the first byte too.
 
 What a byte costs depends on its string alone, the byte and the four before it. So documents are dealt to blocks; a
 block's distinct words and distinct strings go, packed by bucket, to where their training counts are summed over all
-blocks, and come back with what they cost. The trie is dealt by the last two bytes of a context: a bucket has all of the
-orders two to four below its own pairs, and a pair has 2**24 strings at most. Of orders one and zero, which all share,
-there are no more than 65,792 strings; these are broadcast. Nothing is left out, however seldom it occurs.
+blocks, and come back with what they cost. The trie is dealt by the last three bytes of a context: a bucket has all of
+orders three and four below its own triples, and a triple has 65,536 strings at most, however common it is. The order
+two of a pair of bytes, 256 strings at most, is summed over the buckets that have triples of the pair and sent to them.
+Of orders one and zero, which all share, there are no more than 65,792 strings; these are broadcast.
+
+No task takes what all blocks have of one bucket: sums are taken over FAN blocks, then over FAN of such sums, and on until
+one is left, and SPREAD blocks ask beside one copy of a bucket's counts. Nothing is left out, however seldom it occurs.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +37,8 @@ ORDER = 4
 BLOCK, BUCKET = 24 << 20, 256 << 20
 #: Bytes that are looked at together, and strings that are gathered before they are summed up.
 STEP, GATHER = 1 << 20, 4_000_000
+#: Blocks, or sums over them, that are summed up in one go, and blocks that ask beside one copy of a bucket's counts.
+FAN, SPREAD = 64, 4096
 BLANK, END = b" ", b"\n"
 LEAD = b"\0" * (ORDER - 1) + END
 MASKS = [np.uint64((1 << 8 * n) - 1) for n in range(ORDER + 2)]
@@ -96,20 +104,21 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PpmModel:
-    """A pretrained context trie, or the part of it below some pairs of bytes.
+    """A pretrained context trie, or the part of it below some triples of bytes.
 
     For each length of context: the strings of a context and a byte with their counts, and the contexts with all that
     followed them. Of the n times a context was seen, each of its bytes gives half a count to the escape.
     """
 
-    def __init__(self, strings: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None):
-        """strings: those of five bytes, with their training counts; low: those of two bytes, if they come from more than these."""
+    def __init__(self, strings: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None, middle: tuple[np.ndarray, np.ndarray] | None = None):
+        """strings: those of five bytes, with their training counts; low, middle: those of two and three bytes, if they come from more than these."""
         seen = counts > 0
         strings, counts = strings[seen], counts[seen]
         low = grouped(strings & MASKS[2], counts) if low is None else low
+        middle = (strings, counts) if middle is None else middle
         self.strings, self.counts, self.contexts, self.totals, self.kinds, self.ruled_out = [], [], [], [], [], []
         for n in range(ORDER + 1):
-            longer, n_longer = low if n < 2 else (strings, counts)
+            longer, n_longer = low if n < 2 else middle if n == 2 else (strings, counts)
             own, sums = grouped(longer & MASKS[n + 1], n_longer)
             contexts, totals = grouped(own >> np.uint64(8), sums)
             above = np.searchsorted(contexts, own >> np.uint64(8))
@@ -169,9 +178,10 @@ def _by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _string_bucket(strings: np.ndarray, buckets: int) -> np.ndarray:
-    """By the last two bytes of the context."""
-    pair = (strings >> np.uint64(8)) & MASKS[2]
-    return ((pair * np.uint64(2654435761) >> np.uint64(12)) % np.uint64(buckets)).astype(np.int64)
+    """By the last three bytes of the context, mixed so that each of them tells in every bit."""
+    mixed = ((strings >> np.uint64(8)) & MASKS[3]) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _count_task(buckets: int):
@@ -209,18 +219,50 @@ def _count_task(buckets: int):
     return task
 
 
-def _sum_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition is a bucket: its distinct words and strings with their counts over all blocks. The block is -1."""
-    total: dict[bytes, int] = {}
-    tally, bucket = Tally(), None
+def _rows(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple]:
     for batch in batches:
-        for bucket, words, counts, strings, sums in zip(*(batch[c].to_pylist() for c in ("bucket", "words", "counts", "strings", "string_counts")), strict=True):  # noqa: B007
+        yield from zip(*(batch[c].to_pylist() for c in columns), strict=True)
+
+
+def _sum_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each bucket and group of blocks, which follow each other: distinct words and strings with their counts over all."""
+    for (bucket, block), rows in groupby(_rows(batches, ("bucket", "block", "words", "counts", "strings", "string_counts")), itemgetter(0, 1)):
+        total: dict[bytes, int] = {}
+        tally = Tally()
+        for _, _, words, counts, strings, sums in rows:
             for word, n in zip(_unpack(words), np.frombuffer(counts, "<i8").tolist(), strict=True):
                 total[word] = total.get(word, 0) + n
             tally.add(np.frombuffer(strings, "<u8"), np.frombuffer(sums, "<i8"))
-    if bucket is not None:
-        counts = np.fromiter(total.values(), "<i8", len(total))
-        yield _piece(bucket, -1, list(total), counts, *tally.sums())
+        yield _piece(bucket, block, list(total), np.fromiter(total.values(), "<i8", len(total)), *tally.sums())
+
+
+def _summed(pieces: DataFrame, blocks: int, buckets: int, fan: int) -> DataFrame:
+    """A row a bucket, its block -1, by rounds of sums over `fan` blocks or sums each."""
+    part = F.pmod(F.col("bucket") + F.col("block"), F.lit(buckets))
+    while blocks > fan:
+        blocks = -(-blocks // fan)
+        dealt = pieces.withColumn("block", F.floor(F.col("block") / fan).cast("int")).repartitionById(buckets, part)
+        pieces = materialize(dealt.sortWithinPartitions("bucket", "block").mapInArrow(_sum_task, PIECES))
+    return materialize(pieces.withColumn("block", F.lit(-1)).repartitionById(buckets, "bucket").mapInArrow(_sum_task, PIECES))
+
+
+def _middle_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each bucket has of the strings of three bytes, a row a pair of bytes that these begin with; those only asked for count 0."""
+    for bucket, strings, sums in _rows(batches, ("bucket", "strings", "string_counts")):
+        own, n = grouped(np.frombuffer(strings, "<u8") & MASKS[3], np.frombuffer(sums, "<i8"))
+        pairs, first = np.unique(own >> np.uint64(8), return_index=True)
+        cuts = [*first.tolist(), len(own)]
+        packed = [[x[i:j].astype(kind).tobytes() for i, j in zip(cuts, cuts[1:])] for x, kind in ((own, "<u8"), (n, "<i8"))]
+        yield pa.record_batch([pa.array(pairs.tolist(), pa.int32()), pa.array([bucket] * len(pairs), pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], names=["pair", "bucket", "strings", "string_counts"])
+
+
+def _middle_sum_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each pair, which follow each other and are 256 at most: its strings of three bytes over all buckets, for each of these."""
+    for _, rows in groupby(_rows(batches, ("pair", "bucket", "strings", "string_counts")), itemgetter(0)):
+        _, to, strings, sums = zip(*rows, strict=True)
+        whole, n = grouped(*(np.concatenate([np.frombuffer(x, kind) for x in own]) for own, kind in ((strings, "<u8"), (sums, "<i8"))))
+        for bucket in to:
+            yield _piece(bucket, -2, [], np.empty(0, np.int64), whole[n > 0], n[n > 0])
 
 
 def _pair_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,17 +279,20 @@ SCORED = {"words": "binary", "known": "binary", "base": "binary", "strings": "bi
 
 def _score_task(low, tokens: int, kinds: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A partition is a bucket: first its vocabulary and its part of the trie, then what one block after another asks for."""
-        at: dict[bytes, int] = {}
-        known = base = cost = np.zeros(0)
-        table = np.zeros(0, np.uint64)
-        for batch in batches:
-            for block, words, counts, strings, sums in zip(*(batch[c].to_pylist() for c in ("block", "words", "counts", "strings", "string_counts")), strict=True):
+        """For each bucket and group of blocks: the order two of its pairs, its vocabulary and its part of the trie, then what one block after another asks for."""
+        for _, rows in groupby(_rows(batches, ("bucket", "part", "block", "words", "counts", "strings", "string_counts")), itemgetter(0, 1)):
+            at: dict[bytes, int] = {}
+            known = base = cost = np.zeros(0)
+            table, middle = np.zeros(0, np.uint64), Tally()
+            for _, _, block, words, counts, strings, sums in rows:
                 words, strings = _unpack(words), np.frombuffer(strings, "<u8")
-                if block < 0:
+                if block == -2:
+                    middle.add(strings, np.frombuffer(sums, "<i8"))
+                    continue
+                if block == -1:
                     at, counts = {w: i for i, w in enumerate(words)}, np.frombuffer(counts, "<i8")
                     known, base = (counts > 0).astype(np.uint8), np.log10((counts + 1) / (tokens + kinds + 1))
-                    model, table = PpmModel(strings, np.frombuffer(sums, "<i8"), low.value), strings
+                    model, table = PpmModel(strings, np.frombuffer(sums, "<i8"), low.value, middle.sums()), strings
                     cost = np.concatenate([np.zeros(0), *(model.log10(table[i : i + STEP]) for i in range(0, len(table), STEP))])
                     continue
                 places = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
@@ -295,7 +340,7 @@ def _document_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     release()
 
 
-def ppm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+def ppm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bucket: int = BUCKET, fan: int = FAN, spread: int = SPREAD) -> DataFrame:
     """Train on the rows where held_out is false and score all: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null text counts as empty: its one token is the end. Rows may repeat, and ids too; equal texts have equal scores.
@@ -308,11 +353,14 @@ def ppm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
     blocks, buckets = max(parts, -(-size // block)), max(parts, -(-size // bucket))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     pieces = materialize(rows.repartitionById(blocks, "block").mapInArrow(_count_task(buckets), PIECES))
-    vocabulary = materialize(pieces.repartitionById(buckets, "bucket").mapInArrow(_sum_task, PIECES))
+    vocabulary = _summed(pieces, blocks, buckets, fan)
     pairs = vocabulary.mapInArrow(_pair_task, "pair int, n long, kinds long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).orderBy("pair").toArrow().to_pydict()
     tokens, kinds = (pairs["n"].pop(0), pairs["kinds"].pop(0)) if pairs["n"] else (0, 0)
     low = spark.sparkContext.broadcast((np.array(pairs["pair"][1:], np.uint64), np.array(pairs["n"], np.int64)))
-    asked = pieces.unionByName(vocabulary).repartitionById(buckets, "bucket").sortWithinPartitions("block")
+    middle = vocabulary.mapInArrow(_middle_task, "pair int, bucket int, strings binary, string_counts binary").repartition(parts, "pair").sortWithinPartitions("pair")
+    copies = vocabulary.unionByName(middle.mapInArrow(_middle_sum_task, PIECES)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // spread))))
+    asking = pieces.withColumn("part", F.floor(F.col("block") / spread).cast("int")).unionByName(copies)
+    asked = asking.repartitionById(buckets, F.pmod(F.col("bucket") + F.col("part"), F.lit(buckets))).sortWithinPartitions("bucket", "part", "block")
     scored = asked.mapInArrow(_score_task(low, tokens, kinds), "block int, " + ", ".join(f"{k} {v}" for k, v in SCORED.items()))
     nothing = F.lit(None).cast("binary")
     of_block = scored.select("block", F.lit(0).alias("after"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit(None).cast("boolean").alias("held_out"), nothing.alias("text"), *SCORED)

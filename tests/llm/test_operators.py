@@ -469,7 +469,8 @@ def test_ppm_scores(spark, monkeypatch):
     lines = {i: b" ".join(ws[:-1]) for i, ws in tokens.items()}
     n, v, score = sum(counts.values()), len(counts), plain_ppm([lines[i] for i in lines if not out[i]])
     assert any(out.values())
-    for sizes in ({}, {"block": 3000, "bucket": 7000}):  # the query's own settings, and many blocks and buckets
+    # The query's own settings, many blocks and buckets, and sums in many rounds for blocks that ask apart.
+    for sizes in ({}, {"block": 3000, "bucket": 7000}, {"block": 2000, "bucket": 20_000, "fan": 3, "spread": 5}):
         got = {x.doc_id: x for x in ppm.ppm_scores(frame, fold, **sizes).collect()}
         assert len(got) == len(texts)
         for i, ws in tokens.items():
@@ -508,6 +509,26 @@ def test_ppm_probabilities_sum_to_one():
         assert (10 ** model.log10(head | np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1)
 
 
+def test_ppm_deals_common_pairs_and_bounds_what_a_task_takes(spark):
+    """Texts that all have the pair "ab" after many bytes: its strings are in many buckets, and no sum takes more than `fan` rows of one."""
+    r = random.Random(29)
+    texts = [" ".join(f"{chr(r.randint(97, 122))}{chr(r.randint(97, 122))}ab{chr(r.randint(97, 122))}" for _ in range(400)) for _ in range(30)]
+    strings = np.unique(np.concatenate([np.concatenate(list(ppm.strings_of([t.encode()]))) for t in texts]))
+    after = strings[(strings >> np.uint64(8)) & ppm.MASKS[2] == int.from_bytes(b"ab", "big")]
+    shares = np.bincount(ppm._string_bucket(after, 8), minlength=8) / len(after)
+    assert len(after) > 5000 and shares.max() < 0.4
+    pieces = spark.createDataFrame([(b, k, b"", b"", after[k::50].tobytes(), np.ones(len(after[k::50]), "<i8").tobytes()) for b in range(3) for k in range(50)], ppm.PIECES)
+    plans, made = [], ppm.materialize
+    try:
+        ppm.materialize = lambda rows: plans.append(made(rows)) or plans[-1]
+        out = ppm._summed(pieces, 50, 3, 4)
+    finally:
+        ppm.materialize = made
+    assert [p.count() for p in plans] == [3 * 13, 3 * 4, 3]
+    for row in out.collect():
+        assert row.block == -1 and np.array_equal(np.frombuffer(row.strings, "<u8"), after) and set(np.frombuffer(row.string_counts, "<i8").tolist()) == {1}
+
+
 def test_ppm_without_training(spark):
     frame = docs(spark, ["ab", None])
     got = {r.doc_id: r for r in ppm.ppm_scores(frame, F.lit(True)).collect()}
