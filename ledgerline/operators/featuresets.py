@@ -10,7 +10,7 @@ from pyspark.sql.types import BooleanType, NumericType
 
 from ledgerline.operators.cross_section import PANEL, SECTOR
 from ledgerline.operators.enrich import merge_context
-from ledgerline.operators.features import window_summaries
+from ledgerline.operators.features import anchored_windows, window_summaries
 
 #: The features of each family.
 MOVES = ["log_return_1d", "gap_pct", "intraday_return", "hl_range_pct", "close_location", "true_range_pct"]
@@ -22,7 +22,10 @@ LOGS = [f"log1p_{x}" for x in ("volume", "dollar_volume", "rolling_avg_volume_20
 BASE = ["return_1d", *MOVES, *TRENDS, *MOMENTA, *VOLUMES, *RELATIVES, *LOGS]
 CONTEXT = ["return_1d", *MOVES, *TRENDS, *MOMENTA, *VOLUMES]
 COMPACT = [*MOVES, *TRENDS, *VOLUMES, *RELATIVES, "log1p_dollar_volume"]
-COMPACT_CONTEXT = ["log_return_1d", *TRENDS[:5], "close_location", "true_range_pct", *TRENDS[5:], *VOLUMES]
+COMPACT_CONTEXT = [
+    "log_return_1d", "rolling_return_5d", "rolling_return_20d", "rolling_return_60d", "rolling_vol_20d", "rolling_vol_60d", "close_location", "true_range_pct",
+    "price_vs_sma_20d", "price_vs_sma_60d", "volume_ratio_20d", "dollar_volume_ratio_5d", "volume_zscore_20d",
+]
 COMPACT_RELATIVE = [f"{x}__cs_z" for x in ("log1p_dollar_volume", *TRENDS, "volume_ratio_20d")]
 COMPACT_SECTOR = [f"{x}__sector_cs_z" for x in ("log1p_dollar_volume", *TRENDS[1:5], "volume_ratio_20d")]
 LEAN = [*MOVES, *TRENDS, *MOMENTA, *VOLUMES, *RELATIVES]
@@ -111,6 +114,29 @@ def build(name: str, panel: DataFrame, context: DataFrame | None, anchors: DataF
     return out
 
 
+def build_sequences(name: str, panel: DataFrame, context: DataFrame | None, anchors: DataFrame, benchmark: str, n: int = 60, codes: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The anchors that have n rows up to theirs, with `window`, n arrays of floats in the order of sequence_features.
+
+    A context's features are those of its dates: the benchmark's, and those of the row's sector_etf. Where a date has none of
+    them, its missing flag is 1 and they are 0. codes: vocabularies by column of the anchors, which add <column>_code, 0 for
+    unknown values. Only rows of the anchors' tickers are taken.
+    """
+    cols = sequence_features(name, numeric(panel), numeric(context) if context is not None else set())
+    check_inputs(cols)
+    rows = panel.join(anchors.select("ticker").distinct(), "ticker", "left_semi")
+    for kind in ("market", "sector"):
+        if kind in tokens(name):
+            if context is None:
+                raise ValueError(f"{name} needs a context")
+            around = context.select("ticker", "date", *context_features(name, numeric(context)))
+            rows = merge_context(rows, around, f"{kind}_context_", benchmark=benchmark if kind == "market" else None)
+            rows = rows.withColumnRenamed(f"{kind}_context_context_missing", f"{kind}_context_missing")
+    out = anchors.join(anchored_windows(rows, anchors, cols, n), ["ticker", "date"])
+    for column, known in (codes or {}).items():
+        out = encoded(out, column, known)
+    return out
+
+
 def vocabulary(rows: DataFrame, column: str) -> DataFrame:
     """Distinct values in order with their codes from 1; 0 stands for unknown ones."""
     from pyspark.sql import Window

@@ -384,6 +384,36 @@ def panel_sequence_windows(spark, sf_dir):
     return out.join(first, ["ticker", "date"]).select("ticker", "date", F.size("window").alias("steps"), total.alias("volume_sum"), *rounded(["first_close"]))
 
 
+SEQUENCE_SET, SEQUENCE_STEPS = "stock_compact_market_sector_sequence", 60
+RELATIVES_SQL = ", ".join(f"f.{own} - {t}.{own} AS stock_vs_{kind}_{n}" for n, own in (("return_1d", "return_1d"), ("return_5d", "rolling_return_5d")) for kind, t in (("market", "m"), ("sector", "s")))
+SEQUENCE_SQL = [*featuresets.COMPACT, *(f"{kind}_context_{c}" for kind in ("market", "sector") for c in [*featuresets.COMPACT_CONTEXT, "missing"])]
+
+
+@query(
+    f"WITH {ov.BARS}, {ov.TICKERS}, {ov.CONTEXT}, {ov.features('bars', 'f')}, {ov.features('context', 'c')}, "
+    f"j AS (SELECT f.*, t.gics_sector, CASE WHEN f.dollar_volume >= 0 THEN ln(1 + f.dollar_volume) END AS log1p_dollar_volume, {RELATIVES_SQL}, "
+    + ", ".join(f"{t}.{c} AS {kind}_context_{c}" for kind, t in (("market", "m"), ("sector", "s")) for c in featuresets.COMPACT_CONTEXT)
+    + ", "
+    + ", ".join(f"CASE WHEN coalesce({', '.join(f'{t}.{c}' for c in featuresets.COMPACT_CONTEXT)}) IS NULL THEN 1.0 ELSE 0.0 END AS {kind}_context_missing" for kind, t in (("market", "m"), ("sector", "s")))
+    + " FROM f JOIN tickers t USING (ticker) LEFT JOIN c m ON m.ticker = 'MKT' AND m.date = f.date LEFT JOIN c s ON s.ticker = t.gics_sector AND s.date = f.date), "
+    + f"d AS (SELECT ticker, date, gics_sector, md5(concat_ws(',', {', '.join(f'CAST(floor(CAST(CAST(coalesce({c}, 0) AS FLOAT) AS DOUBLE) * 1e4 + {ov.OFFSET}) AS BIGINT)' for c in SEQUENCE_SQL)})) AS row_md5 FROM j), "
+    + f"w AS (SELECT ticker, date, gics_sector, string_agg(row_md5, ',') OVER v AS rows_md5, count(*) OVER v AS steps FROM d WINDOW v AS (PARTITION BY ticker ORDER BY date ROWS {SEQUENCE_STEPS - 1} PRECEDING)), "
+    + "k AS (SELECT gics_sector, row_number() OVER (ORDER BY gics_sector) AS gics_sector_code FROM (SELECT DISTINCT gics_sector FROM tickers)) "
+    + f"SELECT ticker, date, gics_sector_code, steps, {len(SEQUENCE_SQL)} AS width, md5(rows_md5) AS cells_md5 FROM w JOIN k USING (gics_sector) WHERE steps = {SEQUENCE_STEPS}"
+)
+def panel_sequence_set(spark, sf_dir):
+    """The windows of a sequence set at every row that has a whole one; cells_md5 is over every cell, in order, to four digits."""
+    around = features.daily_features(panels.context(spark, sf_dir))
+    sectors = panels.tickers(spark, sf_dir).select("ticker", "gics_sector")
+    rows = cs.add_logs(features.daily_features(panels.bars(spark, sf_dir))).join(sectors.withColumnRenamed("gics_sector", "sector_etf"), "ticker")
+    rows = enrich.add_relative_returns(rows, around, "MKT")
+    anchors = panels.bars(spark, sf_dir).select("ticker", "date").join(sectors, "ticker")
+    out = featuresets.build_sequences(SEQUENCE_SET, rows, around, anchors, "MKT", SEQUENCE_STEPS, {"gics_sector": featuresets.vocabulary(sectors, "gics_sector")})
+    cell = lambda x: F.floor(x.cast("double") * 1e4 + ov.OFFSET).cast("string")
+    digest = F.md5(F.concat_ws(",", F.transform("window", lambda row: F.md5(F.concat_ws(",", F.transform(row, cell))))))
+    return out.select("ticker", "date", "gics_sector_code", F.size("window").alias("steps"), F.size(F.col("window")[0]).alias("width"), digest.alias("cells_md5"))
+
+
 @query(
     f"WITH {PANEL}, d AS (SELECT DISTINCT gics_sector FROM p) SELECT gics_sector, row_number() OVER (ORDER BY gics_sector) AS code FROM d"
 )
