@@ -105,6 +105,20 @@ def daily_features(bars: DataFrame) -> DataFrame:
     return out.select([c for c in out.columns if not c.startswith("_")])
 
 
+def recent_rows(bars: DataFrame, since: Column, n: int = 60) -> DataFrame:
+    """The rows from `since` on, and before it as many of each ticker as dense windows of n values at those rows can reach.
+
+    Of closes, returns, volumes and dollar volumes alike, so daily_features gives the same from `since` on; a ticker that has
+    fewer values of one of them keeps all its rows. Dealt by ticker, as the features are.
+    """
+    back = Window.partitionBy("ticker").orderBy(F.desc("date"))
+    before = F.expr("lead(close, 1) IGNORE NULLS OVER (PARTITION BY ticker ORDER BY date DESC)")
+    old = bars.withColumn("_old", F.col("date") < since).withColumn("_return", ratio(F.col("close"), before))
+    # A row goes when more than n values of each kind lie between it and `since`: the last of them has the close before it.
+    later = [F.count(F.when(F.col("_old"), F.col(c))).over(back.rowsBetween(Window.unboundedPreceding, -1)) for c in ("close", "_return", "volume", "dollar_volume")]
+    return old.withColumn("_later", F.least(*later)).filter(~F.col("_old") | (F.col("_later") <= n)).drop("_old", "_return", "_later")
+
+
 def row_window(n: int):
     return by_day().rowsBetween(-(n - 1), 0)
 

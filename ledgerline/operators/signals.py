@@ -55,6 +55,7 @@ def ranked_signals(predictions: DataFrame, run_date: str, entry: float = 5.0, wa
     order = Window.orderBy(F.desc("ensemble_score"), F.desc("top_decile_model_count"), F.desc("best_model_score"), "ticker", "anchor_date")
     out = one.withColumn("ensemble_rank", F.row_number().over(order)).withColumn("ensemble_percentile", 100.0 * F.col("ensemble_rank") / F.count(F.lit(1)).over(Window.partitionBy()))
     pct, top5, top10 = F.col("ensemble_percentile"), F.col("top_5pct_model_count"), F.col("top_decile_model_count")
+    # The texts of strengths, actions and reasons, and the bounds that they stand for.
     share = F.concat(top10.cast("string"), F.lit("/"), F.col("model_count").cast("string"))
     strength = F.when((top5 >= 2) | (pct <= 3), "VERY STRONG").when(top10 >= 2, "STRONG").when((top10 == 1) | (pct <= 10), "WEAK").otherwise("NONE")
     action = F.when((pct <= entry) & (top10 >= agree), "ENTRY CANDIDATE").when(pct <= watch, "WATCHLIST").otherwise("IGNORE")
@@ -92,6 +93,7 @@ def review_positions(ledger: DataFrame, signals: DataFrame, run_date: str, targe
         }
     )
     gain, days, pct, none = F.col("current_return_pct"), F.col("days_held"), F.col("ensemble_percentile"), F.col("top_decile_model_count") == 0
+    # Actions and reasons of a review, in the order in which they count.
     rules = [
         (F.col("current_price").isNull(), "REVIEW", "No current prediction/price found for ticker"),
         (gain.isNull(), "REVIEW", "Current return could not be calculated"),

@@ -181,6 +181,7 @@ def add_research_universe(panel: DataFrame, rules: Research = CONSERVATIVE, benc
     out = research_metrics(panel, rules)
     c = F.col
     type_ok = _type_ok(panel) if rules.common_only else F.lit(True)
+    # The rules' groups and reason codes, in the order in which they are told.
     checks = [
         ("common_equity", "INVALID_SECURITY_TYPE", type_ok),
         ("exchange", "UNSUPPORTED_EXCHANGE", _exchange_ok(panel, rules.exchanges)),

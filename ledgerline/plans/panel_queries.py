@@ -83,8 +83,9 @@ def panel_sector_cross_section(spark, sf_dir):
 )
 def panel_latest_cross_section(spark, sf_dir):
     bars = panels.bars(spark, sf_dir)
-    panel = features.daily_features(bars).join(panels.tickers(spark, sf_dir), "ticker")
-    rows = cs.normalize_rows(panel, selection.latest_keys(bars, stale_days=60))
+    wanted = materialize(selection.latest_keys(bars, stale_days=60))
+    recent = features.recent_rows(bars, wanted.agg(F.min("date")).scalar())
+    rows = cs.normalize_rows(features.daily_features(recent).join(panels.tickers(spark, sf_dir), "ticker"), wanted)
     return rows.select("ticker", "date", "gics_sector", *rounded(["close", *Z, *(f"{c}__cs_z" for c in Z), *(f"{c}__cs_pct" for c in Z)]), "cs_universe_count")
 
 
