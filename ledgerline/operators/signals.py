@@ -41,7 +41,7 @@ def rank_models(predictions: DataFrame) -> DataFrame:
 def ranked_signals(predictions: DataFrame, run_date: str, entry: float = 5.0, watch: float = 10.0, agree: int = 2) -> DataFrame:
     """One row per ticker and date: the ensemble over all models, its rank, bucket, agreement, action and reason.
 
-    The final ranking numbers one row per ticker scored on a day; ties by ticker.
+    The final ranking numbers one row per ticker scored on a day, by the score to twelve digits; ties by ticker.
     """
     one = rank_models(predictions).groupBy("ticker", "anchor_date").agg(
         F.max("anchor_close").alias("current_price"),
@@ -52,15 +52,16 @@ def ranked_signals(predictions: DataFrame, run_date: str, entry: float = 5.0, wa
         F.min("model_percentile").alias("best_model_percentile"),
         F.max("prediction_score").alias("best_model_score"),
     )
-    order = Window.orderBy(F.desc("ensemble_score"), F.desc("top_decile_model_count"), F.desc("best_model_score"), "ticker", "anchor_date")
+    order = Window.orderBy(F.desc(F.round("ensemble_score", 12)), F.desc("top_decile_model_count"), F.desc("best_model_score"), "ticker", "anchor_date")
     out = one.withColumn("ensemble_rank", F.row_number().over(order)).withColumn("ensemble_percentile", 100.0 * F.col("ensemble_rank") / F.count(F.lit(1)).over(Window.partitionBy()))
     pct, top5, top10 = F.col("ensemble_percentile"), F.col("top_5pct_model_count"), F.col("top_decile_model_count")
     # The texts of strengths, actions and reasons, and the bounds that they stand for.
     share = F.concat(top10.cast("string"), F.lit("/"), F.col("model_count").cast("string"))
     strength = F.when((top5 >= 2) | (pct <= 3), "VERY STRONG").when(top10 >= 2, "STRONG").when((top10 == 1) | (pct <= 10), "WEAK").otherwise("NONE")
     action = F.when((pct <= entry) & (top10 >= agree), "ENTRY CANDIDATE").when(pct <= watch, "WATCHLIST").otherwise("IGNORE")
+    # format_number rounds the double's exact value, as printf does; format_string its shortest digits.
     reason = (
-        F.when(action == "ENTRY CANDIDATE", F.concat(F.lit("Top "), F.format_string("%.2f", pct), F.lit("% with "), share, F.lit(" models in top decile")))
+        F.when(action == "ENTRY CANDIDATE", F.concat(F.lit("Top "), F.format_number(pct, 2), F.lit("% with "), share, F.lit(" models in top decile")))
         .when((action == "WATCHLIST") & (top10 >= 2), F.concat(F.lit("Top decile with "), share, F.lit(" model agreement")))
         .when(action == "WATCHLIST", "Top decile but weak model agreement")
         .otherwise("Below top decile")

@@ -279,6 +279,18 @@ def test_signals_and_reviews(spark):
         signals.review_positions(ledger.drop("shares"), signals.ranked_signals(preds, "x"), "x")
 
 
+def test_ensemble_ranks_by_twelve_digits_and_percents_as_printf(spark):
+    rows = [("m1", "s", "B", 0.1, 1.0), ("m2", "s", "B", 0.2, 1.0), ("m1", "s", "A", 0.3, 1.0), ("m2", "s", "A", 0.0, 1.0)]
+    frame = lambda x: spark.createDataFrame(x, "model_name string, feature_set string, ticker string, prediction_score double, anchor_close double").withColumn("anchor_date", F.lit(dt.date(2024, 1, 1)))
+    out = {r.ticker: r.ensemble_rank for r in signals.ranked_signals(frame(rows), "x").collect()}
+    assert out == {"A": 1, "B": 2}  # 0.1 + 0.2 is more than 0.3 + 0.0 in its last bit only
+    many = [(m, "s", f"T{i:04}", -float(i), 1.0) for m in ("m1", "m2") for i in range(800)]
+    told = [r for r in signals.ranked_signals(frame(many), "x").collect() if r.suggested_action == "ENTRY CANDIDATE"]
+    assert len(told) == 40
+    for r in told:
+        assert r.reason == f"Top {r.ensemble_percentile:.2f}% with 2/2 models in top decile"
+
+
 def test_feature_sets(spark):
     every = {*featuresets.BASE, *featuresets.LEAN_RELATIVE, *featuresets.LEAN_SECTOR, *featuresets.COMPACT_RELATIVE, *featuresets.COMPACT_SECTOR, *featuresets.FUNDAMENTAL, *featuresets.SENTIMENT}
     assert featuresets.stock_features("stock_only", every) == featuresets.BASE and len(featuresets.BASE) == 29 and len(featuresets.COMPACT) == 21
