@@ -57,3 +57,14 @@ def test_runs_are_not_shuffled_again(spark):
     plan = features.anchored_windows(panel, panel.filter(F.col("x") > 0), ["x"], 3)._jdf.queryExecution().executedPlan().toString()
     after_join = plan.split("Join")[0]
     assert after_join.count("Exchange hashpartitioning(ticker") <= 1
+
+
+def test_windows_of_a_sequence_set_are_not_moved(spark):
+    panel = spark.createDataFrame([("A", day(i), 0.1 * i) for i in range(5)], "ticker string, date date, log_return_1d double")
+    anchors = spark.createDataFrame([("A", day(3), "x", 1), ("A", day(3), "x", 1), ("A", day(4), None, 2), ("A", day(1), "y", 3)], "ticker string, date date, kind string, mark int")
+    codes = {"kind": featuresets.vocabulary(anchors, "kind")}
+    out = featuresets.build_sequences("stock_compact_sequence", panel, None, anchors, "MKT", 3, codes)
+    got = sorted((w.date, w.kind or "", w.kind_code, w.mark, [round(x[0], 3) for x in w.window]) for w in out.collect())
+    assert got == [(day(3), "x", 1, 1, [0.1, 0.2, 0.3])] * 2 + [(day(4), "", 0, 2, [0.2, 0.3, 0.4])]
+    above = out._jdf.queryExecution().sparkPlan().toString().split("Generate explode")[0]
+    assert not [x for x in ("Join", "Exchange", "Sort") if x in above]
