@@ -1,8 +1,10 @@
 """Near copies by the Jaccard similarity of word shingles, verified on the full sets.
 
-A text is the set of its shingles' 64-bit hashes; equal sets are one node. Candidates come from MinHash bands: two sets
-of similarity s share one of BANDS bands of ROWS minima with probability 1 - (1 - s**ROWS)**BANDS, at 0.8 all but 3 in
-a million. Every candidate pair is verified by exact intersection, so no pair below the similarity is linked.
+A text is the set of its shingles' 64-bit hashes; equal sets are one node. Candidates come first from SimHash fingerprints
+that BK-trees link within two bits (`simhash.py`): what their chains join is one bucket. As such fingerprints agree for the
+nearest copies alone, MinHash bands give the rest: two sets of similarity s share one of BANDS bands of ROWS minima with
+probability 1 - (1 - s**ROWS)**BANDS, at 0.8 all but 3 in a million. Every candidate pair of both is verified by exact
+intersection, so no pair below the similarity is linked.
 
 No pair is a row. A bucket is dealt to blocks of a bounded size; within a block a task joins what chains of similar sets
 join, and the many bands deal the sets of a large group anew each time, so that it comes out joined. Sets of buckets
@@ -29,6 +31,7 @@ from xxhash import xxh64_intdigest
 
 from ledgerline.llm.common import bound_batches, join_groups, materialize, release, texts_of
 from ledgerline.llm.components import connected_components
+from ledgerline.llm.simhash import fingerprint, links_within
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS = 24, 4
@@ -36,6 +39,8 @@ BANDS, ROWS = 24, 4
 SLICE = 2048
 #: Sets and hashes of a block, and the sets of a bucket that is known by them.
 BLOCK_SETS, BLOCK_HASHES, FEW = 256, 1_000_000, 32
+#: Parts in which the sets that have a hash are counted.
+PARTS = 256
 _random = np.random.default_rng(SEED)
 FLIPS = _random.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
 FACTORS = _random.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
@@ -60,13 +65,15 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 def _keys_task(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(x, shingle) for x in texts_of(batch["text"])]
+        texts = texts_of(batch["text"])
+        sets = [shingle_set(x, shingle) for x in texts]
         if sets:
             nodes = np.fromiter((_node(s) for s in sets), np.uint64, len(sets)).view(np.int64)
+            prints = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
             keys = np.concatenate([band_keys(s) for s in sets]).view(np.int64)
             sizes = np.array([len(s) for s in sets], np.int32)
-            yield pa.record_batch([batch["id"], batch["text_key"], pa.array(nodes), pa.array(sizes), _lists(keys, np.full(len(sets), BANDS))], names=["id", "text_key", "node", "size", "keys"])
-        del sets
+            yield pa.record_batch([batch["id"], batch["text_key"], pa.array(nodes), pa.array(sizes), pa.array(prints), _lists(keys, np.full(len(sets), BANDS))], names=["id", "text_key", "node", "size", "fp", "keys"])
+        del texts, sets
     release()
 
 
@@ -223,9 +230,13 @@ def _rare_keys(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     Two sets of a similarity have so many hashes in common that of each one's rarest hashes, in one order of all and but
     for those that may be missing from the other, they share one. n sets, of total hashes, have the hash.
     """
-    counts = materialize(_hashes(nodes, sets).groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("label").alias("low"), F.max("label").alias("high")))
-    own = _hashes(nodes.filter("asks"), sets).select("node", "size", "key")
-    ranked = join_groups(own, counts, "key", "n", "node").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("n", "key")))
+    # A key's sets are counted in parts, so that no part of a common one is long; a part holds its asking sets meanwhile.
+    salt = F.pmod(F.xxhash64("node"), F.lit(PARTS)).alias("part")
+    asking = F.collect_list(F.when(F.col("asks"), F.struct("node", "size"))).alias("asking")
+    parts = _hashes(nodes, sets).groupBy("key", salt).agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("label").alias("low"), F.max("label").alias("high"), asking)
+    every = Window.partitionBy("key")
+    counted = parts.select("key", "asking", *[f(c).over(every).alias(c) for c, f in (("n", F.sum), ("total", F.sum), ("low", F.min), ("high", F.max))])
+    ranked = counted.select(F.explode("asking").alias("own"), "key", "n", "total", "low", "high").select("own.*", "key", "n", "total", "low", "high").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("n", "key")))
     rarest = ranked.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * (similarity - 1e-9)) + 1)
     return materialize(rarest.filter("low <> high").select("node", "key", "n", "total"))
 
@@ -252,9 +263,11 @@ def near_copies(
     """
     # Sets are made again for candidates alone, whose texts are found by a hash: so only theirs are written.
     texts = bound_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")))
-    rows = materialize(texts.mapInArrow(partial(_keys_task, shingle=shingle), StructType([texts.schema["id"], *StructType.fromDDL("text_key long, node long, size int, keys array<long>")])))
-    nodes = materialize(rows.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    bands = nodes.select("node", "size", F.explode("keys").alias("key"))
+    rows = materialize(texts.mapInArrow(partial(_keys_task, shingle=shingle), StructType([texts.schema["id"], *StructType.fromDDL("text_key long, node long, size int, fp long, keys array<long>")])))
+    nodes = materialize(rows.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("keys").alias("keys")))
+    chained = connected_components(links_within(nodes.select("fp").distinct())).select(F.col("node").alias("fp"), "label")
+    chain = F.xxhash64(F.lit("simhash"), F.coalesce("label", "fp"))
+    bands = nodes.join(chained, "fp", "left").select("node", "size", F.explode(F.concat("keys", F.array(chain))).alias("key"))
     members = _deal(bands, block_sets, block_hashes)
     candidates = materialize(nodes.select("node", "text_key").join(members.select("node").distinct(), "node", "left_semi").select("text_key").distinct())
     found = texts.select("text", "text_key").join(candidates, "text_key", "left_semi").select("text")

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from ledgerline.llm import jaccard
+from ledgerline.llm import jaccard, simhash
 
 
 def plain_components(texts, shingle=5, similarity=0.8):
@@ -110,3 +110,32 @@ def test_sets_that_stay_apart_on_rare_hashes_meet_all_their_blocks(spark, monkey
     monkeypatch.setattr(jaccard, "_asking", lambda apart: asked.append(1) or plain(apart))
     got = jaccard.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block_sets=4).collect()
     assert {x.doc_id: x.component_id for x in got} == dict(enumerate(plain_components(texts)))
+
+
+def test_what_simhash_trees_chain_is_one_bucket(spark, monkeypatch):
+    r = random.Random(16)
+    base = [f"w{r.randrange(3000)}" for _ in range(900)]
+    texts = [" ".join(base), *(mutated(r, base, 1) for _ in range(12)), *(" ".join(f"v{r.randrange(3000)}" for _ in range(200)) for _ in range(5))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    chains = {x.doc_id: x.component_id for x in simhash.near_duplicates(frame).collect()}
+    bands, deal = [], jaccard._deal
+    monkeypatch.setattr(jaccard, "_deal", lambda keys, *a: bands.append(keys) or deal(keys, *a))
+    node = {x.doc_id: x.node for x in jaccard.near_copies(frame).collect()}
+    keys = {}
+    for x in bands[0].collect():
+        keys.setdefault(x.node, []).append(x.key)
+    assert all(len(k) == jaccard.BANDS + 1 for k in keys.values())
+    chained = [(i, low) for i, low in chains.items() if i != low]
+    assert len(chained) > 3 and all(keys[node[i]][-1] == keys[node[low]][-1] for i, low in chained)
+
+
+def test_rare_hashes_are_told_without_a_row_a_pair(spark, monkeypatch):
+    plans, plain = [], jaccard.materialize
+    nodes = spark.createDataFrame([(i, i % 3, i % 2 == 0) for i in range(60)], "node long, label long, asks boolean")
+    sets = spark.createDataFrame([(i, [*range(20), 100 + i % 7, 200 + i]) for i in range(60)], "node long, hashes array<long>")
+    monkeypatch.setattr(jaccard, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    got = {(x.node, x.key): (x.n, x.total) for x in jaccard._rare_keys(nodes, sets, 0.8).collect()}
+    # Of 22 hashes the 5 rarest count: the own one, which no other component has, one of a seventh, and three of all.
+    want = {(i, k): (n, 22 * n) for i in range(0, 60, 2) for k, n in [(100 + i % 7, sum(j % 7 == i % 7 for j in range(60))), (0, 60), (1, 60), (2, 60)]}
+    assert got == want
+    assert len(plans) == 1 and plans[0].count("Join") == 1  # the sets with their labels, a row a set
