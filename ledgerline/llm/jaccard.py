@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType
 from xxhash import xxh64_intdigest
 
 from ledgerline.llm.common import bound_batches, join_groups, materialize, release, texts_of
-from ledgerline.llm.components import connected_components
+from ledgerline.llm.components import connected_components, merge_components
 from ledgerline.llm.simhash import fingerprint, links_within
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -272,19 +272,17 @@ def near_copies(
     candidates = materialize(nodes.select("node", "text_key").join(members.select("node").distinct(), "node", "left_semi").select("text_key").distinct())
     found = texts.select("text", "text_key").join(candidates, "text_key", "left_semi").select("text")
     sets = materialize(found.mapInArrow(partial(_sets_task, shingle=shingle), "node long, hashes array<long>").dropDuplicates(["node"]))
-    links = _links_within(members, sets, similarity)
-    labels = connected_components(links)
+    labels = connected_components(_links_within(members, sets, similarity))
     apart = _apart(members, labels)
     if not apart.isEmpty():
         apart_nodes = materialize(apart.groupBy("node", "label").agg(F.max(F.col("label") != F.col("largest")).alias("asks")))
         rare, few = _rare_keys(apart_nodes, sets, similarity), (F.col("n") <= FEW) & (F.col("total") <= block_hashes)
         met = _hashes(apart_nodes, sets).join(rare.filter(few).select("key").distinct(), "key", "left_semi").select("node", "size", "key")
-        links = links.union(_links_within(_deal(met, block_sets, block_hashes), sets, similarity))
-        labels = connected_components(links)
+        labels = merge_components(labels, _links_within(_deal(met, block_sets, block_hashes), sets, similarity))
         asks = materialize(rare.filter(~few).select("node", F.lit(True).alias("asks")).distinct())
         apart = _apart(members, labels).join(asks, "node", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         if not apart.filter("asks").isEmpty():
-            labels = connected_components(links.union(_links_between(apart, sets, similarity)))
+            labels = merge_components(labels, _links_between(apart, sets, similarity))
     joined = nodes.select("node", "low").join(labels, "node")
     lowest = joined.groupBy("label").agg(F.min("low").alias("component_id"))
     wide = joined.join(lowest, "label").select("node", "component_id")

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from ledgerline.llm import jaccard, simhash
+from ledgerline.llm import components, jaccard, simhash
 
 
 def plain_components(texts, shingle=5, similarity=0.8):
@@ -139,3 +139,21 @@ def test_rare_hashes_are_told_without_a_row_a_pair(spark, monkeypatch):
     want = {(i, k): (n, 22 * n) for i in range(0, 60, 2) for k, n in [(100 + i % 7, sum(j % 7 == i % 7 for j in range(60))), (0, 60), (1, 60), (2, 60)]}
     assert got == want
     assert len(plans) == 1 and plans[0].count("Join") == 1  # the sets with their labels, a row a set
+
+
+def test_new_links_are_merged_without_reading_the_old_ones_again(spark, monkeypatch):
+    r = random.Random(17)
+    for n in (0, 30, 120):
+        old, new = ([(r.randrange(200), r.randrange(200)) for _ in range(k)] for k in (120, n))
+        frames = [spark.createDataFrame(x, "a long, b long") for x in (old, new)]
+        got = components.merge_components(components.connected_components(frames[0]), frames[1]).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, components.connected_components(frames[0].union(frames[1])).collect()))
+    linked, plain = [], components.connected_components
+    for module in (jaccard, components):
+        monkeypatch.setattr(module, "connected_components", lambda links: linked.append(links.filter("a <> b").count()) or plain(links))
+    texts = templates(r, 200)
+    texts += [mutated(r, t.split(), 1) for t in texts[:60]]
+    got = jaccard.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block_sets=16).collect()
+    assert {x.doc_id: x.component_id for x in got} == dict(enumerate([*range(200), *range(60)]))
+    # The SimHash chains, the bands' links, and of the rare hashes' links only those between components.
+    assert len(linked) == 3 and linked[2] < linked[1]
