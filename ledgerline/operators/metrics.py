@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ledgerline.functions.scalars import argmax, clipped_probabilities
+from ledgerline.operators.sliding import dealt, whole_groups
 from ledgerline.sources.scratch import materialize
 
 
-def _present(c: str):
-    return F.col(c).isNotNull() & ~F.isnan(c)
+def _daily(rows: pa.Table) -> tuple[float | None, float | None]:
+    """ic and spread of one date's rows, in the order of `unique`."""
+    n = rows.num_rows
+    if n < 10:
+        return None, None
+    (pred, given), (actual, known) = ((rows[c].to_numpy(), rows[c].is_valid().to_numpy()) for c in ("prediction", "actual"))
+    both = given & known & ~np.isnan(pred) & ~np.isnan(actual)
+    # All sorts are stable, so ties rank by `unique`; nulls come first and NaN last.
+    rank = lambda x: np.argsort(np.argsort(x, kind="stable"))
+    ic = float(np.corrcoef(rank(pred[both]), rank(actual[both]))[0, 1]) if both.sum() >= 3 else None
+    order, q = np.lexsort((pred, given)), int(max(np.floor(n * 0.2), 1))
+    bottom, top = (actual[some][known[some]] for some in (order[:q], order[n - q :]))
+    return ic, float(top.mean() - bottom.mean()) if len(top) and len(bottom) else None
 
 
 def regression_metrics(rows: DataFrame, date: str = "anchor_date", unique: str = "ticker") -> DataFrame:
@@ -18,7 +35,10 @@ def regression_metrics(rows: DataFrame, date: str = "anchor_date", unique: str =
 
     rank_ic is the mean over dates with ten rows or more of the correlation of ordinal ranks; the spread compares the
     top fifth with the bottom fifth of each such date. Ties rank by `unique`.
+
+    The rows are written once, narrow, sorted once, and ranked by numpy on batches of whole dates.
     """
+    rows = materialize(rows.select(date, unique, *[F.col(c).cast("double").alias(c) for c in ("prediction", "actual")]))
     pred, actual = F.col("prediction"), F.col("actual")
     error = pred - actual
     whole = rows.agg(
@@ -28,15 +48,16 @@ def regression_metrics(rows: DataFrame, date: str = "anchor_date", unique: str =
         F.count("*").alias("row_count"),
         F.countDistinct(date).alias("date_count"),
     )
-    both = _present("prediction") & _present("actual")
-    ordinal = lambda c: F.when(both, F.row_number().over(Window.partitionBy(date, both).orderBy(c, unique)))
-    place = F.row_number().over(Window.partitionBy(date).orderBy("prediction", unique))
-    ranked = rows.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy(date)), "_p": ordinal("prediction").cast("double"), "_a": ordinal("actual").cast("double"), "_place": place}).filter("_n >= 10")
-    q = F.greatest(F.floor(F.col("_n") * 0.2), F.lit(1))
-    daily = ranked.groupBy(date).agg(
-        F.when(F.count("_p") >= 3, F.corr("_p", "_a")).alias("ic"),
-        (F.avg(F.when(F.col("_place") > F.col("_n") - q, actual)) - F.avg(F.when(F.col("_place") <= q, actual))).alias("spread"),
-    )
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            opens = np.flatnonzero(table["_row"].to_numpy() == 1)
+            found = [_daily(table.slice(i, n)) for i, n in zip(opens.tolist(), np.diff(opens, append=table.num_rows).tolist(), strict=True)]
+            days = table[date].take(pa.array(opens)).combine_chunks()
+            yield pa.record_batch([days, *(pa.array([x[i] for x in found], pa.float64()) for i in (0, 1))], names=[date, "ic", "spread"])
+
+    numbered = dealt(rows, rows.count(), date).withColumn("_row", F.row_number().over(Window.partitionBy(date).orderBy(unique)))
+    daily = numbered.mapInArrow(task, StructType([rows.schema[date], StructField("ic", DoubleType()), StructField("spread", DoubleType())]))
     return beside(whole, daily.agg(F.avg("ic").alias("rank_ic"), F.avg("spread").alias("top_bottom_spread")))
 
 

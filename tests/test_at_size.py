@@ -22,3 +22,24 @@ def plan(df):
 @needs_tables
 def test_windows_are_not_joined(spark):
     assert "Join" not in plan(panel_queries.QUERIES["panel_sequence_windows"](spark, SMALL))
+
+
+@needs_tables
+def test_larger_tables_are_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sliding, "TASK_ROWS", 500)
+    rows = panels.table(spark, SMALL, "lineitem").count()
+    assert panels.bars(spark, SMALL).rdd.getNumPartitions() == -(-rows // 500) > 4
+
+
+def test_regression_metrics_rank_nulls_ties_and_nan_as_before(spark):
+    r = random.Random(3)
+    odd = lambda: r.choice([None, float("nan"), 0.0, -0.0, 1.0, r.random(), r.random(), r.random()])
+    rows = [(f"d{i % 7}", f"t{i:03d}", odd(), r.choice([None, 0.5, r.random(), -r.random()])) for i in range(7 * 25)] + [("few", f"t{i}", 1.0, 2.0) for i in range(9)]
+    frame = spark.createDataFrame(rows, "anchor_date string, ticker string, prediction double, actual double")
+    both = F.col("prediction").isNotNull() & ~F.isnan("prediction") & F.col("actual").isNotNull()
+    rank = lambda c: F.when(both, F.row_number().over(Window.partitionBy("anchor_date", both).orderBy(c, "ticker"))).cast("double")
+    place, n = F.row_number().over(Window.partitionBy("anchor_date").orderBy("prediction", "ticker")), F.count(F.lit(1)).over(Window.partitionBy("anchor_date"))
+    ranked = frame.withColumns({"p": rank("prediction"), "a": rank("actual"), "k": place, "n": n}).filter("n >= 10")
+    daily = ranked.groupBy("anchor_date").agg(F.corr("p", "a").alias("ic"), (F.avg(F.when(F.col("k") > 20, F.col("actual"))) - F.avg(F.when(F.col("k") <= 5, F.col("actual")))).alias("spread"))
+    want, got = daily.agg(F.avg("ic"), F.avg("spread")).first(), metrics.regression_metrics(frame).first()
+    assert (got.rank_ic, got.top_bottom_spread) == pytest.approx(tuple(want), abs=1e-12)
