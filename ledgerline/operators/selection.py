@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerline.functions.scalars import weekday_calendar
 
@@ -35,9 +41,38 @@ def tail_episodes(episodes: DataFrame, k: int, date: str = "anchor_date") -> Dat
 
 
 def hash_sample(rows: DataFrame, k: int, date: str = "date") -> DataFrame:
-    """k rows of each date, by a hash of date, ticker and the row's number for its ticker: the same at every run."""
+    """k rows of each date, by a hash of date, ticker and the row's number for its ticker: the same at every run.
+
+    Each task first keeps its own k rows of each date, all that can be among the k of all, so that no task sorts what it reads.
+    """
     key = F.sha2(F.concat_ws("|", F.col(date).cast("string"), F.upper("ticker"), F.col("window_row_count").cast("string")), 256)
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(date).orderBy(key, "ticker"))).filter(F.col("_rn") <= k).drop("_rn")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= HELD_ROWS:
+                held = _first_by_key(held, k, date)
+        if held:
+            yield from _first_by_key(held, k, date)
+
+    keyed = rows.withColumn("_key", key)
+    first = keyed.mapInArrow(task, StructType([*rows.schema.fields, StructField("_key", StringType())]))
+    return first.withColumn("_rn", F.row_number().over(Window.partitionBy(date).orderBy("_key", "ticker"))).filter(F.col("_rn") <= k).select(*rows.columns)
+
+
+#: Rows that a task gathers before it keeps the first of each date.
+HELD_ROWS = 100_000
+
+
+def _first_by_key(held: list[pa.RecordBatch], k: int, date: str) -> list[pa.RecordBatch]:
+    """The k rows of each date with the smallest keys, ties by ticker."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    table = table.take(pc.sort_indices(table, sort_keys=[(date, "ascending"), ("_key", "ascending"), ("ticker", "ascending")], null_placement="at_start"))
+    codes = pc.dictionary_encode(table[date].combine_chunks(), null_encoding="encode").indices.to_numpy()
+    opens = np.flatnonzero(np.diff(codes, prepend=-1))
+    place = np.arange(len(codes)) - np.repeat(opens, np.diff(opens, append=len(codes)))
+    return table.filter(pa.array(place < k)).combine_chunks().to_batches()
 
 
 def latest_liquid(panel: DataFrame, n: int, floor: float, least_price: float = 0.0) -> DataFrame:

@@ -43,3 +43,11 @@ def test_regression_metrics_rank_nulls_ties_and_nan_as_before(spark):
     daily = ranked.groupBy("anchor_date").agg(F.corr("p", "a").alias("ic"), (F.avg(F.when(F.col("k") > 20, F.col("actual"))) - F.avg(F.when(F.col("k") <= 5, F.col("actual")))).alias("spread"))
     want, got = daily.agg(F.avg("ic"), F.avg("spread")).first(), metrics.regression_metrics(frame).first()
     assert (got.rank_ic, got.top_bottom_spread) == pytest.approx(tuple(want), abs=1e-12)
+
+
+def test_tasks_keep_the_first_of_each_date_only(spark):
+    r = random.Random(4)
+    rows = [(f"d{i % 5}", f"{r.random()}", f"t{i}") for i in range(300)]
+    kept = selection._first_by_key(pa.table(dict(zip(("date", "_key", "ticker"), zip(*rows, strict=True), strict=True))).to_batches(max_chunksize=70), 3, "date")
+    want = [x for d in range(5) for x in sorted(x for x in rows if x[0] == f"d{d}")[:3]]
+    assert [tuple(x.values()) for b in kept for x in b.to_pylist()] == want
