@@ -51,3 +51,14 @@ def test_tasks_keep_the_first_of_each_date_only(spark):
     kept = selection._first_by_key(pa.table(dict(zip(("date", "_key", "ticker"), zip(*rows, strict=True), strict=True))).to_batches(max_chunksize=70), 3, "date")
     want = [x for d in range(5) for x in sorted(x for x in rows if x[0] == f"d{d}")[:3]]
     assert [tuple(x.values()) for b in kept for x in b.to_pylist()] == want
+
+
+@needs_tables
+def test_model_rows_are_made_once(spark, monkeypatch):
+    _, train, test = panel_queries._model_rows(spark, SMALL)
+    assert "Window" not in plan(train) + plan(test)
+    written, plain = [], panel_queries.materialize
+    monkeypatch.setattr(panel_queries, "materialize", lambda df: written.append(plain(df)) or written[-1])
+    panel_queries.QUERIES["panel_perceptron_predictions"](spark, SMALL)
+    years = written[0].agg(F.year(F.min("date")), F.year(F.max("date"))).first()
+    assert "label" not in written[0].columns and years[0] >= 1995 and years[1] <= 2001
