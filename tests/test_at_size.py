@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators import metrics, selection, sliding
+from ledgerline.operators import labels, metrics, selection, sliding
 from ledgerline.plans import panel_queries, panels
 
 SMALL = "/root/testdata/sf0.001"
@@ -62,3 +62,13 @@ def test_model_rows_are_made_once(spark, monkeypatch):
     panel_queries.QUERIES["panel_perceptron_predictions"](spark, SMALL)
     years = written[0].agg(F.year(F.min("date")), F.year(F.max("date"))).first()
     assert "label" not in written[0].columns and years[0] >= 1995 and years[1] <= 2001
+
+
+@needs_tables
+def test_targets_do_not_shuffle_the_panel_by_date(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = labels.forward_targets(panels.bars(spark, SMALL), panel_queries._benchmark(spark, SMALL), [5], 5)
+        assert "BroadcastHashJoin [date" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
