@@ -6,6 +6,7 @@ fails its rule.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -135,31 +136,32 @@ def _unless_empty(panel: DataFrame, column: str, other: Column) -> Column:
     return F.when(filled, F.col(column)).otherwise(other)
 
 
-def research_metrics(panel: DataFrame, rules: Research = CONSERVATIVE) -> DataFrame:
+def research_metrics(panel: DataFrame, rules: Research = CONSERVATIVE, keep: Iterable[str] | None = None) -> DataFrame:
+    """Adds history and metrics. `keep` names the panel's columns that stay, all by default; what nobody reads is dear to keep."""
     close, high, low, volume, dollars = (F.col(c) for c in ("close", "high", "low", "volume", "dollar_volume"))
     empty = ~_holds((volume > 0) & (dollars > 0))
-    peak = F.coalesce(high, close)
     ret = _unless_empty(panel, "return_1d", ratio(close, F.lag("close").over(by_day())) - 1)
     spread = _unless_empty(panel, "true_range_pct", ratio(F.abs(high - low), close))
-    out = panel.withColumns({"_abs_return": F.abs(ret), "_spread": spread, "_peak": peak, "_empty": empty.cast("double")})
-    out = out.withColumns(
+    out = panel.withColumns(
         {
             "research_history_days": F.row_number().over(by_day()),
             "research_return_6m": ratio(close, F.lag("close", rules.half_year).over(by_day())) - 1,
         }
     )
+    kept = panel.columns if keep is None else list(keep)
     out = add_sliding(
         out,
         {
             "research_median_dollar_volume_20d": Sliding("median", dollars, rules.short),
             "research_median_dollar_volume_60d": Sliding("median", dollars, rules.long),
-            "research_zero_volume_day_ratio_60d": Sliding("avg", F.col("_empty"), rules.long),
-            "_highest": Sliding("max", F.col("_peak"), rules.trend),
+            "research_zero_volume_day_ratio_60d": Sliding("avg", empty.cast("double"), rules.long),
+            "_highest": Sliding("max", F.coalesce(high, close), rules.trend),
             "_sma_short": Sliding("avg", close, rules.sma_short),
             "_sma_long": Sliding("avg", close, rules.sma_long),
-            "research_max_abs_return_60d": Sliding("max", F.col("_abs_return"), rules.spike_rows),
-            "research_max_true_range_pct_60d": Sliding("max", F.col("_spread"), rules.spike_rows),
+            "research_max_abs_return_60d": Sliding("max", F.abs(ret), rules.spike_rows),
+            "research_max_true_range_pct_60d": Sliding("max", spread, rules.spike_rows),
         },
+        [*kept, "close", "dollar_volume", "research_history_days", "research_return_6m"],
     )
     return out.withColumns(
         {
@@ -170,21 +172,18 @@ def research_metrics(panel: DataFrame, rules: Research = CONSERVATIVE) -> DataFr
             "research_close_to_sma200": ratio(close, F.col("_sma_long")),
             "research_sma50_to_sma200": ratio(F.col("_sma_short"), F.col("_sma_long")),
         }
-    ).drop("_abs_return", "_spread", "_peak", "_empty", "_highest", "_sma_short", "_sma_long")
-
+    ).drop("_highest", "_sma_short", "_sma_long", *({"close", "dollar_volume"} - set(kept)))
 
-def add_research_universe(panel: DataFrame, rules: Research = CONSERVATIVE, benchmark: str = "SPY") -> DataFrame:
-    """Adds the metrics, seven rules, research_universe_ok, and the reasons of rejection in fixed order, piped.
 
-    The benchmark fails without a reason. Disabled rules pass all, but for type and exchange, which are still told.
-    """
-    out = research_metrics(panel, rules)
+def _judged(panel: DataFrame, rules: Research, benchmark: str, keep: Iterable[str] | None) -> tuple[DataFrame, list[tuple[str, str, Column]]]:
+    """The metrics and `_other` (not the benchmark), and what is checked: rule, reason code, condition."""
     c = F.col
-    type_ok = _type_ok(panel) if rules.common_only else F.lit(True)
+    before = {"_other": c("ticker") != benchmark.upper(), "_type_ok": _type_ok(panel) if rules.common_only else F.lit(True), "_exchange_ok": _exchange_ok(panel, rules.exchanges)}
+    out = research_metrics(panel.withColumns(before), rules, [*(panel.columns if keep is None else keep), *before])
     # The rules' groups and reason codes, in the order in which they are told.
-    checks = [
-        ("common_equity", "INVALID_SECURITY_TYPE", type_ok),
-        ("exchange", "UNSUPPORTED_EXCHANGE", _exchange_ok(panel, rules.exchanges)),
+    return out, [
+        ("common_equity", "INVALID_SECURITY_TYPE", c("_type_ok")),
+        ("exchange", "UNSUPPORTED_EXCHANGE", c("_exchange_ok")),
         ("history", "INSUFFICIENT_HISTORY", c("research_history_days") >= rules.min_history),
         ("price", "LOW_PRICE", c("research_close") >= rules.min_price),
         ("liquidity", "LOW_MEDIAN_DOLLAR_VOLUME_20D", c("research_median_dollar_volume_20d") >= rules.min_median_short),
@@ -198,12 +197,22 @@ def add_research_universe(panel: DataFrame, rules: Research = CONSERVATIVE, benc
         ("path_quality", "SPIKE_ABS_RETURN", (c("research_max_abs_return_60d") <= rules.max_abs_return) if rules.spikes else F.lit(True)),
         ("path_quality", "SPIKE_TRUE_RANGE", (c("research_max_true_range_pct_60d") <= rules.max_true_range) if rules.spikes else F.lit(True)),
     ]
+
+
+def add_research_universe(panel: DataFrame, rules: Research = CONSERVATIVE, benchmark: str = "SPY", keep: Iterable[str] | None = None) -> DataFrame:
+    """Adds the metrics, seven rules, research_universe_ok, and the reasons of rejection in fixed order, piped.
+
+    The benchmark fails without a reason. Disabled rules pass all, but for type and exchange, which are still told.
+    `keep` names the panel's columns that stay, all by default; the rules need none of them.
+    """
+    out, checks = _judged(panel, rules, benchmark, keep)
+    c = F.col
     told = checks if rules.enabled else []
     rules_ok: dict[str, Column] = {}
     for name, _, ok in checks:
         ok = _holds(ok) if rules.enabled or name in ("common_equity", "exchange") else F.lit(True)
         rules_ok[f"research_{name}_ok"] = rules_ok[f"research_{name}_ok"] & ok if f"research_{name}_ok" in rules_ok else ok
-    other = c("ticker") != benchmark.upper()
+    other = c("_other")
     reasons = F.array_compact(F.array(*[F.when(other & ~_holds(ok), F.lit(f"REJECTED_{code}")) for _, code, ok in told])) if told else F.array().cast("array<string>")
     everything = other if rules.enabled else F.lit(True)
     if rules.enabled:
@@ -212,7 +221,7 @@ def add_research_universe(panel: DataFrame, rules: Research = CONSERVATIVE, benc
     out = out.withColumns(rules_ok).withColumn("_reasons", reasons)
     return out.withColumns(
         {"research_universe_ok": everything, "research_primary_rejection_reason": F.coalesce(F.try_element_at("_reasons", F.lit(1)), F.lit("")), "research_rejection_reasons": F.concat_ws("|", "_reasons")}
-    ).drop("_reasons")
+    ).drop("_reasons", "_other", "_type_ok", "_exchange_ok")
 
 
 RULES = ["common_equity", "exchange", "history", "price", "liquidity", "trend", "path_quality"]
@@ -226,10 +235,14 @@ def rule_counts(universe: DataFrame) -> DataFrame:
     return sums.select(F.explode(pairs).alias("x")).select("x.*")
 
 
-def reason_histogram(universe: DataFrame) -> DataFrame:
-    """reason, rows: how often each reason is given."""
-    given = universe.filter("research_rejection_reasons <> ''").select(F.explode(F.split("research_rejection_reasons", "[|]")).alias("reason"))
-    return given.groupBy("reason").agg(F.count("*").alias("rows"))
+def reason_histogram(panel: DataFrame, rules: Research = CONSERVATIVE, benchmark: str = "SPY") -> DataFrame:
+    """reason, rows: how often add_research_universe gives each reason. Conditions are counted in one pass; no row gets a text."""
+    out, checks = _judged(panel, rules, benchmark, ())
+    told = checks if rules.enabled else []
+    counts = [F.count_if(F.col("_other") & ~_holds(ok)).alias(code) for _, code, ok in told]
+    pairs = [F.struct(F.lit(f"REJECTED_{code}").alias("reason"), F.col(code).alias("rows")) for _, code, _ in told]
+    every = F.array(*pairs) if pairs else F.array().cast("array<struct<reason:string,rows:bigint>>")
+    return out.agg(F.count("*").alias("_all"), *counts).select(F.explode(every).alias("x")).select("x.*").filter("rows > 0")
 
 
 def attach_diagnostics(signals: DataFrame, universe: DataFrame, date: str = "anchor_date") -> DataFrame:

@@ -2,13 +2,15 @@
 
 import os
 import random
+import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators import labels, metrics, selection, sliding
+from ledgerline.operators import labels, metrics, selection, sliding, universe
 from ledgerline.plans import panel_queries, panels
 
 SMALL = "/root/testdata/sf0.001"
@@ -72,3 +74,26 @@ def test_targets_do_not_shuffle_the_panel_by_date(spark):
         assert "BroadcastHashJoin [date" in out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@needs_tables
+def test_rejection_reasons_are_counted_without_texts_or_a_second_sort(spark):
+    out = panel_queries.QUERIES["panel_rejection_reasons"](spark, SMALL)
+    assert "concat_ws" not in plan(out) and "Generate explode(split" not in plan(out) and not {"gics_sector", "name", "open"} & set(re.findall(r"(\w+)#", plan(out).split("MapInArrow")[1].split("\n")[0]))
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(name, "-1")
+    try:  # as with more tickers than are broadcast
+        physical = panel_queries.QUERIES["panel_rejection_reasons"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Sort \[ticker", physical)) == 1 and "ShuffledHashJoin [ticker" in physical
+    finally:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+
+
+@needs_tables
+def test_counted_reasons_are_those_of_the_rows(spark):
+    panel = panels.holed(panels.panel(spark, SMALL))
+    for rules in (panel_queries.RESEARCH, universe.CONSERVATIVE, universe.Research(enabled=False), universe.Research(common_only=False, exchanges=(), spikes=False)):
+        rows = universe.add_research_universe(panel, rules, panel_queries.BENCH)
+        given = Counter(x for r in rows.select("research_rejection_reasons").collect() for x in r[0].split("|") if x)
+        assert {r.reason: r.rows for r in universe.reason_histogram(panel, rules, panel_queries.BENCH).collect()} == given

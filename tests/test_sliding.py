@@ -2,6 +2,7 @@ import datetime
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +31,34 @@ def test_sliding_equals_brute_force(spark):
         assert {k: got[t, d][k] for k in want} == {k: v if v is None else pytest.approx(v, abs=1e-12) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 60, 252])
+def test_windows_by_halves_touch_a_value_few_times(n, monkeypatch):
+    values = np.random.default_rng(n).random(600)
+    values[300] = np.inf
+    joined = []
+
+    def counted(kind):
+        join = sliding.HALVES[kind]
+        return lambda a, b: joined.append(len(a)) or join(a, b)
+
+    for kind, plain in (("sum", np.sum), ("avg", np.mean), ("max", np.max)):
+        joined.clear()
+        with monkeypatch.context() as m:
+            m.setitem(sliding.HALVES, kind, counted(kind))
+            got = sliding._windows(values, kind, n)
+        assert got == pytest.approx([plain(values[i : i + n]) for i in range(600 - n + 1)], rel=1e-14)  # infinite only where its value is
+        assert sum(joined) <= 2 * n.bit_length() * 600
+    assert sliding._windows(values[: n - 1], "max", n).size == 0
+
+
+def test_only_named_columns_go_through_the_windows(spark):
+    frame = spark.createDataFrame([("A", DAY + datetime.timedelta(days=i), float(i), "long text") for i in range(5)], "ticker string, date date, x double, s string")
+    new = {"m": Sliding("max", F.col("x") + 1, 2), "a": Sliding("avg", F.col("x"), 2)}
+    out = sliding.add_sliding(frame, new, ["date", "x"])
+    assert out.columns == ["date", "x", "m", "a"] and "s#" not in out._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[1].split("Window")[0]
+    assert [tuple(r)[1:] for r in out.orderBy("date").collect()] == [(0.0, None, None), (1.0, 2.0, 0.5), (2.0, 3.0, 1.5), (3.0, 4.0, 2.5), (4.0, 5.0, 3.5)]
+
+
 def test_features_and_cross_sections_have_no_frame_of_many_values(spark):
     bars = spark.createDataFrame([("A", DAY, *[1.0] * 6, "X")], "ticker string, date date, open double, high double, low double, close double, volume double, dollar_volume double, gics_sector string")
     plan = cross_section.normalize(features.daily_features(bars))._jdf.queryExecution().optimizedPlan().toString()
