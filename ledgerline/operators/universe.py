@@ -175,11 +175,19 @@ def research_metrics(panel: DataFrame, rules: Research = CONSERVATIVE, keep: Ite
     ).drop("_highest", "_sma_short", "_sma_long", *({"close", "dollar_volume"} - set(kept)))
 
 
+def add_listing(listed: DataFrame, rules: Research = CONSERVATIVE) -> DataFrame:
+    """Adds whether type and exchange pass. The universe adds it to its panel, row by row, unless it is there: a table of
+    a row a ticker can have it before it is joined."""
+    return listed.withColumns({"_type_ok": _type_ok(listed) if rules.common_only else F.lit(True), "_exchange_ok": _exchange_ok(listed, rules.exchanges)})
+
+
 def _judged(panel: DataFrame, rules: Research, benchmark: str, keep: Iterable[str] | None) -> tuple[DataFrame, list[tuple[str, str, Column]]]:
     """The metrics and `_other` (not the benchmark), and what is checked: rule, reason code, condition."""
     c = F.col
-    before = {"_other": c("ticker") != benchmark.upper(), "_type_ok": _type_ok(panel) if rules.common_only else F.lit(True), "_exchange_ok": _exchange_ok(panel, rules.exchanges)}
-    out = research_metrics(panel.withColumns(before), rules, [*(panel.columns if keep is None else keep), *before])
+    if not {"_type_ok", "_exchange_ok"} <= set(panel.columns):
+        panel = add_listing(panel, rules)
+    kept = panel.columns if keep is None else keep
+    out = research_metrics(panel.withColumn("_other", c("ticker") != benchmark.upper()), rules, [*kept, "_other", "_type_ok", "_exchange_ok"])
     # The rules' groups and reason codes, in the order in which they are told.
     return out, [
         ("common_equity", "INVALID_SECURITY_TYPE", c("_type_ok")),

@@ -97,3 +97,9 @@ def test_counted_reasons_are_those_of_the_rows(spark):
         rows = universe.add_research_universe(panel, rules, panel_queries.BENCH)
         given = Counter(x for r in rows.select("research_rejection_reasons").collect() for x in r[0].split("|") if x)
         assert {r.reason: r.rows for r in universe.reason_histogram(panel, rules, panel_queries.BENCH).collect()} == given
+
+
+@needs_tables
+def test_types_are_judged_once_a_ticker(spark):
+    told = plan(panel_queries.QUERIES["panel_rejection_reasons"](spark, SMALL)).split("Aggregate [ticker")
+    assert len(told) == 2 and "RLIKE" not in told[0] and "RLIKE" in told[1]
