@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators import labels, metrics, selection, sliding, universe
+from ledgerline.operators import cross_section, features, labels, metrics, selection, sliding, universe
 from ledgerline.plans import panel_queries, panels
 
 SMALL = "/root/testdata/sf0.001"
@@ -103,3 +103,39 @@ def test_counted_reasons_are_those_of_the_rows(spark):
 def test_types_are_judged_once_a_ticker(spark):
     told = plan(panel_queries.QUERIES["panel_rejection_reasons"](spark, SMALL)).split("Aggregate [ticker")
     assert len(told) == 2 and "RLIKE" not in told[0] and "RLIKE" in told[1]
+
+
+def shuffled(df, kind="RepartitionByExpression"):
+    """The columns of the last shuffle of the rows themselves."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != kind:
+        node = node.children().head()
+    return sorted(node.output().apply(i).name() for i in range(node.output().size()))
+
+
+@needs_tables
+@pytest.mark.parametrize(("name", "columns"), [("panel_cross_section", cross_section.PANEL)])
+def test_cross_sections_shuffle_only_keys_and_what_is_ranked(spark, monkeypatch, name, columns):
+    monkeypatch.setattr(sliding, "TASK_ROWS", 500)
+    out = panel_queries.QUERIES[name](spark, SMALL)
+    assert shuffled(out) == sorted(["ticker", "date", *columns])
+    assert "Join" not in plan(out).split("MapInArrow")[1]  # sectors are looked up before the windows
+    assert out.rdd.getNumPartitions() == -(-panels.items(spark, SMALL) // 500)
+
+
+def test_a_cross_section_casts_what_is_no_double_and_keeps_what_is_named(spark):
+    frame = spark.createDataFrame([("A", "d", 1, 2.0), ("B", "d", 3, None), ("C", "d", 3, 4.0), ("D", "", 9, 9.0)], "ticker string, date string, x int, y double")
+    out = cross_section.cross_sections(frame, [cross_section.Section(["x", "y"], ["date"], "s", 2, "n")], ["ticker", "x"])
+    assert out.columns == ["ticker", "x", "x__s_z", "x__s_pct", "y__s_z", "y__s_pct", "n"]
+    got = {r.ticker: (r.x, r.x__s_pct, r.y__s_pct, r.n) for r in out.collect()}
+    assert got == {"A": (1, 0.0, 0.0, 2), "B": (3, 0.75, None, 3), "C": (3, 0.75, 1.0, 2), "D": (9, None, None, None)}
+
+
+@needs_tables
+def test_named_features_are_those_of_all(spark):
+    bars = panels.holed(panels.bars(spark, SMALL))
+    whole = features.daily_features(bars)
+    for wanted in (["date", "ticker", "price_vs_sma_20d", "has_60d_history", "open"], ["ticker", "date", "momentum_60d"], ["ticker", "date", "volume_zscore_20d", "sma_close_60d", "gap_pct", "dollar_volume_ratio_5d"]):
+        part = features.daily_features(bars, wanted)
+        assert part.columns == wanted and sorted(map(str, part.collect())) == sorted(map(str, whole.select(*wanted).collect()))
+    assert "MapInArrow" not in plan(features.daily_features(bars, ["ticker", "date", "momentum_60d"]))
