@@ -114,7 +114,7 @@ def shuffled(df, kind="RepartitionByExpression"):
 
 
 @needs_tables
-@pytest.mark.parametrize(("name", "columns"), [("panel_cross_section", cross_section.PANEL)])
+@pytest.mark.parametrize(("name", "columns"), [("panel_cross_section", cross_section.PANEL), ("panel_sector_cross_section", ["gics_sector", *cross_section.SECTOR])])
 def test_cross_sections_shuffle_only_keys_and_what_is_ranked(spark, monkeypatch, name, columns):
     monkeypatch.setattr(sliding, "TASK_ROWS", 500)
     out = panel_queries.QUERIES[name](spark, SMALL)
