@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import first_number, own_ticker, ratio
 from ledgerline.operators.features import by_day, row_window
+from ledgerline.operators.sliding import dealt
 
 #: Fields of a vendor filing in order of preference.
 AVAILABLE = ("filing_date", "filingDate", "filingDateTime", "acceptedDate", "accepted_date")
@@ -36,25 +37,33 @@ STATEMENTS = {"income": ("Income_Statement", "IncomeStatement"), "balance": ("Ba
 PAYLOAD = "struct<Financials: map<string, map<string, map<string, map<string, string>>>>>"
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, on: str, available: str, ties: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, on: str, available: str, ties: list[str], about: int | None = None) -> DataFrame:
     """Each left row with the latest right row of its key that was available by then; all left rows stay.
 
     Of right rows available on one day the one with the largest `ties` counts. A matched row's own nulls stay null:
-    right rows travel as a struct. One union, one shuffle by key and one sort.
+    right rows travel as a struct. One union, one shuffle by key and one sort, in which the rows stay for windows by key; left
+    columns that are not used later are not shuffled. `about`: how many rows there are, or more; with it many are dealt to
+    more tasks.
     """
     fields = [c for c in right.columns if c != key]
     carried = F.struct(*[F.col(c) for c in fields])
     kind = right.select(carried.alias("r")).schema["r"].dataType
-    rows = left.select(F.col(key).alias("_key"), F.col(on).alias("_when"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(kind).alias("_right"))
-    known = right.filter(F.col(available).isNotNull()).select(F.col(key).alias("_key"), F.col(available).alias("_when"), F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"), carried.alias("_right"))
-    order = Window.partitionBy("_key").orderBy("_when", "_side", *[F.col(f"_right.{c}").asc_nulls_first() for c in ties]).rowsBetween(Window.unboundedPreceding, 0)
-    met = rows.unionByName(known).withColumn("_right", F.last("_right", ignorenulls=True).over(order)).filter("_side = 1")
-    return met.select("_left.*", *[F.col(f"_right.{c}").alias(c) for c in fields])
-
-
-def add_fundamentals(panel: DataFrame, filings: DataFrame) -> DataFrame:
-    """Filings as of each date, whether there is none, and days since the one that counts."""
-    met = as_of(panel, filings, "ticker", "date", "availability_date", ["source_period_end", "source_frequency"])
+    # Both sides share the left's key and time; one of another type goes beside it.
+    by, when = (a if left.schema[a].dataType == right.schema[b].dataType else c for a, b, c in ((key, key, "_key"), (on, available, "_when")))
+    rows = left.select(*left.columns, *[F.col(a).alias(c) for a, c in ((key, by), (on, when)) if a != c], F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_right"))
+    shared = {by: F.col(key), when: F.col(available), "_side": F.lit(0), "_right": carried}
+    known = right.filter(F.col(available).isNotNull()).select(*[shared.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema])
+    both = rows.unionByName(known)
+    if about is not None:
+        both = dealt(both, about, by)
+    order = Window.partitionBy(by).orderBy(when, "_side", *[F.col(f"_right.{c}").asc_nulls_first() for c in ties]).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_right", F.last("_right", ignorenulls=True).over(order)).filter("_side = 1")
+    return met.select(*left.columns, *[F.col(f"_right.{c}").alias(c) for c in fields])
+
+
+def add_fundamentals(panel: DataFrame, filings: DataFrame, about: int | None = None) -> DataFrame:
+    """Filings as of each date, whether there is none, and days since the one that counts. about: as in as_of."""
+    met = as_of(panel, filings, "ticker", "date", "availability_date", ["source_period_end", "source_frequency"], about)
     missing = F.col("availability_date").isNull()
     return met.withColumn("fundamental_missing", missing.cast("double")).withColumn("fundamental_staleness_days", F.datediff("date", "availability_date")).drop("availability_date", "source_period_end", "source_frequency")
 
@@ -129,25 +138,28 @@ def add_relative_returns(panel: DataFrame, context: DataFrame, benchmark: str, s
     """stock_vs_market_ and stock_vs_sector_return_{1,5}d: a row's returns less the benchmark's and its sector's of the date.
 
     context: daily features of benchmark and sector tickers. sector_tickers maps gics_sector to sector_etf; without it
-    the panel has sector_etf.
+    the panel has sector_etf. The context, a row a fund and date, is broadcast: the panel's rows stay where they are.
     """
     rows = panel if sector_tickers is None else panel.join(sector_tickers, "gics_sector", "left")
     ours = context.select(F.col("ticker").alias("_t"), "date", F.col("return_1d").alias("_r1"), F.col("rolling_return_5d").alias("_r5"))
     market = ours.filter(F.col("_t") == benchmark).select("date", F.col("_r1").alias("_m1"), F.col("_r5").alias("_m5"))
-    out = rows.join(market, "date", "left").join(ours.withColumnRenamed("_t", "sector_etf"), ["date", "sector_etf"], "left")
+    out = rows.join(F.broadcast(market), "date", "left").join(F.broadcast(ours.withColumnRenamed("_t", "sector_etf")), ["date", "sector_etf"], "left")
     names = {"return_1d": ("_m1", "_r1", "return_1d"), "return_5d": ("_m5", "_r5", "rolling_return_5d")}
     new = {f"stock_vs_{kind}_{n}": F.col(own) - F.col(other) for n, (m, s, own) in names.items() for kind, other in (("market", m), ("sector", s))}
     return out.withColumns(new).drop("_m1", "_m5", "_r1", "_r5")
 
 
 def merge_context(base: DataFrame, summaries: DataFrame, prefix: str, benchmark: str | None = None, by: str = "sector_etf") -> DataFrame:
-    """The context's summaries of the date (and of the row's `by` ticker, without a benchmark), prefixed, and <prefix>context_missing."""
+    """The context's summaries of the date (and of the row's `by` ticker, without a benchmark), prefixed, and <prefix>context_missing.
+
+    The summaries, a row a context ticker and date, are broadcast: the base's rows stay where they are.
+    """
     names = {c: f"{prefix}{c.removeprefix('context_')}" for c in summaries.columns if c not in ("ticker", "date")}
     renamed = summaries.select("ticker", "date", *[F.col(c).alias(n) for c, n in names.items()])
     if benchmark is not None:
-        out = base.join(renamed.filter(F.col("ticker") == benchmark).drop("ticker"), "date", "left")
+        out = base.join(F.broadcast(renamed.filter(F.col("ticker") == benchmark).drop("ticker")), "date", "left")
     else:
-        out = base.join(renamed.withColumnRenamed("ticker", by), ["date", by], "left")
+        out = base.join(F.broadcast(renamed.withColumnRenamed("ticker", by)), ["date", by], "left")
     missing = F.lit(True)
     for n in names.values():
         missing = missing & F.col(n).isNull()

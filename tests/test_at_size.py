@@ -1,5 +1,6 @@
 """What the queries shuffle, sort and write, told by their plans."""
 
+import datetime
 import os
 import random
 import re
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators import cross_section, features, labels, metrics, selection, sliding, universe
+from ledgerline.operators import cross_section, enrich, features, featuresets, labels, metrics, selection, sliding, universe
 from ledgerline.plans import panel_queries, panels
 
 SMALL = "/root/testdata/sf0.001"
@@ -139,3 +140,44 @@ def test_named_features_are_those_of_all(spark):
         part = features.daily_features(bars, wanted)
         assert part.columns == wanted and sorted(map(str, part.collect())) == sorted(map(str, whole.select(*wanted).collect()))
     assert "MapInArrow" not in plan(features.daily_features(bars, ["ticker", "date", "momentum_60d"]))
+
+
+@needs_tables
+def test_a_lean_set_moves_its_rows_once_by_date_and_once_by_ticker(spark, monkeypatch):
+    monkeypatch.setattr(sliding, "TASK_ROWS", 500)
+    out = panel_queries.QUERIES["panel_feature_set_lean"](spark, SMALL)
+    # The set's own windows, the as-of join's and the contexts' take one shuffle and no join but of broadcast contexts.
+    physical = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in physical and physical.count("Exchange hashpartitioning(date") == 1
+    above = physical.split("Union")[0]
+    assert above.count("Exchange hashpartitioning") == 1 and above.count("Sort [ticker") == 1
+    spark.conf.set("spark.sql.debug.maxToStringFields", "200")
+    sent = re.search(r"RepartitionByExpression \[date.*\n.*Project \[(.*)\]", plan(panel_queries.QUERIES["panel_feature_set_lean"](spark, SMALL))).group(1)
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert len(re.split(r", (?![^(]*\))", sent)) < 10 and "volume_ratio" not in sent
+    assert out.rdd.getNumPartitions() == -(-panels.items(spark, SMALL) // 500)
+
+
+@needs_tables
+def test_a_set_without_anchors_is_that_of_all_rows(spark):
+    rows = features.daily_features(panels.bars(spark, SMALL)).withColumn("sector_etf", F.lit("ASIA"))
+    around = features.daily_features(panels.context(spark, SMALL))
+    given = featuresets.build("stock_compact_market_sector", rows, around, rows.select("ticker", "date"), "MKT", 5)
+    plain = featuresets.build("stock_compact_market_sector", rows, around, None, "MKT", 5)
+    assert set(plain.columns) == set(given.columns)
+    assert sorted(map(str, plain.select(*given.columns).collect())) == sorted(map(str, given.collect()))
+    some = ["stock_gap_pct__std60", "stock_true_range_pct__last"]
+    part = featuresets.build("stock_compact", rows, None, None, "MKT", 5, some)
+    assert set(part.columns) == {"ticker", "date", *some}
+    assert sorted(map(str, part.select("ticker", "date", *some).collect())) == sorted(map(str, given.select("ticker", "date", *some).collect()))
+    with pytest.raises(ValueError, match="not in stock_compact"):
+        featuresets.build("stock_compact", rows, None, None, "MKT", 5, ["stock_close__last"])
+
+
+def test_as_of_of_other_types_and_null_keys_is_as_before(spark):
+    left = spark.createDataFrame([("A", datetime.date(2024, 1, 2), 1.0), (None, datetime.date(2024, 1, 5), 2.0), ("B", None, 3.0)], "k string, d date, x double")
+    right = spark.createDataFrame([("A", "2024-01-02", None, 1), ("A", "2024-01-02", 5.0, 0), ("A", None, 9.0, 9), (None, "2024-01-01", 7.0, 1), ("B", "2024-01-01", 8.0, 1)], "k string, at string, y double, tie int")
+    for r in (right.withColumn("at", F.col("at").cast("date")), right.withColumn("at", F.col("at").cast("timestamp"))):
+        got = enrich.as_of(left, r, "k", "d", "at", ["tie"])
+        assert got.columns == ["k", "d", "x", "at", "y", "tie"] and got.schema["d"].dataType == left.schema["d"].dataType
+        assert {(v.k, v.x): (v.y, v.tie) for v in got.collect()} == {("A", 1.0): (None, 1), (None, 2.0): (7.0, 1), ("B", 3.0): (None, None)}
