@@ -68,3 +68,22 @@ def test_windows_of_a_sequence_set_are_not_moved(spark):
     assert got == [(day(3), "x", 1, 1, [0.1, 0.2, 0.3])] * 2 + [(day(4), "", 0, 2, [0.2, 0.3, 0.4])]
     above = out._jdf.queryExecution().sparkPlan().toString().split("Generate explode")[0]
     assert not [x for x in ("Join", "Exchange", "Sort") if x in above]
+
+
+def test_rows_that_are_anchors_are_dealt_once_and_marked_once(spark):
+    panel = spark.createDataFrame([("A", day(i), 0.1 * i, "XL", "x" if i % 2 else None) for i in range(6)] + [("B", day(i), None, "XF", "y") for i in range(2)], "ticker string, date date, log_return_1d double, sector_etf string, kind string")
+    context = spark.createDataFrame([("MKT", day(i), 1.0 * i) for i in (0, 1, 2, 4)] + [("XL", day(3), None), ("XL", day(4), math.nan), ("XF", day(2), 7.0)], "ticker string, date date, log_return_1d double")
+    codes = {"kind": featuresets.vocabulary(panel, "kind")}
+    name = "stock_compact_market_sector_sequence"
+    mark = lambda row: F.concat_ws("|", F.transform(row, lambda x: F.round(x, 1).cast("string")))
+    given = featuresets.build_sequences(name, panel, context, panel.select("ticker", "date", "kind"), "MKT", 3, codes)
+    plain = featuresets.build_sequences(name, panel, context, ["kind"], "MKT", 3, codes, 8, mark)
+    assert plain.columns == [*given.columns, "marks"]
+    assert sorted(map(str, plain.drop("marks").collect())) == sorted(map(str, given.collect()))
+    physical = plain._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    for r in plain.collect():
+        assert r.marks == ["|".join(str(round(x, 1)) for x in row) for row in r.window]
+    assert plain.count() == 4 and plain.filter("kind is null").first().kind_code == 0
+    assert physical.count("Exchange hashpartitioning(ticker") == 1 and "SortMergeJoin" not in physical
+    # The mark is made below the sort of the rows, not of each window.
+    assert "transform(_x" not in physical.split("Sort [ticker")[0] and "transform(_x" in physical
