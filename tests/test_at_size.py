@@ -181,3 +181,10 @@ def test_as_of_of_other_types_and_null_keys_is_as_before(spark):
         got = enrich.as_of(left, r, "k", "d", "at", ["tie"])
         assert got.columns == ["k", "d", "x", "at", "y", "tie"] and got.schema["d"].dataType == left.schema["d"].dataType
         assert {(v.k, v.x): (v.y, v.tie) for v in got.collect()} == {("A", 1.0): (None, 1), (None, 2.0): (7.0, 1), ("B", 3.0): (None, None)}
+
+
+@needs_tables
+def test_a_feature_set_is_dealt_by_ticker_once_after_its_features(spark):
+    physical = panel_queries.QUERIES["panel_feature_set"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    own = physical.split("MapInArrow task(ticker")[1]  # between the set's windows and those of the features
+    assert own.count("Exchange hashpartitioning(ticker") == 1 and "Join" not in own
