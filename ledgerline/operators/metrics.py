panel_training_board makes its rows once, and measures both splits of a cell in one pass

Symptom: panel_training_board made the features and targets of all bars three times, and every cell wrote its predictions a second time to measure them.
Evidence: lineitem was scanned and its windows run for the list of dates, for the sample of the range shuffle and for that shuffle; each split's metrics filtered the written predictions, wrote them again, and counted and ranked them on their own. The tool on sf0.1: 19.6 million rows read, 118 MB shuffled, 138 MB read of shuffles, 37 s and 10342 to 10556 seconds of tasks a GB in the runs after the first; then it was stopped at 1500 MB of the driver.
Fix: the rows are written once, with the columns of the feature sets; dates, sample and shuffle read them. regression_metrics takes `by`, a row of metrics a value, from a table that is written already; a cell's splits share its scans and its shuffle by date. A split without rows keeps its row.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 3709 -> 2674 s, shuffle 7.21 -> 5.26 GB, spill 0.00 -> 0.00 GB, read 17.08 -> 14.54 GB, longest task 48 -> 44 s, most memory of a task 302 -> 302 MB; at 6 GB of input CPU 16712 -> 12118 s, shuffle 43.70 -> 31.82 GB, spill 0.00 -> 0.00 GB, read 102.58 -> 87.65 GB, longest task 28 -> 17 s, most memory of a task 570 -> 570 MB; with hot keys, at 1 GB of input CPU 3387 -> 2521 s, shuffle 6.29 -> 4.47 GB, spill 0.44 -> 0.22 GB, read 14.09 -> 11.80 GB, longest task 49 -> 48 s, most memory of a task 805 -> 805 MB.

@@ -30,18 +30,21 @@ def _daily(rows: pa.Table) -> tuple[float | None, float | None]:
     return ic, float(top.mean() - bottom.mean()) if len(top) and len(bottom) else None
 
 
-def regression_metrics(rows: DataFrame, date: str = "anchor_date", unique: str = "ticker") -> DataFrame:
+def regression_metrics(rows: DataFrame, date: str = "anchor_date", unique: str = "ticker", by: str | None = None) -> DataFrame:
     """rows: date, unique, prediction, actual. One row: rmse, mae, rank_ic, directional_hit_rate, top_bottom_spread, counts.
 
     rank_ic is the mean over dates with ten rows or more of the correlation of ordinal ranks; the spread compares the
     top fifth with the bottom fifth of each such date. Ties rank by `unique`.
 
-    The rows are written once, narrow, sorted once, and ranked by numpy on batches of whole dates.
+    The rows are written once, narrow, sorted once, and ranked by numpy on batches of whole dates. With `by`, a column of
+    a few values without nulls, there is a row a value, with it, and the rows, which come from a written table, are not written again.
     """
-    rows = materialize(rows.select(date, unique, *[F.col(c).cast("double").alias(c) for c in ("prediction", "actual")]))
+    keys = [by] if by else []
+    rows = rows.select(*keys, date, unique, *[F.col(c).cast("double").alias(c) for c in ("prediction", "actual")])
+    rows = rows if by else materialize(rows)
     pred, actual = F.col("prediction"), F.col("actual")
     error = pred - actual
-    whole = rows.agg(
+    whole = rows.groupBy(*keys).agg(
         F.sqrt(F.avg(error * error)).alias("rmse"),
         F.avg(F.abs(error)).alias("mae"),
         F.avg(F.coalesce(F.signum(pred) == F.signum(actual), F.lit(False)).cast("double")).alias("directional_hit_rate"),
@@ -53,12 +56,14 @@ def regression_metrics(rows: DataFrame, date: str = "anchor_date", unique: str =
         for table in whole_groups(batches):
             opens = np.flatnonzero(table["_row"].to_numpy() == 1)
             found = [_daily(table.slice(i, n)) for i, n in zip(opens.tolist(), np.diff(opens, append=table.num_rows).tolist(), strict=True)]
-            days = table[date].take(pa.array(opens)).combine_chunks()
-            yield pa.record_batch([days, *(pa.array([x[i] for x in found], pa.float64()) for i in (0, 1))], names=[date, "ic", "spread"])
-
-    numbered = dealt(rows, rows.count(), date).withColumn("_row", F.row_number().over(Window.partitionBy(date).orderBy(unique)))
-    daily = numbered.mapInArrow(task, StructType([rows.schema[date], StructField("ic", DoubleType()), StructField("spread", DoubleType())]))
-    return beside(whole, daily.agg(F.avg("ic").alias("rank_ic"), F.avg("spread").alias("top_bottom_spread")))
+            days = [table[c].take(pa.array(opens)).combine_chunks() for c in (*keys, date)]
+            yield pa.record_batch([*days, *(pa.array([x[i] for x in found], pa.float64()) for i in (0, 1))], names=[*keys, date, "ic", "spread"])
+
+    numbered = dealt(rows, rows.count(), *keys, date).withColumn("_row", F.row_number().over(Window.partitionBy(*keys, date).orderBy(unique)))
+    daily = numbered.mapInArrow(task, StructType([*(rows.schema[c] for c in (*keys, date)), StructField("ic", DoubleType()), StructField("spread", DoubleType())]))
+    means = daily.groupBy(*keys).agg(F.avg("ic").alias("rank_ic"), F.avg("spread").alias("top_bottom_spread"))
+    # Both are dealt by `by`: a merge of a few rows, where a broadcast would hold a page of memory for each run.
+    return whole.join(means.hint("merge"), by) if by else beside(whole, means)
 
 
 #: Ranges of scores over which running sums are first taken.

@@ -82,15 +82,16 @@ def _predict(rows: DataFrame, recipe: Recipe, spans: dict[str, Span], columns: l
 
 
 def _measure(predictions: DataFrame, recipe: Recipe, splits: list[str], date: str, unique: str, realized: str | None) -> DataFrame:
-    """A row a split."""
+    """A row a split. The predictions are a written table."""
+    if recipe.task == "regression":
+        found = metrics.regression_metrics(predictions, date, unique, by="split")
+        each = predictions.sparkSession.range(0, 1, 1, 1).select(F.explode(F.lit(splits)).alias("split"))
+        named = each.join(found.hint("merge"), "split", "left").fillna(0, ["row_count", "date_count"])  # a split may have no rows
+        return named.select(*[c for c in found.columns if c != "split"], "split")
     measured = []
     for name in splits:
         own = predictions.filter(F.col("split") == name)
-        if recipe.task == "regression":
-            found = metrics.regression_metrics(own, date, unique)
-        else:
-            found = metrics.classification_metrics(own, recipe.settings["classes"], date, unique, realized)
-        measured.append(found.withColumn("split", F.lit(name)))
+        measured.append(metrics.classification_metrics(own, recipe.settings["classes"], date, unique, realized).withColumn("split", F.lit(name)))
     return reduce(DataFrame.unionByName, measured)
 
 

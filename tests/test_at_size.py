@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators import cross_section, enrich, features, featuresets, labels, metrics, selection, sliding, universe
+from ledgerline.operators import cross_section, enrich, features, featuresets, labels, metrics, selection, sliding, splits, training, universe
 from ledgerline.plans import panel_queries, panels
 
 SMALL = "/root/testdata/sf0.001"
@@ -188,3 +188,36 @@ def test_a_feature_set_is_dealt_by_ticker_once_after_its_features(spark):
     physical = panel_queries.QUERIES["panel_feature_set"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     own = physical.split("MapInArrow task(ticker")[1]  # between the set's windows and those of the features
     assert own.count("Exchange hashpartitioning(ticker") == 1 and "Join" not in own
+
+
+@needs_tables
+def test_the_training_board_deals_written_rows(spark, monkeypatch):
+    class Reached(Exception):
+        pass
+
+    def train(rows, spans, *_):
+        raise Reached(plan(rows), rows.columns, spans)
+
+    monkeypatch.setattr(panel_queries.training, "train_walk_forward", train)
+    with pytest.raises(Reached) as e:
+        panel_queries.QUERIES["panel_training_board"](spark, SMALL)
+    made, columns, spans = e.value.args
+    assert "Window" not in made and "MapInArrow" not in made
+    assert set(columns) == {"ticker", "date", "rolling_return_20d", "volume_ratio_20d", "y"}
+    assert spans == splits.walk_forward(splits.distinct_dates(panel_queries._model_rows(spark, SMALL, all_dates=True)[1]), panel_queries.BOARD_RULES)
+
+
+def test_metrics_by_split_equal_those_of_each_and_write_nothing(spark, monkeypatch):
+    r = random.Random(5)
+    odd = lambda: r.choice([None, float("nan"), 0.0, -0.0, 1.0, r.random(), -r.random(), r.random()])
+    rows = [(f"d{i % 9}", r.choice([None, f"t{i:03d}", f"t{i:03d}"]), odd(), r.choice([None, 0.5, -r.random()]), ("val", "oos")[i % 9 > 3]) for i in range(9 * 25)]
+    rows += rows[:40] + [(None, f"t{i}", 1.0, 2.0 + i, "val") for i in range(12)]
+    frame = spark.createDataFrame(rows, "date string, ticker string, prediction double, actual double, split string").coalesce(1)
+    each = {name: metrics.regression_metrics(frame.filter(F.col("split") == name), "date").first().asDict() for name in ("val", "oos", "none")}
+    monkeypatch.setattr(metrics, "materialize", None)  # predictions are written already
+    got = training._measure(frame, training.regression_recipe("ridge"), ["val", "oos", "none"], "date", "ticker", None)
+    assert got.columns == [*each["val"], "split"]
+    found = {x["split"]: x.asDict() for x in got.collect()}
+    assert len(found) == 3 and found["none"]["row_count"] == 0 and found["none"]["rmse"] is None
+    for name, want in each.items():
+        assert {c: found[name][c] for c in want} == pytest.approx(want, nan_ok=True)
