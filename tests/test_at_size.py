@@ -6,12 +6,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators import cross_section, enrich, features, featuresets, labels, metrics, selection, sliding, splits, training, universe
+from ledgerline.operators import cross_section, enrich, features, featuresets, labels, metrics, models, selection, sliding, splits, training, universe
 from ledgerline.plans import panel_queries, panels
 
 SMALL = "/root/testdata/sf0.001"
@@ -221,3 +222,26 @@ def test_metrics_by_split_equal_those_of_each_and_write_nothing(spark, monkeypat
     assert len(found) == 3 and found["none"]["row_count"] == 0 and found["none"]["rmse"] is None
     for name, want in each.items():
         assert {c: found[name][c] for c in want} == pytest.approx(want, nan_ok=True)
+
+
+def test_a_ridge_fit_goes_through_its_rows_three_times(spark):
+    """For the scales and the target's deviation, for the equations, and for Spark's own summary."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    r = random.Random(6)
+    rows = [(r.choice([None, float("nan"), r.random()]), r.random(), r.choice([None, r.random(), r.random()])) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "a double, b double, y double").filter("a IS NULL OR NOT isnan(a)").coalesce(1)
+    n = frame.count()
+    model = models.fit_regressor("ridge", frame.mapInArrow(count, frame.schema), ["a", "b"], "y")
+    assert seen.value == 3 * n
+    known = [(a or 0.0, b, y) for a, b, y in frame.collect() if y is not None]
+    x, y = np.array([k[:2] for k in known]), np.array([k[2] for k in known])
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    w = np.linalg.solve(z.T @ z + 10 * np.eye(2), z.T @ (y - y.mean()))  # a penalty of 10 on the summed loss
+    got = [p.prediction for p in model.transform(frame.filter("y IS NOT NULL")).collect()]
+    assert np.allclose(got, z @ w + y.mean(), atol=1e-6)
