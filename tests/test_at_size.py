@@ -191,6 +191,15 @@ def test_a_feature_set_is_dealt_by_ticker_once_after_its_features(spark):
     assert own.count("Exchange hashpartitioning(ticker") == 1 and "Join" not in own
 
 
+@needs_tables
+def test_baselines_go_through_written_rows(spark, monkeypatch):
+    written, plain = [], panel_queries.materialize
+    monkeypatch.setattr(panel_queries, "materialize", lambda df: written.append(plain(df)) or written[-1])
+    out = panel_queries.QUERIES["panel_baseline_predictions"](spark, SMALL)
+    assert len(written) == 1 and "Window" not in plan(out)
+    assert out.count() == panels.bars(spark, SMALL).filter("date >= '1998-01-01'").count()  # with and without a target
+
+
 @needs_tables
 def test_the_training_board_deals_written_rows(spark, monkeypatch):
     class Reached(Exception):
